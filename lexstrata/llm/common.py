@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package also where only the driver's path has it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

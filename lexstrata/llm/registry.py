@@ -7,7 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import prepare, table
+from .url_filters import host_of, judge_captures
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    prepare(spark)
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def captures_and_events(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fetch times and dated list entries for ``pages``, which has neither: both follow from
+    page_id and url alone, so SQL can derive the same rows."""
+    at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.pmod(F.col("page_id") * 37, F.lit(8760)).cast("int"))
+    captures = pages.select("page_id", "url", at.alias("fetched_at"))
+    seen = pages.select("page_id", host_of(F.col("url")).alias("host"), F.regexp_extract("url", r"^[^:]*://[^/?#]*/([^/?#]+)", 1).alias("first")).filter("host <> ''")
+    hosts = seen.groupBy(F.col("host").alias("pattern")).agg(F.min("page_id").alias("n"))
+    domains = seen.groupBy(F.substring_index("host", ".", -2).alias("pattern")).agg(F.min("page_id").alias("n"))
+    prefixes = seen.filter("first <> ''").groupBy(F.concat("host", F.lit("/"), "first").alias("pattern")).agg(F.min("page_id").alias("n"))
+    return captures, (
+        _events(hosts.filter("n % 4 = 0"), "malware", "host", "add", 200, 0)
+        .union(_events(hosts.filter("n % 12 = 0"), "malware", "host", "remove", 200, 60))
+        .union(_events(hosts.filter("n % 24 = 0"), "malware", "host", "add", 200, 120))
+        .union(_events(domains.filter("n % 7 = 0"), "adult", "domain", "add", 300, 0))
+        .union(_events(prefixes.filter("n % 5 = 0"), "ads", "prefix", "add", 100, 0))
+        .union(_events(prefixes.filter("n % 5 = 0"), "ads", "prefix", "remove", 100, 200))
+    )
+
+
+def _events(patterns: DataFrame, name: str, kind: str, action: str, spread: int, later: int) -> DataFrame:
+    day = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=(F.col("n") % spread + later).cast("int"))
+    return patterns.select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), "pattern", F.lit(action).alias("action"), day.alias("at"))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, events = captures_and_events(table(spark, sf_dir, "pages"))
+    return judge_captures(captures, events)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,17 +59,107 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_components
+
+    prepare(spark)
+    return near_components(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import token_output
+
+    prepare(spark)
+    return token_output(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
+    prepare(spark)
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    prepare(spark)
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    prepare(spark)
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_texts
+
+    prepare(spark)
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mixing, op4_exact_dedup, op7_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op1_warc, op2_url_filters, op3_mixing, op4_exact_dedup, op5_minhash_near_dedup,
+        op6_token_output, op7_best_fit_packing, op8_quality_rules, op9_toxicity, op10_language_model,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+        ), sized AS (
+            SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY body) AS keep FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to
+        FROM sized
+    """,
+    "op2_url_filters": """
+        WITH captures AS (
+            SELECT page_id, url, CAST('2024-01-01' AS TIMESTAMP) + to_hours(CAST(page_id * 37 % 8760 AS INTEGER)) AS fetched_at,
+                   lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+                   list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS segments
+            FROM pages
+        ), hosts AS (
+            SELECT host AS pattern, min(page_id) AS n FROM captures WHERE host <> '' GROUP BY 1
+        ), domains AS (
+            SELECT array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS pattern, min(page_id) AS n FROM captures WHERE host <> '' GROUP BY 1
+        ), prefixes AS (
+            SELECT host || '/' || regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]+)', 1) AS pattern, min(page_id) AS n FROM captures
+            WHERE host <> '' AND regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]+)', 1) <> '' GROUP BY 1
+        ), events AS (
+            SELECT 'malware' AS list, 'host' AS kind, pattern, 1 AS added, n % 200 AS day FROM hosts WHERE n % 4 = 0
+            UNION ALL SELECT 'malware', 'host', pattern, 0, n % 200 + 60 FROM hosts WHERE n % 12 = 0
+            UNION ALL SELECT 'malware', 'host', pattern, 1, n % 200 + 120 FROM hosts WHERE n % 24 = 0
+            UNION ALL SELECT 'adult', 'domain', pattern, 1, n % 300 FROM domains WHERE n % 7 = 0
+            UNION ALL SELECT 'ads', 'prefix', pattern, 1, n % 100 FROM prefixes WHERE n % 5 = 0
+            UNION ALL SELECT 'ads', 'prefix', pattern, 0, n % 100 + 200 FROM prefixes WHERE n % 5 = 0
+        ), spans AS (
+            SELECT list, kind, pattern, added, CAST('2024-01-01' AS TIMESTAMP) + to_days(CAST(day AS INTEGER)) AS valid_from,
+                   CAST('2024-01-01' AS TIMESTAMP) + to_days(CAST(lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS INTEGER)) AS valid_to
+            FROM events
+        ), keys AS (
+            SELECT page_id, fetched_at, 'host' AS kind, host AS pattern FROM captures
+            UNION ALL SELECT page_id, fetched_at, 'domain', unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
+                lambda i: array_to_string(list_slice(string_split(host, '.'), i, NULL), '.'))) FROM captures
+            UNION ALL SELECT page_id, fetched_at, 'prefix', unnest(list_transform(range(1, len(segments) + 1),
+                lambda i: host || '/' || array_to_string(list_slice(segments, 1, i), '/'))) FROM captures
+        ), active AS (
+            SELECT k.page_id, s.list, s.valid_from FROM keys k JOIN spans s USING (kind, pattern)
+            WHERE added = 1 AND s.valid_from <= k.fetched_at AND (s.valid_to IS NULL OR s.valid_to > k.fetched_at)
+        ), found AS (
+            SELECT page_id, count(*) AS n_entries, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, min(valid_from) AS active_since FROM active GROUP BY 1
+        )
+        SELECT page_id, fetched_at, coalesce(n_entries, 0) AS n_entries, coalesce(lists, '') AS lists, active_since, n_entries IS NULL AS kept
+        FROM captures LEFT JOIN found USING (page_id)
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
