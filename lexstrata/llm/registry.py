@@ -130,7 +130,7 @@ ORACLE_SQL: dict[str, str] = {
         ), hosts AS (
             SELECT host AS pattern, min(page_id) AS n FROM captures WHERE host <> '' GROUP BY 1
         ), domains AS (
-            SELECT array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS pattern, min(page_id) AS n FROM captures WHERE host <> '' GROUP BY 1
+            SELECT array_to_string(string_split(host, '.')[-2:], '.') AS pattern, min(page_id) AS n FROM captures WHERE host <> '' GROUP BY 1
         ), prefixes AS (
             SELECT host || '/' || regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]+)', 1) AS pattern, min(page_id) AS n FROM captures
             WHERE host <> '' AND regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]+)', 1) <> '' GROUP BY 1
@@ -148,7 +148,7 @@ ORACLE_SQL: dict[str, str] = {
         ), keys AS (
             SELECT page_id, fetched_at, 'host' AS kind, host AS pattern FROM captures
             UNION ALL SELECT page_id, fetched_at, 'domain', unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
-                lambda i: array_to_string(list_slice(string_split(host, '.'), i, NULL), '.'))) FROM captures
+                lambda i: array_to_string(string_split(host, '.')[i:], '.'))) FROM captures
             UNION ALL SELECT page_id, fetched_at, 'prefix', unnest(list_transform(range(1, len(segments) + 1),
                 lambda i: host || '/' || array_to_string(list_slice(segments, 1, i), '/'))) FROM captures
         ), active AS (

@@ -60,9 +60,10 @@ def judge_captures(captures: DataFrame, events: DataFrame, id_col: str = "page_i
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at"))
     span = rows.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
     bucket = lambda t: F.floor(F.unix_timestamp(t) / bucket_seconds)
-    keys = rows.select(
-        F.monotonically_increasing_id().alias("row"), "id", "at", bucket(F.col("at")).alias("bucket"), F.explode_outer(patterns_of(F.col("url"))).alias("k")
-    ).select("row", "id", "at", "bucket", F.col("k.kind").alias("kind"), F.col("k.pattern").alias("pattern"))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    keys = numbered.select("row", "id", "at", bucket(F.col("at")).alias("bucket"), F.explode_outer(patterns_of(F.col("url"))).alias("k")).select(
+        "row", "id", "at", "bucket", F.col("k.kind").alias("kind"), F.col("k.pattern").alias("pattern")
+    )
 
     low, high = F.lit(span.low).cast("timestamp"), F.lit(span.high).cast("timestamp")
     covered = validity_intervals(events).filter((F.col("valid_from") <= high) & (F.col("valid_to").isNull() | (F.col("valid_to") > low)))
