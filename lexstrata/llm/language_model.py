@@ -29,7 +29,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,27 +45,29 @@ HEAD = 300_000
 ROUNDS = 2
 RATE = 0.5
 BATCH_TOKENS = 8192
+STEP_TOKENS = 2048
 FLUSH_WORDS = 1_000_000
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all words of ``docs`` (column text)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 seen.update(words_of(text))
                 if len(seen) > FLUSH_WORDS:
-                    yield _frame(seen)
+                    yield _batch(seen)
                     seen.clear()
-        yield _frame(seen)
+        yield _batch(seen)
 
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _frame(seen: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in seen], "n": list(seen.values())})
+def _batch(seen: Counter) -> pa.RecordBatch:
+    words = pa.array([w.decode("utf-8") for w in seen], pa.string())
+    return pa.RecordBatch.from_arrays([words, pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
 
 def ending_class(word: str) -> int:
@@ -87,6 +88,10 @@ class Vocabulary:
         totals = np.array([class_tokens.get(k, 0) + SMOOTH * (class_types.get(k, 0) + 1) for k in range(CLASSES)])
         self.log_total = np.log10(totals)
         self.log_total[: 1 + SINGLES] = 0.0
+        totals[0] = docs + SMOOTH
+        for w, k in self.singles.items():
+            totals[k] = head[w] + SMOOTH
+        self.prior = np.log(totals / totals.sum()).astype(np.float32)  # of the classes, without context
 
     @property
     def log_base(self) -> float:
@@ -178,7 +183,9 @@ def train_round(docs: DataFrame, vocabulary, weights: np.ndarray, bias: np.ndarr
     sc = docs.sparkSession.sparkContext
     given = sc.broadcast((weights, bias))  # a fixed size
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["row", "tokens", *(f"g{k}" for k in range(CLASSES))]
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w0, b0 = given.value
         w, b, squares, tokens = w0.copy(), b0.copy(), np.zeros(BUCKETS), 0
         reader = Reader(vocabulary.value)
@@ -187,11 +194,11 @@ def train_round(docs: DataFrame, vocabulary, weights: np.ndarray, bias: np.ndarr
 
         def flush():
             features, classes = np.concatenate([f for f, _ in held]), np.concatenate([c for _, c in held])
-            for at in range(0, len(classes), BATCH_TOKENS):
-                gradient_step(w, squares, b, features[at : at + BATCH_TOKENS], classes[at : at + BATCH_TOKENS])
+            for at in range(0, len(classes), STEP_TOKENS):
+                gradient_step(w, squares, b, features[at : at + STEP_TOKENS], classes[at : at + STEP_TOKENS])
 
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 held.append((context_features(word_hashes(words)), reader.class_of(words)))
                 size += len(words) + 1
@@ -205,14 +212,13 @@ def train_round(docs: DataFrame, vocabulary, weights: np.ndarray, bias: np.ndarr
         if tokens:
             change = np.vstack([(w - w0) * tokens, ((b - b0) * tokens)[None, :]])
             used = np.flatnonzero(np.abs(change).any(axis=1))
-            out = pd.DataFrame(change[used].astype(np.float64), columns=[f"g{k}" for k in range(CLASSES)])
-            out.insert(0, "tokens", np.where(used == BUCKETS, tokens, 0))
-            out.insert(0, "row", used.astype(np.int32))
-            yield out
+            columns = [pa.array(used, pa.int32()), pa.array(np.where(used == BUCKETS, tokens, 0), pa.int64())]
+            columns += [pa.array(np.ascontiguousarray(g)) for g in change[used].astype(np.float64).T]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     fields = ", ".join(f"g{k} double" for k in range(CLASSES))
     tasks = max(2 * sc.defaultParallelism, docs.rdd.getNumPartitions() // 16)
-    parts = docs.select("text").coalesce(tasks).mapInPandas(learn, f"row int, tokens long, {fields}")
+    parts = docs.select("text").coalesce(tasks).mapInArrow(learn, f"row int, tokens long, {fields}")
     summed = parts.groupBy("row").agg(F.sum("tokens").alias("tokens"), *[F.sum(f"g{k}").alias(f"g{k}") for k in range(CLASSES)])
     got = summed.toPandas()  # at most BUCKETS + 1 rows
     given.unpersist()
@@ -230,7 +236,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     train = rows.filter(doc_crc_mod("id", holdout) != 0).select("id", "text")
     vocabulary, words = learn_vocabulary(train, head_size)
     shared = spark.sparkContext.broadcast(vocabulary)  # at most head_size words
-    weights, bias = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
+    weights, bias = np.zeros((BUCKETS, CLASSES), np.float32), vocabulary.prior
     for r in range(rounds):
         part = train.filter(F.expr(f"(crc32(cast(coalesce(cast(id as string), 'null') as binary)) div {holdout}) % {rounds} = {r}"))
         weights, bias = train_round(part, shared, weights, bias)
