@@ -10,9 +10,10 @@
    have a population count that grows with the symmetric difference; pairs far above the
    count expected at the threshold are dropped, the rest is verified on full shingle sets.
 4. Verified links are contracted to components. Buckets whose members still belong to
-   different components are compared by blocks of sketches (members outside the first
-   member's component against all, so a large uniform group costs nothing), and the pairs
-   whose sketches come close are verified too. No pair in one bucket stays undecided.
+   different components are compared by sketches again: members outside the first member's
+   component against all, so a large uniform group costs nothing. Small buckets name the
+   pairs that come close; large ones are dealt as blocks with full sets and verified where
+   blocks meet, so that only links leave a task. No pair in one bucket stays undecided.
 
 A pair at the threshold misses all bands with a probability below ``miss``; bands follow
 from it. Sketches only drop pairs over five standard deviations away from the threshold.
@@ -41,7 +42,11 @@ WIDTH = 5
 ROWS = 5
 MISS = 1e-5
 SKETCH_WORDS = 8
-BLOCK = 256
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
+SMALL_BUCKET = 64
+FILTER_BITS = 1 << 26
+CHUNK_BITS = 1 << 15
 _WORD_CACHE: dict[bytes, int] = {}
 _WORD_CACHE_MAX = 600_000
 
@@ -181,44 +186,120 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int, limit: int) -> DataF
     return both.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_xor_count("sa", "sb", SKETCH_WORDS) <= limit)).select("a", "b")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    rows = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-    return materialize(rows.join(wanted, "node", "left_semi"), "near-texts")
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of the nodes in ``wanted``.
+
+    A bitmap of hashed ids, of a fixed size whatever the input, goes to the tasks, so rows
+    that nobody wants stay out of the join's shuffle; hash collisions end at the join.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    wanted = materialize(wanted.distinct(), "near-wanted")
+    hashed = wanted.select(place("node").alias("h"))
+    parts = hashed.groupBy(F.expr(f"h div {CHUNK_BITS}").alias("chunk")).agg(F.bitmap_construct_agg(F.col("h") % CHUNK_BITS).alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts.collect():  # at most FILTER_BITS / CHUNK_BITS rows of CHUNK_BITS / 8 bytes
+        at = r.chunk * CHUNK_BITS // 8
+        bitmap[at : at + CHUNK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def maybe(places: pd.Series) -> pd.Series:
+        at = places.to_numpy().astype(np.int64)
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    rows = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter("node is not null")
+    return materialize(rows.filter(maybe(place("node"))).join(wanted, "node", "left_semi"), "near-texts")
+
+
+def _shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_set(t, width).view(np.int64) for t in batch["text"]]})
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.mapInPandas(run, f"node {kind}, shingles array<long>")
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.int64).view(np.uint64)
 
 
-def _block_pairs(members: DataFrame, percent: int, limit: int, kind: str) -> DataFrame:
-    """Pairs across components inside mixed buckets, found block against block.
+def _cross_pairs(one: pd.DataFrame, all_: pd.DataFrame, bucket: int, percent: int, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``one``, the places in ``all_`` of another component whose size and
+    sketch allow a link, where ``bucket`` is the first band that both share."""
+    sketches, bands = _stack(all_["sketch"]), _stack(all_["bands"])
+    n, c = all_["n_shingles"].to_numpy(), all_["component"].to_numpy()
+    own_sketches, own_bands = _stack(one["sketch"]), _stack(one["bands"])
+    key = np.array([bucket], np.int64).view(np.uint64)[0]
+    for i, (component, size) in enumerate(zip(one["component"], one["n_shingles"], strict=True)):
+        near = (c != component) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+        near &= np.bitwise_count(sketches ^ own_sketches[i]).sum(axis=1) <= limit
+        at = np.flatnonzero(near)
+        first = (bands[at] == own_bands[i]).argmax(axis=1)
+        yield i, at[own_bands[i][first] == key]
 
-    ``members``: bucket, node, component, main (the first member's component), n_shingles,
-    sketch. Members outside the main component are the queries; each block of queries meets
-    each block of members, and only pairs whose sketches come close leave the task.
+
+def _close_pairs(members: DataFrame, percent: int, limit: int, kind: str) -> DataFrame:
+    """Pairs (a > b) across components in mixed buckets of at most ``SMALL_BUCKET`` members."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.reset_index(drop=True)
+        one = group[group["component"] != group["main"]]
+        nodes, out = group["node"].to_numpy(), set()
+        if len(one):
+            own = one["node"].to_numpy()
+            for i, found in _cross_pairs(one, group, int(group["bucket"].iloc[0]), percent, limit):
+                out |= {(max(own[i], x), min(own[i], x)) for x in nodes[found]}
+        return pd.DataFrame(sorted(out), columns=["a", "b"])
+
+    return members.groupBy("bucket").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+
+
+def _block_links(members: DataFrame, shingles: DataFrame, percent: int, limit: int, kind: str) -> DataFrame:
+    """Links across components in large mixed buckets, verified where blocks meet.
+
+    Members outside the first member's component are the queries; each block of queries
+    meets each block of members, with their full sets. A block is bounded in members and in
+    shingles, and only links leave the task.
     """
+    outside = F.col("component") != F.col("main")
+    blocks = lambda rows, total: F.ceil(F.greatest(rows / BLOCK, total / BLOCK_SHINGLES)).cast("long")
     counts = members.groupBy("bucket").agg(
-        F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).alias("q_blocks"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("x_blocks")
+        blocks(F.count_if(outside), F.sum(F.when(outside, F.col("n_shingles")).otherwise(0))).alias("q_blocks"), blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("x_blocks")
     )
-    rows = members.join(counts, "bucket").withColumn("h", F.xxhash64("node"))
-    outside = F.col("component") != F.col("main")
-    asked = rows.filter(outside).select("*", F.pmod("h", "q_blocks").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("x_blocks") - 1)).alias("x"), F.lit(True).alias("asked"))
-    against = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)).alias("q"), F.pmod("h", "x_blocks").alias("x"), F.lit(False).alias("asked"))
+    rows = members.join(counts, "bucket").join(shingles, "node").withColumn("h", F.xxhash64("node"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = rows.filter(outside).select("*", F.pmod("h", "q_blocks").alias("q"), each("x_blocks").alias("x"), F.lit(True).alias("asked"))
+    against = rows.select("*", each("q_blocks").alias("q"), F.pmod("h", "x_blocks").alias("x"), F.lit(False).alias("asked"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        one, all_ = group[group["asked"]], group[~group["asked"]]
+        one, all_ = group[group["asked"]].reset_index(drop=True), group[~group["asked"]].reset_index(drop=True)
         out = []
         if len(one) and len(all_):
-            s = np.stack(all_["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-            n, c, v = all_["n_shingles"].to_numpy(), all_["component"].to_numpy(), all_["node"].to_numpy()
-            for node, component, size, sketch in zip(one["node"], one["component"], one["n_shingles"], one["sketch"], strict=True):
-                far = np.bitwise_count(s ^ np.asarray(sketch, dtype=np.int64).view(np.uint64)).sum(axis=1)
-                hit = (far <= limit) & (c != component) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
-                out += [(min(node, x), max(node, x)) for x in v[hit]]
-        return pd.DataFrame(out, columns=["b", "a"])[["a", "b"]]
-
-    columns = ["bucket", "q", "x", "asked", "node", "component", "n_shingles", "sketch"]
+            nodes, components, sets = all_["node"].to_numpy(), all_["component"].to_numpy(), all_["shingles"].to_numpy()
+            for i, found in _cross_pairs(one, all_, int(group["bucket"].iloc[0]), percent, limit):
+                x, linked = one["shingles"][i], set()
+                for j in found:
+                    if components[j] not in linked and _reaches(x, sets[j], percent):
+                        linked.add(components[j])
+                        out.append((one["node"][i], nodes[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    columns = ["bucket", "q", "x", "asked", "node", "component", "n_shingles", "sketch", "bands", "shingles"]
     both = asked.select(columns).unionByName(against.select(columns))
     return both.groupBy("bucket", "q", "x").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """The similarity of two sets, each sorted as unsigned integers, reaches ``percent``."""
+    x, y = (np.asarray(v, dtype=np.int64).view(np.uint64) for v in ((x, y) if len(x) <= len(y) else (y, x)))
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, miss: float = MISS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept."""
     bands = bands_for(percent / 100, miss=miss)
@@ -233,19 +314,22 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = materialize(rows.join(pivots, "bucket"), "near-buckets")
+    texts = _texts(docs, shared.select("node"), id_col, text_col)
     star = shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     star = materialize(_near(star, nodes.drop("bands"), percent, limit), "near-star")
-    edges = materialize(_verified(star, _texts(docs, star, id_col, text_col), width, percent), "near-links")
-
-    if not edges.isEmpty():
-        labels = connected_components(edges)
-    else:
-        labels = nodes.select("node", F.col("node").alias("component")).limit(0)
-    more = _undecided(shared, labels, nodes, star, percent, limit, kind)
-    if not more.isEmpty():
-        found = materialize(_verified(more, _texts(docs, more, id_col, text_col), width, percent), "near-links")
-        if not found.isEmpty():
-            labels = connected_components(edges.unionByName(found))
+    edges = materialize(_verified(star, texts, width, percent), "near-links")
+    labels = connected_components(edges) if not edges.isEmpty() else nodes.select("node", F.col("node").alias("component")).limit(0)
+
+    mixed = _mixed_members(shared, labels, nodes)
+    pairs = materialize(_close_pairs(mixed.filter(F.col("members") <= SMALL_BUCKET), percent, limit, kind).join(star, ["a", "b"], "left_anti"), "near-more")
+    large = mixed.filter(F.col("members") > SMALL_BUCKET)
+    found = _verified(pairs, texts, width, percent)
+    if not large.isEmpty():
+        sets = materialize(_shingles(texts.join(large.select("node").distinct(), "node", "left_semi"), width), "near-sets")
+        found = found.unionByName(_block_links(large, sets, percent, limit, kind))
+    found = materialize(found, "near-links")
+    if not found.isEmpty():
+        labels = connected_components(edges.unionByName(found))
 
     member = linked.select("id", "set_hash").join(classes, "set_hash").select("id", "node").join(labels, "node", "left")
     component = member.groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
@@ -256,15 +340,15 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     )
 
 
-def _undecided(shared: DataFrame, labels: DataFrame, nodes: DataFrame, star: DataFrame, percent: int, limit: int, kind: str) -> DataFrame:
-    """Close pairs of one bucket that lie in different components and were not compared."""
-    named = shared.filter("members > 2").join(labels, "node", "left").select("bucket", "node", "pivot", F.coalesce("component", "node").alias("component"))
+def _mixed_members(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of buckets of three or more that lie in different components: bucket, members,
+    node, component, main (the first member's component), n_shingles, sketch, bands."""
+    named = shared.filter("members > 2").join(labels, "node", "left").select("bucket", "members", "node", "pivot", F.coalesce("component", "node").alias("component"))
     main = labels.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
     named = named.join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    members = named.join(mixed, "bucket", "left_semi").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    members = materialize(members.select("bucket", "node", "component", "main", "n_shingles", "sketch"), "near-mixed")
-    return materialize(_block_pairs(members, percent, limit, kind).join(star, ["a", "b"], "left_anti"), "near-more")
+    members = named.join(mixed, "bucket", "left_semi").join(nodes, "node")
+    return materialize(members.select("bucket", "members", "node", "component", "main", "n_shingles", "sketch", "bands"), "near-mixed")
 
 
 def keep_first_of_group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

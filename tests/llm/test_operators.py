@@ -149,6 +149,25 @@ def test_near_dedup_chain_through_a_large_group(spark):
     assert [got[i] for i in range(40)] == components
 
 
+def test_near_dedup_blocks_of_a_mixed_bucket(spark, monkeypatch):
+    """Edited copies on both sides of the threshold, in buckets that go through blocks."""
+    from lexstrata.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    r = random.Random(17)
+    base = prose(5, 150).split()
+    texts = []
+    for k in range(90):
+        other = list(base)
+        for _ in range(r.randrange(1, 7)):
+            other[r.randrange(len(other))] = f"e{k}x{r.randrange(9)}"
+        texts.append(" ".join(other))
+    _, components = brute_components(texts, 85)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_components(make(spark, texts), 85).collect()}
+    assert [got[i] for i in range(90)] == components and len(set(components)) > 3
+
+
 def test_near_dedup_edges(spark):
     from lexstrata.llm.near_dedup import keep_first_of_group, near_components
 
