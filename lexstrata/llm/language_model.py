@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_crc_mod, materialize, words_of
-from .near_dedup import _mix, word_hashes
+from .near_dedup import _mix
 
 SMOOTH = 0.1
 CLASSES = 32
@@ -46,6 +47,7 @@ ROUNDS = 2
 RATE = 0.5
 BATCH_TOKENS = 8192
 STEP_TOKENS = 2048
+FLUSH_TOKENS = 1 << 16
 FLUSH_WORDS = 1_000_000
 
 
@@ -79,17 +81,22 @@ def _ending_class_column(word):
 
 
 class Vocabulary:
-    """Counts of frequent words, classes, and the class totals. Sizes are bounded."""
+    """Frequent words with their counts, hashes and classes, and the class totals. Sizes are
+    bounded by the head, whatever the corpus."""
 
     def __init__(self, head: dict[str, int], singles: list[str], docs: int, tokens: int, types: int, class_tokens: dict[int, int], class_types: dict[int, int]):
         self.tokens, self.types, self.docs = tokens, types, docs
-        self.singles = {w: i + 1 for i, w in enumerate(singles)}
-        self.head = {w.encode("utf-8", "surrogatepass"): (n, self.singles.get(w) or ending_class(w)) for w, n in head.items()}
+        own = {w: i + 1 for i, w in enumerate(singles)}
+        words = [w.encode("utf-8", "surrogatepass") for w in head]
+        self.index = {w: i for i, w in enumerate(words)}
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+        self.classes = np.array([own.get(w) or ending_class(w) for w in head], dtype=np.int8)
+        self.log_counts = np.log10(np.array(list(head.values()), dtype=float) + SMOOTH)
         totals = np.array([class_tokens.get(k, 0) + SMOOTH * (class_types.get(k, 0) + 1) for k in range(CLASSES)])
         self.log_total = np.log10(totals)
         self.log_total[: 1 + SINGLES] = 0.0
         totals[0] = docs + SMOOTH
-        for w, k in self.singles.items():
+        for w, k in own.items():
             totals[k] = head[w] + SMOOTH
         self.prior = np.log(totals / totals.sum()).astype(np.float32)  # of the classes, without context
 
@@ -119,31 +126,48 @@ def learn_vocabulary(train: DataFrame, head_size: int = HEAD) -> tuple[Vocabular
 
 
 class Reader:
-    """Texts as arrays: hashes, classes, and counts of their tokens."""
+    """Texts as arrays. One look-up a word gives its row in the tables of hashes and
+    classes; words outside the head get rows of a bounded cache behind it."""
 
-    CACHE = 300_000
+    CACHE = 200_000
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.tail: dict[bytes, int] = {}
-
-    def class_of(self, words: list[bytes]) -> np.ndarray:
-        head, tail = self.v.head, self.tail
-        if len(tail) > self.CACHE:
-            tail.clear()
-        out = []
-        for w in words:
-            got = head.get(w)
-            if got is not None:
-                out.append(got[1])
-                continue
-            k = tail.get(w)
-            if k is None:
-                text = w.decode("utf-8", "surrogatepass")
-                k = tail[w] = self.v.singles.get(text) or ending_class(text)
-            out.append(k)
-        out.append(0)  # the end token
-        return np.array(out, dtype=np.int64)
+        self.v, self.head = vocabulary, len(vocabulary.index)
+        self.hashes, self.classes = np.zeros(self.head + self.CACHE, np.uint64), np.zeros(self.head + self.CACHE, np.int8)
+        self.hashes[: self.head], self.classes[: self.head] = vocabulary.hashes, vocabulary.classes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index, self.tail = dict(self.v.index), []
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        if len(self.tail) + len(words) > self.CACHE:
+            self._forget()
+            self._make_room(len(words))
+        index = self.index
+        found = list(map(index.get, words))
+        if None in found:
+            for i, row in enumerate(found):
+                if row is None:
+                    w = words[i]
+                    row = index.get(w)
+                    if row is None:
+                        row = index[w] = self.head + len(self.tail)
+                        text = w.decode("utf-8", "surrogatepass")
+                        self.hashes[row], self.classes[row] = xxhash.xxh3_64_intdigest(w), ending_class(text)
+                        self.tail.append(text)
+                    found[i] = row
+        return np.array(found, dtype=np.int64)
+
+    def _make_room(self, n: int) -> None:
+        """A single text may hold more words than the cache."""
+        if n > len(self.hashes) - self.head:
+            self.hashes, self.classes = np.resize(self.hashes, self.head + n), np.resize(self.classes, self.head + n)
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of the words, features of all tokens, classes of all tokens)."""
+        rows = self.rows(words_of(text))
+        return rows, context_features(self.hashes[rows]), np.append(self.classes[rows], 0).astype(np.int64)
 
 
 def context_features(hashes: np.ndarray) -> np.ndarray:
@@ -199,9 +223,9 @@ def train_round(docs: DataFrame, vocabulary, weights: np.ndarray, bias: np.ndarr
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                held.append((context_features(word_hashes(words)), reader.class_of(words)))
-                size += len(words) + 1
+                rows, features, classes = reader.read(text)
+                held.append((features, classes))
+                size += len(classes)
                 if size >= BATCH_TOKENS:
                     flush()
                     tokens, size = tokens + size, 0
@@ -250,28 +274,23 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out: dict[str, list] = {k: [] for k in ("n", "known", "log_count", "log_class", "log_end", "words", "counts")}
             held, sizes = [], []
             for text in batch.column("text").to_pylist():
-                tokens = words_of(text)
-                classes = reader.class_of(tokens)
-                held.append((context_features(word_hashes(tokens)), classes))
+                rows, features, classes = reader.read(text)
+                held.append((features, classes))
                 sizes.append(len(classes))
-                known, log_count, tail = int(v.docs > 0), 0.0, {}
-                single = 0.0
-                for word, n in Counter(tokens).items():
-                    got = v.head.get(word)
-                    if got is None:
-                        tail[word.decode("utf-8", "surrogatepass")] = n
-                        continue
-                    known += n
-                    log_count += n * np.log10(got[0] + SMOOTH)
-                    if got[1] <= SINGLES:
-                        single += n * np.log10(got[0] + SMOOTH)
+                frequent = rows < reader.head
+                log_counts = v.log_counts[rows[frequent]]
+                single = log_counts[reader.classes[rows[frequent]] <= SINGLES].sum()
+                tail, counts = np.unique(rows[~frequent], return_counts=True)
                 out["n"].append(len(classes))
-                out["known"].append(known)
-                out["log_count"].append(log_count)
-                out["log_end"].append(-single - float(v.log_total[classes].sum()))
-                out["words"].append(list(tail))
-                out["counts"].append(list(tail.values()))
-            out["log_class"] = _class_scores(w, b, held, sizes)
+                out["known"].append(int(v.docs > 0) + len(log_counts))
+                out["log_count"].append(float(log_counts.sum()))
+                out["log_end"].append(-float(single) - float(v.log_total[classes].sum()))
+                out["words"].append([reader.tail[k] for k in (tail - reader.head).tolist()])
+                out["counts"].append(counts)
+                if sum(sizes) > FLUSH_TOKENS:
+                    out["log_class"] += _class_scores(w, b, held, sizes)
+                    held, sizes = [], []
+            out["log_class"] += _class_scores(w, b, held, sizes)
             arrays = [batch.column("row"), batch.column("id")] + [pa.array(out[k], t) for k, t in _SCORED.items()]
             end = np.log10(end_known)
             arrays[4] = pa.array(np.asarray(out["log_count"]) + end)
