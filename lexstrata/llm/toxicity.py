@@ -33,10 +33,12 @@ from .transducers import END, INSULT, NEGATED, NEGATION, OTHER, PLAIN, QUOTED, R
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
-STEMS = (4, 5, 6)
-MIN_TEXTS = 5
+STEMS = (4, 5, 6, 7, 8)
+MIN_TEXTS = 4
+CAUTION = 1.0
+STEM_SPREAD = 1.3
 MIN_SHARE = 0.004
-MIN_WEIGHT = 3.0
+MIN_WEIGHT = 2.5
 _PIECES = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
 # Function words of the clause grammar in English, German, French and Spanish.
@@ -45,8 +47,8 @@ REPORTS = "said says wrote quoted claimed called sagte schrieb zitierte nannte d
 TARGETS = "you your yours they them he she him her du dich dir ihr euch sie tu te toi vous eux tú ti usted ustedes ellos ellas"
 THREATS = "kill hurt destroy beat burn shoot töten schlagen vernichten verbrennen tuer frapper détruire brûler matar golpear destruir quemar"
 KINDS = (PLAIN, NEGATED, QUOTED, TARGETED, THREATENED)
-# Prior of the logistic model: intercept, then a factor for each kind, then the worst clause.
-PRIOR = (-4.0, 1.0, 0.4, 0.4, 1.2, 1.0, 0.5)
+# Prior of the logistic model: intercept, a factor for each kind, the worst clause, all but the strongest match.
+PRIOR = (-4.0, 1.0, 0.4, 0.4, 1.2, 1.0, 0.5, 0.5)
 
 
 def _function_words() -> dict[str, str]:
@@ -75,9 +77,10 @@ class Scorer:
         return (INSULT, weight) if weight > 0 else (self.function_words.get(word, OTHER), 2.0)
 
     def features(self, text: str | None) -> list[float]:
-        """1, log(1 + matched weight) of each kind, worst clause."""
+        """1, log(1 + matched weight) of each kind, of the worst clause, and of all matches but
+        the strongest: one rare word alone says little."""
         totals = dict.fromkeys(KINDS, 0.0)
-        worst = clause = 0.0
+        worst = clause = strongest = 0.0
         if text:
             cache = self.cache
             if len(cache) > self.CACHE:
@@ -95,10 +98,11 @@ class Scorer:
                     if written in totals:
                         totals[written] += weight
                         clause += weight
+                        strongest = max(strongest, weight)
                     elif written == END:
                         worst, clause = max(worst, clause), 0.0
                 worst = max(worst, clause)
-        return [1.0, *(math.log1p(totals[k]) for k in KINDS), math.log1p(worst)]
+        return [1.0, *(math.log1p(totals[k]) for k in KINDS), math.log1p(worst), math.log1p(sum(totals.values()) - strongest)]
 
     def score(self, text: str | None) -> float:
         z = sum(a * b for a, b in zip(self.model, self.features(text), strict=True))
@@ -126,27 +130,48 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return materialize(rows.join(F.broadcast(chosen), "id"), "labelled")
 
 
-def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Weighted paths. A path occurs in at least ``MIN_SHARE`` of the toxic texts, so their
-    number depends on the length of texts, not on how many there are."""
+def learn_lexicons(train: DataFrame) -> list[dict[str, float]]:
+    """Weighted paths from half 0, from half 1, and from all of the labelled texts.
+
+    Equal texts count once. A weight is a cautious log odds: toxic counts are taken low and
+    clean counts high by ``CAUTION`` standard deviations. A path occurs in at least
+    ``MIN_SHARE`` of the toxic texts, so the number of paths depends on the length of texts,
+    not on how many there are.
+    """
 
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pos, neg = {}, {}
-            for text, y in zip(batch["text"], batch["y"], strict=True):
-                side = pos if y else neg
+            seen: dict[str, list[int]] = {}
+            for text, side in zip(batch["text"], batch["side"], strict=True):
                 for p in {p for w in set(_PIECES.findall((text or "").lower())) for p in lexicon_paths(w)}:
-                    side[p] = side.get(p, 0) + 1
-            yield pd.DataFrame([(p, pos.get(p, 0), neg.get(p, 0)) for p in pos.keys() | neg.keys()], columns=["path", "pos", "neg"])
-
-    sizes = train.groupBy("y").count().collect()
-    toxic, clean = sum(r["count"] for r in sizes if r.y == 1), sum(r["count"] for r in sizes if r.y != 1)
-    if not toxic or not clean:
-        return {}
-    counts = train.select("text", (F.col("y") == 1).alias("y")).mapInPandas(paths, "path string, pos long, neg long").groupBy("path").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    least = max(MIN_TEXTS if toxic >= 100 else 2, math.ceil(MIN_SHARE * toxic))
-    weight = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((F.col("neg") + 0.5) / (clean + 1))
-    return {r.path: r.w for r in counts.filter(F.col("pos") >= least).withColumn("w", weight).filter(F.col("w") >= MIN_WEIGHT).select("path", "w").collect()}
+                    seen.setdefault(p, [0, 0, 0, 0])[side] += 1
+            yield pd.DataFrame([(p, *n) for p, n in seen.items()], columns=["path", *_SIDES])
+
+    distinct = train.withColumn("_h", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["_h", "y"])
+    sided = distinct.select("text", (2 * F.col("fold") + (F.col("y") == 1).cast("int")).alias("side"))  # neg0, pos0, neg1, pos1
+    sizes = {r.side: r["count"] for r in sided.groupBy("side").count().collect()}
+    counts = sided.mapInPandas(paths, "path string, " + ", ".join(f"{c} long" for c in _SIDES)).groupBy("path").agg(*[F.sum(c).alias(c) for c in _SIDES])
+    counts = materialize(counts.filter(F.col("pos0") + F.col("pos1") >= 2), "toxic-paths")
+    # A stem must stand for several words: it is more frequent than any one word behind it.
+    words = counts.filter(~F.col("path").endswith("*")).withColumn("all", F.col("pos0") + F.col("pos1"))
+    stems = F.explode(F.transform(F.filter(F.array(*map(F.lit, STEMS)), lambda n: F.length("path") > n), lambda n: F.concat(F.substr("path", F.lit(1), n), F.lit("*"))))
+    top = words.select(stems.alias("path"), "all").groupBy("path").agg(F.max("all").alias("top"))
+    counts = counts.join(top, "path", "left").filter(~F.col("path").endswith("*") | (F.col("pos0") + F.col("pos1") >= STEM_SPREAD * F.coalesce("top", F.lit(0))))
+    out = []
+    for folds in ((0,), (1,), (0, 1)):
+        toxic, clean = sum(sizes.get(2 * f + 1, 0) for f in folds), sum(sizes.get(2 * f, 0) for f in folds)
+        if not toxic or not clean:
+            out.append({})
+            continue
+        pos, neg = (sum(F.col(f"{k}{f}") for f in folds) for k in ("pos", "neg"))
+        low, high = pos - CAUTION * F.sqrt(pos), neg + CAUTION * F.sqrt(neg + 1)
+        weight = F.log((low + 0.5) / (toxic + 1)) - F.log((high + 0.5) / (clean + 1))
+        kept = counts.filter(pos >= max(MIN_TEXTS, math.ceil(MIN_SHARE * toxic))).withColumn("w", weight).filter(F.col("w") >= MIN_WEIGHT)
+        out.append({r.path: r.w for r in kept.select("path", "w").collect()})
+    return out
+
+
+_SIDES = ["neg0", "pos0", "neg1", "pos1"]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -164,19 +189,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", allowed=None, sample: int = SAMPLE) -> Scorer | None:
-    """Lexicon and model from labelled rows; None without both kinds of labels."""
+    """Lexicon and model from labelled rows; None without both kinds of labels. The model is
+    fitted on features from the lexicon of the other half, so it does not trust paths more
+    than they hold on texts they were not learnt from."""
     train = labelled_sample(docs, labels, id_col, text_col, label_col, allowed or (lambda c: F.lit(True)), sample)
-    lexicon = learn_lexicon(train)
+    train = train.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(2)).cast("int"))
+    *halves, lexicon = learn_lexicons(train)
     if not lexicon:
         return None
-    scorer = Scorer(lexicon, PRIOR)
+    scorers = [Scorer(half, PRIOR) for half in halves]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [[float(y), *scorer.features(t)] for t, y in zip(batch["text"], batch["y"], strict=True)]
+            rows = [[float(y), *scorers[1 - fold].features(t)] for t, y, fold in zip(batch["text"], batch["y"], batch["fold"], strict=True)]
             yield pd.DataFrame({"row": rows}, columns=["row"])
 
-    rows = train.select("text", (F.col("y") == 1).cast("int").alias("y")).mapInPandas(measure, "row array<double>")
+    rows = train.select("text", (F.col("y") == 1).cast("int").alias("y"), "fold").mapInPandas(measure, "row array<double>")
     # Equal feature rows are counted, so the driver sees each different one once.
     counted = rows.select(F.transform("row", lambda v: F.round(v, 1)).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n")).collect()
     data = np.array([[r.n, *r.row] for r in counted])
