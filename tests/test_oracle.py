@@ -57,3 +57,17 @@ def test_imports_do_not_reach_the_optional_package():
     for p in (root / "lexstrata").rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_entry_module_without_the_optional_parts(tmp_path):
+    """A copy without the optional folders still imports and has its other queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(entry_module.__file__).parent
+    shutil.copytree(root / "lexstrata", tmp_path / "lexstrata", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "lexstrata" / "llm" / "__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) > 100 and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
