@@ -129,6 +129,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
 def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """``docs`` itself in the order of the schedule: range-partitioned and sorted by slot."""
-    placed = mix_sources(docs, weights, id_col, source_col, **options).select(F.col(id_col).alias("_id"), "slot", "place").dropDuplicates(["_id"])
-    joined = docs.join(placed, docs[id_col].eqNullSafe(placed["_id"]))
-    return joined.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*[docs[c] for c in docs.columns])
+    placed = mix_sources(docs, weights, id_col, source_col, **options)
+    placed = placed.select(F.col(id_col).alias("_mix_id"), F.col("slot").alias("_mix_slot"), F.col("place").alias("_mix_place")).dropDuplicates(["_mix_id"])
+    joined = docs.join(placed, docs[id_col].eqNullSafe(placed["_mix_id"]))
+    return joined.repartitionByRange("_mix_slot", "_mix_place").sortWithinPartitions("_mix_slot", "_mix_place").select(*[docs[c] for c in docs.columns])

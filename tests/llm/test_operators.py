@@ -220,7 +220,7 @@ def test_mixing_places_every_row_once(spark):
 
     r = random.Random(2)
     sources = [r.choice(["a"] * 6 + ["b"] * 3 + [None]) for _ in range(500)]
-    docs = make(spark, ["t"] * 500, sources=sources)
+    docs = make(spark, ["t"] * 500, sources=sources).withColumns({"slot": F.lit("s"), "place": F.lit(None)})
     rows = mix_sources(docs, {"a": 0.5, "b": 0.25, None: 0.25}, block_size=4, period=16, shards=3).collect()
     assert sorted(x.doc_id for x in rows) == list(range(500))
     by_slot = defaultdict(set)
@@ -497,3 +497,51 @@ def test_pipeline_stages_keep_columns(spark, sf_dir):
             docs = out
         else:
             assert out.select("doc_id").distinct().count() == docs.count()
+
+
+def test_pipeline_matches_brute_force(spark, corpus, tokenizer, tmp_path):
+    """run() over a small folder against the stages worked out one by one in Python."""
+    import corpus_pipeline
+    from lexstrata.llm.toxicity import score_toxicity
+
+    r = random.Random(31)
+    texts = list(corpus)
+    toxic = []
+    for k in range(60):
+        words = prose(500 + k, 40).split()
+        for _ in range(3):
+            words[r.randrange(40)] = r.choice(["zorg", "blarf"])
+        toxic.append(len(texts))
+        texts.append(" ".join(words))
+    docs = make(spark, texts, sources=[r.choice(["a", "b", None]) for _ in texts])
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    rejected = {x.doc_id for x in score_toxicity(docs, labels).filter("predicted = 1").collect()}
+    assert rejected == set(toxic)
+    last = {}
+    for i, t in enumerate(texts):
+        if i not in rejected:
+            last[t or ""] = i
+    left = sorted(last.values())
+    _, components = brute_components([texts[i] for i in left], 80)
+    kept = [i for k, i in enumerate(left) if components[k] == k]
+
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({x.doc_id for x in rows}) == kept
+    renumbered = [type("Piece", (), {**x.asDict(), "doc_id": kept.index(x.doc_id), "__getitem__": lambda self, key: getattr(self, key)})() for x in rows]
+    check_pieces(renumbered, [texts[i] for i in kept], tokenizer, "sequence_id")
+
+
+def test_mixing_stage_orders_its_rows(spark, tmp_path):
+    import corpus_pipeline
+    from lexstrata.llm.mixing import mix_sources
+
+    docs = make(spark, ["t"] * 300, sources=["a"] * 200 + ["b"] * 70 + [None] * 30)
+    corpus_pipeline.mixing(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    slots = {x.doc_id: (x.slot, x.place) for x in mix_sources(docs).collect()}
+    # Files are numbered by range, and each is sorted.
+    seen = spark.read.parquet(f"{tmp_path}/mixed").select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")).collect()
+    order = [x.doc_id for x in sorted(seen, key=lambda x: (x.f, x.m))]
+    assert order == sorted(slots, key=slots.get)
