@@ -184,3 +184,40 @@ def test_streams_agree_with_batch(spark, tmp_path, sf_dir):
     assert set(found) <= set(expected) and all(abs((found[k] - expected[k]).total_seconds()) < 1 for k in found) and len(found) >= 0.9 * len(expected)
     once = run(processors.deliver_once(source, "job", "ts", "30 days"), "once", "append")
     assert once.count() == jobs.select("job").distinct().count()
+
+
+def test_histories(spark, tmp_path):
+    from lexstrata.sources import history
+
+    log = "\x1f".join(["c1", "A", "a@x", "2024", "s1", "b1"]) + "\x1e\n" + "\x1f".join(["c2", "B", "b@x", "2025", "s2", ""]) + "\x1e"
+    rows = history.parse_log(spark.createDataFrame([(1, log), (2, None)], "k int, t string"), ["k"], "t").orderBy("place").collect()
+    assert [(r.commit, r.subject, r.body) for r in rows] == [("c1", "s1", "b1"), ("c2", "s2", "")]
+    stats = history.parse_numstat(spark.createDataFrame([(1, "3\t1\ta.md\n-\t-\tb.png\nnoise")], "k int, t string"), ["k"], "t").collect()
+    assert [(r.path, r.added, r.removed) for r in stats] == [("a.md", 3, 1), ("b.png", 0, 0)]
+    one, two = "a" * 40, "b" * 40
+    blame = f"{one} 1 1 2\nauthor Ann\nsummary x\n\tfirst\n{two} 1 2 1\nauthor Bob\n\tsecond\n{one} 2 3\n\tthird"
+    got = history.parse_provenance(spark.createDataFrame([(1, blame)], "k int, t string"), ["k"], "t").orderBy("line_no").collect()
+    assert [(r.line_no, r.author, r.content) for r in got] == [(1, "Ann", "first"), (2, "Bob", "second"), (3, "Ann", "third")]
+    rows = spark.createDataFrame([("p1", "x"), ("p2", "y")], "path string, content string")
+    path = str(tmp_path / "commits")
+    first = history.append_commit(spark, path, rows, "m")
+    assert first == history.append_commit(spark, path, rows.orderBy(F.desc("path")), "m") and history.append_commit(spark, path, rows.limit(0), "m") is None
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_vocabulary_reading_forgives(spark, tmp_path):
+    from lexstrata.sources.vocabulary import read_vocabulary
+
+    (tmp_path / "v.jsonl").write_text('{"tag": "a", "group": "g"}\nbroken\n{"tag": "b"}\n{"tag": "a", "group": "g", "exclusive": true}\n')
+    rows = read_vocabulary(spark, str(tmp_path / "v.jsonl"), "taxonomy").collect()
+    assert [(r.tag, r.exclusive) for r in rows] == [("a", True)]
+
+
+def test_content_store_writes_once(spark, tmp_path):
+    from lexstrata.sources.content_store import store_new
+
+    rows = spark.createDataFrame([("s", "2024-01-01", "x"), ("s", "2024-01-01", "x"), ("s", "2024-01-02", None)], "source string, day string, content string")
+    path = str(tmp_path / "store")
+    store_new(rows, path, "source", "day", "content")
+    store_new(rows, path, "source", "day", "content")
+    assert spark.read.parquet(path).count() == 2
