@@ -13,6 +13,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 MAX_MESSAGES = 20
 
 
@@ -50,7 +52,13 @@ def _message(test: Column, path: Column, what: str) -> Column:
 
 
 def _errors(value: Column, schema: dict, path: Column) -> Column:
-    kind, found = _kind(value), []
+    kind = _kind(value)
+    facts = F.struct(value.alias("value"), kind.alias("kind"), F.when(kind == "object", F.json_object_keys(F.to_json(value))).alias("keys"))
+    return let(facts, lambda x: _found(x["value"], x["kind"], x["keys"], schema, path))
+
+
+def _found(value: Column, kind: Column, keys: Column, schema: dict, path: Column) -> Column:
+    found = []
     if "type" in schema:
         types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         accepted = [*types, *(["integer"] if "number" in types else [])]
@@ -68,7 +76,6 @@ def _errors(value: Column, schema: dict, path: Column) -> Column:
     ):
         if key in schema:
             found.append(_message(test(schema[key]), path, what))
-    keys = F.when(kind == "object", F.json_object_keys(F.to_json(value)))
     for name in schema.get("required", []):
         found.append(_message(~F.array_contains(keys, name), path, f"misses {name}"))
     for name, inner in schema.get("properties", {}).items():

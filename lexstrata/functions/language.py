@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .text import strip_tags
 
 # Fixed values.
@@ -21,24 +22,29 @@ STOPWORDS = {
 }
 
 
-def _by_stopwords(words: Column, candidates: list[str], stopwords: dict[str, list[str]]) -> Column:
+def _by_stopwords(plain: Column, candidates: list[str], stopwords: dict[str, list[str]]) -> Column:
     """The language with most hits, every occurrence counted; a tie or no hit is null."""
-    hits = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
-    scores = {c: hits(stopwords[c]) for c in candidates}
-    best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-    winners = F.filter(F.array(*[F.when(s == best, c) for c, s in scores.items()]), lambda x: x.isNotNull())
-    return F.when((best > 0) & (F.size(winners) == 1), winners[0])
+
+    def winner(hits: Column) -> Column:
+        best = F.array_max(F.array(*[hits[c] for c in candidates]))
+        winners = F.array_compact(F.array(*[F.when(hits[c] == best, c) for c in candidates]))
+        return F.when((best > 0) & (F.size(winners) == 1), winners[0])
+
+    count = lambda known: F.regexp_count(plain, F.lit(r"(?<!\p{L})(?:" + "|".join(known) + r")(?!\p{L})"))
+    return let(F.struct(*[count(stopwords[c]).alias(c) for c in candidates]), winner)
 
 
 def detect_language(text: Column, latin: tuple[str, ...] = ("en", "tr", "de"), stopwords: dict[str, list[str]] = STOPWORDS) -> Column:
-    plain = F.lower(strip_tags(text))
-    letters = F.regexp_count(plain, F.lit(r"\p{L}"))
-    cyrillic = F.regexp_count(plain, F.lit(r"\p{IsCyrillic}"))
-    words = F.filter(F.split(plain, r"[^\p{L}]+"), lambda w: w != "")
-    count = lambda letters_: F.regexp_count(plain, F.lit(f"[{letters_}]"))
-    uk, ru = count(UKRAINIAN_ONLY), count(RUSSIAN_ONLY)
-    east = F.when(uk > ru, "uk").when(ru > uk, "ru").otherwise(_by_stopwords(words, ["ru", "uk"], stopwords))
-    west = _by_stopwords(words, list(latin), stopwords)
-    if "tr" in latin:
-        west = F.when(count(TURKISH_ONLY) > 0, "tr").otherwise(west)
-    return F.when(letters >= MINIMUM_LETTERS, F.when(cyrillic > letters / 2, east).otherwise(west))
+    def of_plain(plain: Column) -> Column:
+        letters, cyrillic = (F.length(F.regexp_replace(plain, f"[^{c}]+", "")) for c in (r"\p{L}", r"\p{IsCyrillic}"))
+        count = lambda chars: F.length(plain) - F.length(F.translate(plain, chars, ""))
+        by_words = lambda c: _by_stopwords(plain, c, stopwords)
+        markers = F.struct(count(UKRAINIAN_ONLY).alias("uk"), count(RUSSIAN_ONLY).alias("ru"))
+        east = let(markers, lambda m: F.when(m["uk"] > m["ru"], "uk").when(m["ru"] > m["uk"], "ru").otherwise(by_words(["ru", "uk"])))
+        west = by_words(list(latin))
+        if "tr" in latin:
+            west = F.when(plain.rlike(f"[{TURKISH_ONLY}]"), "tr").otherwise(west)
+        sizes = F.struct(letters.alias("letters"), cyrillic.alias("cyrillic"))
+        return let(sizes, lambda n: F.when(n["letters"] >= MINIMUM_LETTERS, F.when(n["cyrillic"] > n["letters"] / 2, east).otherwise(west)))
+
+    return let(F.lower(strip_tags(text)), of_plain)
