@@ -65,12 +65,13 @@ def best_configuration(values: np.ndarray, lengths: np.ndarray, limit: int) -> t
     """Unbounded knapsack: the multiset of lengths of most value within ``limit``.
     ``values[i]`` belongs to ``lengths[i]``, ascending."""
     best, pick = np.zeros(limit + 1), np.full(limit + 1, -1)
+    fitting = np.searchsorted(lengths, np.arange(limit + 1), side="right").tolist()
     for room in range(1, limit + 1):
-        n = np.searchsorted(lengths, room, side="right")
-        best[room], pick[room] = best[room - 1], -1
+        n = fitting[room]
+        best[room] = best[room - 1]
         if n:
             worth = values[:n] + best[room - lengths[:n]]
-            k = int(worth.argmax())
+            k = worth.argmax()
             if worth[k] > best[room]:
                 best[room], pick[room] = worth[k], k
     items: dict[int, int] = {}
@@ -89,9 +90,11 @@ def best_configuration(values: np.ndarray, lengths: np.ndarray, limit: int) -> t
 def solve_covering(histogram: dict[int, int], limit: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
     """Fractional multiplicities of configurations by multiplicative weights.
 
-    Each round buys the configuration worth most at the present weights, as much of it as
-    covers a fixed share of its scarcest length; bought cover lowers a length's weight
-    exponentially, and a length that is fully covered leaves the program.
+    Each round buys the configuration worth most at the present weights; bought cover
+    lowers a length's weight exponentially, and a length that is fully covered leaves the
+    program. The first ``rounds // 2`` purchases cover a fixed share of the scarcest length,
+    all later ones the whole of it. So each of these closes a length, and the program is
+    covered after ``rounds // 2`` rounds and one a length, whatever the counts.
     """
     lengths = np.array(sorted(histogram), dtype=np.int64)
     need = np.array([histogram[x] for x in lengths.tolist()], dtype=float)
@@ -99,30 +102,27 @@ def solve_covering(histogram: dict[int, int], limit: int, rounds: int = ROUNDS)
     # Start from the weights that favour long pieces slightly: a length's share of the limit.
     log_weight = np.log(lengths / limit)
     bought: dict[tuple[tuple[int, int], ...], float] = {}
-    for step in range(rounds):
-        open_ = left > 1e-9
-        if not open_.any():
-            break
-        lag = left / need
-        weights = np.where(open_, np.exp(log_weight + 0.5 * (lag - lag.max())), 0.0)
-        _, items = best_configuration(weights, lengths, limit)
-        if not items:
-            break
+    step = 0
+    while (open_ := np.flatnonzero(left > 0)).size:
+        lag = left[open_] / need[open_]
+        _, items = best_configuration(np.exp(log_weight[open_] + 0.5 * (lag - lag.max())), lengths[open_], limit)
         at = np.searchsorted(lengths, list(items))
         counts = np.array(list(items.values()), dtype=float)
-        whole = float((left[at] / counts).min())
-        share = max(whole * 0.5, float((need[at] / counts).min()) / 32) if step < rounds // 2 else whole
-        amount = min(whole, share)
-        left[at] -= amount * counts
+        cover = left[at] / counts
+        amount = float(cover.min())
+        if step < rounds // 2:
+            amount = min(amount, max(amount * 0.5, float((need[at] / counts).min()) / 32))
+        left[at] = np.where(cover <= amount, 0.0, left[at] - amount * counts)
         key = tuple(sorted(items.items()))
         bought[key] = bought.get(key, 0.0) + amount
+        step += 1
     return [(dict(k), x) for k, x in bought.items()]
 
 
-def fill_rest(left: dict[int, int], limit: int) -> list[dict[int, int]]:
-    """Best fit decreasing for the lengths that rounding left over: each sequence starts
-    with the longest length left and takes the subset that fills its room best. Reachable
-    fillings are the bits of one integer."""
+def fill_rest(left: dict[int, int], limit: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit decreasing for the lengths that rounding left over: each filling starts with
+    the longest length left, takes the subset that fills its room best, and is repeated as
+    often as the counts allow. Reachable fillings are the bits of one integer."""
     left = {k: n for k, n in left.items() if n > 0}
     out = []
     while left:
@@ -146,9 +146,12 @@ def fill_rest(left: dict[int, int], limit: int) -> list[dict[int, int]]:
             if not before >> at & 1:  # only reachable with this piece
                 at -= length
                 items[length] = items.get(length, 0) + 1
-                left[length] -= 1
+        left[first] += 1
+        times = min(left[length] // n for length, n in items.items())
+        for length, n in items.items():
+            left[length] -= n * times
         left = {k: n for k, n in left.items() if n > 0}
-        out.append(items)
+        out.append((items, times))
     return out
 
 
@@ -156,16 +159,20 @@ def plan_sequences(histogram: dict[int, int], limit: int, rounds: int = ROUNDS)
     """Configurations with whole multiplicities that use every piece exactly once."""
     left = dict(histogram)
     plan: list[tuple[dict[int, int], int]] = []
-    for items, x in solve_covering(histogram, limit, rounds):
-        times = min([int(x + 1e-9), *(left[length] // n for length, n in items.items())])
+    covering = solve_covering(histogram, limit, rounds)
+    for items, x in covering:
+        times = min([int(x + 1e-6), *(left[length] // n for length, n in items.items())])
         if times > 0:
             plan.append((items, times))
             for length, n in items.items():
                 left[length] -= times * n
+    rest = sum(length * n for length, n in left.items())
+    if rest > (len(covering) + 1) * limit:
+        raise AssertionError(f"rounding left {rest} tokens over, more than a sequence for each of {len(covering)} configurations")
     merged: dict[tuple[tuple[int, int], ...], int] = {}
-    for items in fill_rest(left, limit):
+    for items, times in fill_rest(left, limit):
         key = tuple(sorted(items.items()))
-        merged[key] = merged.get(key, 0) + 1
+        merged[key] = merged.get(key, 0) + times
     return plan + [(dict(k), n) for k, n in merged.items()]
 
 

@@ -307,6 +307,23 @@ def test_plan_uses_each_piece_once():
         assert parts[0][0] == 0 and parts[-1][1] == histogram[length] and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
 
 
+def test_covering_leaves_no_length_open():
+    from lexstrata.llm.packing import fill_rest, plan_sequences, solve_covering
+
+    r = random.Random(5)
+    histogram = Counter(min(256, max(1, int(r.lognormvariate(4, 1)))) for _ in range(40_000))
+    histogram = {length: n * 1000 for length, n in histogram.items()}
+    used = Counter()
+    for items, x in solve_covering(histogram, 256, rounds=60):
+        for length, n in items.items():
+            used[length] += n * x
+    assert all(used[length] == pytest.approx(n, rel=1e-9) for length, n in histogram.items())
+    plan = plan_sequences(histogram, 256, rounds=60)
+    bound = math.ceil(sum(length * n for length, n in histogram.items()) / 256)
+    assert sum(t for _, t in plan) <= bound * 1.001 and len(plan) < 1000
+    assert fill_rest({700: 10**12, 300: 10**12}, 1024) == [({700: 1, 300: 1}, 10**12)]
+
+
 def test_token_output_round_trip(spark, corpus, tokenizer):
     from lexstrata.llm.token_output import token_output
 
