@@ -1,17 +1,22 @@
 """LM scoring: hashed maximum-entropy model with class-factored softmax.
 
-A token's probability is P(class | context) * P(token | class). The end token and the
-``SINGLES`` most frequent training words are classes of their own; every other word belongs
-to a class by a checksum of its ending. Inside a class, words follow their smoothed
-training counts, (c + 0.1) / (N_class + 0.1 * (V_class + 1)), which leaves one share for
-unknown words. P(class | context) is a softmax over hashed features of the context: the
-word before, the two words before, and two skips (the second word before; the first with
-the third).
+A token's probability is P(class | context) * P(leaf | class, context) * P(token | leaf).
+The end token and the ``SINGLES`` most frequent training words are classes of their own;
+every other word belongs to a class by a checksum of its ending. A class is a binary tree
+whose leaves share its frequency evenly, about the square root of the vocabulary of them
+over all classes. Each node is a logistic decision that starts from the training counts of
+its two sides. Inside a leaf, words follow their smoothed training counts,
+(c + 0.1) / (N_leaf + 0.1 * (V_leaf + 1)), which leaves one share for unknown words. The
+softmax over classes and all decisions see hashed features of the context: the word before,
+the two words before, and two skips (the second word before; the first with the third).
+
+Both tables of weights grow with the training tokens, up to ``MOST_BUCKETS`` and ``MOST_CELLS``.
 
 Training is synchronous rounds of local stochastic gradients: each task starts from the
 round's weights, walks over its share of the training texts in mini-batches, and sends its
-change of each touched weight row once; Spark sums the changes, weighted by tokens. Rounds
-split the training texts by the checksum of the id, so together they use each text once.
+change of each touched weight row once; Spark sums the changes of each row, weighted by
+the squared gradients the task saw there, so a task that never met a row does not dilute
+it. Rounds split the training texts by the checksum of the id, so together they use each text once.
 
 Word counts cover all training texts. Words at least as frequent as a cut-off, at most
 ``HEAD`` of them, go to the tasks; all other words of a text are looked up by a join, so
@@ -24,6 +29,7 @@ is 0 and the classes are uniform; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +47,12 @@ SMOOTH = 0.1
 CLASSES = 32
 SINGLES = 19
 BUCKETS = 1 << 14
+MOST_BUCKETS = 1 << 16
+BUCKET_TOKENS = 1024
+CELLS = 1 << 16
+MOST_CELLS = 1 << 21
+CELL_TOKENS = 64
+MOST_LEAF_BITS = 10
 FEATURES = 4
 HEAD = 300_000
 ROUNDS = 2
@@ -80,11 +92,36 @@ def _ending_class_column(word):
     return F.lit(1 + SINGLES) + F.crc32(F.right(word, F.lit(2)).cast("binary")) % (CLASSES - SINGLES - 1)
 
 
+def table_size(tokens: int, per: int, least: int, most: int) -> int:
+    """A power of two of about ``tokens / per`` rows."""
+    return min(most, max(least, 1 << math.ceil(math.log2(max(tokens / per, 1)))))
+
+
+def leaf_bits(types: int) -> int:
+    """Depth of the trees for about sqrt(types) leaves in all classes."""
+    return min(MOST_LEAF_BITS, max(1, math.ceil(math.log2(max(types, 1) ** 0.5 / (CLASSES - SINGLES - 1)))))
+
+
+def balanced_leaves(classes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """Leaves that cut each class, most frequent word first, into even shares of its counts."""
+    order = np.lexsort((-counts, classes))
+    k, n = classes[order], counts[order]
+    totals = np.bincount(k, weights=n, minlength=CLASSES)
+    before = np.cumsum(n) - n - (np.cumsum(totals) - totals)[k]
+    leaves = np.empty(len(counts), np.int16)
+    leaves[order] = np.minimum((before + n / 2) / totals[k] * (1 << bits), (1 << bits) - 1)
+    return leaves
+
+
+def hashed_leaf(word: bytes, bits: int) -> int:
+    return zlib.crc32(word) % (1 << bits)
+
+
 class Vocabulary:
     """Frequent words with their counts, hashes and classes, and the class totals. Sizes are
     bounded by the head, whatever the corpus."""
 
-    def __init__(self, head: dict[str, int], singles: list[str], docs: int, tokens: int, types: int, class_tokens: dict[int, int], class_types: dict[int, int]):
+    def __init__(self, head: dict[str, int], singles: list[str], docs: int, tokens: int, types: int, tail: list[tuple[int, int, int, int]]):
         self.tokens, self.types, self.docs = tokens, types, docs
         own = {w: i + 1 for i, w in enumerate(singles)}
         words = [w.encode("utf-8", "surrogatepass") for w in head]
@@ -92,9 +129,26 @@ class Vocabulary:
         self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
         self.classes = np.array([own.get(w) or ending_class(w) for w in head], dtype=np.int8)
         self.log_counts = np.log10(np.array(list(head.values()), dtype=float) + SMOOTH)
-        totals = np.array([class_tokens.get(k, 0) + SMOOTH * (class_types.get(k, 0) + 1) for k in range(CLASSES)])
-        self.log_total = np.log10(totals)
+        # tail: (class, leaf, tokens, types) of the words outside the head, which hash to their leaf.
+        self.bits = leaf_bits(types)
+        counts = np.array(list(head.values()), dtype=float)
+        self.leaves = balanced_leaves(self.classes.astype(np.int64), counts, self.bits)
+        mass = np.full((CLASSES, 1 << self.bits), SMOOTH)
+        inner = self.classes > SINGLES
+        np.add.at(mass, (self.classes[inner], self.leaves[inner]), counts[inner] + SMOOTH)
+        for k, leaf, n, v in tail:
+            mass[k, leaf] += n + SMOOTH * v
+        self.log_total = np.log10(mass)
         self.log_total[: 1 + SINGLES] = 0.0
+        self.node_prior = np.zeros((CLASSES, 1 << self.bits), np.float32)  # log odds of a node's two sides
+        for d in range(self.bits):
+            halves = mass.reshape(CLASSES, 2 << d, -1).sum(axis=2)
+            self.node_prior[:, 1 << d : 2 << d] = np.log(halves[:, 1::2] / halves[:, ::2])
+        self.node_prior = self.node_prior.ravel()
+        self.node_salt = _mix(np.arange(1, len(self.node_prior) + 1, dtype=np.uint64))
+        self.buckets = table_size(tokens, BUCKET_TOKENS, BUCKETS, MOST_BUCKETS)
+        self.cells = table_size(tokens, CELL_TOKENS, CELLS, MOST_CELLS)
+        totals = mass.sum(axis=1)
         totals[0] = docs + SMOOTH
         for w, k in own.items():
             totals[k] = head[w] + SMOOTH
@@ -120,9 +174,12 @@ def learn_vocabulary(train: DataFrame, head_size: int = HEAD) -> tuple[Vocabular
     most = {r.word: r.n for r in words.orderBy(F.desc("n"), "word").limit(SINGLES).collect()}
     head, singles = head | most, list(most)
     rest = words.filter(~F.col("word").isin(singles)) if singles else words
-    totals = rest.groupBy(_ending_class_column(F.col("word")).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    rest = rest.filter(F.col("n") < cut) if cut else rest
+    types += docs > 0
+    leaf = F.crc32(F.col("word").cast("binary")) % (1 << leaf_bits(types))
+    tail = rest.groupBy(_ending_class_column(F.col("word")).cast("int").alias("k"), leaf.cast("int").alias("leaf")).agg(F.sum("n"), F.count(F.lit(1))).collect()  # a row a leaf
     tokens = sum(r.n * r.types for r in sizes) + docs
-    return Vocabulary(head, singles, docs, tokens, types + (docs > 0), {r.k: r.n for r in totals}, {r.k: r.v for r in totals}), words
+    return Vocabulary(head, singles, docs, tokens, types, [tuple(r) for r in tail]), words
 
 
 class Reader:
@@ -134,6 +191,8 @@ class Reader:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.head = vocabulary, len(vocabulary.index)
         self.hashes, self.classes = np.zeros(self.head + self.CACHE, np.uint64), np.zeros(self.head + self.CACHE, np.int8)
+        self.leaves = np.zeros(self.head + self.CACHE, np.int16)
+        self.leaves[: self.head] = vocabulary.leaves
         self.hashes[: self.head], self.classes[: self.head] = vocabulary.hashes, vocabulary.classes
         self._forget()
 
@@ -155,6 +214,7 @@ class Reader:
                         row = index[w] = self.head + len(self.tail)
                         text = w.decode("utf-8", "surrogatepass")
                         self.hashes[row], self.classes[row] = xxhash.xxh3_64_intdigest(w), ending_class(text)
+                        self.leaves[row] = hashed_leaf(w, self.v.bits)
                         self.tail.append(text)
                     found[i] = row
         return np.array(found, dtype=np.int64)
@@ -163,21 +223,59 @@ class Reader:
         """A single text may hold more words than the cache."""
         if n > len(self.hashes) - self.head:
             self.hashes, self.classes = np.resize(self.hashes, self.head + n), np.resize(self.classes, self.head + n)
+            self.leaves = np.resize(self.leaves, self.head + n)
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows of the words, features of all tokens, classes of all tokens)."""
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of the words; context keys, classes, leaves of all tokens)."""
         rows = self.rows(words_of(text))
-        return rows, context_features(self.hashes[rows]), np.append(self.classes[rows], 0).astype(np.int64)
+        return rows, context_keys(self.hashes[rows]), np.append(self.classes[rows], 0).astype(np.int64), np.append(self.leaves[rows], 0).astype(np.int64)
 
 
-def context_features(hashes: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token (words and the end): one column a feature."""
+def context_keys(hashes: np.ndarray) -> np.ndarray:
+    """64-bit features of each token's context (words and the end): one column a feature."""
     start = _mix(np.arange(1, 4, dtype=np.uint64))
     h = np.concatenate([start, hashes])
     one, two, three = h[2:], h[1:-1], h[:-2]
     salt = [np.uint64(s) for s in (0x51, 0x52, 0x53, 0x54)]
-    keys = (_mix(one + salt[0]), _mix(_mix(two + salt[1]) + one), _mix(two + salt[2]), _mix(_mix(three + salt[3]) + one))
-    return np.stack([(k % np.uint64(BUCKETS)).astype(np.uint16) for k in keys], axis=1)
+    return np.stack((_mix(one + salt[0]), _mix(_mix(two + salt[1]) + one), _mix(two + salt[2]), _mix(_mix(three + salt[3]) + one)), axis=1)
+
+
+def context_features(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """Rows of the weight table for each token (words and the end): one column a feature."""
+    return bucket_rows(context_keys(hashes), buckets)
+
+
+def bucket_rows(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys % np.uint64(buckets)).astype(np.int32)
+
+
+def decisions(v: Vocabulary, cells: np.ndarray, keys: np.ndarray, classes: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log odds, sides taken, cells of the features) of the nodes on the way to each leaf."""
+    d = np.arange(v.bits)
+    nodes = (classes[:, None] << v.bits) + (1 << d) + (leaves[:, None] >> (v.bits - d))
+    sides = (leaves[:, None] >> (v.bits - 1 - d)) & 1
+    shift = np.uint64(64 - (len(cells).bit_length() - 1))
+    at = ((keys[:, None, :] ^ v.node_salt[nodes][:, :, None]) * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int32)
+    return v.node_prior[nodes] + cells[at].sum(axis=2), sides, at
+
+
+def leaf_log_probability(v: Vocabulary, cells: np.ndarray, keys: np.ndarray, classes: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """Natural log of P(leaf | class, context); 0 for classes of one word."""
+    out = np.zeros(len(classes))
+    inner = np.flatnonzero(classes > SINGLES)
+    odds, sides, _ = decisions(v, cells, keys[inner], classes[inner], leaves[inner])
+    out[inner] = -np.logaddexp(0, np.where(sides == 1, -odds, odds)).sum(axis=1)
+    return out
+
+
+def leaf_gradient_step(v: Vocabulary, cells: np.ndarray, squares: np.ndarray, keys: np.ndarray, classes: np.ndarray, leaves: np.ndarray) -> None:
+    """One mini-batch of descent for the decisions, in place."""
+    inner = np.flatnonzero(classes > SINGLES)
+    odds, sides, at = decisions(v, cells, keys[inner], classes[inner], leaves[inner])
+    error = np.repeat((1 / (1 + np.exp(-odds)) - sides).ravel(), FEATURES).astype(np.float32)
+    at = at.ravel()
+    np.add.at(squares, at, error * error)
+    np.add.at(cells, at, -RATE * error / np.sqrt(squares[at] + np.float32(1)))
 
 
 def log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -202,30 +300,36 @@ def gradient_step(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, fe
     bias -= 0.1 * RATE * error.mean(axis=0)
 
 
-def train_round(docs: DataFrame, vocabulary, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One synchronous round over ``docs`` (column text): averaged weights and bias."""
+def train_round(docs: DataFrame, vocabulary, weights: np.ndarray, bias: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One synchronous round over ``docs`` (column text): averaged weights, bias and cells."""
     sc = docs.sparkSession.sparkContext
-    given = sc.broadcast((weights, bias))  # a fixed size
+    given = sc.broadcast((weights, bias, cells))  # at most MOST_BUCKETS rows and MOST_CELLS cells
+    buckets, blocks = len(weights), len(cells) // CLASSES
 
-    names = ["row", "tokens", *(f"g{k}" for k in range(CLASSES))]
+    # Rows: the buckets, the bias, then cells in blocks of CLASSES, then the weights of these cells.
+    names = ["row", "weight", *(f"g{k}" for k in range(CLASSES))]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w0, b0 = given.value
-        w, b, squares, tokens = w0.copy(), b0.copy(), np.zeros(BUCKETS), 0
-        reader = Reader(vocabulary.value)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        w0, b0, c0 = given.value
+        w, b, c, squares, seen, tokens = w0.copy(), b0.copy(), c0.copy(), np.zeros(buckets), np.zeros(len(c0), np.float32), 0
+        v = vocabulary.value
+        reader = Reader(v)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
-            features, classes = np.concatenate([f for f, _ in held]), np.concatenate([c for _, c in held])
+            keys, classes, leaves = (np.concatenate(x) for x in zip(*held, strict=True))
+            features = bucket_rows(keys, buckets)
             for at in range(0, len(classes), STEP_TOKENS):
-                gradient_step(w, squares, b, features[at : at + STEP_TOKENS], classes[at : at + STEP_TOKENS])
+                part = slice(at, at + STEP_TOKENS)
+                gradient_step(w, squares, b, features[part], classes[part])
+                leaf_gradient_step(v, c, seen, keys[part], classes[part], leaves[part])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                rows, features, classes = reader.read(text)
-                held.append((features, classes))
-                size += len(classes)
+                _, *arrays = reader.read(text)
+                held.append(tuple(arrays))
+                size += len(arrays[1])
                 if size >= BATCH_TOKENS:
                     flush()
                     tokens, size = tokens + size, 0
@@ -234,23 +338,32 @@ def train_round(docs: DataFrame, vocabulary, weights: np.ndarray, bias: np.ndarr
             flush()
             tokens += size
         if tokens:
-            change = np.vstack([(w - w0) * tokens, ((b - b0) * tokens)[None, :]])
-            used = np.flatnonzero(np.abs(change).any(axis=1))
-            columns = [pa.array(used, pa.int32()), pa.array(np.where(used == BUCKETS, tokens, 0), pa.int64())]
-            columns += [pa.array(np.ascontiguousarray(g)) for g in change[used].astype(np.float64).T]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    fields = ", ".join(f"g{k} double" for k in range(CLASSES))
+            def rows(first: int, values: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+                used = np.flatnonzero(values.any(axis=1))
+                columns = [pa.array(first + used, pa.int32()), pa.array(weight[used], pa.float64())]
+                columns += [pa.array(np.ascontiguousarray(g)) for g in values[used].astype(np.float32).T]
+                return pa.RecordBatch.from_arrays(columns, names=names)
+
+            none = np.zeros(blocks)
+            yield rows(0, (w - w0) * squares[:, None], squares)
+            yield rows(buckets, ((b - b0) * tokens)[None, :], np.array([float(tokens)]))
+            yield rows(buckets + 1, ((c - c0) * seen).reshape(-1, CLASSES), none)
+            yield rows(buckets + 1 + blocks, seen.reshape(-1, CLASSES), none)
+
+    fields = ", ".join(f"g{k} float" for k in range(CLASSES))
     tasks = max(2 * sc.defaultParallelism, docs.rdd.getNumPartitions() // 16)
-    parts = docs.select("text").coalesce(tasks).mapInArrow(learn, f"row int, tokens long, {fields}")
-    summed = parts.groupBy("row").agg(F.sum("tokens").alias("tokens"), *[F.sum(f"g{k}").alias(f"g{k}") for k in range(CLASSES)])
-    got = summed.toPandas()  # at most BUCKETS + 1 rows
+    parts = docs.select("text").coalesce(tasks).mapInArrow(learn, f"row int, weight double, {fields}")
+    summed = parts.groupBy("row").agg(F.sum("weight").alias("weight"), *[F.sum(f"g{k}").cast("float").alias(f"g{k}") for k in range(CLASSES)])
+    got = summed.toPandas()  # at most MOST_BUCKETS + 1 + 2 * MOST_CELLS / CLASSES rows
     given.unpersist()
-    if got.empty:
-        return weights, bias
-    change = np.zeros((BUCKETS + 1, CLASSES))
-    change[got["row"].to_numpy()] = got[[f"g{k}" for k in range(CLASSES)]].to_numpy() / got["tokens"].sum()
-    return (weights + change[:BUCKETS]).astype(np.float32), (bias + change[BUCKETS]).astype(np.float32)
+    change = np.zeros((buckets + 1 + 2 * blocks, CLASSES), np.float32)
+    weight = np.zeros(len(change))
+    change[got["row"].to_numpy()] = got[names[2:]].to_numpy()
+    weight[got["row"].to_numpy()] = got["weight"].to_numpy()
+    mean = change[: buckets + 1] / np.where(weight[: buckets + 1] > 0, weight[: buckets + 1], 1)[:, None]
+    moved, seen = change[buckets + 1 : buckets + 1 + blocks].ravel(), change[buckets + 1 + blocks :].ravel()
+    cells = cells + moved / np.where(seen > 0, seen, 1)
+    return (weights + mean[:buckets]).astype(np.float32), (bias + mean[buckets]).astype(np.float32), cells.astype(np.float32)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout: int = 10, rounds: int = ROUNDS, head_size: int = HEAD) -> DataFrame:
@@ -260,22 +373,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     train = rows.filter(doc_crc_mod("id", holdout) != 0).select("id", "text")
     vocabulary, words = learn_vocabulary(train, head_size)
     shared = spark.sparkContext.broadcast(vocabulary)  # at most head_size words
-    weights, bias = np.zeros((BUCKETS, CLASSES), np.float32), vocabulary.prior
+    weights, bias, cells = np.zeros((vocabulary.buckets, CLASSES), np.float32), vocabulary.prior, np.zeros(vocabulary.cells, np.float32)
     for r in range(rounds):
         part = train.filter(F.expr(f"(crc32(cast(coalesce(cast(id as string), 'null') as binary)) div {holdout}) % {rounds} = {r}"))
-        weights, bias = train_round(part, shared, weights, bias)
-    model = spark.sparkContext.broadcast((weights, bias))
+        weights, bias, cells = train_round(part, shared, weights, bias, cells)
+    model = spark.sparkContext.broadcast((weights, bias, cells))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (w, b) = shared.value, model.value
+        v, given = shared.value, model.value
         reader = Reader(v)
         end_known = SMOOTH + v.docs
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n", "known", "log_count", "log_class", "log_end", "words", "counts")}
             held, sizes = [], []
             for text in batch.column("text").to_pylist():
-                rows, features, classes = reader.read(text)
-                held.append((features, classes))
+                rows, keys, classes, leaves = reader.read(text)
+                held.append((keys, classes, leaves))
                 sizes.append(len(classes))
                 frequent = rows < reader.head
                 log_counts = v.log_counts[rows[frequent]]
@@ -284,13 +397,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out["n"].append(len(classes))
                 out["known"].append(int(v.docs > 0) + len(log_counts))
                 out["log_count"].append(float(log_counts.sum()))
-                out["log_end"].append(-float(single) - float(v.log_total[classes].sum()))
+                out["log_end"].append(-float(single) - float(v.log_total[classes, leaves].sum()))
                 out["words"].append([reader.tail[k] for k in (tail - reader.head).tolist()])
                 out["counts"].append(counts)
                 if sum(sizes) > FLUSH_TOKENS:
-                    out["log_class"] += _class_scores(w, b, held, sizes)
+                    out["log_class"] += _class_scores(v, given, held, sizes)
                     held, sizes = [], []
-            out["log_class"] += _class_scores(w, b, held, sizes)
+            out["log_class"] += _class_scores(v, given, held, sizes)
             arrays = [batch.column("row"), batch.column("id")] + [pa.array(out[k], t) for k, t in _SCORED.items()]
             end = np.log10(end_known)
             arrays[4] = pa.array(np.asarray(out["log_count"]) + end)
@@ -316,14 +429,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 _SCORED = {"n": pa.int64(), "known": pa.int64(), "log_count": pa.float64(), "log_class": pa.float64(), "log_end": pa.float64(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int32())}
 
 
-def _class_scores(weights: np.ndarray, bias: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], sizes: list[int]) -> list[float]:
-    """Sum of log10 P(class | context) of each text."""
+def _class_scores(v: Vocabulary, given: tuple[np.ndarray, np.ndarray, np.ndarray], held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: list[int]) -> list[float]:
+    """Sum of log10 P(class | context) * P(leaf | class, context) of each text."""
     if not held:
         return []
-    features, classes = np.concatenate([f for f, _ in held]), np.concatenate([c for _, c in held])
+    weights, bias, cells = given
+    keys, classes, leaves = (np.concatenate(x) for x in zip(*held, strict=True))
+    features = bucket_rows(keys, len(weights))
     logs = np.empty(len(classes))
     for at in range(0, len(classes), BATCH_TOKENS):
-        part = classes[at : at + BATCH_TOKENS]
-        logs[at : at + BATCH_TOKENS] = log_softmax(weights, bias, features[at : at + BATCH_TOKENS])[np.arange(len(part)), part]
+        part = slice(at, at + BATCH_TOKENS)
+        logs[part] = log_softmax(weights, bias, features[part])[np.arange(len(classes[part])), classes[part]]
+        logs[part] += leaf_log_probability(v, cells, keys[part], classes[part], leaves[part])
     ends = np.cumsum(sizes)
     return (np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])) / np.log(10)).tolist()

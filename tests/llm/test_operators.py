@@ -446,6 +446,33 @@ def test_class_softmax_sums_to_one():
     assert np.allclose(np.exp(lm.log_softmax(w, b, f)).sum(axis=1), 1, atol=1e-5)
 
 
+def test_context_tells_words_of_a_class_apart(spark):
+    """All words share an ending, hence a class; the word before gives the next."""
+    from lexstrata.llm import language_model as lm
+
+    r = random.Random(8)
+    texts = []
+    for _ in range(1500):
+        at = r.randrange(200)
+        texts.append(" ".join(f"n{(at + 7 * k) % 200}xy" for k in range(40)))
+    held = [(row.score, row.base_score) for row in lm.score_texts(make(spark, texts)).collect() if row.held_out]
+    assert sum(s for s, _ in held) > 0.8 * sum(b for _, b in held)
+
+
+def test_leaf_decisions_sum_to_one_and_tables_grow():
+    from lexstrata.llm import language_model as lm
+
+    head = {f"w{k}ab": 5000 // (k + 1) + 1 for k in range(3000)}
+    v = lm.Vocabulary(head, list(head)[: lm.SINGLES], 10, 10**6, 3000, [(25, 1, 7, 3)])
+    assert 1 << v.bits >= 3000**0.5 / (lm.CLASSES - lm.SINGLES - 1)
+    cells = np.random.default_rng(2).normal(size=v.cells).astype(np.float32)
+    leaves = np.arange(1 << v.bits)
+    keys = np.repeat(lm.context_keys(np.arange(1, dtype=np.uint64))[:1], len(leaves), axis=0)
+    assert np.exp(lm.leaf_log_probability(v, cells, keys, np.full(len(leaves), 25), leaves)).sum() == pytest.approx(1, abs=1e-5)
+    big = lm.Vocabulary(head, [], 10, 10**8, 10**6, [])
+    assert big.buckets > v.buckets and big.cells > v.cells and big.bits > v.bits
+
+
 # WARC
 
 
