@@ -375,6 +375,17 @@ def test_quality_base_columns(spark, corpus):
     assert [r.kept for r in quality_rules(make(spark, [prose(1, 50), None]), empty).orderBy("doc_id").collect()] == [True, False]
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_quality_ratio_rejects_bad_texts_at_each_size(spark, size):
+    from lexstrata.llm.quality import quality_rules
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality_rules(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").select("quality", "base_failed", "kept").collect()
+    bad = [r.kept for r in judged if r.quality == 0]
+    good = [r.kept for r in judged if r.quality == 1 and not r.base_failed]
+    assert sum(bad) < 0.05 * len(bad) and sum(good) > 0.97 * len(good)
+
+
 # toxicity
 
 
