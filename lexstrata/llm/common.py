@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The ASCII letters that are lower-cased, and the white space that ends a word.
@@ -13,11 +18,24 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SPACES = r"[\x20\x09-\x0D]+"
+FILTER_BITS = 1 << 26
+CHUNK_BITS = 1 << 15
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package also where only the driver's path has it."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """Ship this package to the Python workers, once a Spark application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"  # Spark copies it to its own store
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +45,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, notebooks) a folder below the warehouse takes its place.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local master, where
+    driver and executors are one process, may do without: a folder below the warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    return root.rstrip("/")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder of all work tables of this Spark application."""
+    return f"{shared_root(spark)}/lexstrata/{spark.sparkContext.applicationId}"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/lexstrata/{name}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the work tables of this application. Results are read from them, so call it
+    once these have been written."""
+    remove_path(spark, work_folder(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +79,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def id_filter(values: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that holds for every value of ``column`` and for few others.
+
+    A bitmap of ``FILTER_BITS`` hashed values, of a fixed size whatever the input, goes to
+    the tasks; what passes still needs a join, but most other rows stay out of its shuffle.
+    """
+    hashed = values.select(_filter_place(F.col(column)).alias("h"))
+    parts = hashed.groupBy(F.expr(f"h div {CHUNK_BITS}").alias("chunk")).agg(F.bitmap_construct_agg(F.col("h") % CHUNK_BITS).alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts.collect():  # at most FILTER_BITS / CHUNK_BITS rows of CHUNK_BITS / 8 bytes
+        at = r.chunk * CHUNK_BITS // 8
+        bitmap[at : at + CHUNK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    shared = values.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def maybe(places: pd.Series) -> pd.Series:
+        at = places.to_numpy().astype(np.int64)
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda c: maybe(_filter_place(c))
+
+
+def _filter_place(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a work folder through the file system that owns it."""
     jvm = spark._jvm

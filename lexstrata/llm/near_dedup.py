@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import id_filter, materialize, words_of
 from .components import connected_components
 
 WIDTH = 5
@@ -45,8 +45,6 @@ SKETCH_WORDS = 8
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 SMALL_BUCKET = 64
-FILTER_BITS = 1 << 26
-CHUNK_BITS = 1 << 15
 _WORD_CACHE: dict[bytes, int] = {}
 _WORD_CACHE_MAX = 600_000
 
@@ -189,26 +187,12 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int, limit: int) -> DataF
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, text) of the nodes in ``wanted``.
 
-    A bitmap of hashed ids, of a fixed size whatever the input, goes to the tasks, so rows
-    that nobody wants stay out of the join's shuffle; hash collisions end at the join.
+    A bitmap keeps rows that nobody wants out of the join's shuffle; what it lets through by
+    a hash collision ends at the join.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     wanted = materialize(wanted.distinct(), "near-wanted")
-    hashed = wanted.select(place("node").alias("h"))
-    parts = hashed.groupBy(F.expr(f"h div {CHUNK_BITS}").alias("chunk")).agg(F.bitmap_construct_agg(F.col("h") % CHUNK_BITS).alias("bits"))
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts.collect():  # at most FILTER_BITS / CHUNK_BITS rows of CHUNK_BITS / 8 bytes
-        at = r.chunk * CHUNK_BITS // 8
-        bitmap[at : at + CHUNK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def maybe(places: pd.Series) -> pd.Series:
-        at = places.to_numpy().astype(np.int64)
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
     rows = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter("node is not null")
-    return materialize(rows.filter(maybe(place("node"))).join(wanted, "node", "left_semi"), "near-texts")
+    return materialize(rows.filter(id_filter(wanted, "node")(F.col("node"))).join(wanted, "node", "left_semi"), "near-texts")
 
 
 def _shingles(texts: DataFrame, width: int) -> DataFrame:
