@@ -1,22 +1,24 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source are numbered and cut into blocks of ``block_size`` rows. With weight
-``w`` (shares of a period of ``period`` slots, so ``w = shares / period``) block ``j`` of a
-source is released at slot ``floor(j / w)`` and due by slot ``ceil((j + 1) / w)``.
-Earliest-deadline-first over these windows gives every slot to one block, and after any
-number of slots each source is less than one block away from its exact share.
-
-Weights with denominator ``period`` make the schedule repeat each ``period`` slots, so the
-driver orders one period only (its length depends on the number of sources, never on the
-rows), and block ``j`` gets slot ``(j div shares) * period + slot_in_period[j mod shares]``.
-All rows are numbered and placed by Spark. A source that runs out leaves its slots empty
-and the others close up in proportion to their weights: every row is placed exactly once,
-none is dropped or repeated.
+Rows of a source are numbered and cut into blocks of ``block_size`` rows. With weight ``w``
+(the source's share of the sum of all weights) block ``j`` of a source is released at slot
+``floor(j / w)`` and due by slot ``ceil((j + 1) / w)``. Earliest-deadline-first over these
+windows gives every slot to one block, and after any number of slots each source is less
+than one block away from its exact share.
+
+Weights are exact fractions, so the schedule repeats after their least common denominator.
+The driver orders one such period (``MOST_SLOTS`` slots at most, by the weights alone, never
+by the rows), and block ``j`` gets slot ``(j div shares) * period + slot_in_period[j mod
+shares]``. A float stands for the simplest fraction within one part in 10**9 of it: 0.1 is
+1/10 and ``1 / 3`` is a third. All rows are numbered and placed by Spark. A source that runs
+out leaves its slots empty and the others close up in proportion to their weights: every row
+is placed exactly once, none is dropped or repeated.
 
 Defined cases: a null source is a source of its own; a null id sorts first inside its
-source; repeated rows are placed one by one; a source without a target weight, or with one
-that is null, zero or negative, gets the least share (one slot a period); an empty table
-gives an empty result.
+source; repeated rows are placed one by one; sources without a target weight, or with one
+that is null, zero, negative or not finite, come behind all others, mixed evenly; an empty
+table gives an empty result. More than ``MOST_SOURCES`` sources, or weights that repeat
+later than after ``MOST_SLOTS`` slots, are an error.
 """
 
 from __future__ import annotations
@@ -32,48 +34,61 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 BLOCK_SIZE = 64
-PERIOD = 1024
 TEMPERATURE = 0.7
-SHARDS = 64
-
-
-def period_shares(weights: dict[str, float], period: int) -> tuple[dict[str, int], int]:
-    """Whole shares of a period by largest remainder, at least one for each source."""
-    names = sorted(weights)
-    if not names:
-        return {}, period
-    period = max(period, 4 * len(names))
-    good = {n: (w if w is not None and w > 0 and math.isfinite(w) else 0.0) for n, w in weights.items()}
-    total = sum(good.values()) or 1.0
-    free = period - len(names)
-    exact = {n: good[n] / total * free if sum(good.values()) else free / len(names) for n in names}
-    shares = {n: 1 + int(exact[n]) for n in names}
-    rest = period - sum(shares.values())
-    for n in sorted(names, key=lambda n: (int(exact[n]) - exact[n], n))[:rest]:
-        shares[n] += 1
+GRAIN = 4096
+MOST_SOURCES = 10_000
+MOST_SLOTS = 1 << 18
+SHARD_ROWS = 200_000
+
+
+def exact_weight(weight) -> Fraction:
+    """The weight as a fraction; 0 for what is no weight."""
+    if weight is None or isinstance(weight, float) and not math.isfinite(weight):
+        return Fraction(0)
+    if not isinstance(weight, float):
+        return max(Fraction(weight), Fraction(0))
+    exact = Fraction(max(weight, 0.0))
+    size = 1
+    while exact and abs((near := exact.limit_denominator(size)) - exact) > exact / 10**9:
+        size *= 2
+    return near if exact else exact
+
+
+def period_shares(weights: dict[str, object]) -> tuple[dict[str, int], int]:
+    """(slots of each source in a period, slots of the period): shares / period is the exact
+    weight. Sources without a weight are left out."""
+    exact = {n: w for n, v in weights.items() if (w := exact_weight(v)) > 0}
+    if not exact:
+        return {}, 1
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {n: int(w * scale) for n, w in exact.items()}
+    common = math.gcd(*whole.values())
+    shares = {n: k // common for n, k in whole.items()}
+    period = sum(shares.values())
+    if period > MOST_SLOTS:
+        raise ValueError(f"the weights repeat after {period} slots only, more than {MOST_SLOTS}: give fractions with a smaller common denominator")
     return shares, period
 
 
 def edf_period(shares: dict[str, int], period: int) -> list[tuple[str, int, int, int, int]]:
     """Earliest deadline first over one period: (source, block, slot, release, deadline).
 
-    Windows are exact fractions; a slot goes to the released block with the earliest
-    deadline, ties by name.
+    Windows are exact; a slot goes to the released block with the earliest deadline, ties
+    by name.
     """
     release: dict[int, list[tuple[int, str, int]]] = {}
     for name, k in shares.items():
-        w = Fraction(k, period)
         for j in range(k):
-            release.setdefault(math.floor(j / w), []).append((math.ceil((j + 1) / w), name, j))
+            release.setdefault(j * period // k, []).append((-(-(j + 1) * period // k), name, j))
     ready: list[tuple[int, str, int]] = []
     out = []
-    for slot in range(period):
+    for slot in range(period if shares else 0):
         for block in release.get(slot, ()):
             heapq.heappush(ready, block)
         due, name, j = heapq.heappop(ready)  # shares sum to the period, so a block is always ready
         if due <= slot:
             raise AssertionError("a feasible schedule missed a deadline")
-        out.append((name, j, slot, math.floor(j * Fraction(period, shares[name])), due))
+        out.append((name, j, slot, j * period // shares[name], due))
     return out
 
 
@@ -82,44 +97,63 @@ def _source_key(source):
     return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source.cast("string")))
 
 
-def temperature_weights(counts: dict[str, int], temperature: float = TEMPERATURE) -> dict[str, float]:
-    return {k: float(n) ** temperature for k, n in counts.items()}
-
-
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_size: int = BLOCK_SIZE, period: int = PERIOD, temperature: float = TEMPERATURE, shards: int = SHARDS) -> DataFrame:
+def temperature_weights(counts: dict[str, int], temperature: float = TEMPERATURE, grain: int = GRAIN) -> dict[str, int]:
+    """Target weights that follow ``rows ** temperature``, in whole parts of about ``grain``
+    parts in all, at least one."""
+    flat = {k: float(n) ** temperature for k, n in counts.items()}
+    total = sum(flat.values())
+    return {k: max(1, round(grain * x / total)) for k, x in flat.items()}
+
+
+def schedule(counts: dict[str, int], target: dict[str, object], block_size: int) -> tuple[list[tuple], list[tuple]]:
+    """(plan, sources) of one period of each of two tiers: sources with a weight, and behind
+    their last slot those without. Plan: (key, block_in_period, slot_in_period,
+    release_in_period, deadline_in_period); sources: (key, shares, period, first_slot, rows)."""
+    plan, sources, first = [], [], 0
+    weighted, period = period_shares({k: target.get(k) for k in counts})
+    even = dict.fromkeys((k for k in counts if k not in weighted), 1)
+    for shares, slots in ((weighted, period), (even, len(even))):
+        ordered = edf_period(shares, slots)
+        plan += ordered
+        place = {(name, j): slot for name, j, slot, *_ in ordered}
+        sources += [(k, n, slots, first, counts[k]) for k, n in sorted(shares.items())]
+        last = [-(-counts[k] // block_size) - 1 for k in shares]
+        first += max((j // n * slots + place[k, j % n] + 1 for (k, n), j in zip(shares.items(), last, strict=True)), default=0)
+    return plan, sources
+
+
+def mix_sources(docs: DataFrame, weights: dict[str | None, object] | None = None, id_col: str = "doc_id", source_col: str = "source", block_size: int = BLOCK_SIZE, temperature: float = TEMPERATURE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Place every row: id, source, source_row, block, release, deadline, slot, place.
 
-    ``weights``: target weight by source name (None: the null source); without them a
-    source of n rows weighs ``n ** temperature``. ``place`` orders rows inside a slot. The
-    number of sources, not of rows, bounds what the driver holds.
+    ``weights``: target weight by source name (None: the null source) as int, Fraction or
+    float; without them see :func:`temperature_weights`. ``place`` orders rows inside a slot.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source")).withColumn("key", _source_key(F.col("source")))
-    # A source may hold a third of all rows: number rows inside (source, shard) and add offsets.
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    sizes = materialize(rows.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
-    offsets = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("shard")) - F.col("n"))
-    counts = {r.key: r.n for r in sizes.groupBy("key").agg(F.sum("n").alias("n")).collect()}
-    if weights is None:
-        target = temperature_weights(counts, temperature)
-    else:
-        given = {("-" if k is None else f"+{k}"): w for k, w in weights.items()}
-        target = {k: given.get(k) for k in counts}
-    shares, period = period_shares(target, period)
-    plan = spark.createDataFrame(edf_period(shares, period) if shares else [], "key string, block_in_period long, slot_in_period long, release_in_period long, deadline_in_period long")
-    share_of = spark.createDataFrame(sorted(shares.items()), "key string, shares long")
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(counted) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    counts = {r.key: r.n for r in counted}
+    target = temperature_weights(counts, temperature) if weights is None else {("-" if k is None else f"+{k}"): w for k, w in weights.items()}
+    plan_rows, source_rows = schedule(counts, target, block_size)
+    plan = spark.createDataFrame(plan_rows, "key string, block_in_period long, slot_in_period long, release_in_period long, deadline_in_period long")
+    sources = spark.createDataFrame(source_rows, "key string, shares long, period long, first_slot long, n long")
 
+    # A source may hold a third of all rows: number rows inside (source, shard) and add offsets.
+    shards = F.ceil(F.col("n") / shard_rows).cast("long")
+    rows = rows.join(F.broadcast(sources), "key").withColumn("shard", F.pmod(F.xxhash64("id"), shards))  # at most MOST_SOURCES rows
+    sizes = materialize(rows.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")
+    offsets = sizes.select("key", "shard", (F.sum("rows").over(Window.partitionBy("key").orderBy("shard")) - F.col("rows")).alias("before"))
     local = F.row_number().over(Window.partitionBy("key", "shard").orderBy(F.col("id").asc_nulls_first()))
     numbered = (
         rows.withColumn("local", local)
-        .join(offsets.select("key", "shard", "before").join(share_of, "key"), ["key", "shard"])
+        .join(offsets, ["key", "shard"])
         .withColumn("source_row", F.col("before") + F.col("local") - 1)
         .withColumn("block", F.expr(f"source_row div {block_size}"))
-        .withColumn("turn", F.expr("block div shares"))
         .withColumn("block_in_period", F.expr("block % shares"))
     )
-    placed = numbered.join(plan, ["key", "block_in_period"])
-    at = F.col("turn") * period
+    placed = numbered.join(F.broadcast(plan), ["key", "block_in_period"])  # at most MOST_SLOTS + MOST_SOURCES rows
+    at = F.col("first_slot") + F.expr("block div shares") * F.col("period")
     return placed.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "source_row", "block",
         (at + F.col("release_in_period")).alias("release"), (at + F.col("deadline_in_period")).alias("deadline"),
@@ -127,9 +161,14 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     )
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+def positions(docs: DataFrame, weights: dict[str | None, object] | None = None, id_col: str = "doc_id", source_col: str = "source", block_size: int = BLOCK_SIZE, **options) -> DataFrame:
+    """(id, position): the place of each id in the schedule. A repeated id takes its first."""
+    placed = mix_sources(docs, weights, id_col, source_col, block_size, **options)
+    return placed.groupBy(id_col).agg(F.min(F.col("slot") * block_size + F.col("place")).alias("position"))
+
+
+def mixed_documents(docs: DataFrame, weights: dict[str | None, object] | None = None, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """``docs`` itself in the order of the schedule: range-partitioned and sorted by slot."""
-    placed = mix_sources(docs, weights, id_col, source_col, **options)
-    placed = placed.select(F.col(id_col).alias("_mix_id"), F.col("slot").alias("_mix_slot"), F.col("place").alias("_mix_place")).dropDuplicates(["_mix_id"])
-    joined = docs.join(placed, docs[id_col].eqNullSafe(placed["_mix_id"]))
-    return joined.repartitionByRange("_mix_slot", "_mix_place").sortWithinPartitions("_mix_slot", "_mix_place").select(*[docs[c] for c in docs.columns])
+    at = positions(docs, weights, id_col, source_col, **options).select(F.col(id_col).alias("_mix_id"), F.col("position").alias("_mix_at"))
+    joined = docs.join(at, docs[id_col].eqNullSafe(at["_mix_id"]))
+    return joined.repartitionByRange("_mix_at").sortWithinPartitions("_mix_at").select(*[docs[c] for c in docs.columns])
