@@ -203,36 +203,54 @@ def test_components_of_paths_and_stars(spark):
 # mixing
 
 
-def test_edf_stays_within_one_block():
+@pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, {"a": 0.9995, "b": 0.0005}, {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"a": 7, "b": Fraction(5, 3), "c": 0.21}])
+def test_edf_stays_within_one_block_of_the_target(weights):
+    """The deviation from the weights themselves over 100,000 slots, not from rounded ones."""
     from lexstrata.llm.mixing import edf_period, period_shares
 
-    shares, period = period_shares({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05, "e": None}, 64)
-    assert sum(shares.values()) == period and min(shares.values()) == 1
+    exact = {n: Fraction(w).limit_denominator(10**6) for n, w in weights.items()}
+    exact = {n: w / sum(exact.values()) for n, w in exact.items()}
+    shares, period = period_shares(weights)
     seen = Counter()
     for name, j, slot, release, deadline in edf_period(shares, period):
         assert release <= slot < deadline and j == seen[name]
         seen[name] += 1
-        assert all(abs(seen[n] - Fraction(k * (slot + 1), period)) < 1 for n, k in shares.items())
+        assert all(abs(seen[n] - w * (slot + 1)) < 1 for n, w in exact.items())
+    assert seen == shares and all(Fraction(shares[n], period) == w for n, w in exact.items())
+    assert 100_000 // period > 0  # the period repeats exactly, so later slots deviate no more
+
+
+def test_mixing_rejects_endless_periods():
+    from lexstrata.llm.mixing import exact_weight, period_shares
+
+    assert [exact_weight(w) for w in (None, 0.0, -1.0, math.nan, math.inf, 0.1, 1 / 3)] == [0, 0, 0, 0, 0, Fraction(1, 10), Fraction(1, 3)]
+    with pytest.raises(ValueError, match="repeat"):
+        period_shares({"a": math.pi, "b": math.e})
 
 
 def test_mixing_places_every_row_once(spark):
     from lexstrata.llm.mixing import mix_sources, mixed_documents
 
     r = random.Random(2)
-    sources = [r.choice(["a"] * 6 + ["b"] * 3 + [None]) for _ in range(500)]
+    sources = [r.choice(["a"] * 6 + ["b"] * 3 + [None, "zero", "unknown"]) for _ in range(500)]
     docs = make(spark, ["t"] * 500, sources=sources).withColumns({"slot": F.lit("s"), "place": F.lit(None)})
-    rows = mix_sources(docs, {"a": 0.5, "b": 0.25, None: 0.25}, block_size=4, period=16, shards=3).collect()
+    weights = {"a": 0.5, "b": 0.25, None: 0.25, "zero": 0.0}
+    rows = mix_sources(docs, weights, block_size=4, shard_rows=50).collect()
     assert sorted(x.doc_id for x in rows) == list(range(500))
     by_slot = defaultdict(set)
     for x in rows:
         assert x.release <= x.slot < x.deadline and x.block == x.source_row // 4 and x.place == x.source_row % 4
         by_slot[x.slot].add((x.source, x.block))
     assert all(len(v) == 1 for v in by_slot.values())
-    for name in ("a", "b", None):
+    for name in set(sources):
         assert sorted(x.source_row for x in rows if x.source == name) == list(range(sources.count(name)))
-    mixed = mixed_documents(docs, {"a": 0.5, "b": 0.25, None: 0.25}, block_size=4, period=16)
+    last = max(x.slot for x in rows if x.source in ("a", "b", None))
+    assert min(x.slot for x in rows if x.source in ("zero", "unknown")) == last + 1
+    mixed = mixed_documents(docs, weights, block_size=4)
     assert mixed.columns == docs.columns and mixed.count() == 500
     assert mix_sources(make(spark, [])).count() == 0
+    twice = mix_sources(make(spark, ["t"] * 3, [None, None, 5], ["a", "a", None]))
+    assert sorted((str(x.doc_id), x.source) for x in twice.collect() if x.source) == [("None", "a"), ("None", "a")] and twice.count() == 3
 
 
 # packing and token output
@@ -280,25 +298,62 @@ def check_pieces(rows, texts, tokenizer, sequence):
 def test_packing_is_gapless_and_close_to_the_bound(spark, corpus, tokenizer):
     from lexstrata.llm.packing import pack
 
-    tokens, n = check_pieces(pack(make(spark, corpus), rounds=60).collect(), corpus, tokenizer, "sequence_id")
+    tokens, n = check_pieces(pack(make(spark, corpus), shard_rows=7).collect(), corpus, tokenizer, "sequence_id")
     assert n <= math.ceil(tokens / 1024) + 1
     assert pack(make(spark, [])).count() == 0
 
 
-def test_plan_uses_each_piece_once():
-    from lexstrata.llm.packing import plan_rows, plan_sequences
-
-    r = random.Random(4)
-    lengths = [min(1024, max(1, int(r.lognormvariate(5.3, 1)))) for _ in range(3000)]
-    histogram = Counter(lengths)
-    plan = plan_sequences(histogram, 1024, rounds=120)
+def best_fit_decreasing_count(histogram, limit):
+    """Sequences of plain best-fit-decreasing, equal pieces and equal rooms together."""
+    rooms, n = Counter(), 0
+    for length in sorted(histogram, reverse=True):
+        left = histogram[length]
+        while left:
+            fits = [r for r in rooms if r >= length]
+            if fits:
+                room = min(fits)
+                used = min(left, rooms[room])
+                rooms[room] -= used
+                rooms += Counter()
+            else:
+                per = min(left, limit // length)
+                used, room = left // per, limit - (per - 1) * length
+                n += used
+                left -= used * (per - 1)
+            rooms[room - length] += used
+            left -= used
+    return n
+
+
+@pytest.mark.parametrize("times", [1, 100, 10_000])
+@pytest.mark.parametrize("shape", ["flat", "long tail", "large"])
+def test_plan_is_no_worse_than_best_fit_decreasing(shape, times):
+    """All 1024 lengths occur; the plan uses each piece once and is made in seconds."""
+    import time
+
+    from lexstrata.llm.packing import plan_rows, plan_sequences, solve_covering
+
+    r = random.Random(1)
+    draw = {"flat": lambda: r.randrange(1, 1025), "long tail": lambda: min(1024, max(1, int(r.lognormvariate(5.3, 1)))), "large": lambda: r.randrange(400, 1025)}[shape]
+    histogram = {k: n * times for k, n in Counter(draw() for _ in range(100_000)).items()}
+    began = time.time()
+    plan = plan_sequences(histogram, 1024)
+    assert time.time() - began < 60
     used = Counter()
-    for items, times in plan:
+    for items, x in plan:
         assert sum(k * n for k, n in items.items()) <= 1024
         for k, n in items.items():
-            used[k] += n * times
+            used[k] += n * x
     assert used == histogram
-    assert sum(t for _, t in plan) <= math.ceil(sum(lengths) / 1024) + 2
+    sequences = sum(x for _, x in plan)
+    assert sequences <= best_fit_decreasing_count(histogram, 1024)
+    solution, bound = solve_covering(histogram, 1024)
+    assert len(solution) <= len(histogram) and bound <= sum(x for _, x in solution) <= sequences
+    cover = Counter()
+    for items, x in solution:
+        for k, n in items.items():
+            cover[k] += n * x
+    assert all(cover[k] == pytest.approx(n, rel=1e-9) for k, n in histogram.items())
     spans = defaultdict(list)
     for length, lo, hi, *_ in plan_rows(plan):
         spans[length].append((lo, hi))
@@ -307,20 +362,15 @@ def test_plan_uses_each_piece_once():
         assert parts[0][0] == 0 and parts[-1][1] == histogram[length] and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
 
 
-def test_covering_leaves_no_length_open():
+def test_covering_raises_the_weight_of_lengths_that_fit_badly():
+    """Pieces above half the limit each need a sequence: the volume bound is half of that,
+    the weights find the whole."""
     from lexstrata.llm.packing import fill_rest, plan_sequences, solve_covering
 
-    r = random.Random(5)
-    histogram = Counter(min(256, max(1, int(r.lognormvariate(4, 1)))) for _ in range(40_000))
-    histogram = {length: n * 1000 for length, n in histogram.items()}
-    used = Counter()
-    for items, x in solve_covering(histogram, 256, rounds=60):
-        for length, n in items.items():
-            used[length] += n * x
-    assert all(used[length] == pytest.approx(n, rel=1e-9) for length, n in histogram.items())
-    plan = plan_sequences(histogram, 256, rounds=60)
-    bound = math.ceil(sum(length * n for length, n in histogram.items()) / 256)
-    assert sum(t for _, t in plan) <= bound * 1.001 and len(plan) < 1000
+    solution, bound = solve_covering({600: 1000, 300: 10}, 1024, phases=40)
+    assert sum(x for _, x in solution) == 1000 and bound > 950
+    assert sum(n for _, n in plan_sequences({600: 1000, 300: 10}, 1024)) == 1000
+    assert plan_sequences({}, 1024) == []
     assert fill_rest({700: 10**12, 300: 10**12}, 1024) == [({700: 1, 300: 1}, 10**12)]
 
 
@@ -487,25 +537,83 @@ def test_leaf_decisions_sum_to_one_and_tables_grow():
 # WARC
 
 
-def test_warc_round_trip_and_pushdown(spark, tmp_path):
+WARC_PAGES = [(1, "http://a/1", "<p>é" * 400, "z"), (2, "http://a/2", "<p>x", "z"), (3, None, "<p>é" * 400, "z"), (4, "http://a/4", None, "z"), (5, "http://a/5", "<p>x", "z"), (6, "u", "WARC/1.0\r\n\r\n" * 300, "z")]
+
+
+def warc_pages(spark):
+    return spark.createDataFrame(WARC_PAGES, "page_id long, url string, html string, n string")
+
+
+def test_warc_round_trip(spark):
     from lexstrata.llm import warc
 
-    big, small = "<p>é" * 400, "<p>x"
-    pages = spark.createDataFrame([(1, "http://a/1", big, "z"), (2, "http://a/2", small, "z"), (3, None, big, "z"), (4, "http://a/4", None, "z"), (5, "http://a/5", small, "z"), (6, "u", "WARC/1.0\r\n\r\n" * 300, "z")], "page_id long, url string, html string, n string")
+    pages = warc_pages(spark)
     got = {r.page_id: r for r in warc.archive_round_trip(pages).collect()}
     assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {1: ("revisit", 3), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
-    for k, _, html, _ in pages.collect():
+    for k, _, html, _ in WARC_PAGES:
         body = (html or "").encode()
         assert (got[k].payload_bytes, got[k].payload_digest) == (len(body), hashlib.sha1(body).hexdigest())
-    for zipped in ("gzip", "none"):
-        path = str(tmp_path / zipped)
-        warc.write_warc(warc.capture_records(pages), path, compression=zipped, rollBytes="200")
-        read = warc.read_warc(spark, path)
-        assert read.filter("record_type = 'revisit'").select("record_id").collect()[0][0] == "<urn:page:1>"
-        assert read.filter("target_uri in ('http://a/2', 'u')").count() == 2 and read.count() == 6
-        heads = warc.read_warc(spark, path, ["record_id", "content_length", "offset", "archive"])
-        assert sorted(r.content_length for r in heads.collect())[0] == 0 and heads.select("archive").distinct().count() > 1
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
+    big = "y" * 1500
+    odd = spark.createDataFrame([(None, None, big), (7, None, big), (7, None, big), (None, None, "q" * 1000), (8, None, "z" * 40_000_000)], "page_id long, url string, html string")
+    rows = sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes) for r in warc.archive_round_trip(odd).collect())
+    assert rows == [("7", "response", "None", 1500)] * 2 + [("8", "response", "None", 40_000_000), ("None", "response", "None", 1000), ("None", "revisit", "7", 1500)]
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc_reads_of_one_archive_do_not_share_predicates(spark, tmp_path, compression):
+    from lexstrata.llm import warc
+
+    path = str(tmp_path / "archive")
+    warc.write_warc(warc.capture_records(warc_pages(spark)), path, compression=compression, rollBytes="200")
+    read = warc.read_warc(spark, path)
+    assert read.filter("record_type = 'revisit'").select("record_id").collect()[0][0] == "<urn:page:1>"
+    assert read.filter("target_uri in ('http://a/2', 'u')").count() == 2 and read.count() == 6
+    revisits, responses = (warc.read_warc(spark, path, where={"record_type": [t]}) for t in ("revisit", "response"))
+    assert revisits.count() == 1 and responses.count() == 5 and read.count() == 6
+    assert revisits.unionByName(responses).count() == 6 and revisits.union(read).count() == 7
+    assert read.filter("record_type = 'revisit'").unionByName(read).count() == 7
+    assert read.alias("a").join(read.alias("b"), "record_id").count() == 6
+    assert revisits.alias("a").join(read.alias("b"), F.col("a.refers_to") == F.col("b.record_id")).count() == 1
+    assert warc.read_warc(spark, path, ["record_id"], {"target_uri": None, "record_type": ["response", "revisit"]}).count() == 5
+    heads = warc.read_warc(spark, path, ["record_id", "content_length", "offset", "archive"])
+    assert sorted(r.content_length for r in heads.collect())[0] == 0 and heads.select("archive").distinct().count() > 1
+    with pytest.raises(Exception, match="not header columns"):
+        warc.read_warc(spark, path, where={"payload": None}).count()
+
+
+def test_warc_skips_members_by_their_lengths():
+    """A skipped block of our own members is neither read nor inflated; foreign members are."""
+    import gzip
+    import io
+
+    from lexstrata.llm import warc
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.taken += len(out)
+            return out
+
+        def size(self):
+            return len(self.getbuffer())
+
+    noise = [np.random.default_rng(k).bytes(300_000) for k in range(4)]
+    records = [warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": str(k)}, noise[k]) for k in range(4)]
+    for pack, skips in ((warc.gzip_member, True), (gzip.compress, False)):
+        raw = Counted(b"".join(map(pack, records)))
+        assert gzip.decompress(raw.getvalue()) == b"".join(records)
+        stream = warc._Inflated(raw)
+        found = []
+        for at, fields, length in warc.walk(stream, "x"):
+            found.append((at, fields["warc-record-id"], stream.read(length) if fields["warc-record-id"] == "2" else None))
+        assert found == [(sum(map(len, records[:k])), str(k), noise[2] if k == 2 else None) for k in range(4)]
+        assert (raw.taken < 0.6 * raw.size()) == skips
+    whole = b"".join(map(warc.gzip_member, records))
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.walk(warc._Inflated(Counted(whole[:-200_000])), "x"))
 
 
 def test_warc_reports_damage(spark, tmp_path):
@@ -589,6 +697,23 @@ def test_pipeline_matches_brute_force(spark, corpus, tokenizer, tmp_path):
     check_pieces(renumbered, [texts[i] for i in kept], tokenizer, "sequence_id")
 
 
+def test_packed_sequences_follow_the_mixing_weights(spark, tmp_path):
+    """run()'s own rows: the first part of the sequences holds the sources by weight."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    texts = [prose(9000 + i, 30 + r.randrange(60), 3000) for i in range(900)]
+    sources = ["a"] * 450 + ["b"] * 450
+    make(spark, texts, sources=[sources[i] for i in range(900)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len({x.doc_id for x in rows}) == 900
+    first = sorted({x.sequence_id for x in rows})
+    early = set(first[: len(first) // 3])
+    taken = Counter(sources[x.doc_id] for x in rows if x.sequence_id in early)
+    assert 0.7 < taken["a"] / taken["b"] < 1.4  # by id alone, the first third would hold "a" only
+
+
 def test_mixing_stage_orders_its_rows(spark, tmp_path):
     import corpus_pipeline
     from lexstrata.llm.mixing import mix_sources
