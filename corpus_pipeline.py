@@ -1,8 +1,9 @@
 """A corpus pipeline: toxicity, exact dedup, near dedup, source mixing, packing.
 
 Each stage takes all rows its predecessor kept; all but the last return the columns of
-``documents``. The order of the mixing stage is the order of its rows: range-partitioned
-and sorted by schedule slot.
+``documents``. The mixing stage orders its rows by schedule slot, and the packing stage
+hands pieces out along the same schedule: read by ascending sequence id, the packed
+sequences follow the target weights.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexstrata.llm.common import prepare, table, work_path
 from lexstrata.llm.exact_dedup import keep_first_of_copies
-from lexstrata.llm.mixing import mixed_documents
+from lexstrata.llm.mixing import mixed_documents, positions
 from lexstrata.llm.near_dedup import keep_first_of_group
 from lexstrata.llm.packing import pack
 from lexstrata.llm.toxicity import drop_toxic
@@ -40,9 +41,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack whole documents into sequences of 1024 tokens."""
+    """Pack whole documents into sequences of 1024 tokens, along the schedule of the sources."""
     prepare(spark)
-    return pack(docs)
+    return pack(docs, order=positions(docs))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("minhash_near_dedup", near), ("mixing", mixing), ("best_fit_packing", packing)]
