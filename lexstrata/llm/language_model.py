@@ -1,66 +1,43 @@
-"""LM scoring: hashed maximum-entropy model with class-factored softmax.
-
-A token's probability is P(class | context) * P(leaf | class, context) * P(token | leaf).
-The end token and the ``SINGLES`` most frequent training words are classes of their own;
-every other word belongs to a class by a checksum of its ending. A class is a binary tree
-whose leaves share its frequency evenly, about the square root of the vocabulary of them
-over all classes. Each node is a logistic decision that starts from the training counts of
-its two sides. Inside a leaf, words follow their smoothed training counts,
-(c + 0.1) / (N_leaf + 0.1 * (V_leaf + 1)), which leaves one share for unknown words. The
-softmax over classes and all decisions see hashed features of the context: the word before,
-the two words before, and two skips (the second word before; the first with the third).
-
-Both tables of weights grow with the training tokens, up to ``MOST_BUCKETS`` and ``MOST_CELLS``.
-
-Training is synchronous rounds of local stochastic gradients: each task starts from the
-round's weights, walks over its share of the training texts in mini-batches, and sends its
-change of each touched weight row once; Spark sums the changes of each row, weighted by
-the squared gradients the task saw there, so a task that never met a row does not dilute
-it. Rounds split the training texts by the checksum of the id, so together they use each text once.
+"""LM scoring: a hashed maximum-entropy model (:mod:`.maxent`), trained and applied by Spark.
 
 Word counts cover all training texts. Words at least as frequent as a cut-off, at most
-``HEAD`` of them, go to the tasks; all other words of a text are looked up by a join, so
-every count is exact whatever the vocabulary.
+``HEAD`` of them, become leaves of the model and go to the tasks; all other words of a text
+are looked up by a join, so every count is exact whatever the vocabulary. The tables of
+weights grow with the training tokens up to fixed bounds.
+
+Training is synchronous rounds of local gradient steps: each task starts from the round's
+weights, walks over its partition of the training texts in mini-batches, and sends its
+change of each weight with the squared gradients it saw there. Tasks add both up block by
+block, a weight's changes weighted by their squares, so a task that never met a feature does
+not dilute it; many tasks are added up in two levels. Rounds split the training texts by the
+checksum of the id, so together they use each text once. Scoring walks over all whole texts
+in batches bounded in tokens.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as the text
 'null'; rows that repeat an id are scored one by one; without training texts every count
-is 0 and the classes are uniform; an empty table gives an empty result.
+is 0 and nothing but the smoothing tells classes apart; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_crc_mod, materialize, words_of
-from .near_dedup import _mix
-
-SMOOTH = 0.1
-CLASSES = 32
-SINGLES = 19
-BUCKETS = 1 << 14
-MOST_BUCKETS = 1 << 16
-BUCKET_TOKENS = 1024
-CELLS = 1 << 16
-MOST_CELLS = 1 << 21
-CELL_TOKENS = 64
-MOST_LEAF_BITS = 10
-FEATURES = 4
+from .maxent import CLASSES, RESTS, SMOOTH, STEP_TOKENS, Descent, Model, Tokens, Vocabulary
+
 HEAD = 300_000
 ROUNDS = 2
-RATE = 0.5
-BATCH_TOKENS = 8192
-STEP_TOKENS = 2048
-FLUSH_TOKENS = 1 << 16
 FLUSH_WORDS = 1_000_000
+BLOCK = 4096
+FAN_IN = 256
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -72,298 +49,110 @@ def count_words(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 seen.update(words_of(text))
                 if len(seen) > FLUSH_WORDS:
-                    yield _batch(seen)
+                    yield _counted(seen)
                     seen.clear()
-        yield _batch(seen)
+        yield _counted(seen)
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _batch(seen: Counter) -> pa.RecordBatch:
+def _counted(seen: Counter) -> pa.RecordBatch:
     words = pa.array([w.decode("utf-8") for w in seen], pa.string())
     return pa.RecordBatch.from_arrays([words, pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
 
-def ending_class(word: str) -> int:
-    return 1 + SINGLES + zlib.crc32(word[-2:].encode()) % (CLASSES - SINGLES - 1)
-
-
-def _ending_class_column(word):
-    return F.lit(1 + SINGLES) + F.crc32(F.right(word, F.lit(2)).cast("binary")) % (CLASSES - SINGLES - 1)
-
-
-def table_size(tokens: int, per: int, least: int, most: int) -> int:
-    """A power of two of about ``tokens / per`` rows."""
-    return min(most, max(least, 1 << math.ceil(math.log2(max(tokens / per, 1)))))
-
-
-def leaf_bits(types: int) -> int:
-    """Depth of the trees for about sqrt(types) leaves in all classes."""
-    return min(MOST_LEAF_BITS, max(1, math.ceil(math.log2(max(types, 1) ** 0.5 / (CLASSES - SINGLES - 1)))))
-
-
-def balanced_leaves(classes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
-    """Leaves that cut each class, most frequent word first, into even shares of its counts."""
-    order = np.lexsort((-counts, classes))
-    k, n = classes[order], counts[order]
-    totals = np.bincount(k, weights=n, minlength=CLASSES)
-    before = np.cumsum(n) - n - (np.cumsum(totals) - totals)[k]
-    leaves = np.empty(len(counts), np.int16)
-    leaves[order] = np.minimum((before + n / 2) / totals[k] * (1 << bits), (1 << bits) - 1)
-    return leaves
-
-
-def hashed_leaf(word: bytes, bits: int) -> int:
-    return zlib.crc32(word) % (1 << bits)
-
-
-class Vocabulary:
-    """Frequent words with their counts, hashes and classes, and the class totals. Sizes are
-    bounded by the head, whatever the corpus."""
-
-    def __init__(self, head: dict[str, int], singles: list[str], docs: int, tokens: int, types: int, tail: list[tuple[int, int, int, int]]):
-        self.tokens, self.types, self.docs = tokens, types, docs
-        own = {w: i + 1 for i, w in enumerate(singles)}
-        words = [w.encode("utf-8", "surrogatepass") for w in head]
-        self.index = {w: i for i, w in enumerate(words)}
-        self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-        self.classes = np.array([own.get(w) or ending_class(w) for w in head], dtype=np.int8)
-        self.log_counts = np.log10(np.array(list(head.values()), dtype=float) + SMOOTH)
-        # tail: (class, leaf, tokens, types) of the words outside the head, which hash to their leaf.
-        self.bits = leaf_bits(types)
-        counts = np.array(list(head.values()), dtype=float)
-        self.leaves = balanced_leaves(self.classes.astype(np.int64), counts, self.bits)
-        mass = np.full((CLASSES, 1 << self.bits), SMOOTH)
-        inner = self.classes > SINGLES
-        np.add.at(mass, (self.classes[inner], self.leaves[inner]), counts[inner] + SMOOTH)
-        for k, leaf, n, v in tail:
-            mass[k, leaf] += n + SMOOTH * v
-        self.log_total = np.log10(mass)
-        self.log_total[: 1 + SINGLES] = 0.0
-        self.node_prior = np.zeros((CLASSES, 1 << self.bits), np.float32)  # log odds of a node's two sides
-        for d in range(self.bits):
-            halves = mass.reshape(CLASSES, 2 << d, -1).sum(axis=2)
-            self.node_prior[:, 1 << d : 2 << d] = np.log(halves[:, 1::2] / halves[:, ::2])
-        self.node_prior = self.node_prior.ravel()
-        self.node_salt = _mix(np.arange(1, len(self.node_prior) + 1, dtype=np.uint64))
-        self.buckets = table_size(tokens, BUCKET_TOKENS, BUCKETS, MOST_BUCKETS)
-        self.cells = table_size(tokens, CELL_TOKENS, CELLS, MOST_CELLS)
-        totals = mass.sum(axis=1)
-        totals[0] = docs + SMOOTH
-        for w, k in own.items():
-            totals[k] = head[w] + SMOOTH
-        self.prior = np.log(totals / totals.sum()).astype(np.float32)  # of the classes, without context
-
-    @property
-    def log_base(self) -> float:
-        return float(np.log10(self.tokens + SMOOTH * (self.types + 1)))
-
-
 def learn_vocabulary(train: DataFrame, head_size: int = HEAD) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary and the table (word, n) of all training words."""
     words = materialize(count_words(train), "lm-words")
     docs = train.count()
-    sizes = words.groupBy("n").agg(F.count(F.lit(1)).alias("types")).orderBy(F.desc("n")).collect()  # different counts only: about sqrt(2 * tokens) rows
-    types = sum(r.types for r in sizes)
+    # Counts in steps of a sixteenth of a power of two: some hundred rows, whatever the corpus.
+    steps = words.groupBy(F.floor(16 * F.log2("n")).alias("step")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens"), F.min("n").alias("least")).collect()
     taken, cut = 0, None
-    for r in sizes:
+    for r in sorted(steps, key=lambda r: -r.step):
         if taken + r.types > head_size:
             break
-        taken, cut = taken + r.types, r.n
-    head = {r.word: r.n for r in words.filter(F.col("n") >= cut).collect()} if cut else {}  # at most head_size rows
-    most = {r.word: r.n for r in words.orderBy(F.desc("n"), "word").limit(SINGLES).collect()}
-    head, singles = head | most, list(most)
-    rest = words.filter(~F.col("word").isin(singles)) if singles else words
-    rest = rest.filter(F.col("n") < cut) if cut else rest
-    types += docs > 0
-    leaf = F.crc32(F.col("word").cast("binary")) % (1 << leaf_bits(types))
-    tail = rest.groupBy(_ending_class_column(F.col("word")).cast("int").alias("k"), leaf.cast("int").alias("leaf")).agg(F.sum("n"), F.count(F.lit(1))).collect()  # a row a leaf
-    tokens = sum(r.n * r.types for r in sizes) + docs
-    return Vocabulary(head, singles, docs, tokens, types, [tuple(r) for r in tail]), words
-
-
-class Reader:
-    """Texts as arrays. One look-up a word gives its row in the tables of hashes and
-    classes; words outside the head get rows of a bounded cache behind it."""
-
-    CACHE = 200_000
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.v, self.head = vocabulary, len(vocabulary.index)
-        self.hashes, self.classes = np.zeros(self.head + self.CACHE, np.uint64), np.zeros(self.head + self.CACHE, np.int8)
-        self.leaves = np.zeros(self.head + self.CACHE, np.int16)
-        self.leaves[: self.head] = vocabulary.leaves
-        self.hashes[: self.head], self.classes[: self.head] = vocabulary.hashes, vocabulary.classes
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index, self.tail = dict(self.v.index), []
-
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        if len(self.tail) + len(words) > self.CACHE:
-            self._forget()
-            self._make_room(len(words))
-        index = self.index
-        found = list(map(index.get, words))
-        if None in found:
-            for i, row in enumerate(found):
-                if row is None:
-                    w = words[i]
-                    row = index.get(w)
-                    if row is None:
-                        row = index[w] = self.head + len(self.tail)
-                        text = w.decode("utf-8", "surrogatepass")
-                        self.hashes[row], self.classes[row] = xxhash.xxh3_64_intdigest(w), ending_class(text)
-                        self.leaves[row] = hashed_leaf(w, self.v.bits)
-                        self.tail.append(text)
-                    found[i] = row
-        return np.array(found, dtype=np.int64)
-
-    def _make_room(self, n: int) -> None:
-        """A single text may hold more words than the cache."""
-        if n > len(self.hashes) - self.head:
-            self.hashes, self.classes = np.resize(self.hashes, self.head + n), np.resize(self.classes, self.head + n)
-            self.leaves = np.resize(self.leaves, self.head + n)
-
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rows of the words; context keys, classes, leaves of all tokens)."""
-        rows = self.rows(words_of(text))
-        return rows, context_keys(self.hashes[rows]), np.append(self.classes[rows], 0).astype(np.int64), np.append(self.leaves[rows], 0).astype(np.int64)
-
-
-def context_keys(hashes: np.ndarray) -> np.ndarray:
-    """64-bit features of each token's context (words and the end): one column a feature."""
-    start = _mix(np.arange(1, 4, dtype=np.uint64))
-    h = np.concatenate([start, hashes])
-    one, two, three = h[2:], h[1:-1], h[:-2]
-    salt = [np.uint64(s) for s in (0x51, 0x52, 0x53, 0x54)]
-    return np.stack((_mix(one + salt[0]), _mix(_mix(two + salt[1]) + one), _mix(two + salt[2]), _mix(_mix(three + salt[3]) + one)), axis=1)
-
-
-def context_features(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Rows of the weight table for each token (words and the end): one column a feature."""
-    return bucket_rows(context_keys(hashes), buckets)
-
-
-def bucket_rows(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys % np.uint64(buckets)).astype(np.int32)
-
-
-def decisions(v: Vocabulary, cells: np.ndarray, keys: np.ndarray, classes: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log odds, sides taken, cells of the features) of the nodes on the way to each leaf."""
-    d = np.arange(v.bits)
-    nodes = (classes[:, None] << v.bits) + (1 << d) + (leaves[:, None] >> (v.bits - d))
-    sides = (leaves[:, None] >> (v.bits - 1 - d)) & 1
-    shift = np.uint64(64 - (len(cells).bit_length() - 1))
-    at = ((keys[:, None, :] ^ v.node_salt[nodes][:, :, None]) * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int32)
-    return v.node_prior[nodes] + cells[at].sum(axis=2), sides, at
-
-
-def leaf_log_probability(v: Vocabulary, cells: np.ndarray, keys: np.ndarray, classes: np.ndarray, leaves: np.ndarray) -> np.ndarray:
-    """Natural log of P(leaf | class, context); 0 for classes of one word."""
-    out = np.zeros(len(classes))
-    inner = np.flatnonzero(classes > SINGLES)
-    odds, sides, _ = decisions(v, cells, keys[inner], classes[inner], leaves[inner])
-    out[inner] = -np.logaddexp(0, np.where(sides == 1, -odds, odds)).sum(axis=1)
-    return out
-
-
-def leaf_gradient_step(v: Vocabulary, cells: np.ndarray, squares: np.ndarray, keys: np.ndarray, classes: np.ndarray, leaves: np.ndarray) -> None:
-    """One mini-batch of descent for the decisions, in place."""
-    inner = np.flatnonzero(classes > SINGLES)
-    odds, sides, at = decisions(v, cells, keys[inner], classes[inner], leaves[inner])
-    error = np.repeat((1 / (1 + np.exp(-odds)) - sides).ravel(), FEATURES).astype(np.float32)
-    at = at.ravel()
-    np.add.at(squares, at, error * error)
-    np.add.at(cells, at, -RATE * error / np.sqrt(squares[at] + np.float32(1)))
-
-
-def log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = bias + weights[features[:, 0]]
-    for k in range(1, FEATURES):
-        z += weights[features[:, k]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def gradient_step(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray) -> None:
-    """One mini-batch of descent with per-row adaptive rates, in place."""
-    error = np.exp(log_softmax(weights, bias, features))
-    error[np.arange(len(classes)), classes] -= 1
-    flat = features.ravel()
-    order = np.argsort(flat, kind="stable")
-    rows, first = np.unique(flat[order], return_index=True)
-    sums = np.add.reduceat(error[order // FEATURES], first, axis=0)
-    squares[rows] += (sums * sums).mean(axis=1)
-    weights[rows] -= RATE * sums / np.sqrt(squares[rows] + 1.0)[:, None]
-    bias -= 0.1 * RATE * error.mean(axis=0)
-
-
-def train_round(docs: DataFrame, vocabulary, weights: np.ndarray, bias: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One synchronous round over ``docs`` (column text): averaged weights, bias and cells."""
-    sc = docs.sparkSession.sparkContext
-    given = sc.broadcast((weights, bias, cells))  # at most MOST_BUCKETS rows and MOST_CELLS cells
-    buckets, blocks = len(weights), len(cells) // CLASSES
-
-    # Rows: the buckets, the bias, then cells in blocks of CLASSES, then the weights of these cells.
-    names = ["row", "weight", *(f"g{k}" for k in range(CLASSES))]
+        taken, cut = taken + r.types, r.least
+    head = words.filter(F.col("n") >= cut).toArrow() if cut else None  # at most head_size rows
+    rest = words.filter(F.col("n") < cut) if cut else words
+    shares = rest.groupBy((F.crc32(F.col("word").cast("binary")) % RESTS).cast("int").alias("leaf")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()  # RESTS rows
+    frequent = dict(zip(head["word"].to_pylist(), head["n"].to_pylist(), strict=True)) if head else {}
+    tokens, types = sum(r.tokens for r in steps) + docs, sum(r.types for r in steps) + (docs > 0)
+    return Vocabulary(frequent, {r.leaf: (r.n, r.types) for r in shares}, docs, tokens, types), words
+
+
+def _bundles(texts: Iterator[list[str | None]]) -> Iterator[list[list[bytes]]]:
+    """Whole texts, split into words, in bundles of about ``STEP_TOKENS`` tokens."""
+    held, size = [], 0
+    for batch in texts:
+        for text in batch:
+            words = words_of(text)
+            held.append(words)
+            size += len(words) + 1
+            if size >= STEP_TOKENS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+_CHANGE = "block int, salt int, change binary, squares binary"
+
+
+def _change_batch(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32())]
+    # Half precision: a change to three digits, and the root of its squares.
+    arrays += [pa.array([c.astype(np.float16).tobytes() for c in columns[2]], pa.binary()), pa.array([np.minimum(np.sqrt(s), 6e4).astype(np.float16).tobytes() for s in columns[3]], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["block", "salt", "change", "squares"])
+
+
+def _added_up(parts: DataFrame, *keys: str) -> DataFrame:
+    """Changes of one block (and salt) as one: weighted by squares, batch by batch."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list[np.ndarray]] = {}  # at most one entry a block of the tables and salt
+        for batch in batches:
+            for block, salt, change, squares in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "change", "squares")), strict=True):
+                weight = np.square(np.frombuffer(squares, np.float16).astype(np.float32))
+                moved = np.frombuffer(change, np.float16) * weight
+                held = sums.get((block, salt if "salt" in keys else 0))
+                if held is None:
+                    sums[block, salt if "salt" in keys else 0] = [moved, weight]
+                else:
+                    held[0] += moved
+                    held[1] += weight
+        for (block, salt), (moved, weight) in sums.items():
+            yield _change_batch([(block, salt, moved / np.where(weight > 0, weight, 1), weight)])
+
+    return parts.repartition(*keys).mapInArrow(add, _CHANGE)
+
+
+def train_round(docs: DataFrame, vocabulary, model: Model) -> Model:
+    """One synchronous round over ``docs`` (column text)."""
+    spark = docs.sparkSession
+    given = spark.sparkContext.broadcast((model.rows, model.cells))  # bounded by MOST_BUCKETS and MOST_CELLS
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w0, b0, c0 = given.value
-        w, b, c, squares, seen, tokens = w0.copy(), b0.copy(), c0.copy(), np.zeros(buckets), np.zeros(len(c0), np.float32), 0
-        v = vocabulary.value
-        reader = Reader(v)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush():
-            keys, classes, leaves = (np.concatenate(x) for x in zip(*held, strict=True))
-            features = bucket_rows(keys, buckets)
-            for at in range(0, len(classes), STEP_TOKENS):
-                part = slice(at, at + STEP_TOKENS)
-                gradient_step(w, squares, b, features[part], classes[part])
-                leaf_gradient_step(v, c, seen, keys[part], classes[part], leaves[part])
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                _, *arrays = reader.read(text)
-                held.append(tuple(arrays))
-                size += len(arrays[1])
-                if size >= BATCH_TOKENS:
-                    flush()
-                    tokens, size = tokens + size, 0
-                    held.clear()
-        if held:
-            flush()
-            tokens += size
-        if tokens:
-            def rows(first: int, values: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-                used = np.flatnonzero(values.any(axis=1))
-                columns = [pa.array(first + used, pa.int32()), pa.array(weight[used], pa.float64())]
-                columns += [pa.array(np.ascontiguousarray(g)) for g in values[used].astype(np.float32).T]
-                return pa.RecordBatch.from_arrays(columns, names=names)
-
-            none = np.zeros(blocks)
-            yield rows(0, (w - w0) * squares[:, None], squares)
-            yield rows(buckets, ((b - b0) * tokens)[None, :], np.array([float(tokens)]))
-            yield rows(buckets + 1, ((c - c0) * seen).reshape(-1, CLASSES), none)
-            yield rows(buckets + 1 + blocks, seen.reshape(-1, CLASSES), none)
-
-    fields = ", ".join(f"g{k} float" for k in range(CLASSES))
-    tasks = max(2 * sc.defaultParallelism, docs.rdd.getNumPartitions() // 16)
-    parts = docs.select("text").coalesce(tasks).mapInArrow(learn, f"row int, weight double, {fields}")
-    summed = parts.groupBy("row").agg(F.sum("weight").alias("weight"), *[F.sum(f"g{k}").cast("float").alias(f"g{k}") for k in range(CLASSES)])
-    got = summed.toPandas()  # at most MOST_BUCKETS + 1 + 2 * MOST_CELLS / CLASSES rows
+        start = Model(vocabulary.value, *given.value)
+        descent = Descent(start)
+        for bundle in _bundles(b.column("text").to_pylist() for b in batches):
+            descent.step(Tokens(start.v, bundle))
+        salt = TaskContext.get().partitionId() % FAN_IN
+        change = np.concatenate([(descent.model.rows - start.rows).ravel(), descent.model.cells - start.cells]).reshape(-1, BLOCK)
+        squares = np.concatenate([descent.row_squares.ravel(), descent.cell_squares]).reshape(-1, BLOCK)
+        used = np.flatnonzero(squares.any(axis=1)).tolist()
+        for at in range(0, len(used), 64):
+            yield _change_batch([(k, salt, change[k], squares[k]) for k in used[at : at + 64]])
+
+    parts = docs.select("text").mapInArrow(learn, _CHANGE)
+    if docs.rdd.getNumPartitions() > FAN_IN:
+        parts = _added_up(parts, "block", "salt")
+    flat = np.concatenate([model.rows.ravel(), model.cells]).reshape(-1, BLOCK)
+    for r in _added_up(parts, "block").collect():  # one row a block of the tables
+        flat[r.block] += np.frombuffer(r.change, np.float16)
     given.unpersist()
-    change = np.zeros((buckets + 1 + 2 * blocks, CLASSES), np.float32)
-    weight = np.zeros(len(change))
-    change[got["row"].to_numpy()] = got[names[2:]].to_numpy()
-    weight[got["row"].to_numpy()] = got["weight"].to_numpy()
-    mean = change[: buckets + 1] / np.where(weight[: buckets + 1] > 0, weight[: buckets + 1], 1)[:, None]
-    moved, seen = change[buckets + 1 : buckets + 1 + blocks].ravel(), change[buckets + 1 + blocks :].ravel()
-    cells = cells + moved / np.where(seen > 0, seen, 1)
-    return (weights + mean[:buckets]).astype(np.float32), (bias + mean[buckets]).astype(np.float32), cells.astype(np.float32)
+    rows, cells = np.split(flat.ravel(), [model.rows.size])
+    return Model(model.v, rows.reshape(-1, CLASSES), cells)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout: int = 10, rounds: int = ROUNDS, head_size: int = HEAD) -> DataFrame:
@@ -373,73 +162,50 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     train = rows.filter(doc_crc_mod("id", holdout) != 0).select("id", "text")
     vocabulary, words = learn_vocabulary(train, head_size)
     shared = spark.sparkContext.broadcast(vocabulary)  # at most head_size words
-    weights, bias, cells = np.zeros((vocabulary.buckets, CLASSES), np.float32), vocabulary.prior, np.zeros(vocabulary.cells, np.float32)
+    model = Model.fresh(vocabulary)
     for r in range(rounds):
         part = train.filter(F.expr(f"(crc32(cast(coalesce(cast(id as string), 'null') as binary)) div {holdout}) % {rounds} = {r}"))
-        weights, bias, cells = train_round(part, shared, weights, bias, cells)
-    model = spark.sparkContext.broadcast((weights, bias, cells))
+        model = train_round(part, shared, model)
+    learnt = spark.sparkContext.broadcast((model.rows, model.cells))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, given = shared.value, model.value
-        reader = Reader(v)
-        end_known = SMOOTH + v.docs
+        own = Model(shared.value, *learnt.value)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n", "known", "log_count", "log_class", "log_end", "words", "counts")}
-            held, sizes = [], []
-            for text in batch.column("text").to_pylist():
-                rows, keys, classes, leaves = reader.read(text)
-                held.append((keys, classes, leaves))
-                sizes.append(len(classes))
-                frequent = rows < reader.head
-                log_counts = v.log_counts[rows[frequent]]
-                single = log_counts[reader.classes[rows[frequent]] <= SINGLES].sum()
-                tail, counts = np.unique(rows[~frequent], return_counts=True)
-                out["n"].append(len(classes))
-                out["known"].append(int(v.docs > 0) + len(log_counts))
-                out["log_count"].append(float(log_counts.sum()))
-                out["log_end"].append(-float(single) - float(v.log_total[classes, leaves].sum()))
-                out["words"].append([reader.tail[k] for k in (tail - reader.head).tolist()])
-                out["counts"].append(counts)
-                if sum(sizes) > FLUSH_TOKENS:
-                    out["log_class"] += _class_scores(v, given, held, sizes)
-                    held, sizes = [], []
-            out["log_class"] += _class_scores(v, given, held, sizes)
-            arrays = [batch.column("row"), batch.column("id")] + [pa.array(out[k], t) for k, t in _SCORED.items()]
-            end = np.log10(end_known)
-            arrays[4] = pa.array(np.asarray(out["log_count"]) + end)
-            arrays[6] = pa.array(np.asarray(out["log_end"]) - end)
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "id", *_SCORED])
-
-    schema = f"row long, id {docs.schema[id_col].dataType.simpleString()}, n long, known long, log_count double, log_class double, log_end double, words array<string>, counts array<int>"
+            parts = [_scored(own, Tokens(own.v, bundle)) for bundle in _bundles(iter([batch.column("text").to_pylist()]))]
+            columns = [pa.concat_arrays(c) for c in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *columns], names=["row", "id", *_SCORED])
+
+    schema = f"row long, id {docs.schema[id_col].dataType.simpleString()}, n long, known long, log_count double, log_model double, words array<string>, counts array<int>"
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     part = materialize(numbered.mapInArrow(score, schema), "lm-scored")
 
-    tail = part.select("row", F.explode(F.arrays_zip("words", "counts")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.counts").alias("k"))
-    seen = tail.join(words, "word", "left").select("row", F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("known"), (F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("log_count"))
-    # log_count counts the end token and every word; log_end takes back what classes of one word do not need.
-    flat = part.select("row", "id", "n", "known", "log_count", "log_class", "log_end").unionByName(seen, allowMissingColumns=True)
-    total = flat.groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n", "known", "log_count", "log_class", "log_end")])
+    outside = part.select("row", F.explode(F.arrays_zip("words", "counts")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.counts").alias("k"))
+    seen = outside.join(words, "word", "left").select("row", F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("known"), (F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("log_count"))
+    # A word outside the head adds its log count to both scores; the model took its leaf's total off.
+    seen = seen.withColumn("log_model", F.col("log_count"))
+    flat = part.select("row", "id", "n", "known", "log_count", "log_model").unionByName(seen, allowMissingColumns=True)
+    total = flat.groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n", "known", "log_count", "log_model")])
     return total.select(
         F.col("id").alias(id_col), (doc_crc_mod("id", holdout) == 0).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
-        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), (F.col("log_count") - F.col("n") * vocabulary.log_base).alias("base_score"),
-        (F.col("log_count") + F.col("log_class") + F.col("log_end")).alias("score"),
+        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), (F.col("log_count") - F.col("n") * vocabulary.log_base).alias("base_score"), F.col("log_model").alias("score"),
     )
 
 
-_SCORED = {"n": pa.int64(), "known": pa.int64(), "log_count": pa.float64(), "log_class": pa.float64(), "log_end": pa.float64(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int32())}
-
-
-def _class_scores(v: Vocabulary, given: tuple[np.ndarray, np.ndarray, np.ndarray], held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: list[int]) -> list[float]:
-    """Sum of log10 P(class | context) * P(leaf | class, context) of each text."""
-    if not held:
-        return []
-    weights, bias, cells = given
-    keys, classes, leaves = (np.concatenate(x) for x in zip(*held, strict=True))
-    features = bucket_rows(keys, len(weights))
-    logs = np.empty(len(classes))
-    for at in range(0, len(classes), BATCH_TOKENS):
-        part = slice(at, at + BATCH_TOKENS)
-        logs[part] = log_softmax(weights, bias, features[part])[np.arange(len(classes[part])), classes[part]]
-        logs[part] += leaf_log_probability(v, cells, keys[part], classes[part], leaves[part])
-    ends = np.cumsum(sizes)
-    return (np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])) / np.log(10)).tolist()
+_SCORED = {"n": pa.int64(), "known": pa.int64(), "log_count": pa.float64(), "log_model": pa.float64(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int32())}
+
+
+def _scored(model: Model, tokens: Tokens) -> list[pa.Array]:
+    """The columns of ``_SCORED`` for the texts of one bundle."""
+    v, n = model.v, len(tokens.sizes)
+    text = np.repeat(np.arange(n), tokens.sizes)
+    logs = model.log_probability(tokens)
+    frequent = tokens.leaf < v.size
+    outside = ~frequent & (tokens.leaf < v.end)
+    logs[outside] -= v.log_rest[tokens.leaf[outside] - v.size]
+    known = np.bincount(text[frequent], minlength=n) + (v.docs > 0)
+    log_count = np.bincount(text[frequent], weights=v.log_counts[tokens.leaf[frequent]], minlength=n) + math.log10(v.docs + SMOOTH)
+    ends = np.searchsorted(tokens.outside_text, np.arange(n + 1)).tolist()
+    found = [Counter(tokens.outside[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    words = [[w.decode("utf-8", "surrogatepass") for w in c] for c in found]
+    values = (tokens.sizes, known, log_count, np.bincount(text, weights=logs, minlength=n), words, [list(c.values()) for c in found])
+    return [pa.array(x, t) for x, t in zip(values, _SCORED.values(), strict=True)]

@@ -497,14 +497,69 @@ def test_language_model_base_and_probability(spark):
     assert lm.score_texts(make(spark, [])).count() == 0
 
 
-def test_class_softmax_sums_to_one():
-    from lexstrata.llm import language_model as lm
-
-    r = np.random.default_rng(3)
-    w, b = r.normal(size=(lm.BUCKETS, lm.CLASSES)).astype(np.float32), np.zeros(lm.CLASSES, np.float32)
-    f = lm.context_features(np.arange(50, dtype=np.uint64))
-    assert f.shape == (51, lm.FEATURES)
-    assert np.allclose(np.exp(lm.log_softmax(w, b, f)).sum(axis=1), 1, atol=1e-5)
+def small_model(seed=3, head=40):
+    """A vocabulary with random weights everywhere."""
+    from lexstrata.llm import maxent
+
+    r = np.random.default_rng(seed)
+    words = {f"w{k}{'abcde'[k % 5]}": 500 // (k + 1) + 1 for k in range(head)}
+    v = maxent.Vocabulary(words, {0: (7, 3), 5: (2, 2)}, 10, sum(words.values()) + 19, head + 6)
+    model = maxent.Model(v, r.normal(size=(v.buckets, maxent.CLASSES)).astype(np.float32), r.normal(size=v.cells).astype(np.float32))
+    return v, model
+
+
+@pytest.mark.parametrize("head", [0, 1, 2, 40, 3000])
+def test_probabilities_over_a_vocabulary_sum_to_one(head):
+    """Over all leaves after the same words; inside a rest leaf, over its words and one unknown."""
+    from lexstrata.llm import maxent
+
+    v, model = small_model(head=head)
+    context = [b"x1", b"w0a", b"w3d"]
+    for words in ([], context[:1], context):
+        tokens = maxent.Tokens(v, [words])
+        keys = [np.repeat(k[-1:], v.end + 1) for k in tokens.keys]
+        tokens.keys, tokens.leaf = keys, np.arange(v.end + 1)
+        assert (10 ** model.log_probability(tokens)).sum() == pytest.approx(1, abs=1e-4)
+    assert 10 ** v.log_rest[0] == pytest.approx(7 + 0.1 * 3 + 0.1) and 10 ** v.log_rest[1] == pytest.approx(0.1)
+    assert all(v.first[i + 1] - v.first[i] <= 24 for i in range(v.end))
+
+
+def test_tokens_keep_texts_apart():
+    """Leaves and context keys of a bundle are those of each text alone."""
+    from lexstrata.llm import maxent
+
+    v, _ = small_model()
+    texts = [[b"w0a", b"new", b"w1b", b"w0a"], [], [b"w2c"], [b"new", b"other"]]
+    together, parts = maxent.Tokens(v, texts), [maxent.Tokens(v, [t]) for t in texts]
+    assert together.leaf.tolist() == [x for p in parts for x in p.leaf.tolist()]
+    for f in range(maxent.FEATURES):
+        assert together.keys[f].tolist() == [x for p in parts for x in p.keys[f].tolist()]
+    assert together.outside == [b"new", b"new", b"other"] and together.outside_text.tolist() == [0, 3, 3]
+
+
+def test_descent_follows_the_gradient_of_both_factors():
+    """Numerical derivatives of the summed log loss, by a class row and by a decision cell."""
+    from lexstrata.llm import maxent
+
+    v, model = small_model()
+    model.rows *= np.float32(0.1)
+    model.cells *= np.float32(0.1)
+    tokens = maxent.Tokens(v, [[b"w0a", b"w1b", b"w2c", b"new", b"w30a"]] * 2)
+    descent = maxent.Descent(model)
+    descent.step(tokens)
+    loss = lambda m: -np.log(10) * m.log_probability(tokens).sum()
+    assert loss(descent.model) < loss(model)
+    for kind in ("rows", "cells"):
+        moved = np.abs(getattr(descent.model, kind) - getattr(model, kind)).ravel()
+        at = int(moved.argmax())
+        slope = []
+        for eps in (0.01, -0.01):
+            other = maxent.Model(v, model.rows.copy(), model.cells.copy())
+            getattr(other, kind).ravel()[at] += eps
+            slope.append(loss(other))
+        g = (slope[0] - slope[1]) / 0.02
+        change = (getattr(descent.model, kind) - getattr(model, kind)).ravel()[at]
+        assert change == pytest.approx(-maxent.RATE * g / math.sqrt(g * g + 1), rel=0.05)
 
 
 def test_context_tells_words_of_a_class_apart(spark):
@@ -520,18 +575,26 @@ def test_context_tells_words_of_a_class_apart(spark):
     assert sum(s for s, _ in held) > 0.8 * sum(b for _, b in held)
 
 
-def test_leaf_decisions_sum_to_one_and_tables_grow():
-    from lexstrata.llm import language_model as lm
+def test_tables_grow_with_the_training_tokens():
+    from lexstrata.llm import maxent
 
-    head = {f"w{k}ab": 5000 // (k + 1) + 1 for k in range(3000)}
-    v = lm.Vocabulary(head, list(head)[: lm.SINGLES], 10, 10**6, 3000, [(25, 1, 7, 3)])
-    assert 1 << v.bits >= 3000**0.5 / (lm.CLASSES - lm.SINGLES - 1)
-    cells = np.random.default_rng(2).normal(size=v.cells).astype(np.float32)
-    leaves = np.arange(1 << v.bits)
-    keys = np.repeat(lm.context_keys(np.arange(1, dtype=np.uint64))[:1], len(leaves), axis=0)
-    assert np.exp(lm.leaf_log_probability(v, cells, keys, np.full(len(leaves), 25), leaves)).sum() == pytest.approx(1, abs=1e-5)
-    big = lm.Vocabulary(head, [], 10, 10**8, 10**6, [])
-    assert big.buckets > v.buckets and big.cells > v.cells and big.bits > v.bits
+    small, big = (maxent.Vocabulary({"a": 5}, {}, 1, n, 2) for n in (10**6, 10**9))
+    assert big.buckets > small.buckets and big.cells > small.cells
+
+
+def test_language_model_edges(spark):
+    """Null and repeated ids, a text longer than a bundle, clashing columns, no training text."""
+    from lexstrata.llm import language_model as lm
+    from lexstrata.llm import maxent
+
+    long_text = " ".join(f"v{k % 5000}" for k in range(3 * maxent.STEP_TOKENS))
+    docs = make(spark, ["a b", "a b", None, long_text, "a b", ""], [1, 1, None, 2, None, 3])
+    got = lm.score_texts(docs.withColumns({"n": F.lit("x"), "words": F.lit(0)}), head_size=100).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 3), ("1", 3), ("2", 3 * maxent.STEP_TOKENS + 1), ("3", 1), ("None", 1), ("None", 3)]
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and all(r.score < 0 for r in got)
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    (row,) = lm.score_texts(make(spark, ["a b"], [held])).collect()
+    assert (row.held_out, row.n_known, row.train_tokens) == (True, 0, 0) and row.score < 0
 
 
 # WARC
