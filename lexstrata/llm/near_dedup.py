@@ -9,11 +9,17 @@
    only: as many pairs as members, never all pairs. The odd sketches of a pair, XORed,
    have a population count that grows with the symmetric difference; pairs far above the
    count expected at the threshold are dropped, the rest is verified on full shingle sets.
-4. Verified links are contracted to components. Buckets whose members still belong to
-   different components are compared by sketches again: members outside the first member's
-   component against all, so a large uniform group costs nothing. Small buckets name the
-   pairs that come close; large ones are dealt as blocks with full sets and verified where
-   blocks meet, so that only links leave a task. No pair in one bucket stays undecided.
+4. Verified links are contracted to components. While large buckets still hold several
+   components, each takes a new pivot from outside its first member's component and its
+   members of other components are compared with that one: a round is linear again, and
+   members that join a component stay out of the next.
+5. What still differs is compared by sketches, members outside the first member's component
+   against all. Small buckets name the pairs that come close; large ones are dealt as blocks
+   with full sets and verified where blocks meet, so that only links leave a task. No pair
+   in one bucket stays undecided.
+
+Members meet the data of their bucket in joins salted by member, so a band key that a third
+of all documents share is spread over tasks.
 
 A pair at the threshold misses all bands with a probability below ``miss``; bands follow
 from it. Sketches only drop pairs over five standard deviations away from the threshold.
@@ -45,6 +51,8 @@ SKETCH_WORDS = 8
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 SMALL_BUCKET = 64
+PIVOT_ROUNDS = 6
+SALTS = 16
 _WORD_CACHE: dict[bytes, int] = {}
 _WORD_CACHE_MAX = 600_000
 
@@ -253,7 +261,7 @@ def _block_links(members: DataFrame, shingles: DataFrame, percent: int, limit: i
     counts = members.groupBy("bucket").agg(
         blocks(F.count_if(outside), F.sum(F.when(outside, F.col("n_shingles")).otherwise(0))).alias("q_blocks"), blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("x_blocks")
     )
-    rows = members.join(counts, "bucket").join(shingles, "node").withColumn("h", F.xxhash64("node"))
+    rows = _meet(members, counts).join(shingles, "node").withColumn("h", F.xxhash64("node"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = rows.filter(outside).select("*", F.pmod("h", "q_blocks").alias("q"), each("x_blocks").alias("x"), F.lit(True).alias("asked"))
     against = rows.select("*", each("q_blocks").alias("q"), F.pmod("h", "x_blocks").alias("x"), F.lit(False).alias("asked"))
@@ -297,23 +305,31 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = materialize(rows.join(pivots, "bucket"), "near-buckets")
+    shared = materialize(_meet(rows, pivots), "near-buckets")
     texts = _texts(docs, shared.select("node"), id_col, text_col)
     star = shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     star = materialize(_near(star, nodes.drop("bands"), percent, limit), "near-star")
     edges = materialize(_verified(star, texts, width, percent), "near-links")
     labels = connected_components(edges) if not edges.isEmpty() else nodes.select("node", F.col("node").alias("component")).limit(0)
 
-    mixed = _mixed_members(shared, labels, nodes)
+    for turn in range(PIVOT_ROUNDS + 1):
+        mixed = _mixed_members(shared, labels, nodes)
+        large = mixed.filter(F.col("members") > SMALL_BUCKET)
+        if turn == PIVOT_ROUNDS or large.isEmpty():
+            break
+        links = _pivot_links(large, turn, nodes, texts, percent, limit, width)
+        if links.isEmpty():
+            break
+        labels = connected_components(_as_edges(labels).unionByName(links))
+
     pairs = materialize(_close_pairs(mixed.filter(F.col("members") <= SMALL_BUCKET), percent, limit, kind).join(star, ["a", "b"], "left_anti"), "near-more")
-    large = mixed.filter(F.col("members") > SMALL_BUCKET)
     found = _verified(pairs, texts, width, percent)
     if not large.isEmpty():
         sets = materialize(_shingles(texts.join(large.select("node").distinct(), "node", "left_semi"), width), "near-sets")
         found = found.unionByName(_block_links(large, sets, percent, limit, kind))
     found = materialize(found, "near-links")
     if not found.isEmpty():
-        labels = connected_components(edges.unionByName(found))
+        labels = connected_components(_as_edges(labels).unionByName(found))
 
     member = linked.select("id", "set_hash").join(classes, "set_hash").select("id", "node").join(labels, "node", "left")
     component = member.groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
@@ -324,17 +340,36 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     )
 
 
+def _meet(members: DataFrame, by_bucket: DataFrame) -> DataFrame:
+    """``members`` (bucket, node, ...) with the one row of their bucket, salted by node."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    spread = by_bucket.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return members.withColumn("salt", salt).join(spread, ["bucket", "salt"]).drop("salt")
+
+
+def _as_edges(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _mixed_members(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of buckets of three or more that lie in different components: bucket, members,
     node, component, main (the first member's component), n_shingles, sketch, bands."""
-    named = shared.filter("members > 2").join(labels, "node", "left").select("bucket", "members", "node", "pivot", F.coalesce("component", "node").alias("component"))
-    main = labels.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
-    named = named.join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    members = named.join(mixed, "bucket", "left_semi").join(nodes, "node")
+    named = shared.filter("members > 2").join(labels, "node", "left").select("bucket", "members", "node", F.coalesce("component", "node").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("main")).filter("low < high").select("bucket", "main")
+    members = _meet(named, mixed).join(nodes, "node")
     return materialize(members.select("bucket", "members", "node", "component", "main", "n_shingles", "sketch", "bands"), "near-mixed")
 
 
+def _pivot_links(large: DataFrame, turn: int, nodes: DataFrame, texts: DataFrame, percent: int, limit: int, width: int) -> DataFrame:
+    """Links of the members of large mixed buckets with a new pivot, drawn by a hash of node
+    and ``turn`` from outside the first member's component."""
+    draw = F.xxhash64("node", F.lit(turn))
+    pivots = large.filter("component <> main").groupBy("bucket").agg(F.min_by("node", draw).alias("pivot"), F.min_by("component", draw).alias("own"))
+    star = _meet(large.select("bucket", "node", "component"), pivots).filter("component <> own").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    near = materialize(_near(star, nodes.drop("bands"), percent, limit), "near-star")
+    return materialize(_verified(near, texts, width, percent), "near-links")
+
+
 def keep_first_of_group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their group, with their own columns."""
     drop = near_components(docs, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_drop"))
