@@ -57,7 +57,7 @@ def corpus(spark):
 def test_exact_dedup_matches_brute_force(spark, corpus):
     from lexstrata.llm.exact_dedup import exact_dedup
 
-    got = {r.doc_id: r for r in exact_dedup(make(spark, corpus), capacity=4, max_depth=6).collect()}
+    got = {r.doc_id: r for r in exact_dedup(make(spark, corpus), capacity=4, most_depth=6).collect()}
     groups = defaultdict(list)
     for i, t in enumerate(corpus):
         groups[t or ""].append(i)
@@ -69,22 +69,47 @@ def test_exact_dedup_matches_brute_force(spark, corpus):
 
 
 def test_exact_dedup_tells_colliding_keys_apart(spark):
-    from lexstrata.llm.exact_dedup import build_index, exact_dedup
+    from lexstrata.llm.exact_dedup import _keyed, build_index, directory_of, exact_dedup
 
     weak = lambda text: F.sha2(F.substring(text, 1, 1).cast("binary"), 256)
     docs = make(spark, ["ab", "ac", "ab", "b", "ac", "ab"])
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(docs, key=weak).collect()}
-    assert got == {0: (5, 3), 1: (4, 2), 2: (5, 3), 3: (3, 1), 4: (4, 2), 5: (5, 3)}
-    index, _ = build_index(docs, key=weak)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup(docs, key=weak).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {0: (5, 3, sha("ab")), 1: (4, 2, sha("ac")), 2: (5, 3, sha("ab")), 3: (3, 1, sha("b")), 4: (4, 2, sha("ac")), 5: (5, 3, sha("ab"))}
+    directory, depth = directory_of(_keyed(docs, "doc_id", "text", weak).select("key").distinct())
+    index = build_index(docs, directory, depth, key=weak)
     assert sorted((r.chain, r.chain_length) for r in index.collect()) == [(1, 1), (1, 2), (2, 2)]
 
 
+def test_exact_dedup_is_routed_by_its_directory(spark):
+    """Many buckets: each holds one key range, at most its capacity, and joins name it."""
+    from lexstrata.llm.exact_dedup import _prefix, _keyed, directory_of, exact_dedup, sha256_key
+
+    texts = [f"text {k % 700}" for k in range(1000)]
+    docs = make(spark, texts)
+    directory, depth = directory_of(_keyed(docs, "doc_id", "text", sha256_key).select("key").distinct(), capacity=16)
+    slots = {r.prefix: r.bucket for r in directory.collect()}
+    assert sorted(slots) == list(range(2**depth)) and len(set(slots.values())) > 40
+    result = exact_dedup(docs, capacity=16)
+    rows = result.withColumn("prefix", _prefix(F.col("text_sha256"), depth)).collect()
+    sizes = Counter()
+    for r in rows:
+        assert slots[r.prefix] == r.bucket
+    for bucket, _ in {(r.bucket, r.text_sha256) for r in rows}:
+        sizes[bucket] += 1
+    assert max(sizes.values()) <= 16
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bucket#") > 4 and all("bucket#" in line for line in plan.splitlines() if "Join" in line and "prefix#" not in line)
+
+
 def test_exact_dedup_edges(spark):
     from lexstrata.llm.exact_dedup import exact_dedup, keep_first_of_copies
 
     assert exact_dedup(make(spark, [])).count() == 0
     rows = exact_dedup(make(spark, ["a", "a", None, ""], [None, 3, None, None])).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.kept) for r in rows) == [("3", "3", True), ("None", "3", False), ("None", "None", True), ("None", "None", True)]
+    again = keep_first_of_copies(make(spark, ["a", "b", "a", "c", "c", None], [1, 1, 2, None, None, None]))
+    assert sorted((str(r.doc_id), r.text) for r in again.filter("text is not null").collect()) == [("1", "b"), ("2", "a"), ("None", "c"), ("None", "c")]
     kept = keep_first_of_copies(make(spark, ["a", "a", "b"]))
     assert kept.columns == make(spark, []).columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
 
@@ -168,6 +193,29 @@ def test_near_dedup_blocks_of_a_mixed_bucket(spark, monkeypatch):
     assert [got[i] for i in range(90)] == components and len(set(components)) > 3
 
 
+def test_near_dedup_pivot_rounds_of_a_large_bucket(spark, monkeypatch):
+    """Several groups share band keys by a common part; rounds of pivots join each group."""
+    from lexstrata.llm import near_dedup
+
+    turns = []
+    links = near_dedup._pivot_links
+    monkeypatch.setattr(near_dedup, "_pivot_links", lambda large, turn, *rest: turns.append(turn) or links(large, turn, *rest))
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 3)
+    r = random.Random(23)
+    common = prose(6, 160).split()
+    texts = []
+    for g in range(5):
+        own = [f"g{g}x{k}" for k in range(28)]
+        for k in range(16):
+            other = common + own
+            other[r.randrange(len(other))] = f"e{g}x{k}"
+            texts.append(" ".join(other))
+    r.shuffle(texts)
+    _, components = brute_components(texts, 85)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_components(make(spark, texts), 85).collect()}
+    assert [got[i] for i in range(len(texts))] == components and len(set(components)) == 5 and turns
+
+
 def test_near_dedup_edges(spark):
     from lexstrata.llm.near_dedup import keep_first_of_group, near_components
 
