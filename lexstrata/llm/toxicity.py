@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-The lexicon transducer reads words letter by letter: its accepting paths are whole words
-and word stems, weighted by how much likelier they are in labelled toxic texts than in the
+The lexicon is a weighted transducer that reads words letter by letter: it accepts whole
+words and stems, weighted by how much likelier they are in labelled toxic texts than in the
 others (log odds of document frequency). Function words of negation, reported speech,
-targets and threats are listed below. The composed clause grammar
-(:mod:`.transducers`) tells plain, negated, quoted and aimed insults and threats apart; a
-text's features are the lexicon weights it matched by kind and its worst clause, and a
-logistic model with a prior for kinds that the labels do not show turns them into a score.
+targets and threats are listed below. It is composed with the clause grammar
+(:mod:`.transducers`), which tells plain, negated, quoted and aimed insults and threats
+apart by what stands before and behind them; a text's features are the lexicon weights it
+matched by kind and its worst clause, and a logistic model with a prior for kinds that the
+labels do not show turns them into a score.
 
 Learning uses at most about ``sample`` labelled texts, chosen by a hash of the id; scoring
 covers every whole text. Labels, language, source and id are never features.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_crc_mod, materialize
-from .transducers import END, INSULT, NEGATED, NEGATION, OTHER, PLAIN, QUOTED, REPORT, TARGET, TARGETED, THREAT, THREATENED, clause_grammar
+from .transducers import END, INSULT, NEGATED, NEGATION, PLAIN, QUOTED, REPORT, TARGET, TARGETED, THREAT, THREATENED, Lexicon, clause_grammar
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -39,6 +40,8 @@ CAUTION = 1.0
 STEM_SPREAD = 1.3
 MIN_SHARE = 0.004
 MIN_WEIGHT = 2.5
+THREAT_WEIGHT = 2.0
+_ENDS = frozenset(".!?;:\n")
 _PIECES = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
 # Function words of the clause grammar in English, German, French and Spanish.
@@ -62,46 +65,52 @@ def lexicon_paths(word: str) -> list[str]:
 
 
 class Scorer:
-    """Matches of the composed grammar and the model's score."""
+    """Matches of the lexicon composed with the clause grammar, and the model's score."""
 
     CACHE = 400_000
 
     def __init__(self, lexicon: dict[str, float], model: tuple[float, ...]):
         self.lexicon, self.model = lexicon, model
-        self.function_words = _function_words()
-        self.arcs, self.start = _table(), 0
-        self.cache: dict[str, tuple[str, float]] = {p: (END, 0.0) for p in ".!?;:\n"}
-
-    def classify(self, word: str) -> tuple[str, float]:
-        weight = max((self.lexicon.get(p, 0.0) for p in lexicon_paths(word)), default=0.0)
-        return (INSULT, weight) if weight > 0 else (self.function_words.get(word, OTHER), 2.0)
+        self.letters, self.grammar = Lexicon(lexicon, _function_words()), clause_grammar()
+        self.cache: dict[str, tuple[str, float]] = {}
+
+    def read(self, word: str) -> tuple[str, float]:
+        """(class, weight) of a word: the way of each word through the lexicon is remembered.
+        A threat verb has a weight of its own."""
+        if word in _ENDS:
+            return END, 0.0
+        symbol, weight = self.letters.read(word)
+        return symbol, THREAT_WEIGHT if symbol == THREAT else weight
+
+    def clauses(self, text: str) -> Iterator[tuple[str, list[float]]]:
+        """Kinds and weights of each clause with an insult or a threat."""
+        if len(self.cache) > self.CACHE:
+            self.cache.clear()
+        cache, symbols, weights, open_ = self.cache, [], [], False
+        for piece in _PIECES.findall(text.lower() + "\n"):
+            got = cache.get(piece)
+            if got is None:
+                got = cache[piece] = self.read(piece)
+            symbol, weight = got
+            symbols.append(symbol)
+            weights.append(weight)
+            open_ = open_ or symbol == INSULT or symbol == THREAT
+            if symbol == END:
+                if open_:
+                    yield self.grammar.run("".join(symbols)), weights
+                symbols, weights, open_ = [], [], False
 
     def features(self, text: str | None) -> list[float]:
         """1, log(1 + matched weight) of each kind, of the worst clause, and of all matches but
         the strongest: one rare word alone says little."""
         totals = dict.fromkeys(KINDS, 0.0)
-        worst = clause = strongest = 0.0
-        if text:
-            cache = self.cache
-            if len(cache) > self.CACHE:
-                self.cache = cache = {p: (END, 0.0) for p in ".!?;:\n"}
-            read = []
-            for piece in _PIECES.findall(text.lower()):
-                got = cache.get(piece)
-                if got is None:
-                    got = cache[piece] = self.classify(piece)
-                read.append(got)
-            if any(s in (INSULT, THREAT) for s, _ in read):
-                state, arcs = self.start, self.arcs
-                for s, weight in read:
-                    state, written = arcs[state, s]
-                    if written in totals:
-                        totals[written] += weight
-                        clause += weight
-                        strongest = max(strongest, weight)
-                    elif written == END:
-                        worst, clause = max(worst, clause), 0.0
-                worst = max(worst, clause)
+        worst = strongest = 0.0
+        for kinds, weights in self.clauses(text or ""):
+            found = [(k, w) for k, w in zip(kinds, weights, strict=True) if k in totals]
+            for kind, weight in found:
+                totals[kind] += weight
+                strongest = max(strongest, weight)
+            worst = max(worst, sum(w for _, w in found))
         return [1.0, *(math.log1p(totals[k]) for k in KINDS), math.log1p(worst), math.log1p(sum(totals.values()) - strongest)]
 
     def score(self, text: str | None) -> float:
@@ -109,15 +118,6 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _table() -> dict[tuple[int, str], tuple[int, str]]:
-    """The composed grammar with states numbered from 0, the start."""
-    grammar = clause_grammar()
-    number = {grammar.start: 0}
-    for state, _ in grammar.arcs:
-        number.setdefault(state, len(number))
-    return {(number[a], s): (number[b], w) for (a, s), (b, w) in grammar.arcs.items()}
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, allowed, sample: int) -> DataFrame:
     """(id, text, y) of about ``sample`` labelled rows at most, chosen by a hash of the id."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null").filter(allowed("id"))
