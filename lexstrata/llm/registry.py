@@ -121,10 +121,10 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to
         FROM sized
     """,
-    "op2_url_filters": """
+    "op2_url_filters": r"""
         WITH captures AS (
             SELECT page_id, url, CAST('2024-01-01' AS TIMESTAMP) + to_hours(CAST(page_id * 37 % 8760 AS INTEGER)) AS fetched_at,
-                   lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+                   lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]*)', 1), '\.$', '')) AS host,
                    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS segments
             FROM pages
         ), hosts AS (

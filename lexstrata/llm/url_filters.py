@@ -24,7 +24,9 @@ BUCKET_SECONDS = 30 * 86400
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
+    """The host in lower case, without user, port and final dot; brackets of an address stay."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]*)", 1)
+    return F.lower(F.regexp_replace(host, r"\.$", ""))
 
 
 def path_of(url: Column) -> Column:
