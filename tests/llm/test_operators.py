@@ -520,6 +520,70 @@ def test_grammar_tells_kinds_apart():
     g = clause_grammar()
     assert g.run("OIO|") == "OpO|" and g.run("NOI|I|")[2] == "n" and g.run("NOI|I|")[4] == "p"
     assert g.run("ROI|I|")[2] == "q" and g.run("GI|") == "Gg|" and g.run("GT|") == "Gt|" and g.run("T|") == "O|"
+    assert g.run("IG|") == "gG|" and g.run("IOOOG|") == "pOOOG|" and g.run("I|G|") == "p|G|" and g.run("TOG|") == "tOG|"
+    assert g.run("NTG|") == "NnG|" and g.run("RTG|") == "RqG|"
+
+
+def brute_features(text, paths, kinds):
+    """Every path of every word, and every rule by its definition, word by word."""
+    from lexstrata.llm import toxicity as t
+
+    names = t._function_words()
+    totals, worst, strongest = dict.fromkeys(kinds, 0.0), 0.0, 0.0
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        read = []
+        for w in words:
+            accepting = [x for p, x in paths.items() if (w.startswith(p[:-1]) and len(w) > len(p) - 1 if p.endswith("*") else w == p)]
+            read.append(("I", max(accepting)) if accepting else (names.get(w, "O"), 2.0))
+        total = 0.0
+        for i, (symbol, weight) in enumerate(read):
+            if symbol not in "IT":
+                continue
+            near = lambda kind, places: any(0 <= j < len(read) and read[j][0] == kind for j in places)
+            aimed = near("G", range(i - 3, i)) or near("G", range(i + 1, i + 4))
+            if near("R", range(i)):
+                kind = "q"
+            elif near("N", range(i - 3, i)):
+                kind = "n"
+            elif symbol == "I":
+                kind = "g" if aimed else "p"
+            elif aimed:
+                kind = "t"
+            else:
+                continue
+            totals[kind] += weight
+            total += weight
+            strongest = max(strongest, weight)
+        worst = max(worst, total)
+    return [1.0, *(math.log1p(totals[k]) for k in kinds), math.log1p(worst), math.log1p(sum(totals.values()) - strongest)]
+
+
+def test_score_equals_brute_force_over_all_paths():
+    from lexstrata.llm.toxicity import KINDS, PRIOR, Scorer
+
+    r = random.Random(13)
+    paths = {"zorg": 3.0, "zorg*": 2.5, "zorgen*": 4.0, "blar*": 2.75, "blarf": 2.6, "schlagen": 3.5, "not*": 5.0}
+    scorer = Scorer(paths, PRIOR)
+    words = "zorg zorgs zorgen zorgend zorgenfrei blar blarf blarfy not nothing you your said kill schlagen töten ü fine day . ! ; \n".split(" ")
+    for _ in range(400):
+        text = " ".join(r.choice(words) for _ in range(r.randrange(25)))
+        expected = brute_features(text, paths, KINDS)
+        assert scorer.features(text) == pytest.approx(expected)
+        z = sum(a * b for a, b in zip(PRIOR, expected))
+        assert scorer.score(text) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    assert scorer.score(None) == scorer.score("") == scorer.score("fine day")
+
+
+@pytest.mark.parametrize("size", ["sf0.1"])
+def test_toxicity_on_held_out_labels(spark, size):
+    from lexstrata.llm.toxicity import score_toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    judged = score_toxicity(docs, labels).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    hits = sum(r.predicted and r.toxic == 1 for r in judged)
+    print("recall", hits / sum(r.toxic == 1 for r in judged), "precision", hits / sum(r.predicted for r in judged))
+    assert hits >= 0.93 * sum(r.toxic == 1 for r in judged) and hits >= 0.94 * sum(r.predicted for r in judged)
 
 
 # language model
@@ -755,6 +819,18 @@ def test_url_filters_as_of_fetch_time(spark):
     assert judge_captures(captures, events.limit(0)).filter("kept").count() == 6
 
 
+def test_hosts_of_odd_urls(spark):
+    from lexstrata.llm.url_filters import host_of, judge_captures
+
+    urls = {"http://user:pw@Evil.example/": "evil.example", "http://user@evil.example:80/x@y": "evil.example", "https://evil.example./": "evil.example", "http://[::1]:8080/": "[::1]", "http://a@b@evil.example": "evil.example", "nothing": "", "http://x.org?a@b": "x.org"}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", host_of(F.col("url")).alias("host")).collect()
+    assert {r.url: r.host for r in rows} == urls
+    captures = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)] + [(0, None, "y", 2)], "page_id int, url string, list string, bucket int").withColumn("fetched_at", F.lit("2024-01-05").cast("timestamp"))
+    events = spark.createDataFrame([("m", "host", "evil.example", "add", "2024-01-01")], "list string, kind string, pattern string, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    judged = judge_captures(captures, events).collect()
+    assert len(judged) == len(urls) + 1 and sum(not r.kept for r in judged) == 4
+
+
 # pipeline
 
 
