@@ -22,7 +22,7 @@ STOPWORDS = {
 }
 
 
-def _by_stopwords(plain: Column, candidates: list[str], stopwords: dict[str, list[str]]) -> Column:
+def _by_stopwords(words: Column, candidates: list[str], stopwords: dict[str, list[str]]) -> Column:
     """The language with most hits, every occurrence counted; a tie or no hit is null."""
 
     def winner(hits: Column) -> Column:
@@ -30,7 +30,7 @@ def _by_stopwords(plain: Column, candidates: list[str], stopwords: dict[str, lis
         winners = F.array_compact(F.array(*[F.when(hits[c] == best, c) for c in candidates]))
         return F.when((best > 0) & (F.size(winners) == 1), winners[0])
 
-    count = lambda known: F.regexp_count(plain, F.lit(r"(?<!\p{L})(?:" + "|".join(known) + r")(?!\p{L})"))
+    count = lambda known: F.size(F.filter(words, lambda w: w.isin(*known)))
     return let(F.struct(*[count(stopwords[c]).alias(c) for c in candidates]), winner)
 
 
@@ -38,7 +38,10 @@ def detect_language(text: Column, latin: tuple[str, ...] = ("en", "tr", "de"), s
     def of_plain(plain: Column) -> Column:
         letters, cyrillic = (F.length(F.regexp_replace(plain, f"[^{c}]+", "")) for c in (r"\p{L}", r"\p{IsCyrillic}"))
         count = lambda chars: F.length(plain) - F.length(F.translate(plain, chars, ""))
-        by_words = lambda c: _by_stopwords(plain, c, stopwords)
+        # Split once; only stop words of some candidate go on.
+        every = sorted({w for known in stopwords.values() for w in known})
+        stops = F.filter(F.split(plain, r"\P{L}+"), lambda w: w.isin(*every))
+        by_words = lambda c: let(stops, lambda words: _by_stopwords(words, c, stopwords))
         markers = F.struct(count(UKRAINIAN_ONLY).alias("uk"), count(RUSSIAN_ONLY).alias("ru"))
         east = let(markers, lambda m: F.when(m["uk"] > m["ru"], "uk").when(m["ru"] > m["uk"], "ru").otherwise(by_words(["ru", "uk"])))
         west = by_words(list(latin))

@@ -30,6 +30,8 @@ def values(spark, expr, rows, columns="a string"):
         ("Ein Wort (dies. Das! Ja?) bleibt ganz. So.", ["Ein Wort (dies. Das! Ja?) bleibt ganz.", "So."]),
         ("Wert 3.5 bleibt. §  4 beginnt  neu.", ["Wert 3.5 bleibt.", "§ 4 beginnt neu."]),
         ("Ende. klein geschrieben.", ["Ende. klein geschrieben."]),
+        ("Zu viel) hier. Weiter (so. Und ) fort. Neu (a. B", ["Zu viel) hier.", "Weiter (so. Und ) fort.", "Neu (a. B"]),
+        ("! Ja ? Nein", ["!", "Ja ?", "Nein"]),
     ],
 )
 def test_sentences(spark, paragraph, expected):
@@ -56,6 +58,9 @@ def test_citations(spark):
     assert values(spark, text.change_id(c), notes) == ["2026-bund-bgbl-i-107", "2003-bund-bgbl-ii-s345", "2020-bund-bgbl-i-7", None, None]
     assert values(spark, text.citation_label(c), notes) == ["BGBl. 2026 I Nr. 107", "BGBl. II 2003, 345", "BGBl. 2020 I Nr. 7", None, None]
     assert values(spark, text.article_label(c), notes) == ["Art. 11 Abs. 17", None, None, None, None]
+    more = ["Art. 3 a G v. 22. 7.2026 I Nr. 222 und G v. 1.1.2020 II 5", "Art. 7b VO v. 2.3.2021 II 17", "Abs. 2 G v. 2.3.2021 I 17", "Bek v. 1.2.2003 II 345", "XG v. 1.2.2003 II 345", "G v. 1.2.03 II 345", "G v. 1.2.2003 III 345"]
+    assert values(spark, text.article_label(c), more) == ["Art. 3a", "Art. 7b", None, None, None, None, None]
+    assert values(spark, text.change_id(c), more) == ["2026-bund-bgbl-i-222", "2021-bund-bgbl-ii-s17", "2021-bund-bgbl-i-s17", None, None, None, None]
 
 
 def test_effective_dates(spark):
@@ -64,7 +69,10 @@ def test_effective_dates(spark):
         ("Am Tag nach der Verkündung", d(2026, 1, 31), d(2026, 2, 1)), ("am Tage der Verkündung", d(2026, 1, 31), d(2026, 1, 31)),
         ("am ersten Tag des vierten auf die Verkündung folgenden Kalendermonats", d(2026, 1, 31), d(2026, 5, 1)), ("am ersten Tag des folgenden Monats", d(2026, 12, 31), d(2027, 1, 1)),
         ("einen Monat nach der Verkündung", d(2026, 1, 31), d(2026, 3, 3)), ("14 Tage nach der Verkündung", d(2026, 2, 20), d(2026, 3, 6)), ("am 1. März 2027", d(2026, 1, 1), d(2027, 3, 1)),
-        ("ab 05.06.2027", d(2026, 1, 1), d(2027, 6, 5)), ("am 30. Februar 2027", d(2026, 1, 1), None), ("irgendwann", d(2026, 1, 1), None), (None, d(2026, 1, 1), None),
+        ("ab 05.06.2027", d(2026, 1, 1), d(2027, 6, 5)), ("am 30. Februar 2027", d(2026, 1, 1), None), ("irgendwann", d(2026, 1, 1), None), (None, d(2026, 1, 1), None), ("", d(2026, 1, 1), None),
+        ("Dieses Gesetz tritt am ersten Tag des auf die Verkündung folgenden Kalendermonats in Kraft.", d(2026, 1, 31), d(2026, 2, 1)), ("tritt zwölf Monate nach der Verkündung in Kraft", d(2026, 1, 1), d(2027, 1, 1)),
+        ("am ersten Tag des xten auf die Verkündung folgenden Kalendermonats", d(2026, 1, 1), None), ("viele Tage nach der Verkündung", d(2026, 1, 1), None), ("drei Tagen nach der Verkündung", d(2026, 1, 1), d(2026, 1, 4)),
+        ("gilt ab 1.Januar 2027", d(2026, 1, 1), d(2027, 1, 1)), ("im Jahr 2027 am Tag nach der Verkündung", d(2026, 1, 1), d(2026, 1, 2)), ("(31. Juni 2026) am Tage der Verkündung", d(2026, 1, 1), d(2026, 1, 1)),
     ]
     got = values(spark, dates.effective_date(F.col("a"), F.col("b")), [(a, b) for a, b, _ in cases], "a string, b date")
     assert got == [c[2] for c in cases]
@@ -72,8 +80,13 @@ def test_effective_dates(spark):
 
 
 def test_numbers_and_values(spark):
-    assert values(spark, text.grouped_numbers_joined(F.col("a")), ["Um 48.300 Euro", "1 234 567 und 12.5", "1.2.2020"]) == ["um 48300 euro", "1234567 und 12.5", "1.2.2020"]
+    assert values(spark, text.grouped_numbers_joined(F.col("a")), ["Um 48.300 Euro", "1 234 567 und 12.5", "1.2.2020", "9.876.543.210.987.654.321 x 1.234", "12.3456 1234.567"]) == ["um 48300 euro", "1234567 und 12.5", "1.2.2020", "9876543210987654321 x 1234", "12.3456 1234.567"]
     assert values(spark, text.bare_values(F.col("a")), ["48.300 und 5 % am 1. 2. 2026, {{amount:a}} 2026-01-02", "nichts"]) == [["48.300", "5 %", "1. 2. 2026", "2026-01-02"], []]
+    found = [("Die Schwelle steigt auf 48.300 Euro.", "48.300"), ("Die Schwelle steigt auf 48 300 Euro.", "48 300"), ("Es kostet 500 €.", "500 €"), ("Der Satz beträgt 19 Prozent.", "19 Prozent"), ("Ab 01.09.2026 gilt es.", "01.09.2026"), ("Ab 2026-09-01 gilt es.", "2026-09-01"), ("1.234,56 EUR", "1.234,56")]
+    got = values(spark, text.bare_values(F.col("a")), [x for x, _ in found])
+    assert all(literal in g for (_, literal), g in zip(found, got))
+    clean = ["Das Gesetz von 2026 wurde geändert.", "Siehe § 18g Absatz 2.", "Es gibt 3 Ausnahmen.", "Ab {{ date:effective.0 }} sind es {{ amount:a.new }}."]
+    assert values(spark, text.bare_values(F.col("a")), clean) == [[]] * 4
     got = values(spark, quality.value_in_quote(F.col("a"), F.col("b")), [("um 48 Euro", 48.0), ("um 4830", 48.0), ("2,5 %", 2.5), ("3 %", 2.5), ("nichts", 7.0)], "a string, b double")
     assert got == [True, True, True, True, False]
 
