@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DIRECT, POSSIBLE, OTHER = "direct", "possible", "other"
+PROFILE = ["tags", "land", "interests", "answered"]
+RULE = ["lands", "general", "all_of", "any_of", "none_of", "topics", "impact"]
 REMINDER_DAYS = (14, 1, 0)
 
 
@@ -54,6 +56,37 @@ def explanation(tags: Column, all_of: Column, any_of: Column) -> Column:
     return F.array_sort(F.array_intersect(_set(tags), F.concat(_set(all_of), _set(any_of))))
 
 
+def classes(rows: DataFrame, columns: list[str], key: str, name: str, size: str) -> DataFrame:
+    """Distinct combinations of ``columns``, named by their smallest ``key``, with their sizes."""
+    return rows.groupBy(*columns).agg(F.min(key).alias(name), F.count(F.lit(1)).alias(size))
+
+
+def members(rows: DataFrame, columns: list[str], key: str, name: str) -> DataFrame:
+    """(key, name of its class)."""
+    found = classes(rows, columns, key, name, "_n").drop("_n")
+    same = [rows[c].eqNullSafe(found[c]) for c in columns]
+    return rows.join(found, same).select(rows[key], found[name])
+
+
+def class_matches(people: DataFrame, changes: DataFrame, person: str, change: str) -> DataFrame:
+    """profile, rule, people, changes, level, because, for classes that share a region.
+
+    People who answered alike have one profile and changes that ask alike one rule; only
+    these meet, so the work follows the number of different answers, not of people. Regions
+    make an equi-join: a rule without regions is listed under every region and under none.
+    """
+    profiles = classes(people, PROFILE, person, "profile", "people")
+    rules = classes(changes, RULE, change, "rule", "changes")
+    regions = profiles.select("land").distinct()
+    everywhere = rules.filter(F.size(_set(F.col("lands"))) == 0).join(regions)
+    somewhere = rules.filter(F.size("lands") > 0).withColumn("land", F.explode(F.array_distinct("lands")))
+    listed = everywhere.unionByName(somewhere).withColumnRenamed("land", "_land")
+    joined = profiles.join(listed, F.col("land").eqNullSafe(F.col("_land")))
+    level = match_level(*[F.col(c) for c in ("tags", "land", "interests", "answered", "lands", "general", "all_of", "any_of", "none_of", "topics", "impact")])
+    because = F.array_join(explanation(F.col("tags"), F.col("all_of"), F.col("any_of")), ",")
+    return joined.select("profile", "rule", "people", "changes", level.alias("level"), because.alias("because"))
+
+
 def effective_state(dates: Column, today: Column) -> Column:
     """upcoming, partially_in_force, in_force or unknown, from all effective dates."""
     known = F.filter(dates, lambda x: x.isNotNull())

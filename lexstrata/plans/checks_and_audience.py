@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import encoding_issues, html_outside
-from ..operators import audience, quality, snapshots
+from ..operators import audience, card_checks, quality, snapshots
 from .change_capture import NEW_SQL, OLD_SQL, OUTCOMES_SQL, old_and_new
 from .registry import query, table
 
@@ -46,21 +46,102 @@ def forbidden_wording(spark, d):
     return found.select("doc_id", F.col("id").alias("word"))
 
 
-@query("""WITH m AS (SELECT item_id, item_id % 3 = 0 AS kept, text FROM benchmark) SELECT d.doc_id, m.item_id FROM documents d JOIN m ON contains(d.text, m.text) WHERE NOT m.kept""")
+@query("""WITH g AS (SELECT DISTINCT word AS term, CASE WHEN length(word) % 3 = 0 THEN word ELSE upper(word) END AS rendering
+        FROM (SELECT string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4] || ' ' || string_split(text, ' ')[5] AS word FROM benchmark)),
+    c AS (SELECT doc_id, text AS master, CASE WHEN doc_id % 2 = 0 THEN text ELSE upper(text) END AS translation FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS subject, 'warning' AS severity, 'translation.glossary_term_missing' AS code, NULL::VARCHAR AS path
+    FROM c JOIN g ON contains(master, term) WHERE NOT contains(translation, rendering)""")
 def glossary_missing(spark, d):
-    """Terms a text mentions whose expected rendering is not in its translation."""
-    mentioned = quality.phrase_matches(table(spark, d, "documents"), table(spark, d, "benchmark"), "text", "text", "doc_id", "item_id").distinct()
-    rendered = table(spark, d, "benchmark").filter("item_id % 3 = 0").select("item_id")
-    return mentioned.join(rendered, "item_id", "left_anti").select("doc_id", "item_id")
-
-
-@query("SELECT l_orderkey, l_linenumber, TRUE AS whole, l_quantity <> 1 OR TRUE AS comma FROM lineitem")
+    """Terms a text mentions whose expected rendering is not in its translation: here the
+    translation is the text itself or its capitals, and so is the rendering of a term."""
+    words = F.split("text", " ")
+    term = F.concat_ws(" ", *[F.get(words, F.lit(k)) for k in range(1, 5)])
+    terms = table(spark, d, "benchmark").filter(F.size(words) >= 5).select(term.alias("term")).distinct()
+    glossary = terms.withColumn("rendering", F.when(F.length("term") % 3 == 0, F.col("term")).otherwise(F.upper("term")))
+    other = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.upper("text"))
+    cards = table(spark, d, "documents").filter("text is not null").select("doc_id", F.create_map(F.lit("summary"), "text").alias("master"), F.create_map(F.lit("summary"), other).alias("translation"))
+    return card_checks.glossary_issues(cards, glossary, "doc_id")
+
+
+@query("""WITH q AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, CAST(CAST(l_quantity + CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS VARCHAR) AS s FROM lineitem),
+    w AS (SELECT *, CAST(CAST(v AS BIGINT) AS VARCHAR) AS i, CASE WHEN l_linenumber % 2 = 0 THEN s || ',5' ELSE s || '.25' END AS h FROM q)
+    SELECT l_orderkey, l_linenumber, contains(s, i) AS whole, contains(h, CAST(CAST(round(v + 0.5) AS BIGINT) AS VARCHAR)) OR contains(h, i || '.5') OR contains(h, i || ',5') AS half FROM w""")
 def value_in_quote(spark, d):
-    whole = F.concat(F.lit("um "), F.col("l_quantity").cast("long").cast("string"), F.lit(" Euro"))
-    comma = F.concat(F.lit("um "), F.replace((F.col("l_quantity") + 0.5).cast("string"), F.lit("."), F.lit(",")), F.lit(" Euro"))
-    return table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", quality.value_in_quote(whole, F.col("l_quantity")).alias("whole"), quality.value_in_quote(comma, F.col("l_quantity") + 0.5).alias("comma")
-    )
+    """Quotes of a value, one in three of another value; halves written with a comma or as quarters."""
+    v, n = F.col("l_quantity"), F.col("l_linenumber")
+    said = (v + F.when(n % 3 == 0, 1).otherwise(0)).cast("long").cast("string")
+    whole, half = F.concat(F.lit("um "), said, F.lit(" Euro")), F.concat(F.lit("um "), said, F.when(n % 2 == 0, ",5").otherwise(".25"), F.lit(" Euro"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", quality.value_in_quote(whole, v).alias("whole"), quality.value_in_quote(half, v + 0.5).alias("half"))
+
+
+MONTHS_SQL = "['januar', 'februar', 'märz', 'april', 'mai', 'juni', 'juli', 'august', 'september', 'oktober', 'november', 'dezember']"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS p FROM orders), i AS (
+    SELECT k, 'error' AS severity, 'fact.quote_missing' AS code, 'amounts[0]' AS path FROM o WHERE k % 4 = 0
+    UNION ALL SELECT k, 'error', 'fact.quote_not_found', 'amounts[0].source_quote' FROM o WHERE k % 4 = 1
+    UNION ALL SELECT k, 'error', 'fact.value_not_in_quote', 'amounts[0].new' FROM o WHERE k % 4 = 2 AND NOT contains('auf ' || c || ' euro', CAST(c + k % 3 AS VARCHAR))
+    UNION ALL SELECT k, 'warning', 'fact.value_not_in_quote', 'amounts[0].old' FROM o WHERE k % 4 >= 2 AND NOT contains('auf ' || c || ' euro', CAST(c - k % 5 AS VARCHAR))
+    UNION ALL SELECT k, 'error', 'fact.value_not_in_quote', 'amounts[0].new' FROM o WHERE k % 4 = 3 AND NOT contains('auf ' || c || ' euro', CAST(c + k % 3 AS VARCHAR))
+    UNION ALL SELECT k, 'error', 'fact.rule_not_found', 'dates.effective[0].rule_text' FROM o WHERE k % 6 = 1
+    UNION ALL SELECT k, 'error', 'fact.derived_incomplete', 'dates.effective[0]' FROM o WHERE k % 5 < 3 AND (k % 6 > 1 OR k % 7 = 0)
+    UNION ALL SELECT k, 'error', 'fact.derived_mismatch', 'dates.effective[0].date' FROM o WHERE k % 5 < 3 AND k % 6 <= 1 AND k % 7 > 0 AND (k % 6 = 1 OR k % 2 = 1 OR k % 9 = 0)
+    UNION ALL SELECT k, 'warning', 'fact.date_not_found', 'dates.effective[0].date' FROM o WHERE k % 5 >= 3 AND k % 6 > 1 AND (CAST(p AS DATE) + CASE WHEN k % 9 = 0 THEN 2 ELSE 1 END) <> CAST(p AS DATE) + CASE WHEN k % 8 < 4 THEN 1 ELSE 4 END)
+    SELECT CAST(k AS VARCHAR) AS subject, severity, code, path FROM i""")
+def fact_issues(spark, d):
+    """Amounts with missing, strange, right and wrong quotes; dates with known, unknown and no
+    rules, derived rightly, wrongly and without the day of promulgation."""
+    k, c, p = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
+    rule = "tritt am Tag nach der Verkündung in Kraft"
+    stated = F.date_add(p, F.when(k % 8 < 4, 1).otherwise(4))
+    haystack = F.concat(F.lit("Der Betrag steigt\u00a0auf "), c.cast("string"), F.lit(f" Euro. Das Gesetz {rule}. Stichtag: "), card_checks.dates.spellings(stated)[(k % 4).cast("int")], F.lit("."))
+    quote = F.when(k % 4 == 0, " ").when(k % 4 == 1, "auf viele Taler").otherwise(F.concat(F.lit("auf "), c.cast("string"), F.lit("  Euro")))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", haystack.alias("text"))
+    amounts = rows.select(k.alias("subject"), F.lit(0).alias("place"), quote.alias("source_quote"), (c + k % 3).cast("double").alias("new"), (c - k % 5).cast("double").alias("old"), "text")
+    entries = rows.select(
+        k.alias("subject"), F.lit("effective").alias("section"), F.lit(0).alias("place"), F.when(k % 6 == 0, rule).when(k % 6 == 1, "im nächsten Sommer").alias("rule_text"),
+        (k % 5 < 3).alias("derived"), F.date_add(p, F.when(k % 9 == 0, 2).otherwise(1)).alias("date"), F.when(k % 7 > 0, p).alias("promulgated"), "text",
+    )
+    return quality.merged(card_checks.amount_issues(amounts), card_checks.date_issues(entries))
+
+
+CARD_KEYS = ["summary", "changes", "who"]
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS pr FROM orders), i AS (
+    SELECT k, 'error' AS severity, 'translation.placeholder_missing' AS code, NULL AS path FROM o WHERE k % 3 = 0
+    UNION ALL SELECT k, 'error', 'translation.placeholder_added', NULL FROM o WHERE k % 4 = 0
+    UNION ALL SELECT k, 'error', 'translation.bare_value', 'sections.changes' FROM o WHERE k % 5 = 0
+    UNION ALL SELECT k, 'error', 'translation.section_missing', 'sections.who' FROM o WHERE k % 6 = 1
+    UNION ALL SELECT k, 'error', 'translation.unknown_section', 'sections.more' FROM o WHERE k % 7 = 0
+    UNION ALL SELECT k, 'error', 'card.summary_too_long', 'sections.summary' FROM o WHERE k % 8 = 0
+    UNION ALL SELECT k, 'error', 'translation.wrong_language', NULL FROM o WHERE k % 9 = 0 AND k % 8 > 0
+    UNION ALL SELECT k, 'error', 'card.forbidden_wording', 'sections.who' FROM o WHERE k % 6 <> 1 AND pr = '1-URGENT' AND k % 2 = 1
+    UNION ALL SELECT k, 'warning', 'translation.glossary_term_missing', NULL FROM o WHERE pr IN ('2-HIGH', '3-MEDIUM') AND k % 10 > 0)
+    SELECT CAST(k AS VARCHAR) AS subject, severity, code, path FROM i""")
+def translation_issues(spark, d):
+    """Translations with each kind of fault, several in one where the conditions meet."""
+    k, pr = F.col("o_orderkey"), F.col("o_orderpriority")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    when = lambda test, x, y="": F.when(test, x).otherwise(y)
+    master = F.create_map(
+        F.lit("summary"), text("Das Gesetz wird geändert: {{ amount:a.new }} und {{date:effective.0}} "), F.lit("changes"), F.lit("Die Frist und der Betrag"),
+        F.lit("who"), text("Betrifft ", when(pr.isin("2-HIGH", "3-MEDIUM"), "den langen Weg zum Amt", "alle"), " hier"),
+    )
+    filler = F.when(k % 9 == 0, "das gesetz und die frist wird nicht für alle gelten").otherwise("the law and the term changes for you and that country")
+    entries = [
+        text(F.when(k % 3 > 0, "{{amount:a.new}} ").otherwise(""), "{{date:effective.0}} ", when(k % 4 == 0, "{{amount:b}} "), filler, when(k % 8 == 0, F.repeat(F.lit(" law"), 100))),
+        text("changed", when(k % 5 == 0, " by 48.300 units in all")),
+        F.when(k % 6 != 1, text("all people", when((pr == "1-URGENT") & (k % 2 == 1), " You SHOULD sue now"), when(k % 10 == 0, " go the long way to the office"))).otherwise(" "),
+    ]
+    known = F.map_from_arrays(F.array(*map(F.lit, CARD_KEYS)), F.array(*entries))
+    other = F.when(k % 7 == 0, F.map_concat(known, F.create_map(F.lit("more"), F.lit("")))).otherwise(known)
+    cards = table(spark, d, "orders").select(k.alias("subject"), F.lit("en").alias("lang"), master.alias("master"), other.alias("translation"))
+    # The office is named in the section "who" alone, which k % 6 = 1 leaves empty.
+    cards = cards.filter((F.col("subject") % 10 > 0) | (F.col("subject") % 6 != 1))
+    phrases = spark.createDataFrame([("you should sue", "en", "advice"), ("und", "de", "opinion")], "phrase string, lang string, category string")
+    glossary = spark.createDataFrame([("langen Weg zum Amt", "long way to the office"), ("kurzen Weg zum Amt", "x")], "term string, rendering string")
+    return card_checks.translation_issues(cards, CARD_KEYS, phrases, glossary)
 
 
 SECTIONS = ["system", "user", "assistant"]
@@ -103,7 +184,7 @@ def determinism_check(spark, d):
 PEOPLE_SQL = """people AS (SELECT c_custkey, [CASE WHEN c_custkey % 2 = 0 THEN 'work.a' ELSE 'work.b' END, 'home.' || (c_custkey % 3)] AS tags, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'l' || (c_custkey % 4) END AS land,
         ['t' || (c_custkey % 6)] AS interests, CASE WHEN c_custkey % 7 = 0 THEN ['work'] ELSE ['work', 'home', 'kids'] END AS answered FROM customer),
     changes AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN [] ELSE ['l' || (p_size % 4)] END AS lands, p_size % 10 = 0 AS general, CASE WHEN p_size % 2 = 0 THEN ['work.a'] ELSE [] END AS all_of,
-        CASE WHEN p_size % 4 = 1 THEN ['home.1', 'home.2'] ELSE [] END AS any_of, CASE WHEN p_size % 9 = 0 THEN ['work.b'] ELSE [] END AS none_of, ['t' || (p_size % 8)] AS topics, p_size % 4 AS impact FROM part WHERE p_retailprice > 0 AND p_brand = 'Brand#11'),
+        CASE WHEN p_size % 4 = 1 THEN ['home.1', 'home.2'] ELSE [] END AS any_of, CASE WHEN p_size % 9 = 0 THEN ['work.b'] ELSE [] END AS none_of, ['t' || (p_size % 8)] AS topics, p_size % 4 AS impact FROM part),
     g AS (SELECT *, list_distinct(list_transform(list_concat(all_of, any_of, none_of), lambda t: string_split(t, '.')[1])) AS asked FROM people JOIN changes ON len(lands) = 0 OR list_contains(lands, land)),
     m AS (SELECT *, list_has_any(none_of, tags) AS excluded, (len(all_of) + len(any_of) > 0 AND list_has_all(tags, all_of) AND (len(any_of) = 0 OR list_has_any(any_of, tags))) OR (general AND impact >= 2) AS fits,
         NOT list_has_all(answered, asked) OR (land IS NULL AND len(lands) > 0) AS capped, list_has_any(topics, interests)
@@ -121,7 +202,7 @@ def people_and_changes(spark, d):
     )
     s = F.col("p_size")
     some = lambda test, *tags: F.when(test, F.array(*map(F.lit, tags))).otherwise(F.array().cast("array<string>"))
-    changes = table(spark, d, "part").filter("p_retailprice > 0 and p_brand = 'Brand#11'").select(
+    changes = table(spark, d, "part").select(
         "p_partkey", F.when(s % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(text("l", s % 4))).alias("lands"), (s % 10 == 0).alias("general"),
         some(s % 2 == 0, "work.a").alias("all_of"), some(s % 4 == 1, "home.1", "home.2").alias("any_of"), some(s % 9 == 0, "work.b").alias("none_of"),
         F.array(text("t", s % 8)).alias("topics"), (s % 4).alias("impact"),
@@ -130,27 +211,24 @@ def people_and_changes(spark, d):
 
 
 def matches(spark, d):
-    """People and the changes of their region. Regions make an equi-join: a change without
-    regions is listed under every region and under none."""
     people, changes = people_and_changes(spark, d)
-    regions = people.select("land").distinct()
-    everywhere = changes.filter(F.size("lands") == 0).join(regions)
-    somewhere = changes.filter(F.size("lands") > 0).withColumn("land", F.explode("lands"))
-    listed = everywhere.unionByName(somewhere).withColumnRenamed("land", "_land")
-    joined = people.join(listed, F.col("land").eqNullSafe(F.col("_land")))
-    level = audience.match_level(*[F.col(c) for c in ("tags", "land", "interests", "answered", "lands", "general", "all_of", "any_of", "none_of", "topics", "impact")])
-    because = F.array_join(audience.explanation(F.col("tags"), F.col("all_of"), F.col("any_of")), ",")
-    return joined.select("c_custkey", "p_partkey", level.alias("level"), because.alias("because"))
+    return audience.class_matches(people, changes, "c_custkey", "p_partkey")
 
 
 @query(f"WITH {PEOPLE_SQL} SELECT p_partkey, level, count(*) AS people FROM levels GROUP BY ALL")
 def audience_match_level(spark, d):
-    return matches(spark, d).groupBy("p_partkey", "level").agg(F.count(F.lit(1)).alias("people"))
+    """People of each level for every change: counted by profile and rule, then by change."""
+    _, changes = people_and_changes(spark, d)
+    per_rule = matches(spark, d).groupBy("rule", "level").agg(F.sum("people").alias("people"))
+    return audience.members(changes, audience.RULE, "p_partkey", "rule").join(per_rule, "rule").select("p_partkey", "level", "people")
 
 
-@query(f"WITH {PEOPLE_SQL} SELECT c_custkey, p_partkey, because FROM levels WHERE level <> 'other'")
+@query(f"""WITH {PEOPLE_SQL}, pc AS (SELECT min(c_custkey) AS profile, tags, land, interests, answered, count(*) AS people FROM people GROUP BY ALL),
+    cc AS (SELECT min(p_partkey) AS rule, lands, general, all_of, any_of, none_of, topics, impact, count(*) AS changes FROM changes GROUP BY ALL)
+    SELECT profile, rule, people, changes, because FROM levels JOIN pc ON c_custkey = profile JOIN cc ON p_partkey = rule WHERE level <> 'other'""")
 def audience_explanation(spark, d):
-    return matches(spark, d).filter("level <> 'other'").select("c_custkey", "p_partkey", "because")
+    """Pairs of a profile and a rule that match, each named by its smallest member."""
+    return matches(spark, d).filter("level <> 'other'").select("profile", "rule", "people", "changes", "because")
 
 
 @query("""WITH o AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders GROUP BY 1)

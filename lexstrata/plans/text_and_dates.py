@@ -206,10 +206,15 @@ def explicit_date_parse(spark, d):
     )
 
 
-@query("SELECT o_orderkey, TRUE AS contained FROM orders")
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS p, CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS q FROM orders), t AS (SELECT *, 'ab ' || CASE k % 4
+        WHEN 0 THEN day(q) || '. ' || ['januar', 'februar', 'märz', 'april', 'mai', 'juni', 'juli', 'august', 'september', 'oktober', 'november', 'dezember'][month(q)] || ' ' || year(q)
+        WHEN 1 THEN strftime(q, '%d.%m.%Y') WHEN 2 THEN day(q) || '.' || month(q) || '.' || year(q) ELSE strftime(q, '%Y-%m-%d') END AS s FROM o)
+    SELECT k AS o_orderkey, contains(s, strftime(p, '%d.%m.%Y')) OR contains(s, strftime(p, '%Y-%m-%d')) OR contains(s, day(p) || '.' || month(p) || '.' || year(p))
+        OR contains(s, day(p) || '. ' || ['januar', 'februar', 'märz', 'april', 'mai', 'juni', 'juli', 'august', 'september', 'oktober', 'november', 'dezember'][month(p)] || ' ' || year(p)) AS contained FROM t""")
 def date_spellings(spark, d):
-    p = F.to_date("o_orderdate")
-    text_ = dates.spellings(p)[(F.col("o_orderkey") % 4).cast("int")]
+    """One text in three names the day after."""
+    p, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    text_ = dates.spellings(F.date_add(p, F.when(k % 3 == 0, 1).otherwise(0)))[(k % 4).cast("int")]
     return table(spark, d, "orders").select("o_orderkey", F.exists(dates.spellings(p), lambda s: F.contains(F.concat(F.lit("ab "), text_), s)).alias("contained"))
 
 

@@ -37,7 +37,7 @@ def parse_provenance(blames: DataFrame, keys: list[str], text: str) -> DataFrame
     last = lambda c: F.last(c, ignorenulls=True).over(by)
     is_head = F.col("_l").rlike(header)
     rows = lines.withColumns({"commit": last(F.when(is_head, F.regexp_extract("_l", header, 1))), "line_no": last(F.when(is_head, F.regexp_extract("_l", header, 2).cast("int")))})
-    authors = rows.filter(F.col("_l").startswith("author ")).groupBy(*keys, "commit").agg(F.min(F.substring("_l", 8, 500)).alias("author"))
+    authors = rows.filter(F.col("_l").startswith("author ")).groupBy(*keys, "commit").agg(F.min(F.substr("_l", F.lit(8))).alias("author"))
     content = rows.filter(F.col("_l").startswith("\t")).select(*keys, "line_no", "commit", F.substr("_l", F.lit(2)).alias("content"))
     return content.join(authors, [*keys, "commit"], "left").select(*keys, "line_no", "commit", "author", "content")
 
