@@ -255,11 +255,3 @@ def preview_accuracy(spark, d):
     both = count(old, "p").join(count(new, "q"), ["doc_id", "line"], "full_outer").fillna(0, ["p", "q"])
     share = 100 * F.sum(F.least("p", "q")) / F.sum(F.greatest("p", "q"))
     return both.groupBy("doc_id").agg(F.round(share, 2).alias("matched_percent"))
-
-
-@query(f"WITH {OLD_SQL}, {NEW_SQL}, {OUTCOMES_SQL} SELECT doc_id FROM outcomes WHERE outcome IN ('created', 'updated')")
-def rebuild_all(spark, d):
-    """Derived tables recomputed from the log equal those kept up to date step by step."""
-    old, new = old_and_new(spark, d)
-    found = snapshots.compare_snapshots(old, new, "doc_id", "text")
-    return found.filter(F.col("outcome").isin("created", "updated")).select("doc_id")
