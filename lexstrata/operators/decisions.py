@@ -69,14 +69,14 @@ def confirmed_missing(misses: Column, gone: Column, confirmations: int = CONFIRM
     return (misses >= confirmations) & F.coalesce(gone, F.lit(False))
 
 
-def accepted_answers(attempts: DataFrame, request: str, place: str, attempt: str, valid: str, repairs: int = REPAIRS) -> DataFrame:
+def accepted_answers(attempts: DataFrame, request: str, place: str, attempt: list[str], valid: str, repairs: int = REPAIRS) -> DataFrame:
     """One row a request: model place and attempt of the answer that counts (null: none), and
     attempts that were made up to it.
 
     A model of the chain (``place`` from 0) answers and may repair ``repairs`` times; later
     attempts of it are never made, and the next model's turn comes only after that.
     """
-    by_model = Window.partitionBy(request, place).orderBy(attempt)
+    by_model = Window.partitionBy(request, place).orderBy(*attempt)
     made = attempts.withColumn("_n", F.row_number().over(by_model)).filter(F.col("_n") <= repairs + 1)
     at = F.struct(F.col(place).alias("place"), F.col("_n").alias("attempt"))
     first = made.groupBy(request).agg(F.min(F.when(F.col(valid), at)).alias("_at"), F.sort_array(F.collect_list(at)).alias("_all"))  # at most repairs + 1 a model

@@ -85,13 +85,13 @@ def confirmed_missing(spark, d):
     return last.select("user_id", misses.alias("misses"), decisions.confirmed_missing(misses, F.col("user_id") % 2 == 0).alias("repealed"))
 
 
-@query("""WITH a AS (SELECT l_orderkey, (l_linenumber - 1) // 4 AS place, row_number() OVER (PARTITION BY l_orderkey, (l_linenumber - 1) // 4 ORDER BY l_linenumber) AS n, l_quantity > 40 AS valid FROM lineitem),
+@query("""WITH a AS (SELECT l_orderkey, (l_linenumber - 1) // 4 AS place, row_number() OVER (PARTITION BY l_orderkey, (l_linenumber - 1) // 4 ORDER BY l_linenumber, l_quantity) AS n, l_quantity > 40 AS valid FROM lineitem),
     m AS (SELECT * FROM a WHERE n <= 3), f AS (SELECT l_orderkey, min(place * 100 + n) FILTER (valid) AS best FROM m GROUP BY 1)
     SELECT l_orderkey, CAST(best // 100 AS INTEGER) AS place, CAST(best % 100 AS INTEGER) AS attempt, (SELECT count(*) FROM m WHERE m.l_orderkey = f.l_orderkey AND (best IS NULL OR place * 100 + n <= best)) AS made FROM f""")
 def repair_loop(spark, d):
     place = F.expr("(l_linenumber - 1) div 4").cast("int")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", place.alias("place"), (F.col("l_quantity") > 40).alias("valid"))
-    return decisions.accepted_answers(rows, "l_orderkey", "place", "l_linenumber", "valid").select("l_orderkey", "place", "attempt", F.col("made").cast("long").alias("made"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", place.alias("place"), (F.col("l_quantity") > 40).alias("valid"))
+    return decisions.accepted_answers(rows, "l_orderkey", "place", ["l_linenumber", "l_quantity"], "valid").select("l_orderkey", "place", "attempt", F.col("made").cast("long").alias("made"))
 
 
 @query("""WITH r AS (SELECT user_id, arg_max(CASE WHEN event_type = 'error' THEN 'none' ELSE event_type END, (ts, event_id)) AS state FROM events GROUP BY 1)
