@@ -234,3 +234,14 @@ def test_content_store_writes_once(spark, tmp_path):
     store_new(rows, path, "source", "day", "content")
     store_new(rows, path, "source", "day", "content")
     assert spark.read.parquet(path).count() == 2
+
+
+def test_phrases_long_short_and_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 2)
+    texts = {1: "the quick brown fox jumps", 2: "a quick brown dog", 3: "", 4: None, 5: "hot hot hot quick brown fox"}
+    phrases = {"a": "uick brown fo", "b": "fox", "c": "hot hot", "d": "ick", "e": "", "f": None, "g": "k b", "h": "brown fox jumps high"}
+    left = spark.createDataFrame(list(texts.items()), "k int, t string")
+    right = spark.createDataFrame(list(phrases.items()), "p string, w string")
+    expected = sorted((k, p) for k, t in texts.items() for p, w in phrases.items() if t is not None and w and w in t)
+    assert sorted(tuple(r) for r in quality.phrase_matches(left, right, "t", "w", "k", "p").collect()) == expected
+    assert quality.phrase_matches(left, right.limit(0), "t", "w", "k", "p").count() == 0
