@@ -88,10 +88,24 @@ def structure_nodes(documents: DataFrame, keys: list[str], markup: str) -> DataF
     return heads.select(*keys, F.col("place").alias("node"), "parent", F.col("level").alias("depth"), title.alias("title"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
+CELL = r"(?is)<t[hd]\b([^>]*)>(.*?)</t[hd]>"
+
+
 def table_rows(markup: Column) -> Column:
     """A table's cells: an array of rows of raw cells."""
-    rows = F.regexp_extract_all(markup, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    return F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)))
+    return F.transform(_row_markup(markup), lambda r: F.regexp_extract_all(r, F.lit(CELL), F.lit(2)))
+
+
+def _row_markup(markup: Column) -> Column:
+    return F.regexp_extract_all(markup, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+
+
+def _html_cell(cell: Column) -> Column:
+    """A cell with its row and column spans, so that merged cells keep their places."""
+    head = F.regexp_extract(cell, CELL, 1)
+    span = lambda name: F.regexp_extract(head, rf"(?i)\b{name}\s*=\s*[\"']?(\d+)", 1)
+    written = [F.when(span(n) > "1", F.concat(F.lit(f' {n}="'), span(n), F.lit('"'))).otherwise("") for n in ("rowspan", "colspan")]
+    return F.concat(F.lit("<td"), *written, F.lit(">"), escape_html(collapse(unescape(strip_tags(F.regexp_extract(cell, CELL, 2))))), F.lit("</td>"))
 
 
 def is_ragged(rows: Column) -> Column:
@@ -112,8 +126,8 @@ def render_table(markup: Column) -> Column:
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     rule = line(F.transform(cells[0], lambda _: F.lit("---")))
     gfm = F.array_join(F.concat(F.array(line(cells[0]), rule), F.transform(F.slice(cells, 2, F.greatest(F.size(cells), F.lit(1))), line)), "\n")
-    html_row = lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), escape_html(collapse(unescape(strip_tags(c)))), F.lit("</td>"))), ""), F.lit("</tr>"))
-    html = F.concat(F.lit("<table>\n"), F.array_join(F.transform(rows, html_row), "\n"), F.lit("\n</table>"))
+    html_row = lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.regexp_extract_all(r, F.lit(CELL), F.lit(0)), _html_cell), ""), F.lit("</tr>"))
+    html = F.concat(F.lit("<table>\n"), F.array_join(F.transform(_row_markup(markup), html_row), "\n"), F.lit("\n</table>"))
     return F.when(F.size(rows) == 0, "").when(merged | is_ragged(rows), html).otherwise(gfm)
 
 
