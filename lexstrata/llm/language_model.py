@@ -37,6 +37,7 @@ HEAD = 300_000
 ROUNDS = 2
 FLUSH_WORDS = 1_000_000
 BLOCK = 4096
+TASK_TOKENS = 1 << 24
 FAN_IN = 256
 
 
@@ -144,8 +145,10 @@ def train_round(docs: DataFrame, vocabulary, model: Model) -> Model:
         for at in range(0, len(used), 64):
             yield _change_batch([(k, salt, change[k], squares[k]) for k in used[at : at + 64]])
 
-    parts = docs.select("text").mapInArrow(learn, _CHANGE)
-    if docs.rdd.getNumPartitions() > FAN_IN:
+    # A task sends both tables whole, so small partitions go together, but no core stays idle.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(model.v.tokens / TASK_TOKENS))
+    parts = docs.select("text").coalesce(tasks).mapInArrow(learn, _CHANGE)
+    if tasks > FAN_IN:
         parts = _added_up(parts, "block", "salt")
     flat = np.concatenate([model.rows.ravel(), model.cells]).reshape(-1, BLOCK)
     for r in _added_up(parts, "block").collect():  # one row a block of the tables
@@ -175,12 +178,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.concat_arrays(c) for c in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *columns], names=["row", "id", *_SCORED])
 
-    schema = f"row long, id {docs.schema[id_col].dataType.simpleString()}, n long, known long, log_count double, log_model double, words array<string>, counts array<int>"
+    schema = f"row long, id {docs.schema[id_col].dataType.simpleString()}, n long, known long, log_count double, log_model double, words array<string>"
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     part = materialize(numbered.mapInArrow(score, schema), "lm-scored")
 
-    outside = part.select("row", F.explode(F.arrays_zip("words", "counts")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.counts").alias("k"))
-    seen = outside.join(words, "word", "left").select("row", F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("known"), (F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("log_count"))
+    outside = part.select("row", F.explode("words").alias("word")).join(words, "word", "left")
+    seen = outside.select("row", F.col("n").isNotNull().cast("long").alias("known"), F.log10(F.coalesce("n", F.lit(0)) + SMOOTH).alias("log_count"))
     # A word outside the head adds its log count to both scores; the model took its leaf's total off.
     seen = seen.withColumn("log_model", F.col("log_count"))
     flat = part.select("row", "id", "n", "known", "log_count", "log_model").unionByName(seen, allowMissingColumns=True)
@@ -191,7 +194,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-_SCORED = {"n": pa.int64(), "known": pa.int64(), "log_count": pa.float64(), "log_model": pa.float64(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int32())}
+_SCORED = {"n": pa.int64(), "known": pa.int64(), "log_count": pa.float64(), "log_model": pa.float64(), "words": pa.list_(pa.string())}
 
 
 def _scored(model: Model, tokens: Tokens) -> list[pa.Array]:
@@ -204,8 +207,7 @@ def _scored(model: Model, tokens: Tokens) -> list[pa.Array]:
     logs[outside] -= v.log_rest[tokens.leaf[outside] - v.size]
     known = np.bincount(text[frequent], minlength=n) + (v.docs > 0)
     log_count = np.bincount(text[frequent], weights=v.log_counts[tokens.leaf[frequent]], minlength=n) + math.log10(v.docs + SMOOTH)
-    ends = np.searchsorted(tokens.outside_text, np.arange(n + 1)).tolist()
-    found = [Counter(tokens.outside[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    words = [[w.decode("utf-8", "surrogatepass") for w in c] for c in found]
-    values = (tokens.sizes, known, log_count, np.bincount(text, weights=logs, minlength=n), words, [list(c.values()) for c in found])
-    return [pa.array(x, t) for x, t in zip(values, _SCORED.values(), strict=True)]
+    ends = pa.array(np.searchsorted(tokens.outside_text, np.arange(n + 1)), pa.int32())
+    words = pa.ListArray.from_arrays(ends, pa.array(tokens.outside, pa.binary()).cast(pa.string()))
+    values = (tokens.sizes, known, log_count, np.bincount(text, weights=logs, minlength=n))
+    return [*(pa.array(x, t) for x, t in zip(values, _SCORED.values())), words]
