@@ -21,21 +21,23 @@ has (c + 0.1) / (N + 0.1 * (V + 1)) of it, which leaves one share for unknown wo
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 
 import numpy as np
 
 SMOOTH = 0.1
-CLASSES = 32
+CLASSES = 16
 RESTS = 64
 FEATURES = 4
 NODE_FEATURES = 3
 RATE = 0.3
-STEP_TOKENS = 1 << 15
+STEP_TOKENS = 1 << 16
+CHUNK_TOKENS = 1 << 14
 LOGIT_LIMIT = 40.0
-BUCKETS, MOST_BUCKETS, BUCKET_TOKENS = 1 << 14, 1 << 16, 4096
-CELLS, MOST_CELLS, CELL_TOKENS = 1 << 18, 1 << 21, 64
+BUCKETS, MOST_BUCKETS, BUCKET_TOKENS = 1 << 14, 1 << 16, 8192
+CELLS, MOST_CELLS, CELL_TOKENS = 1 << 20, 1 << 22, 128
 
 
 def table_size(tokens: int, per: int, least: int, most: int) -> int:
@@ -49,13 +51,10 @@ def mix32(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def word_hash(word: bytes) -> int:
-    return zlib.crc32(word, 0x9747B28C)
-
-
-def rest_of(word: bytes) -> int:
-    """The leaf, behind the head's, of a word outside the head. SQL: crc32(word) % RESTS."""
-    return zlib.crc32(word) % RESTS
+def word_sums(words: list[bytes]) -> np.ndarray:
+    """Checksums of words. A word outside the head belongs to leaf ``checksum % RESTS`` behind
+    the head's (in SQL: crc32(word) % RESTS); context features mix it further."""
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
 class Vocabulary:
@@ -71,7 +70,7 @@ class Vocabulary:
         counts = np.array([head[w.decode("utf-8", "surrogatepass")] for w in words] or np.zeros(0), dtype=float)
         self.index = {w: i for i, w in enumerate(words)}
         self.size, self.end = len(words), len(words) + RESTS
-        self.hashes = np.array([word_hash(w) for w in words], dtype=np.uint32)
+        self.hashes = mix32(word_sums(words))
         self.log_counts = np.log10(counts + SMOOTH)
         shares = [rest.get(r, (0, 0)) for r in range(RESTS)]
         totals = np.array([n + SMOOTH * (v + 1) for n, v in shares])
@@ -134,14 +133,13 @@ class Tokens:
         v = vocabulary
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         words = [w for t in texts for w in t] if len(texts) > 1 else texts[0] if texts else []
-        get = v.index.get
-        row = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        hashes = np.zeros(len(words), np.uint32)
-        hashes[row >= 0] = v.hashes[row[row >= 0]]
+        row = np.fromiter(map(v.index.get, words, itertools.repeat(-1)), np.int64, len(words))
         strange = np.flatnonzero(row < 0)
         self.outside = [words[i] for i in strange.tolist()]
-        hashes[strange] = np.fromiter(map(word_hash, self.outside), np.uint32, len(strange))
-        row[strange] = v.size + np.fromiter(map(rest_of, self.outside), np.int64, len(strange))
+        sums = word_sums(self.outside)
+        hashes = v.hashes.take(row, mode="clip") if v.size else np.zeros(len(words), np.uint32)
+        hashes[strange] = mix32(sums)
+        row[strange] = v.size + sums % RESTS
 
         text = np.repeat(np.arange(len(texts)), sizes)
         self.sizes = sizes + 1
@@ -199,8 +197,8 @@ class Model:
     def log_probability(self, tokens: Tokens) -> np.ndarray:
         """log10 P(leaf | context) of each token."""
         out = np.empty(len(tokens.leaf))
-        for begin in range(0, len(out), STEP_TOKENS):
-            part = slice(begin, begin + STEP_TOKENS)
+        for begin in range(0, len(out), CHUNK_TOKENS):
+            part = slice(begin, begin + CHUNK_TOKENS)
             keys, leaf = [k[part] for k in tokens.keys], tokens.leaf[part]
             z, _ = self.class_logits(keys)
             own = z[np.arange(len(leaf)), self.v.classes[leaf]].astype(float)
@@ -225,32 +223,34 @@ class Descent:
         self.cell_squares = np.zeros_like(start.cells)
 
     def step(self, tokens: Tokens) -> None:
-        for begin in range(0, len(tokens.leaf), STEP_TOKENS):
-            part = slice(begin, begin + STEP_TOKENS)
-            keys, leaf = [k[part] for k in tokens.keys], tokens.leaf[part]
-            self._classes(keys, leaf)
-            self._decisions(keys, leaf)
-
-    def _classes(self, keys: list[np.ndarray], leaf: np.ndarray) -> None:
-        model = self.model
-        z, at = model.class_logits(keys)
+        """A step for each ``STEP_TOKENS``; gradients are gathered in chunks that fit a cache."""
+        for first in range(0, len(tokens.leaf), STEP_TOKENS):
+            row_sums = np.zeros(self.model.rows.shape[::-1], np.float32)  # a class's sums lie together
+            # Not zeros_like: np.add.at is quick only for numpy's own type object, which arrays that
+            # came by pickle do not carry.
+            cell_sums = np.zeros(len(self.model.cells), np.float32)
+            for begin in range(first, min(first + STEP_TOKENS, len(tokens.leaf)), CHUNK_TOKENS):
+                part = slice(begin, min(begin + CHUNK_TOKENS, first + STEP_TOKENS))
+                keys, leaf = [k[part] for k in tokens.keys], tokens.leaf[part]
+                self._gather_classes(keys, leaf, row_sums)
+                self._gather_decisions(keys, leaf, cell_sums)
+            _descend(self.model.rows, self.row_squares, np.ascontiguousarray(row_sums.T))
+            _descend(self.model.cells, self.cell_squares, cell_sums)
+
+    def _gather_classes(self, keys: list[np.ndarray], leaf: np.ndarray, sums: np.ndarray) -> None:
+        z, at = self.model.class_logits(keys)
         np.exp(z, out=z)
         z /= z.sum(axis=1)[:, None]
-        z[np.arange(len(leaf)), model.v.classes[leaf]] -= 1
+        z[np.arange(len(leaf)), self.model.v.classes[leaf]] -= 1
         flat, error = at.ravel(), np.ascontiguousarray(z.T)
-        sums = np.empty_like(model.rows)
         for c in range(CLASSES):
-            sums[:, c] = np.bincount(flat, weights=np.tile(error[c], FEATURES), minlength=len(sums))
-        _descend(model.rows, self.row_squares, sums)
+            sums[c] += np.bincount(flat, weights=np.tile(error[c], FEATURES), minlength=sums.shape[1])
 
-    def _decisions(self, keys: list[np.ndarray], leaf: np.ndarray) -> None:
-        model = self.model
-        odds, sides, cell, _ = model.decisions(keys, leaf)
+    def _gather_decisions(self, keys: list[np.ndarray], leaf: np.ndarray, sums: np.ndarray) -> None:
+        odds, sides, cell, _ = self.model.decisions(keys, leaf)
         error = 1 / (1 + np.exp(-odds))
         error -= sides
-        sums = np.zeros(len(model.cells), np.float32)
         np.add.at(sums, cell.ravel(), np.tile(error, NODE_FEATURES))
-        _descend(model.cells, self.cell_squares, sums)
 
 
 def _descend(weights: np.ndarray, squares: np.ndarray, sums: np.ndarray) -> None:
