@@ -183,8 +183,9 @@ def replace_placeholders(text: Column, keys: Column, values: Column) -> Column:
     return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["k"], F.coalesce(p["v"], p["k"])))
 
 
-# A run of digits, single separators between them, and the word or sign behind.
-_NUMBER_RUN = r"(?U)(?<!\w)\d+(?:[.,\-\x{00A0}\x{202F} ] ?\d+)*(?:\s*[€%]|\s*\p{L}+)?(?!\w)"
+# A run of digits, single separators between them, and the word or sign behind. The repetition is
+# possessive: it then runs as a loop, however long the run is.
+_NUMBER_RUN = r"(?U)(?<!\w)\d+(?:[.,\-\x{00A0}\x{202F} ] ?\d+)*+(?:\s*[€%]|\s*\p{L}+)?(?!\w)"
 
 
 def _literals(run: Column) -> Column:
