@@ -9,10 +9,11 @@
    only: as many pairs as members, never all pairs. The odd sketches of a pair, XORed,
    have a population count that grows with the symmetric difference; pairs far above the
    count expected at the threshold are dropped, the rest is verified on full shingle sets.
-4. Verified links are contracted to components. While large buckets still hold several
-   components, each takes a new pivot from outside its first member's component and its
+4. Verified links are contracted to components. Large buckets that still hold several
+   components each take a new pivot from outside their first member's component, and their
    members of other components are compared with that one: a round is linear again, and
-   members that join a component stay out of the next.
+   members that join a component stay out of the next. Rounds go on while each halves the
+   members outside.
 5. What still differs is compared by sketches, members outside the first member's component
    against all. Small buckets name the pairs that come close; large ones are dealt as blocks
    with full sets and verified where blocks meet, so that only links leave a task. No pair
@@ -51,7 +52,6 @@ SKETCH_WORDS = 8
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 SMALL_BUCKET = 64
-PIVOT_ROUNDS = 6
 SALTS = 16
 _WORD_CACHE: dict[bytes, int] = {}
 _WORD_CACHE_MAX = 600_000
@@ -312,11 +312,14 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     edges = materialize(_verified(star, texts, width, percent), "near-links")
     labels = connected_components(edges) if not edges.isEmpty() else nodes.select("node", F.col("node").alias("component")).limit(0)
 
-    for turn in range(PIVOT_ROUNDS + 1):
+    turn, before = 0, math.inf
+    while True:
         mixed = _mixed_members(shared, labels, nodes)
         large = mixed.filter(F.col("members") > SMALL_BUCKET)
-        if turn == PIVOT_ROUNDS or large.isEmpty():
+        outside = large.filter("component <> main").count()
+        if not outside or 2 * outside > before:  # rounds go on while each halves what differs
             break
+        turn, before = turn + 1, outside
         links = _pivot_links(large, turn, nodes, texts, percent, limit, width)
         if links.isEmpty():
             break
