@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from .common import materialize, remove_path, work_path
 
-CAPACITY = 16_384
+CAPACITY = 4096
 MOST_DEPTH = 20
 SPARE_BITS = 3
 HOT_SHARE = 10_000
