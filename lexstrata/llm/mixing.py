@@ -38,7 +38,8 @@ TEMPERATURE = 0.7
 GRAIN = 4096
 MOST_SOURCES = 10_000
 MOST_SLOTS = 1 << 18
-SHARD_ROWS = 200_000
+LEAST_SHARD = 1024
+MOST_SHARDS = 10_000
 
 
 def exact_weight(weight) -> Fraction:
@@ -122,7 +123,7 @@ def schedule(counts: dict[str, int], target: dict[str, object], block_size: int)
     return plan, sources
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, object] | None = None, id_col: str = "doc_id", source_col: str = "source", block_size: int = BLOCK_SIZE, temperature: float = TEMPERATURE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, object] | None = None, id_col: str = "doc_id", source_col: str = "source", block_size: int = BLOCK_SIZE, temperature: float = TEMPERATURE, least_shard: int = LEAST_SHARD) -> DataFrame:
     """Place every row: id, source, source_row, block, release, deadline, slot, place.
 
     ``weights``: target weight by source name (None: the null source) as int, Fraction or
@@ -140,6 +141,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, object] | None = None
     sources = spark.createDataFrame(source_rows, "key string, shares long, period long, first_slot long, n long")
 
     # A source may hold a third of all rows: number rows inside (source, shard) and add offsets.
+    # A shard holds about a 10,000th of all rows, so no more than that many offsets are added up.
+    shard_rows = max(least_shard, sum(counts.values()) // MOST_SHARDS)
     shards = F.ceil(F.col("n") / shard_rows).cast("long")
     rows = rows.join(F.broadcast(sources), "key").withColumn("shard", F.pmod(F.xxhash64("id"), shards))  # at most MOST_SOURCES rows
     sizes = materialize(rows.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")

@@ -50,7 +50,8 @@ PHASES = 6
 GAP = 0.0005
 LAG = 0.05
 RISE = 0.5
-SHARD_ROWS = 200_000
+LEAST_SHARD = 1024
+MOST_SHARDS = 10_000
 BATCH_CHARS = 1 << 20
 
 
@@ -210,7 +211,7 @@ def plan_rows(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
     return rows
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = LIMIT, phases: int = PHASES, order: DataFrame | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = LIMIT, phases: int = PHASES, order: DataFrame | None = None, least_shard: int = LEAST_SHARD) -> DataFrame:
     """One row a piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     ``order``: (id, position) with one row an id. Pieces of a length are then handed out by
@@ -231,6 +232,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     slots = spark.createDataFrame(plan_rows(plan), "length int, rank_from long, rank_to long, copies long, configuration long, sequences long, first_offset long")
 
     # A length may belong to a third of all pieces: rank inside ranges of positions and add up.
+    # A range holds about a 10,000th of all pieces at most, so no more than that many are added up.
+    shard_rows = max(least_shard, sum(histogram.values()) // MOST_SHARDS)
     cuts = spark.createDataFrame([(r.length, -(-(r.last + 1) // -(-r.n // shard_rows))) for r in counted], "length int, width long")
     sharded = pieces.join(F.broadcast(cuts), "length").withColumn("shard", F.expr("position div width")).drop("width")
     sizes = materialize(sharded.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n")), "pack-sizes")

@@ -283,7 +283,7 @@ def test_mixing_places_every_row_once(spark):
     sources = [r.choice(["a"] * 6 + ["b"] * 3 + [None, "zero", "unknown"]) for _ in range(500)]
     docs = make(spark, ["t"] * 500, sources=sources).withColumns({"slot": F.lit("s"), "place": F.lit(None)})
     weights = {"a": 0.5, "b": 0.25, None: 0.25, "zero": 0.0}
-    rows = mix_sources(docs, weights, block_size=4, shard_rows=50).collect()
+    rows = mix_sources(docs, weights, block_size=4, least_shard=50).collect()
     assert sorted(x.doc_id for x in rows) == list(range(500))
     by_slot = defaultdict(set)
     for x in rows:
@@ -346,7 +346,7 @@ def check_pieces(rows, texts, tokenizer, sequence):
 def test_packing_is_gapless_and_close_to_the_bound(spark, corpus, tokenizer):
     from lexstrata.llm.packing import pack
 
-    tokens, n = check_pieces(pack(make(spark, corpus), shard_rows=7).collect(), corpus, tokenizer, "sequence_id")
+    tokens, n = check_pieces(pack(make(spark, corpus), least_shard=7).collect(), corpus, tokenizer, "sequence_id")
     assert n <= math.ceil(tokens / 1024) + 1
     assert pack(make(spark, [])).count() == 0
 
