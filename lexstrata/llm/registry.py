@@ -101,11 +101,56 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_report
+
+    return shard_report(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_report
+
+    prepare(spark)
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def _centroid_sql(rounds: int = 5) -> str:
+    """Every distance of every round, without bounds."""
+    steps = ["""
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, v AS c FROM x ORDER BY sha256('2:' || vec_id) LIMIT 40)
+    """]
+    for r in range(rounds + 1):
+        steps.append(f"""
+        d{r} AS (SELECT vec_id, v, cluster, CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS distance FROM x, c{r})
+        """)
+        steps.append(f"a{r} AS (SELECT vec_id, any_value(v) AS v, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM d{r} GROUP BY vec_id)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT cluster, i, CAST(floor(sum(v[i])::DOUBLE / count(*)) AS BIGINT) AS m FROM a{r}, range(1, 65) AS g(i) GROUP BY cluster, i)")
+            steps.append(f"m{r} AS (SELECT cluster, list(m ORDER BY i) AS c FROM s{r} GROUP BY cluster)")
+            steps.append(f"c{r + 1} AS (SELECT c{r}.cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))")
+    return f"""
+        WITH x AS (
+            SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+        ), {", ".join(steps)}
+        SELECT vec_id, CAST(a{rounds}.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a{rounds}.cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (cluster)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_url_filters, op3_mixing, op4_exact_dedup, op5_minhash_near_dedup,
         op6_token_output, op7_best_fit_packing, op8_quality_rules, op9_toxicity, op10_language_model,
+        op11_filter_audit, op12_sharding, op13_centroid_clustering,
     )
 }
 
@@ -165,6 +210,42 @@ ORACLE_SQL: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_filter_audit": r"""
+        WITH judged AS (
+            SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1
+        ), d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+        ), masks AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   CAST(len(words) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT)
+                   + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+                   + 16 * CAST(coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS INT) AS mask
+            FROM d LEFT JOIN judged USING (doc_id)
+        ), counts AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM masks GROUP BY 1, 2
+        ), letters AS (
+            SELECT chr(CAST(64 + i AS INT)) AS l, CAST(1 << (i - 1) AS INT) AS bit FROM range(1, 6) AS g(i)
+        ), orders AS (
+            SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.l, b.l, c.l, d.l, e.l] AS names, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+        ), steps AS (
+            SELECT filter_order, CAST(k AS INT) AS step, names[k] AS filter, bits[k] AS bit, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS INT) AS earlier FROM orders, range(1, 6) AS g(k)
+        ), audit AS (
+            SELECT part, filter_order, step, filter,
+                   coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0) AS kept,
+                   coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS removed,
+                   coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier <> 0), 0) AS redundant,
+                   coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+                   coalesce(sum(n_good) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS good_lost,
+                   coalesce(sum(n_toxic) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS toxic_lost
+            FROM counts, steps GROUP BY 1, 2, 3, 4
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley, filter
+        FROM audit
+    """,
+    "op13_centroid_clustering": _centroid_sql(),
 }
 
 
