@@ -29,9 +29,10 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class BatchTokenizer:
-    """Ids as unsigned 32-bit arrays, without special tokens.
+    """Ids as unsigned 32-bit arrays, none added around a text.
 
-    ``path`` is a file of the ``tokenizers`` library. Where it is a plain byte-level BPE
+    Added tokens of the file that stand in a text, special ones too, get their own ids, as
+    ``tokenizers`` does it. ``path`` is a file of that library. Where it is a plain byte-level BPE
     whose ids follow the order of its merges, encoding by merge list and encoding by rank
     give the same ids, and the rank encoder, built from the same file, does the work
     several times faster. Every other file is encoded by ``tokenizers`` itself.
@@ -47,7 +48,6 @@ class BatchTokenizer:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
 
     @staticmethod
     def _by_rank(spec: dict):
@@ -60,15 +60,18 @@ class BatchTokenizer:
         ids = [vocab.get(a + b) for a, b in merges]
         if any(i is None for i in ids) or ids != sorted(set(ids)) or any(vocab.get(c, 1 << 30) >= ids[0] for c in alphabet):
             return None
-        known = {*map("".join, merges), *alphabet}
+        added = {t["content"]: t for t in spec.get("added_tokens") or []}
+        if any(t.get(k) for t in added.values() for k in ("lstrip", "rstrip", "single_word")) or any(a != b and b.startswith(a) for a in added for b in added):
+            return None
+        known = {*map("".join, merges), *alphabet} - added.keys()
         import tiktoken
 
         ranks = {bytes(alphabet[c] for c in token): vocab[token] for token in known}
-        return tiktoken.Encoding("by_rank", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("by_rank", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={c: t["id"] for c, t in added.items()})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.rank_encoder is not None:
-            return [np.array(self.rank_encoder.encode_ordinary(t), dtype="<u4") for t in texts]
+            return [np.array(self.rank_encoder.encode(t, allowed_special="all"), dtype="<u4") for t in texts]
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 

@@ -167,7 +167,7 @@ def learn_lexicons(train: DataFrame) -> list[dict[str, float]]:
         low, high = pos - CAUTION * F.sqrt(pos), neg + CAUTION * F.sqrt(neg + 1)
         weight = F.log((low + 0.5) / (toxic + 1)) - F.log((high + 0.5) / (clean + 1))
         kept = counts.filter(pos >= max(MIN_TEXTS, math.ceil(MIN_SHARE * toxic))).withColumn("w", weight).filter(F.col("w") >= MIN_WEIGHT)
-        out.append({r.path: r.w for r in kept.select("path", "w").collect()})
+        out.append({r.path: r.w for r in kept.select("path", "w").orderBy("path").collect()})
     return out
 
 
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     fitted on features from the lexicon of the other half, so it does not trust paths more
     than they hold on texts they were not learnt from."""
     train = labelled_sample(docs, labels, id_col, text_col, label_col, allowed or (lambda c: F.lit(True)), sample)
-    train = train.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(2)).cast("int"))
+    train = train.withColumn("fold", F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("fold")), F.lit(2)).cast("int"))  # copies stay in one half
     *halves, lexicon = learn_lexicons(train)
     if not lexicon:
         return None
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = train.select("text", (F.col("y") == 1).cast("int").alias("y"), "fold").mapInPandas(measure, "row array<double>")
     # Equal feature rows are counted, so the driver sees each different one once.
     counted = rows.select(F.transform("row", lambda v: F.round(v, 1)).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n")).collect()
-    data = np.array([[r.n, *r.row] for r in counted])
+    data = np.array(sorted([r.n, *r.row] for r in counted))  # one order, so that sums round alike
     repeat = np.repeat(data[:, 1:], data[:, 0].astype(int), axis=0)
     model = fit_logistic(repeat[:, 1:], repeat[:, 0], np.array(PRIOR))
     return Scorer(lexicon, tuple(model.tolist()))

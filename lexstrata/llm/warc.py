@@ -73,6 +73,16 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def shared_uri(spark: SparkSession, path: str) -> str:
+    """``path`` as every task must see it: with the scheme and authority that Spark itself
+    would use for it, in the spelling of the file systems opened by tasks."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = target.makeQualified(store.getUri(), store.getWorkingDirectory()).toString()
+    scheme, colon, rest = uri.partition(":")
+    return ("s3" if scheme in ("s3a", "s3n") else scheme) + colon + rest
+
+
 def record_bytes(header: dict[str, str], payload: bytes) -> bytes:
     lines = ["WARC/1.0"] + [f"{k}: {' '.join(str(v).split())}" for k, v in header.items() if v is not None]
     lines.append(f"Content-Length: {len(payload)}")
@@ -359,7 +369,7 @@ def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None,
     if columns is not None:
         kinds = dict(x.split(" ") for x in SCHEMA.split(", "))
         reader = reader.schema(", ".join(f"{c} {kinds[c]}" for c in columns))
-    return reader.load(path)
+    return reader.load(shared_uri(spark, path))
 
 
 def capture_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small: int = SMALL_PAYLOAD) -> DataFrame:
@@ -402,7 +412,7 @@ def capture_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
 def write_warc(records: DataFrame, path: str, **options: str) -> None:
     register(records.sparkSession)
-    records.write.format("warc").options(**options).mode("append").save(path)
+    records.write.format("warc").options(**options).mode("append").save(shared_uri(records.sparkSession, path))
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

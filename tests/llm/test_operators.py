@@ -304,21 +304,47 @@ def test_mixing_places_every_row_once(spark):
 # packing and token output
 
 
+class PlainTokenizer:
+    """The tokenizer file as its own library reads it, without any option."""
+
+    def __init__(self):
+        from tokenizers import Tokenizer
+
+        from lexstrata.llm.tokens import default_tokenizer
+
+        self.own = Tokenizer.from_file(default_tokenizer())
+
+    def encode(self, texts):
+        return [np.array(self.own.encode(t, add_special_tokens=False).ids, dtype="<u4") for t in texts]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
+    return PlainTokenizer()
+
+
+def test_ids_are_those_of_the_plain_tokenizer(tokenizer, corpus):
     from lexstrata.llm.tokens import BatchTokenizer, default_tokenizer
 
-    return BatchTokenizer(default_tokenizer(), fast=False)
+    odd = ["", " ", "  a  b\n\n c\t d e \n", "I'm 's  'll　x", "a\x85b​c", "é à́ ñ 12 3.5 !!?", "x" * 300, "日本語 текст"]
+    special = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>y<|endoftext", "<|endoftext |>", "ｘ<|endoftext|>" * 50]
+    texts = odd + special + [t for t in corpus if t]
+    expected = [a.tolist() for a in tokenizer.encode(texts)]
+    fast, slow = BatchTokenizer(default_tokenizer()), BatchTokenizer(default_tokenizer(), fast=False)
+    assert fast.rank_encoder is not None and expected[len(odd)] == [50256]
+    assert [a.tolist() for a in fast.encode(texts)] == expected
+    assert [a.tolist() for a in slow.encode(texts)] == expected
 
 
-def test_rank_encoder_gives_the_ids_of_the_tokenizer(tokenizer, corpus):
-    from lexstrata.llm.tokens import BatchTokenizer, default_tokenizer
+def test_packed_ids_of_texts_that_hold_special_tokens(spark, tokenizer):
+    import zlib
+
+    from lexstrata.llm.packing import pack
 
-    odd = ["", " ", "  a  b\n\n c\t d e \n", "I'm 's  'll　x", "a\x85b​c", "é à́ ñ 12 3.5 !!?", "<|endoftext|> a", "x" * 300, "日本語 текст"]
-    texts = odd + [t for t in corpus if t]
-    fast = BatchTokenizer(default_tokenizer())
-    assert fast.rank_encoder is not None
-    assert [a.tolist() for a in fast.encode(texts)] == [a.tolist() for a in tokenizer.encode(texts)]
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "three"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.ids_crc32 for r in pack(docs).collect()}
+    assert got == {i: zlib.crc32(np.append(tokenizer.encode([t])[0], np.uint32(2)).astype("<u4").tobytes()) for i, t in enumerate(texts)}
 
 
 def check_pieces(rows, texts, tokenizer, sequence):
@@ -912,3 +938,32 @@ def test_mixing_stage_orders_its_rows(spark, tmp_path):
     seen = spark.read.parquet(f"{tmp_path}/mixed").select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")).collect()
     order = [x.doc_id for x in sorted(seen, key=lambda x: (x.f, x.m))]
     assert order == sorted(slots, key=slots.get)
+
+
+def test_toxicity_scores_do_not_depend_on_partitions(spark):
+    """Copies with ids in both folds, read in different orders and partitions."""
+    from lexstrata.llm.toxicity import score_toxicity
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scores = []
+    for frame in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).repartition(11)):
+        scores.append({r.doc_id: r.score for r in score_toxicity(frame, labels).collect()})
+    assert scores[0] == scores[1] and len(set(scores[0].values())) > 2
+
+
+def test_archive_paths_are_those_of_sparks_file_system(spark):
+    from lexstrata.llm.warc import filesystem, shared_uri
+
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        assert shared_uri(spark, "/shared/x").startswith("file:/")
+        conf.set("fs.viewfs.mounttable.mnt.link./in", "file:///tmp")
+        conf.set("fs.defaultFS", "viewfs://mnt/")
+        assert shared_uri(spark, "/in/archives") == "viewfs://mnt/in/archives"
+        assert shared_uri(spark, "file:///in/archives").startswith("file:/")
+        conf.set("fs.s3a.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+        assert filesystem("file:/tmp/x")[1] == "/tmp/x"
+    finally:
+        conf.set("fs.defaultFS", before)
