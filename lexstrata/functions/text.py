@@ -13,9 +13,17 @@ from .binding import let
 WIDE_SPACES = "\u00a0\u202f\u2009"
 TRANSLITERATION = {"ä": "ae", "ö": "oe", "ü": "ue", "Ä": "ae", "Ö": "oe", "Ü": "ue", "ß": "ss"}
 TRIM = " \t\n\r\x00\x0b"
-# Markdown characters escaped anywhere, and at the start of a line.
-INLINE_ESCAPES = r"[\\`*_\[\]|]"
-LEADING_ESCAPES = r"^(\s*)([#>+\-=~])"
+# Markdown characters escaped anywhere, and at the start of a line; list markers.
+INLINE_ESCAPES = r"[\\`*_\[\]<]"
+LEADING_ESCAPES = r"^([ \t\n\r\x00\x0B]*)([#>|+\-=~])"
+LIST_NUMBER = r"^([ \t\n\r\x00\x0B]*\d{1,9})([.)])(\s|$)"
+LIST_MARKER = r"^([\p{L}\d]{1,6})([.)])"
+# How designations begin, and what stands between two numbers of a range.
+SECTION, ARTICLES, ANNEXES, RANGE_WORDS = "§", ("artikel", "art"), ("anlage", "anhang"), ("bis", "und", "-", ",")
+# Fixed value: how a tag begins.
+TAG = r"<\s*/?\s*([a-zA-Z][a-zA-Z0-9]*)"
+# Trailers that go first, in this order.
+FIRST_TRAILERS = ("Source", "Source-Url", "Amending-Act", "Amending-Act-Url", "Change-Id")
 # The form of a placeholder, and the tags that stay.
 PLACEHOLDER = r"\{\{\s*([a-z_]+)\s*:\s*([A-Za-z0-9_./\-]+)\s*\}\}"
 ALLOWED_HTML = ["table", "thead", "tbody", "tfoot", "tr", "th", "td", "sup", "sub", "br"]
@@ -45,28 +53,69 @@ def group(text: Column, pattern: str, index: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
 
 
+def _numbered(text: Column) -> Column:
+    """Struct: the number with its letters that ``text`` begins with, or null; what is behind."""
+
+    def read(t: Column) -> Column:
+        number = group(t, r"^(\d+[a-z]*)")
+        return F.struct(number.alias("number"), F.ltrim(F.substr(t, F.length(number) + 1)).alias("rest"))
+
+    return let(F.ltrim(text), read)
+
+
+def _behind(text: Column, words: tuple[str, ...], mark: str = "") -> Column:
+    """What follows the first of ``words`` that ``text`` begins with, in any case, and a
+    ``mark`` behind it; null where it begins with none."""
+    cut = F.lit(None).cast("int")
+    for w in reversed(words):
+        for end in dict.fromkeys(("", mark)):
+            cut = F.when(F.startswith(F.lower(text), F.lit(w + end)), len(w + end)).otherwise(cut)
+    return F.substr(text, cut + 1)
+
+
 def norm_key(designation: Column, document_id: Column) -> Column:
-    """Stable key of a designation: section, range of sections, article, annex, slug."""
-    text = collapse(designation)
-    number = lambda pattern, k=1: F.lower(group(text, pattern, k))
-    span, section = r"^§§\s*(\d+[a-z]*)\s*(?:bis|und|-|,)\s*(\d+[a-z]*)", r"^§+\s*(\d+[a-z]*)"
-    article, annex = r"(?i)^Art(?:ikel)?\.?\s*(\d+[a-z]*)", r"(?i)^An(?:lage|hang)\.?\s*([\dIVX]*[a-z]?)"
+    """Stable key of a designation: section, range of sections, article, annex, slug.
+
+    Read from the left: signs or a word that name the kind, then a number, then for two
+    section signs a word of a range and a second number.
+    """
     fallback = F.concat(F.lit("n-"), F.coalesce(F.nullif(F.lower(trimmed(document_id)), F.lit("")), F.lit("unknown")))
-    return F.coalesce(
-        F.concat(F.lit("p"), number(span), F.lit("-"), number(span, 2)), F.concat(F.lit("p"), number(section)), F.concat(F.lit("art"), number(article)),
-        F.when(text.rlike(annex), F.concat(F.lit("anl"), F.lower(F.regexp_extract(text, annex, 1)))), F.nullif(slugify(text), F.lit("")), fallback,
-    )
+
+    def read(text: Column) -> Column:
+        bare = F.ltrim(text, F.lit(SECTION))
+        signs = F.length(text) - F.length(bare)
+        plain = F.concat(F.lit("p"), _numbered(bare)["number"])
+        joint = let(_numbered(bare), lambda n: F.concat(F.lit("p"), n["number"], F.lit("-"), _numbered(_behind(n["rest"], RANGE_WORDS))["number"]))
+        article = F.concat(F.lit("art"), F.lower(_numbered(_behind(text, ARTICLES, "."))["number"]))
+        annex = F.concat(F.lit("anl"), F.lower(F.regexp_extract(F.ltrim(_behind(text, ANNEXES, ".")), r"(?i)^([\dIVX]*[a-z]?)", 1)))
+        return F.coalesce(F.when(signs == 2, joint), F.when(signs > 0, plain), article, annex, F.nullif(slugify(text), F.lit("")), fallback)
+
+    return let(F.coalesce(collapse(designation), F.lit("")), read)
 
 
-def escape_markdown(line: Column) -> Column:
+def escape_inline(text: Column) -> Column:
+    """Characters that could become emphasis, code, links or tags."""
+    return F.regexp_replace(text, f"({INLINE_ESCAPES})", r"\\$1")
+
+
+def escape_line(line: Column) -> Column:
     """Inline characters, a leading block character, and a leading list number."""
-    inline = F.regexp_replace(line, f"({INLINE_ESCAPES})", r"\\$1")
-    leading = F.regexp_replace(inline, LEADING_ESCAPES, r"$1\\$2")
-    return F.regexp_replace(leading, r"^(\s*\d{1,9})([.)])(\s|$)", r"$1\\$2$3")
+    leading = F.regexp_replace(escape_inline(line), LEADING_ESCAPES, r"$1\\$2")
+    return F.regexp_replace(leading, LIST_NUMBER, r"$1\\$2$3")
+
+
+def escape_list_marker(marker: Column) -> Column:
+    """A printed marker such as ``1.`` or ``aa)`` that no renderer counts anew."""
+    return F.regexp_replace(escape_inline(trimmed(marker)), LIST_MARKER, r"$1\\$2")
+
+
+def escape_table_cell(text: Column) -> Column:
+    return F.replace(text, F.lit("|"), F.lit("\\|"))
 
 
 def unescape_markdown(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\`*_\[\]|#>+\-=~.)])", "$1")
+    """The text without inline escapes, as HTML cells need it."""
+    return F.regexp_replace(text, r"\\([\\`*_\[\]<])", "$1")
 
 
 def escape_html(text: Column) -> Column:
@@ -221,21 +270,24 @@ def bare_values(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(_NUMBER_RUN), F.lit(0)), _literals)))
 
 
+#: Groups of three digits behind one to three digits, between word boundaries.
+GROUPED = r"(?U)\b\d{1,3}(?:[. ]\d{3})+\b"
+
+
 def grouped_numbers_joined(text: Column) -> Column:
-    """Lower case, collapsed, and separators inside grouped numbers removed: 48.300 -> 48300.
+    """Lower case, collapsed, and grouped numbers without their separators: 48.300 -> 48300."""
 
-    A separator goes when a group of three digits, and after it only such groups, follows,
-    and a number of up to three digits, or of such groups, stands before it.
-    """
-    after = r"(?=\d{3}(?:[. ]\d{3})*(?![\d])(?![. ]\d))"
-    joined = F.regexp_replace(collapse(F.lower(text)), r"(?<![\d])(?<!\d[. ])(\d{1,3})[. ]" + after, "$1\u0001")
-    # What follows a removed separator is a chain of groups; \G walks along it.
-    return F.replace(F.regexp_replace(joined, r"(?:(?<=\x{01})|(?!^)\G)(\d{3})[. ](?=\d{3})", "$1"), F.lit("\u0001"), F.lit(""))
+    def joined(flat: Column) -> Column:
+        numbers = F.regexp_extract_all(flat, F.lit(GROUPED), F.lit(0))
+        between = F.split(flat, GROUPED, -1)
+        return F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(F.translate(F.get(numbers, i), ". ", ""), F.lit("")))), "")
+
+    return let(collapse(F.lower(text)), joined)
 
 
 def html_outside(text: Column, allowed: list[str] = ALLOWED_HTML) -> Column:
     """Distinct tag spellings that are not on the allow list, in order of appearance."""
-    tags = F.array_distinct(F.regexp_extract_all(text, F.lit(r"<\s*/?\s*([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)))
+    tags = F.array_distinct(F.regexp_extract_all(text, F.lit(TAG), F.lit(1)))
     return F.filter(tags, lambda t: ~F.lower(t).isin(allowed))
 
 
@@ -262,8 +314,18 @@ def model_reference(value: Column) -> Column:
 
 
 def with_trailers(message: Column, trailers: Column) -> Column:
-    """The message with its trailer block: one blank line, repeated lines once."""
-    return F.concat(F.rtrim(message, F.lit("\n")), F.lit("\n\n"), F.array_join(F.array_distinct(trailers), "\n"), F.lit("\n"))
+    """The message with its trailer block behind a blank line: known keys first, in their
+    order, then the others as given; repeated lines once. Without trailers only its end
+    is trimmed."""
+    known = F.array(*map(F.lit, FIRST_TRAILERS))
+
+    def written(lines: Column) -> Column:
+        key = lambda x: F.substring_index(x, ": ", 1)
+        first = F.flatten(F.transform(known, lambda k: F.filter(lines, lambda x: key(x) == k)))
+        return F.concat(first, F.filter(lines, lambda x: ~key(x).isin(*FIRST_TRAILERS)))
+
+    block = F.array_join(let(F.array_distinct(trailers), written), "\n")
+    return F.concat(F.rtrim(message, F.lit(TRIM)), F.when(F.size(trailers) > 0, F.concat(F.lit("\n\n"), block)).otherwise(""), F.lit("\n"))
 
 
 def trailers_of(message: Column) -> Column:

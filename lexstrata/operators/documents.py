@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import collapse, escape_html, escape_markdown, group, norm_key, strip_tags, trimmed
+from ..functions.text import collapse, escape_html, escape_line, escape_table_cell, group, norm_key, strip_tags, trimmed
 
 BLOCK_TAGS = "h[1-6]|p|li|tr|pre|dt|dd|blockquote|title"
 DROPPED = r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->"
@@ -29,7 +29,7 @@ def inline(raw: Column) -> Column:
     text = F.regexp_replace(raw, r"(?is)<a\b[^>]*?href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", "\u0001$2\u0002$1\u0003")
     text = F.regexp_replace(text, r"(?i)<(/?)(?:b|strong)\b[^>]*>", "\u0004")
     text = F.regexp_replace(text, r"(?i)<(/?)(sup|sub)\b[^>]*>", "\u0005$1$2\u0006")
-    text = escape_markdown(collapse(unescape(strip_tags(text))))
+    text = escape_line(collapse(unescape(strip_tags(text))))
     for mark, written in (("\u0001", "["), ("\u0002", "]("), ("\u0003", ")"), ("\u0004", "**"), ("\u0005", "<"), ("\u0006", ">")):
         text = F.replace(text, F.lit(mark), F.lit(written))
     return text
@@ -122,7 +122,7 @@ def render_table(markup: Column) -> Column:
     """GFM where all rows have the same width and no cell is merged, HTML otherwise."""
     rows = table_rows(markup)
     merged = markup.rlike(r"(?i)\b(?:row|col)span\s*=\s*[\"']?(?:[2-9]|\d\d)")
-    cells = F.transform(rows, lambda r: F.transform(r, inline))
+    cells = F.transform(rows, lambda r: F.transform(r, lambda c: escape_table_cell(inline(c))))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     rule = line(F.transform(cells[0], lambda _: F.lit("---")))
     gfm = F.array_join(F.concat(F.array(line(cells[0]), rule), F.transform(F.slice(cells, 2, F.greatest(F.size(cells), F.lit(1))), line)), "\n")

@@ -37,9 +37,17 @@ def whitespace_collapse(spark, d):
     return table(spark, d, "documents").select("doc_id", text.collapse(F.col("text")).alias("flat"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([\\`*_\[\]|])', '\\\1', 'g'), '^(\s*)([#>+\-=~])', '\1\\\2'), '^(\s*\d{1,9})([.)])(\s|$)', '\1\\\2\3') AS escaped FROM documents""")
+INLINE_SQL = r"regexp_replace({0}, '([\\`*_\[\]<])', '\\\1', 'g')"
+
+
+@query(rf"""SELECT doc_id, regexp_replace(CASE WHEN left(ltrim({INLINE_SQL.format('text')}, ' ' || chr(9) || chr(10) || chr(13) || chr(11)), 1) IN ('#', '>', '|', '+', '-', '=', '~')
+        THEN regexp_replace({INLINE_SQL.format('text')}, '^([ \t\n\r\x0b]*)(.)', '\1\\\2') ELSE {INLINE_SQL.format('text')} END, '^([ \t\n\r\x0b]*\d{{1,9}})([.)])(\s|$)', '\1\\\2\3') AS escaped,
+    {INLINE_SQL.format('text')} AS inline, text AS plain, replace(text, '|', '\|') AS cell FROM documents""")
 def markdown_escape(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.escape_markdown(F.col("text")).alias("escaped"))
+    """A line, its inline part, that part without its escapes again, and a table cell."""
+    t = F.col("text")
+    plain = text.unescape_markdown(text.escape_inline(t))
+    return table(spark, d, "documents").select("doc_id", text.escape_line(t).alias("escaped"), text.escape_inline(t).alias("inline"), plain.alias("plain"), text.escape_table_cell(t).alias("cell"))
 
 
 @query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS escaped FROM pages""")
