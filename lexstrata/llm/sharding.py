@@ -25,6 +25,7 @@ as have a result's name (``RESULT``), which the result replaces.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from dataclasses import dataclass
 from math import ceil, log2
@@ -42,7 +43,8 @@ BLOCKS = 1024
 MOST_FIRST_BITS = 16
 MORE_BITS = 12
 ID_BITS = 20
-FILE_BYTES = 32 << 20
+FILE_BYTES = 64 << 20
+MOST_TASKS = 20_000
 ROW_BYTES = 8
 RESULT = ("size", "shard", "slot", "file")
 
@@ -71,8 +73,16 @@ class Interval:
         return (self.prefix << (64 - self.depth)) & (2**64 - 1)
 
 
-def _refined(found: list[Interval], before: dict[Interval, int], borders: list[float], spare: float, block_rows: int) -> list[tuple[int, int, int]]:
-    """(depth, prefix, further bits) of the intervals that need finer probes."""
+def _listed(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small table from the driver, as one literal: no task needs Python for it."""
+    names = [c.split(" ")[0] for c in columns.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{columns.replace(' ', ': ')}>>".replace(",: ", ", "))))
+
+
+def _refined(found: list[Interval], before: dict[Interval, int], borders: list[float], spare: float, block_rows: int, again: bool) -> list[tuple[int, int, int]]:
+    """(depth, prefix, further bits) of the intervals that need finer probes. Keys are hashes,
+    so what is too large ``again`` holds a hot group, whose keys part far below."""
     more = []
     for x in found:
         if x.depth == 64 or x.rows == 1:
@@ -81,7 +91,7 @@ def _refined(found: list[Interval], before: dict[Interval, int], borders: list[f
         k = bisect_right(borders, lo + spare)
         torn = k < len(borders) and borders[k] < hi - spare
         if torn or x.rows > block_rows:
-            bits = MORE_BITS if torn else min(MORE_BITS, ceil(log2(x.rows / block_rows)) + 2)
+            bits = MORE_BITS if torn or again else min(MORE_BITS, ceil(log2(x.rows / block_rows)) + 2)
             more.append((x.depth, x.prefix, min(bits, 64 - x.depth)))
     return more
 
@@ -115,13 +125,13 @@ def histogram(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, block_
         before, at = {}, 0
         for x in done:
             before[x], at = at, at + x.size
-        more = _refined(done, before, borders, spare, block_rows)
+        more = _refined(done, before, borders, spare, block_rows, bool(cuts))
         if not more:
             return first, cuts, done
         cut = {(d, p) for d, p, _ in more}
         done = [x for x in done if (x.depth, x.prefix) not in cut]
         cuts.append(more)
-        routed = _stepped(routed, spark.createDataFrame(more, "_depth int, _prefix long, _bits int"), "inner")
+        routed = _stepped(routed, _listed(spark, more, "_depth int, _prefix long, _bits int"), "inner")
 
 
 def _laid_out(intervals: list[Interval], shards: int, file_bytes: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -160,9 +170,11 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     first, cuts, intervals = histogram(materialize(sized.select("_key", "size"), "shard-keys"), shards, tolerance, block_rows)
     routed = _started(sized, first)
     for more in cuts:
-        routed = _stepped(routed, spark.createDataFrame(more, "_depth int, _prefix long, _bits int"), "left")
-    blocks = spark.createDataFrame(_laid_out(intervals, shards, file_bytes), "_depth int, _prefix long, _block int, shard int, file int, _before long")
-    dealt = routed.join(F.broadcast(blocks), ["_depth", "_prefix"]).repartition("file")
+        routed = _stepped(routed, _listed(spark, more, "_depth int, _prefix long, _bits int"), "left")
+    laid_out = _laid_out(intervals, shards, file_bytes)
+    blocks = _listed(spark, laid_out, "_depth int, _prefix long, _block int, shard int, file int, _before long")
+    files = max((b[4] + 1 for b in laid_out), default=1)
+    dealt = routed.join(F.broadcast(blocks), ["_depth", "_prefix"]).repartition(min(files, MOST_TASKS), "file")
     in_block = Window.partitionBy("file", "_block").orderBy("_key", id_col, text_col)
     slotted = dealt.withColumn("slot", F.col("_before") + F.row_number().over(in_block) - 1)
     return slotted.drop("_key", "_depth", "_prefix", "_block", "_before")
