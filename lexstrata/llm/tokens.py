@@ -43,6 +43,7 @@ class BatchTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.rank_encoder = self._by_rank(spec) if fast else None
+        self.added = sorted(self.rank_encoder.special_tokens_set) if self.rank_encoder else []
         self.tokenizer = None
         if self.rank_encoder is None:
             from tokenizers import Tokenizer
@@ -69,9 +70,15 @@ class BatchTokenizer:
         ranks = {bytes(alphabet[c] for c in token): vocab[token] for token in known}
         return tiktoken.Encoding("by_rank", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={c: t["id"] for c, t in added.items()})
 
+    def _ranked(self, text: str) -> list[int]:
+        """Added tokens cost a slower scan, which texts without any are spared."""
+        if any(t in text for t in self.added):
+            return self.rank_encoder.encode(text, allowed_special="all")
+        return self.rank_encoder.encode_ordinary(text)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.rank_encoder is not None:
-            return [np.array(self.rank_encoder.encode(t, allowed_special="all"), dtype="<u4") for t in texts]
+            return [np.array(self._ranked(t), dtype="<u4") for t in texts]
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
