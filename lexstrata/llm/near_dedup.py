@@ -3,8 +3,8 @@
 1. One pass over the texts gives each document the size and a 128-bit digest of its
    shingle set, the band keys of its MinHash signature, and an odd sketch: the MinHash
    samples folded into a parity bitmap, in which an even number of equal hits cancels.
-2. Documents with the same set form a class; the smallest id stands for it. Only classes go
-   on, so a large group of copies costs one member.
+2. Documents with the same set form a class, a node of the graph; the row with the smallest
+   id stands for it. Only classes go on, so a large group of copies costs one member.
 3. Classes that share a band key are compared with the smallest member of that band bucket
    only: as many pairs as members, never all pairs. The odd sketches of a pair, XORed,
    have a population count that grows with the symmetric difference; pairs far above the
@@ -26,8 +26,8 @@ A pair at the threshold misses all bands with a probability below ``miss``; band
 from it. Sketches only drop pairs over five standard deviations away from the threshold.
 
 Defined cases: a null or blank text has the empty set and no links; fewer than ``width``
-words make one shingle of the whole sequence; rows that repeat an id are one document; a
-null id is never linked (component null, kept); an empty table gives an empty result.
+words make one shingle of the whole sequence; rows that repeat an id are one document with
+all their links, and n_shingles is that of each row's own text; a null id is never linked (component null, kept); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -134,23 +134,23 @@ class Signer:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, width: int = WIDTH) -> DataFrame:
-    """id, n_shingles, set_hash, bands, sketch: one row per document, without its text."""
+    """id, text_hash, n_shingles, set_hash, bands, sketch: one row per document, without its text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer(bands)
         for batch in batches:
             rows = []
-            for key, text in zip(batch["id"], batch["text"], strict=True):
+            for key, seen, text in zip(batch["id"], batch["text_hash"], batch["text"], strict=True):
                 s = shingle_set(text, width)
                 if len(s):
                     keys, sketch = signer.sign(s)
-                    rows.append((key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), keys, sketch))
+                    rows.append((key, seen, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), keys, sketch))
                 else:
-                    rows.append((key, 0, None, None, None))
-            yield pd.DataFrame(rows, columns=["id", "n_shingles", "set_hash", "bands", "sketch"])
+                    rows.append((key, seen, 0, None, None, None))
+            yield pd.DataFrame(rows, columns=["id", "text_hash", "n_shingles", "set_hash", "bands", "sketch"])
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(run, "id string, n_shingles long, set_hash string, bands array<long>, sketch array<long>")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(run, "id string, text_hash long, n_shingles long, set_hash string, bands array<long>, sketch array<long>")
     return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
@@ -193,14 +193,15 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int, limit: int) -> DataF
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of the nodes in ``wanted``.
+    """(node, text) of the nodes in ``wanted`` (node, id, text_hash).
 
     A bitmap keeps rows that nobody wants out of the join's shuffle; what it lets through by
     a hash collision ends at the join.
     """
     wanted = materialize(wanted.distinct(), "near-wanted")
-    rows = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).filter("node is not null")
-    return materialize(rows.filter(id_filter(wanted, "node")(F.col("node"))).join(wanted, "node", "left_semi"), "near-texts")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).filter("id is not null")
+    found = rows.filter(id_filter(wanted, "id")(F.col("id"))).join(wanted, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
+    return materialize(found.select("node", "text"), "near-texts")
 
 
 def _shingles(texts: DataFrame, width: int) -> DataFrame:
@@ -296,20 +297,26 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """One row per input row: id, n_shingles, component_id, kept."""
     bands = bands_for(percent / 100, miss=miss)
     limit = sketch_limit(percent / 100, bands * ROWS, 64 * SKETCH_WORDS)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = "bigint"  # of nodes
     signed = materialize(signatures(docs, id_col, text_col, bands, width), "near-signed")
     linked = signed.filter("n_shingles > 0 and id is not null")
-    classes = materialize(linked.groupBy("set_hash").agg(F.min("id").alias("node")), "near-classes")
-    nodes = linked.join(classes, (linked["set_hash"] == classes["set_hash"]) & (linked["id"] == classes["node"])).select("node", "n_shingles", "bands", "sketch")
-    nodes = materialize(nodes.dropDuplicates(["node", "n_shingles"]), "near-nodes")
+    classes = linked.groupBy("set_hash").agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    classes = materialize(classes.select("set_hash", F.monotonically_increasing_id().alias("node"), "first.id", "first.text_hash"), "near-classes")
+    nodes = linked.join(classes, ["set_hash", "id", "text_hash"]).select("node", "id", "text_hash", "n_shingles", "bands", "sketch")
+    nodes = materialize(nodes.dropDuplicates(["node"]), "near-nodes")
+    owners, nodes = nodes.select("node", "id", "text_hash"), nodes.drop("id", "text_hash")
+    member = materialize(linked.select("id", "set_hash").join(classes.select("set_hash", "node", F.col("id").alias("first_id")), "set_hash").select("id", "node", "first_id"), "near-members")
+    # Rows that repeat an id with other texts are one document: their classes belong together.
+    torn = member.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last")
+    same = member.join(torn, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = materialize(_meet(rows, pivots), "near-buckets")
-    texts = _texts(docs, shared.select("node"), id_col, text_col)
+    texts = _texts(docs, shared.select("node").distinct().join(owners, "node"), id_col, text_col)
     star = shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     star = materialize(_near(star, nodes.drop("bands"), percent, limit), "near-star")
-    edges = materialize(_verified(star, texts, width, percent), "near-links")
+    edges = materialize(_verified(star, texts, width, percent).unionByName(same), "near-links")
     labels = connected_components(edges) if not edges.isEmpty() else nodes.select("node", F.col("node").alias("component")).limit(0)
 
     turn, before = 0, math.inf
@@ -334,8 +341,9 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     if not found.isEmpty():
         labels = connected_components(_as_edges(labels).unionByName(found))
 
-    member = linked.select("id", "set_hash").join(classes, "set_hash").select("id", "node").join(labels, "node", "left")
-    component = member.groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
+    smallest = labels.join(owners, "node").groupBy("component").agg(F.min("id").alias("component_id"))
+    named = labels.join(smallest, "component").select("node", "component_id")
+    component = member.join(named, "node", "left").groupBy("id").agg(F.min(F.coalesce("component_id", "first_id")).alias("component_id"))
     result = signed.select("id", "n_shingles").join(component, "id", "left")
     component_id = F.coalesce("component_id", "id")
     return result.select(

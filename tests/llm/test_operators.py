@@ -225,6 +225,27 @@ def test_near_dedup_edges(spark):
     assert keep_first_of_group(make(spark, ["a b", "a b", None])).count() == 2
 
 
+def test_near_dedup_keeps_the_links_of_repeated_ids(spark):
+    """Two texts of equal length under one id, each with a near copy of its own."""
+    from lexstrata.llm.near_dedup import near_components
+
+    a, b = prose(1, 200), prose(2, 200)
+    texts, ids = [a, b, a, b + " more", b, prose(3, 200), a], [1, 1, 2, 3, 1, 4, None]
+    docs = make(spark, texts, ids)
+    clash = docs.withColumns({c: F.lit("x") for c in ("node", "id", "text_hash", "set_hash", "component", "bucket", "n_shingles", "first_id")})
+    for frame in (docs, docs.repartition(5), clash):
+        got = [(r.doc_id, r.component_id, r.kept) for r in near_components(frame, 85).collect()]
+        assert sorted(got, key=str) == sorted([(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True), (None, None, True)], key=str)
+
+
+def test_near_dedup_of_very_long_texts(spark):
+    from lexstrata.llm.near_dedup import near_components
+
+    long = prose(4, 60_000)
+    got = {r.doc_id: r.component_id for r in near_components(make(spark, [long, long + " end", long[: len(long) // 2]]), 85).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_odd_sketch_limit_keeps_pairs_at_the_threshold():
     from lexstrata.llm.near_dedup import SKETCH_WORDS, Signer, bands_for, sketch_limit
 
