@@ -6,6 +6,7 @@ rendered by column expressions and joined again. A null document has no blocks.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,7 +137,7 @@ def law_norms(documents: DataFrame, keys: list[str], xml: str) -> DataFrame:
 
     Only norms with a designation or text count; headings alone belong to the structure,
     and a generated table of contents is dropped. Keys that repeat in a document get -2,
-    -3 and so on; one that would meet a key of its own takes the next free number.
+    -3 and so on, in its order.
     """
     norms = documents.select(*keys, F.posexplode(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<norm\b.*?</norm>"), F.lit(0))).alias("place", "norm"))
     read = lambda path: F.nullif(trimmed(F.xpath_string("norm", F.lit(path))), F.lit(""))
@@ -153,13 +154,26 @@ def law_norms(documents: DataFrame, keys: list[str], xml: str) -> DataFrame:
 
 
 def unique_keys(rows: DataFrame, keys: list[str], base: str, order: str) -> DataFrame:
-    """Adds unique_key: repeats get a number from 2 on, skipping numbered keys that occur by
-    themselves in the same document."""
-    repeat = F.row_number().over(Window.partitionBy(*keys, base).orderBy(order))
-    natural = rows.select(*keys, F.col(base).alias("_taken")).distinct()
-    stem = natural.select(*keys, F.regexp_extract("_taken", r"^(.*)-(\d+)$", 1).alias(base), F.regexp_extract("_taken", r"^(.*)-(\d+)$", 2).try_cast("int").alias("_k")).filter(f"{base} <> '' and _k >= 2")
-    taken = stem.groupBy(*keys, base).agg(F.sort_array(F.collect_set("_k")).alias("_ks"))
-    numbered = rows.withColumn("_r", repeat).join(taken, [*keys, base], "left")
-    # Each taken number at or below the running one moves it on by one, in ascending order.
-    number = F.aggregate(F.coalesce("_ks", F.array().cast("array<int>")), F.col("_r"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
-    return numbered.withColumn("unique_key", F.when(F.col("_r") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), number.cast("string")))).drop("_r", "_ks")
+    """Adds unique_key, handed out in the order of a document: a key that is taken gets the
+    first free number from 2 on, whether the taken one was numbered or written so. Only the
+    keys of a document come together; ``order`` tells its rows apart."""
+
+    def each(documents: pd.Series) -> pd.Series:
+        return documents.map(numbered_keys)
+
+    number = F.pandas_udf(each, "array<string>")
+    narrow = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(base).alias("b")))).alias("all"))
+    named = narrow.select(*keys, F.explode(F.arrays_zip(F.col("all.o").alias("o"), number(F.col("all.b")).alias("unique_key"))).alias("x"))
+    return rows.join(named.select(*keys, F.col("x.o").alias(order), F.col("x.unique_key").alias("unique_key")), [*keys, order])
+
+
+def numbered_keys(keys) -> list[str | None]:
+    taken: set[str] = set()
+    out = []
+    for key in keys:
+        unique, k = key, 2
+        while key is not None and unique in taken:
+            unique, k = f"{key}-{k}", k + 1
+        taken.add(unique)
+        out.append(unique)
+    return out

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, escape_line, escape_list_marker, norm_key
 from ..sources.files import shared_folder
+from .documents import numbered_keys
 from .law_markup import Norm
 from .sentences import sentences
 
@@ -98,22 +99,14 @@ def outline(norms: Column) -> Column:
     made unique, the heading it stands under or opens, and that heading's parent."""
 
     def one(norms) -> list[tuple]:
-        taken: set[str] = set()
         path: list[int] = []
         out = []
-        for i, n in enumerate(norms):
-            key, depth = n["key"], n["depth"]
-            parent = None
+        for i, (n, key) in enumerate(zip(norms, numbered_keys([n["key"] for n in norms]))):
+            depth, parent = n["depth"], None
             if depth:
                 path = path[: depth - 1]
                 parent = path[-1] if path else None
                 path.append(i)
-            if key is not None:
-                unique, k = key, 2
-                while unique in taken:
-                    unique, k = f"{key}-{k}", k + 1
-                taken.add(unique)
-                key = unique
             out.append((key, path[-1] if path else None, parent))
         return out
 

@@ -50,13 +50,32 @@ def fingerprint_record_if_absent(spark, d):
     return snapshots.insert_absent(hashed(old), hashed(new), ["source", "content_hash"], "doc_id")
 
 
-@query("""SELECT doc_id, regexp_replace(source, '[^a-zA-Z0-9._-]+', '-', 'g') || '/' || strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y/%m/%d') || '/'
-    || sha256(text) || CASE WHEN starts_with(text, '<') THEN '.xml' ELSE '.txt' END AS path FROM documents""")
+_DECLARED = "CASE doc_id % 7 WHEN 0 THEN 'application/xml' WHEN 1 THEN 'application/json; charset=utf-8' WHEN 2 THEN 'text/html' WHEN 3 THEN 'application/pdf' WHEN 4 THEN 'application/x-zip' WHEN 5 THEN 'application/xhtml+xml' ELSE 'text/plain' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '--' || coalesce(source, 'unknown') || ' (x)/' ELSE coalesce(source, 'unknown') END AS s, CASE WHEN doc_id % 13 = 0 THEN '%PDF' || text ELSE text END AS text, {_DECLARED} AS t FROM documents)
+    SELECT doc_id, CASE WHEN text <> '' THEN trim(regexp_replace(s, '[^a-zA-Z0-9._-]+', '-', 'g'), '-') || '/' || strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y/%m/%d') || '/' || sha256(text) || '.'
+        || CASE WHEN starts_with(text, 'PK' || chr(3) || chr(4)) THEN 'zip' WHEN starts_with(text, '%PDF') THEN 'pdf' WHEN contains(t, 'xml') THEN 'xml' WHEN contains(t, 'json') THEN 'json' WHEN contains(t, 'html') THEN 'html'
+            WHEN contains(t, 'pdf') THEN 'pdf' WHEN contains(t, 'zip') THEN 'zip' ELSE 'bin' END END AS path FROM d""")
 def content_address_path(spark, d):
     from ..sources.content_store import address
 
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int"))
-    return table(spark, d, "documents").select("doc_id", address(F.col("source"), day, F.col("text")).alias("path"))
+    source = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("--"), F.coalesce("source", F.lit("unknown")), F.lit(" (x)/"))).otherwise(F.col("source"))
+    content = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("%PDF"), "text")).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", address(source, day, content, F.expr(_DECLARED)).alias("path"))
+
+
+@query("""SELECT doc_id, doc_id % 3 <> 0 AND text <> '' AS there, CASE WHEN doc_id % 3 <> 0 AND text <> '' THEN sha256(text) END AS content_sha FROM documents WHERE doc_id IS NOT NULL""")
+def store_reads(spark, d):
+    """Reads and existence by address, of a store that lacks every third document."""
+    from ..sources.content_store import address, held
+
+    docs = table(spark, d, "documents").filter("doc_id is not null")
+    path = F.coalesce(address(F.concat(F.lit("s"), F.col("doc_id").cast("string")), F.lit("2024-01-01").cast("date"), F.col("text")), F.lit("/none"))
+    store = docs.filter("doc_id % 3 <> 0 and text <> ''").select(path.alias("path"), F.col("text").alias("content"))
+    found = held(docs.select("doc_id", F.concat(F.lit("/"), path).alias("path")), store)
+    return found.select("doc_id", F.col("exists").alias("there"), F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"))
 
 
 @query(f"WITH {OLD_SQL}, {NEW_SQL}, {OUTCOMES_SQL} SELECT *, outcome IN ('created', 'updated', 'repealed') AS changes_repository FROM outcomes")

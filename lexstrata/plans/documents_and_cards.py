@@ -113,13 +113,33 @@ SCHEMA = {
 
 
 @query("""WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
-    SELECT event_id, array_to_string(list_filter(['$: misses name', CASE WHEN k < 10 THEN '$.k: is too small' END, CASE WHEN k > 90 THEN '$.k: is too large' END, CASE WHEN event_id % 3 = 0 THEN '$: unknown property extra' END], lambda x: x IS NOT NULL), '|') AS errors FROM e""")
+    SELECT event_id, array_to_string(list_filter(['$ is missing the required property "name".', CASE WHEN event_id % 3 = 0 THEN '$ has the unexpected property "extra".' END, CASE WHEN k < 10 THEN '$.k must be at least 10.' END,
+        CASE WHEN k > 90 THEN '$.k must be at most 90.' END], lambda x: x IS NOT NULL), '|') AS errors FROM e""")
 def json_schema_errors(spark, d):
     answer = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Sure: ```json\n"), F.regexp_replace("props", "}$", ', "extra": []}'), F.lit("\n``` done"))).otherwise(F.col("props"))
     value = json_rules.decoded(answer)
     return table(spark, d, "events").select("event_id", F.array_join(json_rules.schema_errors(value, SCHEMA), "|").alias("errors"))
 
 
+REGISTRY = {
+    ("view", 1): {"type": "object", "required": ["k"]}, ("view", 2): {"type": "object", "properties": {"k": {"type": "integer", "maximum": 50}}, "additionalProperties": False},
+    ("purchase", 1): {"type": "object", "properties": {"k": {"type": "string"}}}, ("purchase", 2): {"anyOf": [{"properties": {"k": {"type": "integer", "minimum": 60}}}, {"properties": {"k": {"enum": [1, 2, 3]}}}]},
+}
+
+
+@query("""WITH e AS (SELECT event_id, event_type AS t, CASE WHEN event_id % 4 < 3 THEN event_id % 4 + 1 END AS asked, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), v AS (SELECT *, coalesce(asked, CASE WHEN t IN ('view', 'purchase') THEN 2 END) AS v FROM e)
+    SELECT event_id, t AS schema_name, CAST(v AS INTEGER) AS version, CASE WHEN t NOT IN ('view', 'purchase') OR v = 3 THEN 'There is no schema ' || t || ' ' || coalesce(CAST(v AS VARCHAR), '?') || '.'
+        WHEN t = 'view' AND v = 1 THEN '' WHEN t = 'view' THEN CASE WHEN k > 50 THEN '$.k must be at most 50.' ELSE '' END WHEN v = 1 THEN '$.k must be of type string, integer given.'
+        WHEN k >= 60 OR k IN (1, 2, 3) THEN '' ELSE '$ does not match any of the allowed shapes (anyOf).' END AS errors FROM v""")
+def schema_registry(spark, d):
+    """Rows that name schemas of different kinds and versions, checked in one pass."""
+    k = F.col("event_id") % 4
+    version = F.when(k < 3, (k + 1).cast("int"))
+    newest = F.when(F.col("event_type").isin("view", "purchase"), 2)
+    errors = json_rules.registry_errors(F.try_parse_json("props"), F.col("event_type"), version, REGISTRY)
+    return table(spark, d, "events").select("event_id", F.col("event_type").alias("schema_name"), F.coalesce(version, newest).alias("version"), F.array_join(errors, "|").alias("errors"))
+
+
 @query("SELECT event_id, event_id % 3 = 0 AS is_list, event_id % 3 = 1 AS is_object FROM events")
 def empty_object_vs_list(spark, d):
     text = F.array(F.lit("[]"), F.lit("{}"), F.lit("1"))[(F.col("event_id") % 3).cast("int")]

@@ -265,14 +265,23 @@ def rate_limit_schedule(spark, d):
     return rows.select("page_id", "host", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=place.cast("decimal(18,6)"))).alias("fetch_at"))
 
 
-@query("""WITH p AS (SELECT page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1), ''), '/') AS path FROM pages)
-    SELECT page_id, path FROM p WHERE NOT (starts_with(path, '/de/') OR starts_with(path, '/fr/1'))""")
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1), ''), '/') AS path FROM pages),
+    h AS (SELECT host, arg_min(regexp_extract(path, '^/[^/]*', 0), page_id) AS rule, min(page_id) AS n FROM p WHERE host <> '' GROUP BY 1)
+    SELECT page_id, p.host, path FROM p LEFT JOIN h ON p.host = h.host WHERE h.host IS NULL OR n % 3 = 2 OR NOT starts_with(path, CASE n % 3 WHEN 0 THEN rule ELSE rule || '/' END)""")
 def robots_filter(spark, d):
+    """Paths that their own host's file allows. Each file bans the first folder of the host's
+    first page, for all agents, for ours only, or for another one."""
     from ..sources.robots import allowed, parse_robots
 
-    robots = spark.createDataFrame([("User-agent: *\nDisallow:\n\nUser-agent: Other\nUser-agent: ourbot\nDisallow: /de/\nDisallow: /fr/1\nCrawl-delay: 2\n",)], "robots string")
     path = F.coalesce(F.nullif(F.regexp_extract("url", "^[a-z]+://[^/?#]+(/[^?#]*)", 1), F.lit("")), F.lit("/"))
-    return allowed(table(spark, d, "pages").select("page_id", path.alias("path")), parse_robots(robots, "robots", "ourbot"), "path")
+    rows = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), path.alias("path"))
+    first = rows.filter("host <> ''").groupBy("host").agg(F.min_by(F.regexp_extract("path", "^/[^/]*", 0), "page_id").alias("rule"), F.min("page_id").alias("n"))
+    text = (
+        F.when(F.col("n") % 3 == 0, F.concat(F.lit("# all\nUser-agent: *\nDisallow: "), "rule", F.lit(" # here\nCrawl-delay: 2\n")))
+        .when(F.col("n") % 3 == 1, F.concat(F.lit("User-agent: *\r\nDisallow: /\r\nUser-Agent: OurBot\r\nDisallow:\r\nDisallow: "), "rule", F.lit("/\r\n")))
+        .otherwise(F.concat(F.lit("User-agent: ourbot\nAllow: /\nUser-agent: other\nDisallow: "), "rule"))
+    )
+    return allowed(rows, parse_robots(first.select("host", text.alias("robots")), "robots", "OurBot/2.1 (+https://bot.example)"), "path", ("host",))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
