@@ -87,3 +87,18 @@ def accepted_answers(attempts: DataFrame, request: str, place: str, attempt: lis
 def rebuilt(log: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """The state of each key replayed from its whole log: the last value, null drops the key."""
     return log.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value)).filter(F.col(value).isNotNull())
+
+
+def cache_hits(requests: DataFrame, fingerprint: str, request: str, ts: str, ttl_seconds: int) -> DataFrame:
+    """(request, hit): whether an answer that is at most ``ttl_seconds`` old is kept when a
+    request comes. A miss keeps a new answer; a hit does not make the kept one younger. One
+    fold over a fingerprint's own times; requests without a time are left out."""
+    at = (F.col(ts).cast("timestamp").cast("double") * 1000).cast("long")
+    listed = requests.select(F.col(fingerprint).cast("string").alias("f"), F.struct(at.alias("t"), F.col(request).cast("long").alias("r")).alias("x")).filter("x.t is not null").groupBy("f").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    start = F.struct(F.lit(None).cast("long").alias("since"), F.array().cast("array<struct<request: bigint, hit: boolean>>").alias("out"))
+
+    def step(s, x):
+        hit = F.coalesce(x["t"] <= s["since"] + ttl_seconds * 1000, F.lit(False))
+        return F.struct(F.when(hit, s["since"]).otherwise(x["t"]).alias("since"), F.array_append(s["out"], F.struct(x["r"].alias("request"), hit.alias("hit"))).alias("out"))
+
+    return listed.select(F.explode(F.aggregate("xs", start, step)["out"]).alias("o")).select("o.request", "o.hit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.money import budget_state
-from ..operators import decisions, snapshots
+from ..operators import decisions, derived, snapshots
 from .registry import query, table
 
 
@@ -103,3 +103,22 @@ def rebuild_all(spark, d):
     last = lambda rows: rows.groupBy("user_id").agg(F.max_by(F.coalesce("state", F.lit("none")), F.struct("ts", "event_id")).alias("state"))
     kept = snapshots.upsert(last(log.filter(F.col("ts") < half)), last(log.filter(F.col("ts") >= half)), ["user_id"], []).filter("state <> 'none'")
     return decisions.rebuilt(log, "user_id", "state", ["ts", "event_id"]).join(kept.withColumnRenamed("state", "stepwise"), "user_id", "full_outer").select("user_id", F.col("state").alias("replayed"), "stepwise")
+
+
+EVENT_TABLES = {
+    "days": derived.Derived(("events",), lambda e: e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))),
+    "users": derived.Derived(("days",), lambda d: d.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("n").alias("busiest"))),
+    "loads": derived.Derived(("users", "days"), lambda u, d: d.join(u.select("user_id", "busiest"), "user_id").filter("n = busiest").groupBy("day").agg(F.count(F.lit(1)).alias("users"))),
+    "ranks": derived.Derived(("users",), lambda u: u.groupBy("busiest").agg(F.count(F.lit(1)).alias("users"))),
+}
+
+
+@query("""WITH days AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), users AS (SELECT user_id, sum(n) AS n, max(n) AS busiest FROM days GROUP BY 1),
+    loads AS (SELECT day FROM users JOIN days USING (user_id) WHERE days.n = busiest GROUP BY 1), ranks AS (SELECT busiest FROM users GROUP BY 1)
+    SELECT 'days' AS "table", (SELECT count(*) FROM days) AS rows, (SELECT count(*) FROM days) AS kept_rows, 'equal' AS status UNION ALL SELECT 'users', (SELECT count(*) FROM users), (SELECT count(*) FROM users), 'differs'
+    UNION ALL SELECT 'loads', (SELECT count(*) FROM loads), (SELECT count(*) FROM loads), 'equal' UNION ALL SELECT 'ranks', (SELECT count(*) FROM ranks), NULL, 'missing'""")
+def derived_tables(spark, d):
+    """Tables replayed from the log beside kept ones, of which one holds a wrong number and one is lost."""
+    made = derived.rebuilt(EVENT_TABLES, {"events": table(spark, d, "events")})
+    spoilt = made["users"].withColumn("n", F.col("n") + F.when(F.col("user_id") == made["users"].agg(F.min("user_id")).first()[0], 1).otherwise(0))
+    return derived.compared(spark, made, {"days": made["days"].repartition(3), "users": spoilt, "loads": made["loads"]})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import money
-from ..operators import queueing, snapshots
+from ..operators import decisions, queueing, search, snapshots
 from .registry import query, table
 
 NOW = "2024-01-25 12:00:00"
@@ -104,6 +104,35 @@ def lease_expiry(spark, d):
     return queueing.release_expired(rows, now()).select("event_id", "status", "lease_until", fallback.alias("fallback"))
 
 
+@query(f"""SELECT event_id, ts AS created_at FROM events WHERE event_type = 'view' AND ts < {NOW_SQL} - INTERVAL 60 MINUTE ORDER BY ts, event_id LIMIT 50""")
+def stale_jobs(spark, d):
+    """Top-k by design: the 50 oldest jobs that are pending for over an hour."""
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "view", "pending").otherwise("succeeded").alias("status"), F.col("ts").alias("created_at"))
+    return queueing.stale_jobs(rows, now(), 60, "status", "created_at", "event_id").select("event_id", "created_at")
+
+
+@query(f"SELECT user_id, min(ts) AS settling_started_at FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING min(ts) <= {NOW_SQL} - INTERVAL 72 HOUR ORDER BY 2, 1 LIMIT 50")
+def settled_next(spark, d):
+    """Top-k by design: the 50 changes that settled first."""
+    return queueing.next_settled(table(spark, d, "events").filter("event_type = 'purchase'"), "user_id", "ts", now())
+
+
+@query()
+def queue_with_clocks(spark, d):
+    """Each job's state with leases of two hours and a fallback after three days, at the end."""
+    e = F.col("event_type")
+    kind = F.when(e.isin("view", "click"), "lease").when(e == "error", "fail").when(e == "signup", "extend").otherwise("succeed")
+    rows = table(spark, d, "events").select((F.col("event_id") % 3000).alias("job"), kind.alias("kind"), "ts", "event_id")
+    return queueing.timed_fold(rows, "job", "kind", "ts", "event_id", now(), lease_seconds=7200, fallback_minutes=4320)
+
+
+@query()
+def cache_with_expiry(spark, d):
+    """Requests of a user for one kind of page, answered from a cache that keeps a day."""
+    rows = table(spark, d, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("fingerprint"), "event_id", "ts")
+    return decisions.cache_hits(rows, "fingerprint", "event_id", "ts", 86_400)
+
+
 @query("SELECT event_type, count(*) AS pending, count(*) FILTER (value > 50) AS failed FROM events GROUP BY 1")
 def pending_count(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("pending"), F.count_if(F.col("value") > 50).alias("failed"))
@@ -154,6 +183,25 @@ def inverted_index(spark, d):
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
+SYNONYMS = (("the", "der"), ("und", "and"), ("Le", "el"))
+
+
+@query(r"""WITH syn(word, synonym) AS (VALUES ('the', 'der'), ('und', 'and'), ('le', 'el')), pairs AS (SELECT word AS a, synonym AS b FROM syn UNION ALL SELECT synonym, word FROM syn),
+    d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL), n AS (SELECT count(*) AS n, avg(coalesce(len(w), 0)) AS avg FROM d),
+    t AS (SELECT id, len(w) AS length, unnest(w) AS term FROM d), p AS (SELECT term, id, length, count(*) AS c FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS documents FROM p GROUP BY 1),
+    own AS (SELECT conv_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')[1:5])) AS term FROM conversations WHERE turn = 1 AND conv_id IS NOT NULL),
+    q AS (SELECT * FROM own UNION SELECT conv_id, b FROM own JOIN pairs ON term = a),
+    s AS (SELECT conv_id, id, round(sum(ln(1 + (n.n - documents + 0.5) / (documents + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * length / n.avg))), 9) AS score FROM q JOIN df USING (term) JOIN p USING (term), n GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, id) AS place FROM s)
+    SELECT conv_id, CAST(place AS INTEGER) AS place, id, round(score, 6) AS score FROM r WHERE place <= 10""")
+def ranked_search(spark, d):
+    """Top-k report: the ten best documents for the first words of each conversation."""
+    index = search.build_index(table(spark, d, "documents"), "doc_id", "text")
+    asked = table(spark, d, "conversations").filter("turn = 1").select("conv_id", F.array_join(F.slice(search.words(F.col("text")), 1, 5), " ").alias("text"))
+    pairs = spark.sql("SELECT inline(array(" + ", ".join(f"struct('{a}' AS word, '{b}' AS synonym)" for a, b in SYNONYMS) + "))")
+    return search.search(index, asked, "conv_id", "text", 10, pairs).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT p_brand, max(try_cast(regexp_extract(p_type || ' v' || p_size, 'v(\\d+)', 1) AS INTEGER)) AS version FROM part GROUP BY 1")
 def latest_template_version(spark, d):
     name = F.concat("p_type", F.lit(" v"), F.col("p_size").cast("string"))

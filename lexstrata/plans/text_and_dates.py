@@ -175,9 +175,9 @@ def subject_split(spark, d):
     )
 
 
-@query("""SELECT o_orderkey, 'Update' || chr(10) || chr(10) || 'Source: ' || o_custkey || chr(10) || 'Change-Id: ' || o_orderkey || chr(10) || 'Note: ' || o_clerk || chr(10) AS message, CAST(o_custkey AS VARCHAR) AS source FROM orders""")
+@query("""SELECT o_orderkey, 'Update' || chr(10) || chr(10) || 'Source: ' || o_custkey || chr(10) || 'Change-Id: ' || o_orderkey || chr(10) || 'Note: ' || o_orderpriority || chr(10) AS message, CAST(o_custkey AS VARCHAR) AS source FROM orders""")
 def trailer_block(spark, d):
-    line, note = F.format_string("Change-Id: %d", "o_orderkey"), F.concat(F.lit("Note: "), F.coalesce("o_clerk", F.lit("")))
+    line, note = F.format_string("Change-Id: %d", "o_orderkey"), F.concat(F.lit("Note: "), F.coalesce("o_orderpriority", F.lit("")))
     message = text.with_trailers(F.lit("Update\n"), F.array(note, line, F.format_string("Source: %d", "o_custkey"), line))
     rows = table(spark, d, "orders").select("o_orderkey", message.alias("message"))
     return rows.select("o_orderkey", "message", text.trailers_of(F.col("message"))["Source"].alias("source"))
