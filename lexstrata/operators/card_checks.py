@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.language import detect_language
+from ..sources.files import shared_folder
 from .quality import ERROR, WARNING, issues, merged, phrase_matches, value_in_quote
 
 SUMMARY_LIMIT = 280
@@ -97,7 +98,9 @@ def _lengths(sections: Column, limit: int) -> Column:
 def wording_issues(cards: DataFrame, sections: str, phrases: DataFrame, subject: str = "subject", lang: str = "lang") -> DataFrame:
     """``phrases``: phrase, lang. A phrase counts in cards of its language only, ignoring case."""
     each = cards.select(F.col(subject).cast("string").alias("subject"), F.col(lang).alias("_lang"), F.explode(sections).alias("_key", "_text"))
-    each = each.withColumn("_row", F.struct("subject", "_lang", "_key").cast("string")).withColumn("_low", F.lower("_text"))
+    each = each.withColumn("_row", F.concat_ws("\0", F.coalesce("subject", F.lit("")), F.coalesce("_lang", F.lit("")), "_key")).withColumn("_low", F.lower("_text"))
+    spoken = phrases.select(F.col("lang").alias("_lang")).distinct()
+    each = each.join(spoken, "_lang", "left_semi")  # no phrase counts in other languages
     listed = phrases.select(F.lower("phrase").alias("_p"), F.col("lang").alias("_plang")).distinct().withColumn("_pkey", F.concat("_plang", F.lit(":"), "_p"))
     hits = phrase_matches(each, listed, "_low", "_p", "_row", "_pkey")
     named = hits.join(each.select("_row", "subject", "_lang", "_key"), "_row").join(listed.select("_pkey", "_plang"), "_pkey").filter("_lang = _plang")
@@ -121,7 +124,11 @@ def master_issues(cards: DataFrame, phrases: DataFrame, subject: str = "subject"
 
 
 def translation_issues(cards: DataFrame, keys: list[str], phrases: DataFrame, glossary: DataFrame, subject: str = "subject", limit: int = CARD_LIMIT, **detection) -> DataFrame:
-    """All checks of a translation. ``cards``: subject, lang, master, translation (maps)."""
+    """All checks of a translation. ``cards``: subject, lang, master, translation (maps). They
+    are written to the shared folder first: three kinds of checks read them, phrases twice."""
+    spark, path = cards.sparkSession, shared_folder(cards.sparkSession, "cards")
+    cards.select(subject, "lang", "master", "translation").write.parquet(path)
+    cards = spark.read.schema(cards.select(subject, "lang", "master", "translation").schema).parquet(path)
     master, other = F.col("master"), F.col("translation")
     named = lambda sections: F.array_distinct(F.flatten(F.transform(F.filter(_values(sections), lambda t: t.isNotNull()), text.placeholders)))
     held = lambda sections, key: F.coalesce(text.trimmed(sections[key]), F.lit(""))

@@ -32,14 +32,16 @@ def before_and_after(versions: DataFrame, key: str, content: str, *order: str) -
 
 
 def group_changes(rows: DataFrame, group: str, member: str, note: str, order: str, limit: int = 3) -> DataFrame:
-    """One row a group: members in order, the first non-null note by order, and a title of
-    the first ``limit`` members. Only the title's members are collected, so a group of any
-    size stays a fixed-size row."""
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    """One row a group: its number of members, the first non-null note by order, and a title of
+    the first ``limit`` members. Counts are plain aggregates; of the members only the first few
+    are ranked, which each task cuts to ``limit`` a group before they are shuffled."""
     first_note = F.min_by(F.col(note), F.when(F.col(note).isNotNull(), F.col(order)))
-    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= limit, F.struct("_n", F.col(member).cast("string").alias("m"))))), lambda x: x["m"])
-    grouped = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("members"), first_note.alias("note"), shown.alias("_shown"))
-    return grouped.select(group, "members", "note", group_title(F.col("_shown"), F.col("members"), limit).alias("title"))
+    counted = rows.groupBy(group).agg(F.count(F.lit(1)).alias("members"), first_note.alias("note"))
+    ranked = rows.select(group, member, F.row_number().over(Window.partitionBy(group).orderBy(order)).alias("_n")).filter(F.col("_n") <= limit)
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(member).cast("string").alias("m")))), lambda x: x["m"])
+    titled = ranked.groupBy(F.col(group).alias("_group")).agg(shown.alias("_shown"))
+    grouped = counted.join(titled, counted[group].eqNullSafe(titled["_group"]), "left")
+    return grouped.select(group, "members", "note", group_title(F.coalesce("_shown", F.array().cast("array<string>")), F.col("members"), limit).alias("title"))
 
 
 def group_title(shown: Column, members: Column, limit: int = 3) -> Column:

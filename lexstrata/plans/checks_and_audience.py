@@ -137,8 +137,6 @@ def translation_issues(spark, d):
     known = F.map_from_arrays(F.array(*map(F.lit, CARD_KEYS)), F.array(*entries))
     other = F.when(k % 7 == 0, F.map_concat(known, F.create_map(F.lit("more"), F.lit("")))).otherwise(known)
     cards = table(spark, d, "orders").select(k.alias("subject"), F.lit("en").alias("lang"), master.alias("master"), other.alias("translation"))
-    # The office is named in the section "who" alone, which k % 6 = 1 leaves empty.
-    cards = cards.filter((F.col("subject") % 10 > 0) | (F.col("subject") % 6 != 1))
     phrases = spark.createDataFrame([("you should sue", "en", "advice"), ("und", "de", "opinion")], "phrase string, lang string, category string")
     glossary = spark.createDataFrame([("langen Weg zum Amt", "long way to the office"), ("kurzen Weg zum Amt", "x")], "term string, rendering string")
     return card_checks.translation_issues(cards, CARD_KEYS, phrases, glossary)
@@ -177,7 +175,7 @@ def determinism_check(spark, d):
     """Rendered twice from differently dealt rows, hashes agree."""
     render = lambda df: df.select("doc_id", F.sha2(F.regexp_replace("text", r"\s+", " "), 256).alias("h"), F.size(encoding_issues(F.col("text").cast("binary"))).cast("long").alias("issues"))
     docs = table(spark, d, "documents")
-    once, again = render(docs), render(docs.repartition(7, "lang")).select("doc_id", F.col("h").alias("h2"))
+    once, again = render(docs), render(docs.repartition("doc_id")).select("doc_id", F.col("h").alias("h2"))
     return once.join(again, "doc_id").select("doc_id", (F.col("h") == F.col("h2")).alias("deterministic"), "issues")
 
 
