@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import json_rules
-from ..functions.text import placeholders
+from ..functions.text import collapse, placeholders
 from ..operators import cards, documents, sentences
 from .registry import query, table
 
@@ -25,15 +25,24 @@ def sentence_split(spark, d):
     return sentences.split_sentences(table(spark, d, "documents"), ["doc_id"], "text")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN FALSE ELSE TRUE END AS ragged, 3 AS span, CASE WHEN page_id % 2 = 0 THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || page_id || ' |' ELSE '<table>' || chr(10) || '<tr><td>a</td><td>b</td></tr>' || chr(10) || '<tr><td>' || page_id || '</td></tr>' || chr(10) || '</table>' END AS written FROM pages")
+_PLAIN = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+_CELL = r"regexp_replace(trim(regexp_replace(" + _PLAIN.format("{0}") + r", '\s+', ' ', 'g')), '([\\`*_\[\]<])', '\\\1', 'g')"
+
+
+@query(rf"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h, regexp_extract_all(html, '<li><a href="[^"]*">(.*?)</a>', 1, 's') AS t FROM pages)
+    SELECT page_id, page_id % 2 = 1 AND len(h) > 0 AS ragged, CASE WHEN page_id % 2 = 0 OR len(h) = 0 THEN '| Ziel | Text |' || chr(10) || '| --- | --- |' || array_to_string(list_transform(range(1, len(h) + 1), lambda i:
+            chr(10) || '| ' || {_CELL.format('h[i]')} || ' | ' || replace({_CELL.format('t[i]')}, '|', '\|') || ' |'), '')
+        ELSE '<table>' || chr(10) || '<tr><td>Ziel</td><td>Text</td></tr>' || array_to_string(list_transform(range(1, len(h) + 1), lambda i: chr(10) || '<tr><td>' || replace(replace(replace(replace(replace(trim(regexp_replace({_PLAIN.format('t[i]')}, '\s+', ' ', 'g')),
+            '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#039;') || '</td></tr>'), '') || chr(10) || '</table>' END AS written FROM l""")
 def table_to_gfm(spark, d):
-    """Tables written from page ids: regular ones in GFM, ragged ones in HTML."""
-    k = F.col("page_id").cast("string")
-    second = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<tr><td>1</td><td>"), k, F.lit("</td></tr>"))).otherwise(F.concat(F.lit("<tr><td>"), k, F.lit("</td></tr>")))
-    markup = F.concat(F.lit("<table><tr><th>a</th><th>b</th></tr>"), second, F.lit("</table>"))
-    return table(spark, d, "pages").select(
-        "page_id", documents.is_ragged(documents.table_rows(markup)).alias("ragged"), documents.column_span(F.lit("col2"), F.lit("col4")).alias("span"), documents.render_table(markup).alias("written")
-    )
+    """Tables of each page's links: regular ones in pipe lines, those whose rows lack a cell in HTML."""
+    anchor = r"(?s)<li><a href=\"([^\"]*)\">(.*?)</a>"
+    rows = table(spark, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("h"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("t"))
+    first = lambda x: F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<td>"), x["h"], F.lit("</td>"))).otherwise("")
+    body = F.transform(F.arrays_zip("h", "t"), lambda x: F.concat(F.lit("<tr>"), first(x), F.lit("<td>"), x["t"], F.lit("</td></tr>")))
+    markup = F.concat(F.lit("<table><tr><th>Ziel</th><th>Text</th></tr>"), F.array_join(body, ""), F.lit("</table>"))
+    rows = rows.select("page_id", markup.alias("markup"))
+    return rows.select("page_id", documents.is_ragged(documents.table_rows(F.col("markup"))).alias("ragged"), documents.render_table(F.col("markup")).alias("written"))
 
 
 ORDER = ["system", "user", "assistant"]
@@ -69,22 +78,22 @@ def stale_translations(spark, d):
     return cards.stale(masters.select("conv_id", made_from.alias("master_hash")), masters, "conv_id", "master_hash").select("conv_id")
 
 
-@query("""SELECT doc_id, 'changes/' || (2020 + doc_id % 5) || '/c' || doc_id || '/' || f.name AS path, CASE f.name WHEN 'facts.yml' THEN 'id: c' || doc_id || chr(10) || 'lang: ' || lang || chr(10) ELSE '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || source END AS content,
+@query("""SELECT doc_id, 'changes/' || (2020 + doc_id % 5) || '/c' || doc_id || '/' || f.name AS path, CASE f.name WHEN 'facts.yml' THEN 'id: c' || doc_id || chr(10) || 'lang: ' || lang || chr(10) ELSE '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || text END AS content,
     CASE f.name WHEN 'facts.yml' THEN NULL ELSE 'lang: ' || lang END AS header FROM documents, (VALUES ('facts.yml'), ('card.md')) f(name)""")
 def render_files(spark, d):
     """Two files a document, (path, content) rows; the front matter is split off again."""
     k = F.col("doc_id").cast("string")
     folder = F.concat(F.lit("changes/"), (2020 + F.col("doc_id") % 5).cast("string"), F.lit("/c"), k, F.lit("/"))
     facts = F.concat(F.lit("id: c"), k, F.lit("\nlang: "), "lang", F.lit("\n"))
-    card = F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n"), "source")
+    card = F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n"), "text")
     files = F.explode(F.create_map(F.lit("facts.yml"), facts, F.lit("card.md"), card)).alias("name", "content")
     rows = table(spark, d, "documents").select("doc_id", folder.alias("folder"), files)
     return rows.select("doc_id", F.concat("folder", "name").alias("path"), "content", cards.front_matter(F.col("content"))["header"].alias("header"))
 
 
-@query("SELECT doc_id, 'Summarise in ' || lang || ': ' || source AS prompt, 'v3' AS version FROM documents")
+@query("SELECT doc_id, 'Summarise in ' || lang || ': ' || text AS prompt, 'v3' AS version FROM documents")
 def prompt_render(spark, d):
-    prompt = F.replace(F.replace(F.lit("Summarise in {lang}: {source}"), F.lit("{lang}"), F.col("lang")), F.lit("{source}"), F.col("source"))
+    prompt = F.replace(F.replace(F.lit("Summarise in {lang}: {text}"), F.lit("{lang}"), F.col("lang")), F.lit("{text}"), F.col("text"))
     return table(spark, d, "documents").select("doc_id", prompt.alias("prompt"), F.lit("v3").alias("version"))
 
 
@@ -156,18 +165,29 @@ def jsonl_last_wins(spark, d):
     return rows.groupBy(F.col("a.custom_id").alias("user_id")).agg(F.max_by("a.answer", "event_id").alias("answer"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<li>')) AS items, 3 AS padded, 6::BIGINT AS total FROM pages")
+_TITLE_SQL = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h FROM pages)
+    SELECT page_id, CAST(len(h) AS INTEGER) AS items, array_to_string(list_transform(range(1, 6), lambda i: coalesce(CASE WHEN i <= 3 THEN h[i] END, '-')), ' ') AS padded,
+        CAST(coalesce(list_sum(list_transform(h, lambda x: length(x))), 0) AS BIGINT) AS total, len(list_filter(h, lambda x: length(x) > 5)) > 0 AS any_long, array_to_string(list_reverse(h), ' ') AS turned FROM l""")
 def list_functional_ops(spark, d):
-    padded = F.concat(F.array(F.lit(1), F.lit(2)), F.array_repeat(F.lit(3), 1))
-    total = F.aggregate(padded, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(<li>)"), F.lit(1))).cast("long").alias("items"), F.size(padded).alias("padded"), total.alias("total"))
+    """The links of a page: the first three padded to five, lengths summed, any long one, turned round."""
+    rows = table(spark, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit(r"<li><a href=\"([^\"]*)\">"), F.lit(1)).alias("h"))
+    head = F.slice("h", 1, 3)
+    padded = F.concat(head, F.array_repeat(F.lit("-"), F.lit(5) - F.size(head)))
+    total = F.aggregate("h", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
+    return rows.select("page_id", F.size("h").alias("items"), F.array_join(padded, " ").alias("padded"), total.alias("total"), F.exists("h", lambda x: F.length(x) > 5).alias("any_long"), F.array_join(F.reverse("h"), " ").alias("turned"))
 
 
-@query("SELECT page_id, CAST(page_id AS VARCHAR) AS text, 'p-' || page_id AS attribute FROM pages")
+@query(rf"SELECT page_id, {_PLAIN.format(_TITLE_SQL)} AS text, url AS attribute FROM pages")
 def xml_path_text(spark, d):
-    k = F.col("page_id").cast("string")
-    xml = F.concat(F.lit("<a><b id='p-"), k, F.lit("'><c> "), k, F.lit(" </c></b></a>"))
-    return table(spark, d, "pages").select("page_id", F.trim(F.xpath_string(xml, F.lit("/a/b/c"))).alias("text"), F.xpath_string(xml, F.lit("/a/b/@id")).alias("attribute"))
+    """Text and attribute by path in XML that holds each page's own heading and address."""
+    from .laws import xml_text
+
+    body = F.coalesce(xml_text(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)), F.lit(""))
+    xml = F.concat(F.lit("<a><b id='"), F.replace(xml_text(F.col("url")), F.lit("'"), F.lit("&#39;")), F.lit("'><c> "), body, F.lit(" </c></b></a>"))
+    return table(spark, d, "pages").select("page_id", collapse(F.xpath_string(xml, F.lit("/a/b/c"))).alias("text"), F.xpath_string(xml, F.lit("/a/b/@id")).alias("attribute"))
 
 
 @query("SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS characters, FALSE AS has_placeholders FROM conversations GROUP BY 1")
@@ -176,14 +196,16 @@ def master_rules_only(spark, d):
     return rows.select("conv_id", "characters", (F.col("n") > 0).alias("has_placeholders"))
 
 
-@query("SELECT page_id, 'law-' || page_id AS slug, 'Law ' || page_id AS title FROM pages")
+@query(rf"SELECT page_id, regexp_extract('http://x.example/' || lower(regexp_replace(url, '[^A-Za-z0-9]+', '-', 'g')) || '/xml.zip', '/([a-z0-9_-]+)/xml\.zip$', 1) AS slug, {_PLAIN.format(_TITLE_SQL)} AS title FROM pages")
 def toc_scan(spark, d):
-    """Table of contents in XML: one item a page, slug from its link."""
-    k = F.col("page_id").cast("string")
-    item = F.concat(F.lit("<item><title>Law "), k, F.lit("</title><link>http://x.example/law-"), k, F.lit("/xml.zip</link></item>"))
-    parsed = F.from_xml(item, "title string, link string")
+    """Table of contents in XML, one item a page with its own heading; slug from the item's link."""
+    from .laws import xml_text
+
+    title = F.coalesce(xml_text(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)), F.lit(""))
+    link = F.concat(F.lit("http://x.example/"), F.lower(F.regexp_replace("url", "[^A-Za-z0-9]+", "-")), F.lit("/xml.zip"))
+    parsed = F.from_xml(F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), link, F.lit("</link></item>")), "title string, link string")
     rows = table(spark, d, "pages").select("page_id", parsed.alias("i"))
-    return rows.select("page_id", F.regexp_extract("i.link", r"/([a-z0-9_-]+)/xml\.zip$", 1).alias("slug"), F.col("i.title").alias("title"))
+    return rows.select("page_id", F.regexp_extract("i.link", r"/([a-z0-9_-]+)/xml\.zip$", 1).alias("slug"), F.coalesce(collapse(F.col("i.title")), F.lit("")).alias("title"))
 
 
 @query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'p1' WHEN 1 THEN 'p1-2' ELSE 'art3' END AS norm_key, CASE page_id % 3 WHEN 1 THEN 'repealed' ELSE 'in_force' END AS status FROM pages WHERE TRUE")
