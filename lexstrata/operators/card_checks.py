@@ -95,16 +95,34 @@ def _lengths(sections: Column, limit: int) -> Column:
     )
 
 
-def wording_issues(cards: DataFrame, sections: str, phrases: DataFrame, subject: str = "subject", lang: str = "lang") -> DataFrame:
-    """``phrases``: phrase, lang. A phrase counts in cards of its language only, ignoring case."""
+# What is said of a phrase of each category, and of any other.
+SAID = {"advice": "reads as legal advice; describe what the law provides instead.", "opinion": "is an evaluation; the text has to stay neutral."}
+SAID_OTHERWISE = "is not allowed in a card."
+
+
+def wording_hits(cards: DataFrame, sections: str, phrases: DataFrame, subject: str = "subject", lang: str = "lang") -> DataFrame:
+    """subject, path, phrase, category, message of each forbidden phrase in a section.
+
+    ``phrases``: phrase, lang, and a category if they have one. A phrase counts in cards of
+    its language only, ignoring case; of repeated phrases the smallest category counts.
+    """
+    category = F.col("category") if "category" in phrases.columns else F.lit(None).cast("string")
+    listed = phrases.groupBy(F.lower("phrase").alias("_p"), F.col("lang").alias("_plang")).agg(F.min(category).alias("category"))
+    listed = listed.withColumn("_pkey", F.concat_ws(":", "_plang", "_p"))
     each = cards.select(F.col(subject).cast("string").alias("subject"), F.col(lang).alias("_lang"), F.explode(sections).alias("_key", "_text"))
     each = each.withColumn("_row", F.concat_ws("\0", F.coalesce("subject", F.lit("")), F.coalesce("_lang", F.lit("")), "_key")).withColumn("_low", F.lower("_text"))
-    spoken = phrases.select(F.col("lang").alias("_lang")).distinct()
-    each = each.join(spoken, "_lang", "left_semi")  # no phrase counts in other languages
-    listed = phrases.select(F.lower("phrase").alias("_p"), F.col("lang").alias("_plang")).distinct().withColumn("_pkey", F.concat("_plang", F.lit(":"), "_p"))
+    each = each.join(listed.select(F.col("_plang").alias("_lang")).distinct(), "_lang", "left_semi")  # no phrase counts in other languages
     hits = phrase_matches(each, listed, "_low", "_p", "_row", "_pkey")
-    named = hits.join(each.select("_row", "subject", "_lang", "_key"), "_row").join(listed.select("_pkey", "_plang"), "_pkey").filter("_lang = _plang")
-    return issues(named, F.lit(True), F.col("subject"), ERROR, "card.forbidden_wording", F.concat(F.lit("sections."), "_key"))
+    named = hits.join(each.select("_row", "subject", "_lang", "_key"), "_row").join(listed, "_pkey").filter("_lang = _plang")
+    said = F.coalesce(F.create_map(*[F.lit(x) for pair in SAID.items() for x in pair])[F.coalesce("category", F.lit(""))], F.lit(SAID_OTHERWISE))
+    message = F.concat(F.lit('"'), "_p", F.lit('" '), said)
+    return named.select("subject", F.concat(F.lit("sections."), "_key").alias("path"), F.col("_p").alias("phrase"), "category", message.alias("message"))
+
+
+def wording_issues(cards: DataFrame, sections: str, phrases: DataFrame, subject: str = "subject", lang: str = "lang") -> DataFrame:
+    """An issue for each of the :func:`wording_hits`."""
+    hits = wording_hits(cards, sections, phrases, subject, lang)
+    return issues(hits, F.lit(True), F.col("subject"), ERROR, "card.forbidden_wording", F.col("path"))
 
 
 def glossary_issues(cards: DataFrame, glossary: DataFrame, subject: str = "subject") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import encoding_issues, html_outside
-from ..operators import audience, card_checks, quality, snapshots
+from ..operators import audience, card_checks, notifications, quality, snapshots
 from .change_capture import NEW_SQL, OLD_SQL, OUTCOMES_SQL, old_and_new
 from .registry import query, table
 
@@ -253,3 +253,37 @@ def instant_rate_limit(spark, d):
 @query("""SELECT event_id, CASE WHEN hour(ts) >= 22 THEN date_trunc('day', ts) + INTERVAL 32 HOUR WHEN hour(ts) < 8 THEN date_trunc('day', ts) + INTERVAL 8 HOUR ELSE ts END AS send_at FROM events""")
 def quiet_hours_defer(spark, d):
     return table(spark, d, "events").select("event_id", audience.after_quiet_hours(F.col("ts")).alias("send_at"))
+
+
+_ACTION_SQL = "CASE event_type WHEN 'view' THEN 'schedule' WHEN 'click' THEN 'reschedule' WHEN 'purchase' THEN 'sent' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'cancel' ELSE 'other' END"
+
+
+@query(f"""WITH e AS (SELECT left(user_id || '|change_direct|email|' || event_id % 5 || '|', 128) AS k, {_ACTION_SQL} AS a, ts, event_id, ts + INTERVAL 1 DAY AS planned, props AS error FROM events WHERE ts IS NOT NULL), f AS (SELECT * FROM e WHERE a <> 'other')
+    SELECT k AS notification, CASE arg_max(a, (ts, event_id)) WHEN 'schedule' THEN 'scheduled' WHEN 'reschedule' THEN 'deferred' WHEN 'cancel' THEN 'cancelled' ELSE arg_max(a, (ts, event_id)) END AS status,
+        arg_max(planned, (ts, event_id)) FILTER (a IN ('schedule', 'reschedule')) AS scheduled_at, arg_max(ts, (ts, event_id)) FILTER (a = 'sent') AS sent_at,
+        CASE WHEN arg_max(a, (ts, event_id)) FILTER (a IN ('sent', 'failed')) = 'failed' THEN left(arg_max(error, (ts, event_id)) FILTER (a = 'failed'), 512) END AS error FROM f GROUP BY 1""")
+def notification_lifecycle(spark, d):
+    """Status of each notification after all that happened to it."""
+    e = table(spark, d, "events")
+    key = notifications.idempotency_key(F.col("user_id"), F.lit("change_direct"), F.lit("email"), F.col("event_id") % 5, F.lit(""))
+    rows = e.select(key.alias("notification"), F.expr(_ACTION_SQL).alias("action"), "ts", "event_id", (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("planned"), F.col("props").alias("error"))
+    return notifications.lifecycle(rows, "notification", "action", "ts", "event_id", "planned", "error")
+
+
+@query("""WITH r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 3 AS first FROM events),
+    s AS (SELECT *, CASE WHEN first THEN CASE WHEN hour(ts) >= 22 THEN date_trunc('day', ts) + INTERVAL 32 HOUR WHEN hour(ts) < 8 THEN date_trunc('day', ts) + INTERVAL 8 HOUR ELSE ts END END AS send_at FROM r)
+    SELECT event_id, CASE WHEN first THEN 'instant' ELSE 'digest' END AS channel, send_at, CASE WHEN send_at = ts THEN 'scheduled' ELSE 'deferred' END AS status FROM s""")
+def notification_plan(spark, d):
+    """At most three messages a day and recipient, none in quiet hours, the rest in the digest."""
+    return notifications.sending_plan(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select("event_id", "channel", "send_at", "status")
+
+
+@query("""WITH p(phrase, category) AS (VALUES ('que la', 'advice'), ('and the', 'opinion'), ('der', NULL)), c AS (SELECT conv_id, role, arg_max(text, turn) AS text FROM conversations GROUP BY ALL)
+    SELECT CAST(conv_id AS VARCHAR) AS subject, 'sections.' || role AS path, phrase, category, chr(34) || phrase || chr(34) || CASE category WHEN 'advice' THEN ' reads as legal advice; describe what the law provides instead.'
+        WHEN 'opinion' THEN ' is an evaluation; the text has to stay neutral.' ELSE ' is not allowed in a card.' END AS message FROM c, p WHERE contains(lower(text), phrase)""")
+def wording_categories(spark, d):
+    """Forbidden phrases in the last text of each role, by category."""
+    last = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("text")).filter("text is not null")
+    cards = last.groupBy(F.col("conv_id").alias("subject")).agg(F.map_from_entries(F.collect_list(F.struct("role", "text"))).alias("sections")).withColumn("lang", F.lit("en"))
+    phrases = spark.createDataFrame([("Que la", "en", "advice"), ("and the", "en", "opinion"), ("der", "en", None), ("and", "de", "advice")], "phrase string, lang string, category string")
+    return card_checks.wording_hits(cards, "sections", phrases)
