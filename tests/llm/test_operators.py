@@ -272,29 +272,85 @@ def test_components_of_paths_and_stars(spark):
 # mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, {"a": 0.9995, "b": 0.0005}, {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"a": 7, "b": Fraction(5, 3), "c": 0.21}])
-def test_edf_stays_within_one_block_of_the_target(weights):
-    """The deviation from the weights themselves over 100,000 slots, not from rounded ones."""
-    from lexstrata.llm.mixing import edf_period, period_shares
-
-    exact = {n: Fraction(w).limit_denominator(10**6) for n, w in weights.items()}
-    exact = {n: w / sum(exact.values()) for n, w in exact.items()}
-    shares, period = period_shares(weights)
-    seen = Counter()
-    for name, j, slot, release, deadline in edf_period(shares, period):
-        assert release <= slot < deadline and j == seen[name]
+def flat(own):
+    """All units of a level in the order of their slots, those of nested levels in their places."""
+    out = [x for p in own.phases for t in range(p.ranges) for x in p.scheduled(t)]
+    if own.nested:
+        inner = sorted(flat(own.nested), key=lambda x: x[2])
+        at = {u: rest for n, u, *rest in out if n == own.group}
+        assert sorted(at) == list(range(len(inner)))
+        out = [x for x in out if x[0] != own.group] + [(n, u, *at[i]) for i, (n, u, *_) in enumerate(inner)]
+    return sorted(out, key=lambda x: x[2])
+
+
+WEIGHTS = [
+    {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, {"a": 0.9995, "b": 0.0005}, {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"a": 7, "b": Fraction(5, 3), "c": 0.21}, {"a": 1234567, "b": 7654321}, {"a": 0.3333333, "b": 0.6666667},
+    {"a": math.pi, "b": math.e}, {f"s{i}": 3.0**-i for i in range(9)}, {f"s{i}": 1 for i in range(40)}, {"big": 1, **{f"t{i}": 1e-4 * (1 + i) for i in range(6)}},
+]
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+@pytest.mark.parametrize("slots", [16, 256, 1 << 16])
+def test_units_stay_within_one_block_of_the_target(weights, slots):
+    """Exact shares of the weights themselves, slot by slot, until the first source runs out."""
+    from lexstrata.llm.mixing import level, whole_weights
+
+    whole = whole_weights(weights)
+    exact = {n: Fraction(w, sum(whole.values())) for n, w in whole.items()}
+    given = {n: Fraction(w).limit_denominator(10**9) for n, w in weights.items()}
+    assert all(abs(exact[n] - w / sum(given.values())) < Fraction(1, 10**8) for n, w in given.items())
+    r = random.Random(slots)
+    units = {n: r.randrange(1, 1500) for n in weights}
+    own = level(whole, units, slots)
+    rows, seen, whole_order = flat(own), Counter(), True
+    assert len({x[2] for x in rows}) == len(rows) == sum(units.values())
+    for i, (name, unit, slot, release, deadline) in enumerate(rows):
+        assert release <= slot < deadline and unit == seen[name]
         seen[name] += 1
-        assert all(abs(seen[n] - w * (slot + 1)) < 1 for n, w in exact.items())
-    assert seen == shares and all(Fraction(shares[n], period) == w for n, w in exact.items())
-    assert 100_000 // period > 0  # the period repeats exactly, so later slots deviate no more
+        whole_order = whole_order and all(seen[n] < units[n] for n in units)
+        if whole_order:
+            assert slot == i and all(abs(seen[n] - w * (slot + 1)) < 2 * own.depth for n, w in exact.items())
+    assert seen == units
 
 
-def test_mixing_rejects_endless_periods():
-    from lexstrata.llm.mixing import exact_weight, period_shares
+def test_shares_of_those_left_follow_their_weights():
+    from lexstrata.llm.mixing import level
+
+    own = level({"a": 4, "b": 1, "c": 3}, {"a": 400, "b": 2000, "c": 6000}, 64)
+    order = [x[0] for x in flat(own)]
+    assert len(own.phases) > 1
+    rest = order[len(order) - 1 - order[::-1].index("a") + 200 :]
+    for at in range(400, 4000, 100):
+        assert abs(rest[:at].count("c") - 0.75 * at) < 4
+
+
+def test_ranges_are_scheduled_side_by_side():
+    """A range comes out alike whatever was scheduled before it."""
+    from lexstrata.llm.mixing import level
+
+    own = level({"a": 5, "b": 3, "c": 1}, {"a": 900, "b": 700, "c": 90}, 64)
+    phase = own.phases[0]
+    late = list(phase.scheduled(phase.ranges - 1))
+    assert late == [x for x in flat(own) if (phase.first_range + phase.ranges - 1) * 64 <= x[2] < (phase.first_range + phase.ranges) * 64]
+
+
+def test_weights_of_any_kind():
+    from lexstrata.llm.mixing import MOST_PARTS, exact_weight, whole_weights
 
     assert [exact_weight(w) for w in (None, 0.0, -1.0, math.nan, math.inf, 0.1, 1 / 3)] == [0, 0, 0, 0, 0, Fraction(1, 10), Fraction(1, 3)]
-    with pytest.raises(ValueError, match="repeat"):
-        period_shares({"a": math.pi, "b": math.e})
+    assert whole_weights({"a": 0.5, "b": 0.25, "c": None}) == {"a": 2, "b": 1} and whole_weights({"a": 0}) == {}
+    many = whole_weights({f"s{i}": Fraction(1, p) for i, p in enumerate(range(10**6 + 1, 10**6 + 60, 2))})
+    assert abs(sum(many.values()) - MOST_PARTS) < 100
+
+
+def test_mixing_of_twenty_thousand_sources(spark):
+    from lexstrata.llm.mixing import mix_sources
+
+    r = random.Random(3)
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 20_000).cast("string").alias("source"))
+    got = mix_sources(rows, {str(i): r.randrange(1, 10**9) for i in range(20_000)}, block_size=8)
+    assert got.count() == 60_000 and got.select("doc_id").distinct().count() == 60_000
+    assert got.filter("slot < release or slot >= deadline").count() == 0
 
 
 def test_mixing_places_every_row_once(spark):
@@ -308,13 +364,13 @@ def test_mixing_places_every_row_once(spark):
     assert sorted(x.doc_id for x in rows) == list(range(500))
     by_slot = defaultdict(set)
     for x in rows:
-        assert x.release <= x.slot < x.deadline and x.block == x.source_row // 4 and x.place == x.source_row % 4
-        by_slot[x.slot].add((x.source, x.block))
+        assert x.release <= x.slot < x.deadline and x.block == x.source_row // 4 and x.place == x.source_row % 2
+        by_slot[x.slot].add((x.source, x.source_row // 2))
     assert all(len(v) == 1 for v in by_slot.values())
     for name in set(sources):
         assert sorted(x.source_row for x in rows if x.source == name) == list(range(sources.count(name)))
     last = max(x.slot for x in rows if x.source in ("a", "b", None))
-    assert min(x.slot for x in rows if x.source in ("zero", "unknown")) == last + 1
+    assert min(x.slot for x in rows if x.source in ("zero", "unknown")) > last
     mixed = mixed_documents(docs, weights, block_size=4)
     assert mixed.columns == docs.columns and mixed.count() == 500
     assert mix_sources(make(spark, [])).count() == 0
