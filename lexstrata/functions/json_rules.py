@@ -75,7 +75,7 @@ def registry_errors(value: Column, name: Column, version: Column, registry: dict
 def schema_version(schema: dict) -> int:
     """The version a schema states; 1 where it states none."""
     version = schema.get("version")
-    return int(float(version)) if isinstance(version, (int, float, str)) and re.fullmatch(r"\s*[+-]?\d+(\.\d+)?\s*", str(version)) else 1
+    return int(float(version)) if isinstance(version, (int, float, str)) and re.match(r"\s*[+-]?\d+(\.\d+)?\s*$", str(version)) else 1
 
 
 def _message(test: Column, path: Column, what: str) -> Column:
