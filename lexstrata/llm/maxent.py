@@ -28,16 +28,16 @@ import zlib
 import numpy as np
 
 SMOOTH = 0.1
-CLASSES = 16
+CLASSES = 32
 RESTS = 64
 FEATURES = 4
 NODE_FEATURES = 3
 RATE = 0.3
-STEP_TOKENS = 1 << 16
+STEP_TOKENS = 1 << 15
 CHUNK_TOKENS = 1 << 14
 LOGIT_LIMIT = 40.0
-BUCKETS, MOST_BUCKETS, BUCKET_TOKENS = 1 << 14, 1 << 16, 8192
-CELLS, MOST_CELLS, CELL_TOKENS = 1 << 20, 1 << 22, 128
+BUCKETS, MOST_BUCKETS, BUCKET_TOKENS = 1 << 14, 1 << 16, 4096
+CELLS, MOST_CELLS, CELL_TOKENS = 1 << 20, 1 << 22, 64
 
 
 def table_size(tokens: int, per: int, least: int, most: int) -> int:
