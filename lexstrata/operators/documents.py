@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import collapse, escape_html, escape_line, escape_table_cell, group, norm_key, strip_tags, trimmed
+from ..shipping import ship_package
 
 BLOCK_TAGS = "h[1-6]|p|li|tr|pre|dt|dd|blockquote|title"
 DROPPED = r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->"
@@ -161,6 +162,7 @@ def unique_keys(rows: DataFrame, keys: list[str], base: str, order: str) -> Data
     def each(documents: pd.Series) -> pd.Series:
         return documents.map(numbered_keys)
 
+    ship_package(rows.sparkSession)
     number = F.pandas_udf(each, "array<string>")
     narrow = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(base).alias("b")))).alias("all"))
     named = narrow.select(*keys, F.explode(F.arrays_zip(F.col("all.o").alias("o"), number(F.col("all.b")).alias("unique_key"))).alias("x"))

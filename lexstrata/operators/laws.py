@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, escape_line, escape_list_marker, norm_key
+from ..shipping import ship_package
 from ..sources.files import shared_folder
 from .documents import numbered_keys
 from .law_markup import Norm
@@ -49,6 +50,7 @@ def fold_norms(norms: DataFrame, base_url: str) -> DataFrame:
                 ))
             yield pd.DataFrame(rows, columns=columns)
 
+    ship_package(norms.sparkSession)
     schema = "slug string, document_id string, position int, " + FOLDED
     good = norms.filter("error is null").select("slug", "document_id", "position", "xml")
     columns = ["slug", "document_id", "position", "designation", "title", "long_title", "short_title", "abbreviation", "law_key", "issued", "unit", "notes", "places", "lines", "cells", "norm_id"]
@@ -113,6 +115,7 @@ def outline(norms: Column) -> Column:
     def each(laws: pd.Series) -> pd.Series:
         return laws.map(one)
 
+    ship_package()
     return F.pandas_udf(each, "array<struct<unique_key: string, node: int, parent: int>>")(norms)
 
 

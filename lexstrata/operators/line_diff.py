@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship_package
+
 TRACED_BITS = 1 << 25
 CONTEXT = 3
 
@@ -104,6 +106,7 @@ def kept_lines(old: Column, new: Column) -> Column:
         return pd.Series([one(a, b) for a, b in zip(olds, news, strict=True)])
 
     hashed = lambda lines: F.transform(lines, lambda x: F.xxhash64(x))
+    ship_package()
     return F.pandas_udf(align, "array<int>")(hashed(old), hashed(new))
 
 

@@ -24,6 +24,7 @@ from xml.sax.saxutils import escape, quoteattr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..shipping import ship_package
 from .files import opened, shared_uri
 
 SCHEMA = "path string, slug string, document_id string, position int, xml string, error string"
@@ -175,11 +176,13 @@ class LawContainers(DataSource):
 
 
 def read_containers(spark: SparkSession, path: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    ship_package(spark)
     spark.dataSource.register(LawContainers)
     return spark.read.format("law_container").option("partitionbytes", str(partition_bytes)).load(shared_uri(spark, path))
 
 
 def write_containers(laws: DataFrame, path: str) -> None:
     """One archive for each row (slug, xml) in ``path``."""
+    ship_package(laws.sparkSession)
     laws.sparkSession.dataSource.register(LawContainers)
     laws.select("slug", "xml").write.format("law_container").mode("append").save(shared_uri(laws.sparkSession, path))

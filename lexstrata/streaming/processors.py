@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..operators.queueing import FALLBACK_MINUTES, FINAL, LEASE_SECONDS, MAX_ATTEMPTS
+from ..shipping import ship_package
 
 
 class SettlingProcessor(StatefulProcessor):
@@ -52,6 +53,7 @@ SETTLED = StructType([StructField("key", LongType()), StructField("settling_star
 def settling_stream(events: DataFrame, key: str, ts: str, hours: int = 72, delay: str = "1 hour") -> DataFrame:
     """(key, settling_started_at) as the watermark passes the end of each window."""
     rows = events.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    ship_package(rows.sparkSession)
     return rows.groupBy("key").transformWithStateInPandas(SettlingProcessor(hours), SETTLED, "Append", "EventTime")
 
 
@@ -86,6 +88,7 @@ JOBS = StructType([StructField("job", LongType()), StructField("attempts", Integ
 def lease_stream(events: DataFrame, job: str, kind: str, ts: str, tie: str) -> DataFrame:
     """The new state of each job that had events in a micro-batch."""
     rows = events.select(F.col(job).cast("long").alias("job"), F.col(kind).alias("kind"), F.col(ts).alias("ts"), F.col(tie).alias("event_id"))
+    ship_package(rows.sparkSession)
     return rows.groupBy("job").transformWithStateInPandas(LeaseProcessor(), JOBS, "Update", "None")
 
 
@@ -154,6 +157,7 @@ TIMED_JOBS = StructType([StructField("job", LongType()), StructField("attempts",
 def timed_lease_stream(events: DataFrame, job: str, kind: str, ts: str, tie: str, delay: str = "0 seconds", lease_seconds: int = LEASE_SECONDS, fallback_minutes: int = FALLBACK_MINUTES) -> DataFrame:
     """The new state of each job that had events, or whose clock ran out, in a micro-batch."""
     rows = events.select(F.col(job).cast("long").alias("job"), F.col(kind).alias("kind"), F.col(ts).cast("timestamp").alias("ts"), F.col(tie).alias("event_id")).withWatermark("ts", delay)
+    ship_package(rows.sparkSession)
     return rows.groupBy("job").transformWithStateInPandas(TimedLeaseProcessor(lease_seconds, fallback_minutes), TIMED_JOBS, "Update", "EventTime")
 
 
@@ -199,6 +203,7 @@ CACHED = "request long, hit boolean"
 def cache_stream(requests: DataFrame, fingerprint: str, request: str, ts: str, ttl_seconds: int, delay: str = "0 seconds") -> DataFrame:
     """(request, hit) of each request; ``operators.decisions.cache_hits`` is the batch form."""
     rows = requests.select(F.col(fingerprint).cast("string").alias("fingerprint"), F.col(request).cast("long").alias("request"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    ship_package(rows.sparkSession)
     return rows.groupBy("fingerprint").transformWithStateInPandas(CacheProcessor(ttl_seconds), CACHED, "Append", "EventTime")
 
 
