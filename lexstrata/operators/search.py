@@ -1,12 +1,14 @@
-"""Ranked search: block-wise postings, synonyms, and top-k that leaves most blocks unread.
+"""Ranked search: block-wise postings, synonyms, and top-k that leaves most documents unscored.
 
 Documents are dealt to blocks by a hash of their id. Postings of a term in a block are one row: ids
-as differences, frequencies, lengths, and the largest weight any of them can give. A frequent term
-is thus many rows in many tasks. Scores are BM25.
+as differences, frequencies and lengths. A frequent term is thus many rows in many tasks. Scores
+are BM25.
 
-A query reads the largest weights first. The blocks with the highest sums are scored, their k-th
-score is a floor, and of the other blocks only those whose sum reaches it are scored, too: the same
-documents as from all blocks. Ties go to the smaller id.
+A word alone gives its k-th best document a score, which is a floor for the k-th score of each query
+that asks for it. A block meets a share of the queries in a task: words whose largest weights
+together stay below a query's floor seed no documents, and only those with another word of the
+query are scored, with all its words. So the best k of each block are found, and then of all: the same
+documents as from all scores. Ties go to the smaller id.
 
 Defined cases: words are runs of letters and digits in lower case; null and empty texts, queries
 without known words, and empty tables find nothing; a null id is left out; of rows that repeat an id
@@ -17,15 +19,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship_package
 from ..sources.files import shared_folder
 
 K1, B = 1.2, 0.75
-BLOCK_DOCUMENTS = 1024
-FIRST_BLOCKS = 4
+BLOCK_DOCUMENTS = 16_384
+FIRST_BLOCKS = 64
+QUERIES = 50_000
 DIGITS = 9  # scores are compared so; sums in another order differ far below
 
 
@@ -35,31 +41,31 @@ def words(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings: term, block, ids, counts, lengths, most; terms: term, documents; n documents."""
+    """postings: term, block, ids, counts, lengths; terms: term, documents; n documents in blocks."""
 
     postings: DataFrame
     terms: DataFrame
     documents: int
     average: float
+    blocks: int
 
 
 def build_index(documents: DataFrame, key: str, text: str, block_documents: int = BLOCK_DOCUMENTS) -> Index:
     """Write the postings of ``documents`` to the shared folder."""
     spark = documents.sparkSession
-    rows = documents.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(text).alias("text")).select("id", words(F.col("text")).alias("words"))
+    named = documents.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    n = named.select("id").distinct().count()
+    blocks = max(1, -(-n // block_documents))
     folder = shared_folder(spark, "search")
-    sized = rows.select("id", F.coalesce(F.size("words"), F.lit(0)).alias("length"), "words")
-    total = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")).first()
-    average = total.average or 1.0
-    blocks = max(1, -(-total.n // block_documents))
+    sized = named.groupBy("id").agg(F.max("text").alias("text")).select("id", words(F.col("text")).alias("words")).withColumn("length", F.size("words"))
     counted = sized.select("id", "length", F.explode("words").alias("term")).groupBy("term", "id", "length").agg(F.count(F.lit(1)).cast("int").alias("count"))
     listed = counted.groupBy("term", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "length", "count"))).alias("all"))  # a block's documents at most
     gaps = F.transform("all", lambda x, i: x["id"] - F.coalesce(F.get("all", i - 1)["id"], F.lit(0)))
-    most = F.array_max(F.transform("all", lambda x: weight(x["count"], x["length"], average)))
-    listed.select("term", "block", gaps.alias("ids"), F.col("all.count").alias("counts"), F.col("all.length").alias("lengths"), most.alias("most")).write.parquet(folder)
+    listed.select("term", "block", gaps.alias("ids"), F.col("all.count").alias("counts"), F.col("all.length").alias("lengths")).write.parquet(folder)
     postings = spark.read.parquet(folder)
     terms = postings.groupBy("term").agg(F.sum(F.size("counts")).alias("documents"))
-    return Index(postings, terms, total.n, average)
+    held = postings.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("words")).first().words or 0
+    return Index(postings, terms, n, held / n if held else 1.0, blocks)
 
 
 def weight(count: Column, length: Column, average: float) -> Column:
@@ -75,34 +81,83 @@ def query_terms(queries: DataFrame, query: str, text: str, synonyms: DataFrame |
     return own.unionByName(own.join(both, "term").select("query", F.col("other").alias("term"))).distinct()
 
 
-def search(index: Index, queries: DataFrame, query: str, text: str, k: int, synonyms: DataFrame | None = None, first_blocks: int = FIRST_BLOCKS) -> DataFrame:
-    """query, place (from 1), id, score of the best ``k`` documents of each query."""
+def search(
+    index: Index, queries: DataFrame, query: str, text: str, k: int, synonyms: DataFrame | None = None, first_blocks: int = FIRST_BLOCKS, share: int = QUERIES
+) -> DataFrame:
+    """query, place (from 1), id, score of the best ``k`` documents of each query. Floors come from
+    the ``first_blocks`` blocks that hold a word's largest weights; a task takes about ``share`` queries."""
+    spark = queries.sparkSession
     asked = query_terms(queries, query, text, synonyms).join(index.terms, "term")
     rarity = F.log(1 + (F.lit(index.documents) - F.col("documents") + 0.5) / (F.col("documents") + 0.5))
-    asked = asked.select("query", "term", rarity.alias("rarity"))
-    spark, folder = queries.sparkSession, shared_folder(queries.sparkSession, "search-bounds")
-    bounds = asked.join(index.postings.select("term", "block", "most"), "term").groupBy("query", "block").agg(F.sum(F.col("rarity") * F.col("most")).alias("bound"))
-    best = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
-    bounds.withColumn("turn", F.row_number().over(best)).write.parquet(folder)
-    bounds = spark.read.parquet(folder)
-
-    def scored(blocks: DataFrame) -> DataFrame:
-        read = blocks.select("query", "block").join(asked, "query").join(index.postings, ["term", "block"])
-        ids = _running(F.col("ids"))
-        each = read.select("query", "rarity", F.explode(F.arrays_zip(ids.alias("id"), F.col("counts").alias("count"), F.col("lengths").alias("length"))).alias("p"))
-        return each.groupBy("query", F.col("p.id").alias("id")).agg(F.round(F.sum(F.col("rarity") * weight(F.col("p.count"), F.col("p.length"), index.average)), DIGITS).alias("score"))
-
+    asked = _written(asked.select("query", "term", rarity.alias("rarity")), "search-words")
+    wanted = _written(index.postings.join(asked.select("term").distinct(), "term", "left_semi"), "search-postings")
+
+    weights = F.transform(F.arrays_zip("counts", "lengths"), lambda x: weight(x["counts"], x["lengths"], index.average))
+    best = wanted.select("term", "block", F.slice(F.sort_array(weights, asc=False), 1, k).alias("best"))
+    turn = F.row_number().over(Window.partitionBy("term").orderBy(F.desc(F.get("best", F.lit(0))), "block"))
+    best = best.withColumn("turn", turn).filter(F.col("turn") <= first_blocks).groupBy("term").agg(F.get(F.sort_array(F.flatten(F.collect_list("best")), asc=False), F.lit(k - 1)).alias("kth"))
+    rows = asked.join(best, "term").groupBy("query").agg(F.collect_list("term").alias("terms"), F.collect_list("rarity").alias("rarities"), F.coalesce(F.max(F.col("rarity") * F.col("kth")), F.lit(0.0)).alias("floor"))
+    rows = _written(rows, "search-queries")
+
+    shares = max(1, -(-rows.count() // share))
+    met = rows.select("*", F.pmod(F.xxhash64("query"), F.lit(shares)).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), F.lit(index.blocks - 1))).alias("block"))
+    dealt = wanted.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    average, kind, id_kind = index.average, rows.schema["query"].dataType.simpleString(), index.postings.schema["ids"].dataType.elementType.simpleString()
+    best_of_block = lambda postings, asked: block_best(postings, asked, k, average)
+    ship_package(spark)
+    found = dealt.groupBy("block", "share").cogroup(met.groupBy("block", "share")).applyInPandas(best_of_block, f"query {kind}, id {id_kind}, score double")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    first_folder = shared_folder(spark, "search-first")
-    scored(bounds.filter(F.col("turn") <= first_blocks)).withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k).write.parquet(first_folder)
-    first = spark.read.parquet(first_folder)
-    floor = first.filter(F.col("place") == k).select("query", F.col("score").alias("floor"))
-    rest = bounds.filter(F.col("turn") > first_blocks).join(floor, "query", "left").filter(F.col("floor").isNull() | (F.col("bound") * (1 + 1e-9) + 10.0**-DIGITS >= F.col("floor")))
-    found = first.drop("place").unionByName(scored(rest))
-    return found.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k).select(F.col("query").alias(query), "place", "id", "score")
-
-
-def _running(gaps: Column) -> Column:
-    """Running sums of an array, in one pass."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
-    return F.aggregate(gaps, start, lambda s, g: F.struct((s["at"] + g).alias("at"), F.array_append(s["out"], s["at"] + g).alias("out")))["out"]
+    found = found.withColumn("score", F.round("score", DIGITS)).withColumn("place", F.row_number().over(by_score))
+    return found.filter(F.col("place") <= k).select(F.col("query").alias(query), "place", "id", "score")
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
+def block_best(postings: pd.DataFrame, asked: pd.DataFrame, k: int, average: float) -> pd.DataFrame:
+    """query, id, score of the best ``k`` documents of one block, if they reach the query's floor."""
+    found: list[tuple] = []
+    lists = [np.cumsum(x) for x in postings["ids"]]
+    ids = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+    held, score = {}, np.zeros(len(ids))
+    for term, own, counts, lengths in zip(postings["term"], lists, postings["counts"], postings["lengths"]):
+        at, w = np.searchsorted(ids, own), weight(counts.astype(float), lengths, average)
+        dense = None
+        if 8 * len(at) > len(ids):  # a frequent word has a weight for each document
+            dense = np.zeros(len(ids))
+            dense[at] = w
+        held[term] = w.max(), at, w, dense
+    for query, terms, rarities, floor in zip(asked["query"], asked["terms"], asked["rarities"], asked["floor"]):
+        own = sorted(((r * held[t][0], r, *held[t][1:]) for t, r in zip(terms, rarities) if t in held), key=lambda x: -x[0])
+        left, seeds, least = sum(x[0] for x in own), 0, floor * (1 - 1e-9) - 10.0**-DIGITS
+        while seeds < len(own) and left >= least:
+            left -= own[seeds][0]
+            seeds += 1
+        if not seeds:
+            continue
+        dense_seed = any(x[4] is not None for x in own[:seeds])
+        for _, r, at, w, dense in own[:seeds]:
+            if dense is None:
+                score[at] += r * w
+            else:
+                score += r * dense
+        some = np.flatnonzero(score) if dense_seed else own[0][2] if seeds == 1 else np.unique(np.concatenate([x[2] for x in own[:seeds]]))
+        total = score[some]
+        score[slice(None) if dense_seed else some] = 0
+        for _, r, at, w, dense in own[seeds:]:
+            if dense is not None:
+                total += r * dense[some]
+            else:
+                score[at] = r * w
+                total += score[some]
+                score[at] = 0
+        total = np.round(total, DIGITS)
+        good = np.flatnonzero(total >= least)
+        if len(good) > k:
+            good = np.flatnonzero(total >= max(least, np.partition(total, -k)[-k]))
+            good = good[np.lexsort((some[good], -total[good]))[:k]]
+        found += [(query, ids[some[i]], total[i]) for i in good]
+    return pd.DataFrame(found, columns=["query", "id", "score"])

@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,23 @@ def test_odd_texts(spark):
     assert all(v == [] for v in empty.values())
 
 
+def test_queries_in_shares_meet_blocks_with_floors(spark):
+    rng = random.Random(9)
+    documents = {i: " ".join(["the"] * rng.randrange(1, 9) + [f"y{int(rng.paretovariate(0.5)) % 300}" for _ in range(rng.randrange(1, 30))]) for i in range(300)} | {i: "the y1 y2" for i in range(300, 330)}
+    queries = {f"q{i}": "the " + " ".join(f"y{rng.randrange(40)}" for _ in range(3)) for i in range(40)}
+    got, index = found(spark, documents, queries, 4, block_documents=64, share=7)
+    assert got == plain_search(documents, queries, 4) and index.blocks == 6
+
+
+def test_frequent_words_seed_no_documents_below_the_floor():
+    postings = pd.DataFrame({"term": ["the", "rare"], "ids": [np.ones(100, np.int64), np.array([50, 1])], "counts": [np.ones(100, np.int32), np.ones(2, np.int32)], "lengths": [np.full(100, 5), np.full(2, 5)]})
+    asked = pd.DataFrame({"query": ["q"], "terms": [["the", "rare"]], "rarities": [[0.1, 3.0]], "floor": [3.0]})
+    rows = search.block_best(postings, asked, 10, 5.0)
+    assert rows["id"].tolist() == [50, 51] and rows["score"].round(6).tolist() == [3.1, 3.1]
+    assert search.block_best(postings, asked.assign(floor=0.0), 10, 5.0)["id"].tolist() == [50, 51, *range(1, 9)]
+    assert search.block_best(postings, asked.assign(floor=3.2), 10, 5.0).empty
+
+
 def test_derived_tables_are_rebuilt_in_order(spark):
     graph = {
         "c": derived.Derived(("b", "a"), lambda b, a: b.join(a, "k").select("k", (F.col("m") + F.col("n")).alias("s"))),
