@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 ERROR, WARNING, INFO = "error", "warning", "info"
 COLUMNS = ["subject", "severity", "code", "path"]
 MIN_FOR_RATIO = 20
-SALTS = 16
 BLOCK = 1000
+LISTED = 100_000
 
 
 def issues(rows: DataFrame, when: Column, subject: Column, severity: str | Column, code: str | Column, path: Column | None = None) -> DataFrame:
@@ -58,9 +58,10 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, text: str, phrase: str,
     An index join instead of a comparison of all pairs: a phrase is found by the words that
     it holds whole (all but the first and last, which may touch longer words), of which the
     rarest is the index key; the text is checked for the phrase only where that word occurs.
-    A word that many texts hold is dealt by a salt of the text's key. Phrases of fewer than
-    ``min_words`` words have no inner word: they are compared with every text as a stated
-    list, in blocks of about ``BLOCK`` phrases, one row a block.
+    A list of up to ``LISTED`` phrases is sent to the texts, so no task gathers what holds one
+    word or phrase; a longer one is joined by word. A candidate keeps its phrase, and texts are
+    joined by their own key. Phrases of fewer than ``min_words`` words have no inner word: each
+    text, where it lies, meets them as a stated list, in rows of about ``BLOCK`` phrases.
     """
     split = lambda c: F.split(c, " ")
     listed = phrases.select(F.col(phrase_key), F.col(phrase).alias("_phrase")).filter("_phrase is not null and _phrase <> ''")
@@ -68,20 +69,20 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, text: str, phrase: str,
     long = listed.filter(F.size(split(F.col("_phrase"))) >= min_words)
     inner = long.select("*", F.explode(F.array_distinct(F.slice(split(F.col("_phrase")), 2, F.size(split(F.col("_phrase"))) - 2))).alias("_word"))
     held = words.select(key, F.explode(F.array_distinct(split(F.col("_text")))).alias("_word"))
-    wanted = held.join(inner.select("_word").distinct(), "_word", "left_semi")
+    sent = F.broadcast if long.limit(LISTED + 1).count() <= LISTED else lambda x: x
+    wanted = held.join(sent(inner.select("_word").distinct()), "_word", "left_semi")
     frequency = wanted.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = inner.join(frequency, "_word", "left").groupBy(phrase_key).agg(F.min_by("_word", F.struct(F.coalesce("_n", F.lit(0)), "_word")).alias("_word"))
-    salted = rarest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = wanted.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["_word", "_salt"]).select(key, phrase_key)
-    found = pairs.join(long.select(phrase_key, "_phrase"), phrase_key).join(words, key).filter(F.contains("_text", "_phrase")).select(key, phrase_key)
+    rarest = inner.join(frequency, "_word", "left").groupBy(phrase_key, "_phrase").agg(F.min_by("_word", F.struct(F.coalesce("_n", F.lit(0)), "_word")).alias("_word"))
+    rarest = sent(rarest.join(long, [phrase_key, "_phrase"]))  # as often as it is listed
+    pairs = wanted.join(rarest, "_word").select(key, phrase_key, "_phrase")
+    found = pairs.join(words, key).filter(F.contains("_text", "_phrase")).select(key, phrase_key)
 
     short = listed.filter(F.size(split(F.col("_phrase"))) < min_words)
     n = -(-short.count() // BLOCK)
     if not n:
         return found
     blocks = short.groupBy(F.pmod(F.xxhash64("_phrase"), F.lit(n)).alias("_block")).agg(F.collect_list(F.struct(F.col(phrase_key), "_phrase")).alias("_list"))
-    asked = words.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(blocks, "_block")
-    hits = asked.select(key, F.explode(F.filter("_list", lambda p: F.contains(F.col("_text"), p["_phrase"]))).alias("_p"))
+    hits = words.crossJoin(F.broadcast(blocks)).select(key, F.explode(F.filter("_list", lambda p: F.contains(F.col("_text"), p["_phrase"]))).alias("_p"))
     return found.union(hits.select(key, F.col("_p")[phrase_key].alias(phrase_key)))
 
 

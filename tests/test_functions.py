@@ -2,6 +2,7 @@
 
 import datetime
 import hmac
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lexstrata.functions import dates, json_rules, money, text
 from lexstrata.functions.language import detect_language
 from lexstrata.functions.signing import hmac_sha256_hex
-from lexstrata.operators import audience, cards, documents, quality, queueing, sentences, snapshots, versions
+from lexstrata.operators import audience, card_checks, cards, documents, quality, queueing, sentences, snapshots, versions
 
 
 def values(spark, expr, rows, columns="a string"):
@@ -260,3 +261,19 @@ def test_long_texts_do_not_exhaust_the_stack(spark):
     assert values(spark, text.grouped_numbers_joined(F.col("a")), ["1." + "234." * 30_000 + "567"]) == ["1" + "234" * 30_000 + "567"]
     one = "wort " * 60_000 + "ende."
     assert values(spark, F.size(sentences.sentences(F.col("a"))), [one, "Ja. " * 3000]) == [1, 3000]
+
+
+def test_texts_are_not_gathered_by_a_list_or_a_language(spark, capsys):
+    """A list of phrases goes to the texts: no exchange brings all texts of one block, word or language together."""
+    texts = spark.range(40).selectExpr("id AS k", "concat('all people hold that word here ', id) AS t")
+    phrases = spark.createDataFrame([("a", "that word"), ("b", "people hold that"), ("b", "people hold that"), ("c", "all people hold that word")], "p string, w string")
+    found = quality.phrase_matches(texts, phrases, "t", "w", "k", "p")
+    assert sorted(tuple(r) for r in found.groupBy("p").count().collect()) == [("a", 40), ("b", 80), ("c", 40)]
+    cards = texts.selectExpr("k AS subject", "'en' AS lang", "map('summary', t) AS s")
+    hits = card_checks.wording_hits(cards, "s", phrases.selectExpr("w AS phrase", "'en' AS lang"))
+    assert hits.count() == 120
+    found.explain()
+    hits.explain()
+    plan = capsys.readouterr().out
+    gathered = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin) \[(\w+)#\d+L?(?:, _salt#\d+)?\]", plan)
+    assert "Exchange" in plan and set(gathered) <= {"k", "_row"}
