@@ -111,9 +111,10 @@ def wording_hits(cards: DataFrame, sections: str, phrases: DataFrame, subject: s
     listed = listed.withColumn("_pkey", F.concat_ws(":", "_plang", "_p"))
     each = cards.select(F.col(subject).cast("string").alias("subject"), F.col(lang).alias("_lang"), F.explode(sections).alias("_key", "_text"))
     each = each.withColumn("_row", F.concat_ws("\0", F.coalesce("subject", F.lit("")), F.coalesce("_lang", F.lit("")), "_key")).withColumn("_low", F.lower("_text"))
-    each = each.join(listed.select(F.col("_plang").alias("_lang")).distinct(), "_lang", "left_semi")  # no phrase counts in other languages
+    # No phrase counts in other languages. Lists are sent to the texts, which share a few languages and phrases.
+    each = each.join(F.broadcast(listed.select(F.col("_plang").alias("_lang")).distinct()), "_lang", "left_semi")
     hits = phrase_matches(each, listed, "_low", "_p", "_row", "_pkey")
-    named = hits.join(each.select("_row", "subject", "_lang", "_key"), "_row").join(listed, "_pkey").filter("_lang = _plang")
+    named = hits.join(each.select("_row", "subject", "_lang", "_key"), "_row").join(F.broadcast(listed), "_pkey").filter("_lang = _plang")
     said = F.coalesce(F.create_map(*[F.lit(x) for pair in SAID.items() for x in pair])[F.coalesce("category", F.lit(""))], F.lit(SAID_OTHERWISE))
     message = F.concat(F.lit('"'), "_p", F.lit('" '), said)
     return named.select("subject", F.concat(F.lit("sections."), "_key").alias("path"), F.col("_p").alias("phrase"), "category", message.alias("message"))
@@ -131,7 +132,7 @@ def glossary_issues(cards: DataFrame, glossary: DataFrame, subject: str = "subje
     joined = cards.select(F.col(subject).cast("string").alias("subject"), F.array_join(_values(F.col("master")), "\n").alias("_m"), F.array_join(_values(F.col("translation")), "\n").alias("_t"))
     listed = glossary.select("term", "rendering").dropDuplicates(["term"])
     mentioned = phrase_matches(joined, listed, "_m", "term", "subject", "term").distinct()
-    pairs = mentioned.join(listed, "term").join(joined.select("subject", "_t"), "subject")
+    pairs = mentioned.join(F.broadcast(listed), "term").join(joined.select("subject", "_t"), "subject")
     return issues(pairs, ~F.contains("_t", "rendering"), F.col("subject"), WARNING, "translation.glossary_term_missing")
 
 
