@@ -1,8 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio behind plain counting rules.
 
 Word unigrams and bigrams are hashed into ``BUCKETS`` counters. One multinomial is counted
-over the trusted target (labelled texts of good quality, about ``sample`` at most, chosen
-by a hash of the id), one over every whole text of the corpus. A document's ratio is the
+over the trusted target (every labelled text of good quality), one over every whole text of
+the corpus. A document's ratio is the
 mean of ``log p_target - log p_raw`` over its n-grams, so long and short texts compare.
 The threshold is fixed before scoring. Trusted texts fall into two halves by a hash of the
 text, and each half is scored with the counts of the other; the threshold is the
@@ -23,11 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_filter, materialize
 from .near_dedup import _mix, word_hashes
-from .toxicity import labelled_sample
 
 BUCKETS = 1 << 16
-SAMPLE = 20_000
+BINS = 1 << 16
 LEAST_SHARE = 0.01
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -106,10 +106,28 @@ def mean_ratio(ratio: np.ndarray, hashes: np.ndarray) -> float:
     return float(ratio[grams].mean()) if len(grams) else 0.0
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
+def exact_quantile(rows: DataFrame, share: float) -> float:
+    """The quantile of ``r`` over all rows, between two of them by their distance: counted in
+    ``BINS`` bins first, then by value in the bins that hold its ranks."""
+    seen = rows.agg(F.count("r").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).first()
+    if seen.low == seen.high:
+        return seen.low
+    place = F.least(F.floor((F.col("r") - seen.low) / (seen.high - seen.low) * BINS), F.lit(BINS - 1))
+    at = (seen.n - 1) * share
+    ranks = [int(np.floor(at)), int(np.ceil(at))]
+    bins = np.array(sorted(tuple(x) for x in rows.groupBy(place.alias("bin")).count().collect()))  # at most BINS rows
+    ends = np.cumsum(bins[:, 1])
+    first, last = np.searchsorted(ends, ranks, side="right")
+    values = np.array(sorted(tuple(x) for x in rows.filter(place.between(int(bins[first, 0]), int(bins[last, 0]))).groupBy("r").count().collect()))
+    lower, upper = values[np.searchsorted(np.cumsum(values[:, 1]), np.array(ranks) - (ends[first] - bins[first, 1]), side="right"), 0]
+    return float(lower + (at - ranks[0]) * (upper - lower))
+
+
+def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float] | None:
     """(ratio by bucket, threshold), or None without trusted texts."""
-    good = labels.filter(F.col(label_col) == 1)
-    trusted = labelled_sample(docs, good, id_col, text_col, label_col, lambda c: F.lit(True), sample)
+    good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("id")).filter("id is not null").distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    trusted = materialize(rows.filter(id_filter(good, "id")(F.col("id"))).join(good, "id", "left_semi"), "trusted")
     # Equal texts fall into one half, or a copy would score itself.
     halved = trusted.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
     halves = [gram_counts(halved.filter(F.col("half") == k)) for k in (0, 1)]
@@ -124,12 +142,12 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         return pd.Series([mean_ratio(other[k], word_hashes(raw_words(t))) for t, k in zip(texts, half, strict=True)], dtype=float)
 
     scored = halved.filter(F.length(F.trim("text")) > 0).select(held_out_ratio("text", "half").alias("r"))
-    return log_ratio(target, raw), float(scored.agg(F.percentile("r", F.lit(LEAST_SHARE)).alias("low")).first().low)
+    return log_ratio(target, raw), exact_quantile(materialize(scored, "ratios"), LEAST_SHARE)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept."""
-    model = fit_ratio(docs, labels, id_col, text_col, label_col, sample)
+    model = fit_ratio(docs, labels, id_col, text_col, label_col)
     ratio, threshold = model if model else (np.zeros(BUCKETS), -np.inf)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS doubles, whatever the input
 

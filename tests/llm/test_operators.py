@@ -587,6 +587,19 @@ def test_quality_ratio_rejects_bad_texts_at_each_size(spark, size):
     assert sum(bad) < 0.05 * len(bad) and sum(good) > 0.97 * len(good)
 
 
+def test_quality_learns_from_every_trusted_text(spark):
+    """One text in 30,000 has words of its own; a sample of the labels would mostly miss it."""
+    from lexstrata.llm.quality import exact_quantile, fit_ratio, gram_buckets, raw_words, word_hashes
+
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('plain words of a text number ', id % 50, CASE WHEN id % 10000 = 77 THEN ' seldom' ELSE '' END) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality").union(docs.limit(5).selectExpr("doc_id", "1"))
+    ratio, threshold = fit_ratio(docs, labels)
+    assert abs(ratio[gram_buckets(word_hashes(raw_words("seldom")))[0]]) < 1e-9 and np.isfinite(threshold)
+    values = spark.range(2000).selectExpr("CASE WHEN id < 30 THEN -5.0D ELSE pow(id % 997, 3) / 7 END AS r")
+    for share in (0.0, 0.01, 0.0157, 0.5, 1.0):
+        assert exact_quantile(values, share) == pytest.approx(values.selectExpr(f"percentile(r, {share}D) AS q").first().q, rel=1e-12)
+
+
 # toxicity
 
 
