@@ -93,15 +93,17 @@ class Tree:
             return self.spark.createDataFrame([], ENTRY)
         return self.spark.read.schema(ENTRY).parquet(*folders)
 
-    def at(self, ref: int | None = None) -> DataFrame:
-        """path, content, content_hash, commit (that wrote it) of each file at ``ref``."""
+    def at(self, ref: int | None = None, content: bool = True) -> DataFrame:
+        """path, content, content_hash, commit (that wrote it) of each file at ``ref``. Without
+        ``content`` only paths and hashes move."""
         ref = self.head() if ref is None else ref
         base = max(self._manifests("snapshots", ref), key=lambda m: m["number"], default=None)
         rows = self.entries(ref, base["number"] if base else 0)
         if base:
             rows = rows.unionByName(self.spark.read.schema(ENTRY).parquet(f"{self.root}/{base['folder']}"))
-        last = rows.groupBy("path").agg(F.max_by(F.struct("content", "content_hash", "deleted", "commit"), "commit").alias("e"))
-        return last.filter("not e.deleted").select("path", "e.content", "e.content_hash", "e.commit")
+        fields = [*["content"] * content, "content_hash", "commit"]
+        last = rows.groupBy("path").agg(F.max_by(F.struct(*fields, "deleted"), "commit").alias("e"))
+        return last.filter("not e.deleted").select("path", *[f"e.{c}" for c in fields])
 
     def read(self, path: str, ref: int | None = None) -> str | None:
         """One file's content; None where it is not there."""
@@ -109,10 +111,10 @@ class Tree:
         return row.content if row else None
 
     def exists(self, path: str, ref: int | None = None) -> bool:
-        return not self.at(ref).filter(F.col("path") == safe_path(path)).isEmpty()
+        return not self.at(ref, content=False).filter(F.col("path") == safe_path(path)).isEmpty()
 
     def directory_exists(self, path: str, ref: int | None = None) -> bool:
-        return not self.at(ref).filter(F.startswith("path", F.lit(safe_path(path).rstrip("/") + "/"))).isEmpty()
+        return not self.at(ref, content=False).filter(F.startswith("path", F.lit(safe_path(path).rstrip("/") + "/"))).isEmpty()
 
     def found(self, paths: DataFrame, path: str = "path", ref: int | None = None) -> DataFrame:
         """``paths`` with the content and content_hash at ``ref``, null where there is none."""
@@ -121,7 +123,7 @@ class Tree:
 
     def list_files(self, prefix: str = "", ref: int | None = None) -> DataFrame:
         """Sorted paths below a directory; all of them for an empty one."""
-        files = self.at(ref).select("path")
+        files = self.at(ref, content=False).select("path")
         if prefix.strip("/"):
             files = files.filter(F.startswith("path", F.lit(safe_path(prefix).rstrip("/") + "/")))
         return files.orderBy("path")
@@ -136,7 +138,7 @@ class Tree:
             raise Conflict(f"{parent} is not the last commit")
         wanted = changes.select(_safe(F.col("path")).alias("path"), F.col("content").cast("string").alias("content")).groupBy("path").agg(F.max("content").alias("content"))
         wanted = wanted.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
-        held = self.at(parent).select("path", F.col("content_hash").alias("_held"))
+        held = self.at(parent, content=False).select("path", F.col("content_hash").alias("_held"))
         fresh = wanted.join(held, "path", "left").filter(~F.col("content_hash").eqNullSafe(F.col("_held"))).drop("_held")
         folder = f"entries/{shared_folder(self.spark, 'commit').rsplit('/', 1)[-1]}"
         fresh.select("path", "content", "content_hash", F.col("content").isNull().alias("deleted"), F.lit(parent + 1).cast("long").alias("commit")).write.parquet(f"{self.root}/{folder}")

@@ -203,3 +203,13 @@ def test_abbreviations_with_and_without_spaces(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", sentences(F.col("t")).alias("s")).collect()
     assert {r.t: r.s for r in rows} == cases
+
+
+def test_states_without_contents_move_hashes_only(spark, tmp_path, capsys):
+    tree = Tree(spark, str(tmp_path / "tree"))
+    tree.commit(spark.createDataFrame([("a/b", "x"), ("c", "y")], "path string, content string"), "one")
+    tree.commit(spark.createDataFrame([("a/b", None), ("c", "z")], "path string, content string"), "two")
+    bare = tree.at(2, content=False)
+    assert bare.collect() == tree.at(2).drop("content").collect() and [r.path for r in bare.collect()] == ["c"]
+    bare.explain("formatted")
+    assert "content_hash" in (plan := capsys.readouterr().out) and "content#" not in plan
