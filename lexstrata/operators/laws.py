@@ -27,17 +27,25 @@ from .sentences import sentences
 # Names that the normaliser knows, and texts it writes.
 CONTENTS, INTRODUCTION, REMARKS = "Inhaltsübersicht", "Eingangsformel", "hinweise"
 REPEALED_TEXT, NO_TEXT = "(weggefallen)", "(kein Text)"
+FOLD_CHARACTERS = 1 << 20
 FOLDED = """designation string, title string, long_title string, short_title string, abbreviation string, law_key string, issued string,
     unit struct<code: string, label: string, title: string>, notes array<struct<kind: string, text: string>>, places array<struct<kind: string, periodical: string, page: string>>,
     lines array<struct<block: int, kind: string, depth: int, marker: string, text: string>>,
     cells array<struct<grid: int, section: string, row: int, column: int, width: int, height: int, text: string>>, norm_id string"""
 
 
+def in_pieces(batch: pd.DataFrame, text: str, most: int = FOLD_CHARACTERS) -> Iterator[pd.DataFrame]:
+    """Slices of a batch whose texts begin within ``most`` characters of each other."""
+    starts = batch[text].str.len().cumsum().shift(fill_value=0) // most
+    for _, piece in batch.groupby(starts.to_numpy(), sort=True):
+        yield piece
+
+
 def fold_norms(norms: DataFrame, base_url: str) -> DataFrame:
     """slug, document_id, position and the folded fields, lines and cells of each norm."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in in_pieces(whole, "xml")):
             rows = []
             for slug, document_id, position, xml in zip(batch["slug"], batch["document_id"], batch["position"], batch["xml"], strict=True):
                 n = Norm(f"{base_url.rstrip('/')}/{slug}").read(xml)
@@ -55,7 +63,7 @@ def fold_norms(norms: DataFrame, base_url: str) -> DataFrame:
     good = norms.filter("error is null").select("slug", "document_id", "position", "xml")
     columns = ["slug", "document_id", "position", "designation", "title", "long_title", "short_title", "abbreviation", "law_key", "issued", "unit", "notes", "places", "lines", "cells", "norm_id"]
     broken = norms.filter("error is not null").select("slug").distinct()
-    folded = good.join(broken, "slug", "left_anti").mapInPandas(fold, schema)
+    folded = good.join(broken, "slug", "left_anti").repartition("slug", "position").mapInPandas(fold, schema)
     texts = ["designation", "title", "long_title", "short_title", "abbreviation", "law_key", "issued"]
     return folded.withColumns({c: F.nullif(collapse(F.col(c)), F.lit("")) for c in texts})
 
@@ -63,11 +71,13 @@ def fold_norms(norms: DataFrame, base_url: str) -> DataFrame:
 def normalised(norms: DataFrame, base_url: str) -> DataFrame:
     """Folded norms with their bodies, written to the shared folder: parsed once, however many
     tables are made of them."""
-    spark = norms.sparkSession
-    made = bodies(fold_norms(norms, base_url))
-    path = shared_folder(spark, "law-norms")
-    made.write.parquet(path)
-    return spark.read.schema(made.schema).parquet(path)
+    return written(bodies(fold_norms(norms, base_url)), "law-norms")
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def failed_containers(norms: DataFrame) -> DataFrame:

@@ -239,3 +239,19 @@ def test_functions_that_laws_stand_on(spark):
 
     frame = spark.createDataFrame([("§§ 3 und 4a",), ("§§§ 2",), ("§7b",), ("Artikel12c",), ("ART. 5",), ("Anhang XIV",), ("anlage. 3b",), ("Schluss Ü",), ("  ",)], "a string")
     assert [r[0] for r in frame.select(text.norm_key(F.col("a"), F.lit("BJ9"))).collect()] == ["p3-4a", "p2", "p7b", "art12c", "art5", "anlxiv", "anl3b", "schluss-ue", "n-bj9"]
+
+
+def test_folds_and_reads_stay_small(tmp_path):
+    """A batch of norms is folded in pieces, and archives of a few megabytes are a task each."""
+    import pandas as pd
+
+    from lexstrata.operators.laws import in_pieces
+    from lexstrata.sources.containers import ContainerReader
+
+    batch = pd.DataFrame({"xml": ["a" * 60, "b" * 60, "c" * 500, "d", "e"]}, index=[7, 7, 3, 1, 0])
+    pieces = [p["xml"].str[0].str.cat() for p in in_pieces(batch, "xml", 100)]
+    assert "".join(pieces) == "abcde" and pieces == ["ab", "c", "de"] and [len(p) for p in in_pieces(batch, "xml")] == [5] and not list(in_pieces(batch[:0], "xml"))
+    for i in range(5):
+        (tmp_path / f"{i}.zip").write_bytes(bytes(3 << 20))
+    parts = ContainerReader({"path": f"file:{tmp_path}"}).partitions()
+    assert len(parts) == 5 and sorted(x for p in parts for x in p.paths) == [str(tmp_path / f"{i}.zip") for i in range(5)]
