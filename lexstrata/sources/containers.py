@@ -28,7 +28,7 @@ from ..shipping import ship_package
 from .files import opened, shared_uri
 
 SCHEMA = "path string, slug string, document_id string, position int, xml string, error string"
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES = 4 << 20  # of archives, which inflate several times
 CHUNK = 1 << 16
 # The first bytes of a zip archive, and how a law's root element begins.
 ZIP_START = b"PK\x03\x04"
