@@ -7,7 +7,8 @@ mean of ``log p_target - log p_raw`` over its n-grams, so long and short texts c
 The threshold is fixed before scoring. Trusted texts fall into two halves by a hash of the
 text, and each half is scored with the counts of the other; the threshold is the
 ``LEAST_SHARE`` quantile of these held-out ratios, so it follows their spread at any size.
-Every document is then kept or not by that number alone.
+Every document is then kept or not by that number alone. Texts are read where they lie:
+ids alone are joined with the labels.
 
 Defined cases: a null or blank text has no words, fails the base rules and is not kept;
 rows that repeat an id are scored one by one; without trusted texts the verdict is the
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_filter, materialize
@@ -78,24 +79,29 @@ def base_counts(text: str | None, words: list[bytes], hashes: np.ndarray) -> tup
 _NO_SYMBOLS = str.maketrans("", "", SYMBOLS)
 
 
-def gram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Counts of all buckets over whole texts: each task sends one row a bucket."""
+def gram_counts(rows: DataFrame) -> np.ndarray:
+    """Counts of all buckets over whole texts (columns text, half) in three rows: all texts,
+    those of half 0, those of half 1. Each task sends one row a bucket."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros((3, BUCKETS), np.int64)  # no half, half 0, half 1
         for batch in batches:
-            for text in batch["text"]:
-                total += np.bincount(gram_buckets(word_hashes(raw_words(text))), minlength=BUCKETS) if text else 0
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": used.astype(np.int32), "n": total[used]})
-
-    parts = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "bucket int, n long")
-    out = np.zeros(BUCKETS, np.int64)
-    for r in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
-        out[r.bucket] = r.n
+            for text, half in zip(batch["text"], batch["half"].fillna(-1).astype(int), strict=True):
+                if text:
+                    total[half + 1] += np.bincount(gram_buckets(word_hashes(raw_words(text))), minlength=BUCKETS)
+        used = np.flatnonzero(total.any(axis=0))
+        yield pd.DataFrame({"bucket": used.astype(np.int32), **dict(zip(_COUNTS, total[:, used], strict=True))})
+
+    parts = rows.select("text", "half").mapInPandas(count, "bucket int, other long, first long, second long")
+    out = np.zeros((3, BUCKETS), np.int64)
+    for r in parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in _COUNTS]).collect():  # at most BUCKETS rows
+        out[:, r.bucket] = r.other + r["first"] + r.second, r["first"], r.second
     return out
 
 
+_COUNTS = ["other", "first", "second"]
+
+
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """log p_target - log p_raw of each bucket, with one added to every count."""
     return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
@@ -123,25 +129,44 @@ def exact_quantile(rows: DataFrame, share: float) -> float:
     return float(lower + (at - ranks[0]) * (upper - lower))
 
 
+def membership(rows: DataFrame, members: DataFrame) -> tuple[Column, DataFrame]:
+    """Which ``rows`` have an id in ``members`` (distinct, column id), by two bitmaps of a fixed
+    size instead of a join that moves the rows.
+
+    The first bitmap knows all members and lets some strangers through. A join of ids alone
+    names these, and the second bitmap knows them. Rows that pass the first and not the second
+    are members: the column returned holds for them. Rows that pass both are joined; the
+    members among them are the table returned. With bitmaps too full to tell anything, that
+    is all rows, so the result is exact at any size.
+    """
+    possible = id_filter(members, "id")(F.col("id"))
+    again = F.xxhash64("id", F.lit(1))  # not the places of the first bitmap
+    strangers = rows.select("id").filter(possible).join(members, "id", "left_anti").select(again.alias("place"))
+    strange = id_filter(strangers, "place")(again)
+    return possible & ~strange, rows.filter(possible & strange).join(members, "id", "left_semi")
+
+
 def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float] | None:
     """(ratio by bucket, threshold), or None without trusted texts."""
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("id")).filter("id is not null").distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    trusted = materialize(rows.filter(id_filter(good, "id")(F.col("id"))).join(good, "id", "left_semi"), "trusted")
+    certain, doubtful = membership(rows, good)
     # Equal texts fall into one half, or a copy would score itself.
-    halved = trusted.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
-    halves = [gram_counts(halved.filter(F.col("half") == k)) for k in (0, 1)]
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    joined = materialize(doubtful.select("text", half.alias("half")), "trusted")  # the few whose ids the bitmaps cannot tell
+    raw, *halves = gram_counts(rows.select("text", F.when(certain, half).alias("half")))
+    halves = [a + b for a, b in zip(halves, gram_counts(joined)[1:], strict=True)]
     target = halves[0] + halves[1]
     if not target.sum():
         return None
-    raw = gram_counts(docs, text_col)
-    other = [log_ratio(half if half.sum() else target, raw) for half in reversed(halves)]
+    other = [log_ratio(counts if counts.sum() else target, raw) for counts in reversed(halves)]
 
     @F.pandas_udf("double")
     def held_out_ratio(texts: pd.Series, half: pd.Series) -> pd.Series:
         return pd.Series([mean_ratio(other[k], word_hashes(raw_words(t))) for t, k in zip(texts, half, strict=True)], dtype=float)
 
-    scored = halved.filter(F.length(F.trim("text")) > 0).select(held_out_ratio("text", "half").alias("r"))
+    trusted = rows.filter(certain).select("text", half.alias("half")).union(joined)
+    scored = trusted.filter(F.length(F.trim("text")) > 0).select(held_out_ratio("text", "half").alias("r"))
     return log_ratio(target, raw), exact_quantile(materialize(scored, "ratios"), LEAST_SHARE)
 
 

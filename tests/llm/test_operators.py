@@ -600,6 +600,29 @@ def test_quality_learns_from_every_trusted_text(spark):
         assert exact_quantile(values, share) == pytest.approx(values.selectExpr(f"percentile(r, {share}D) AS q").first().q, rel=1e-12)
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15])
+def test_quality_tells_trusted_texts_without_moving_them(spark, tmp_path, monkeypatch, bits):
+    """Work tables hold no trusted texts but the few of doubtful ids, and with bitmaps that are
+    nearly full the counts are still those of a join."""
+    import os
+
+    from lexstrata.llm import common, quality
+
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    monkeypatch.setattr(common, "work_path", lambda spark, name: f"{tmp_path}/{name}")
+    docs = spark.range(40_000).selectExpr("nullif(id, 7) AS doc_id", "concat('text ', sha2(cast(id % 39000 AS string), 512)) AS text")
+    labels = docs.selectExpr("doc_id", "cast(coalesce(doc_id, 0) % 3 = 0 AS int) AS quality").union(spark.sql("SELECT NULL, 1 UNION ALL SELECT -1, 1 UNION ALL SELECT 3, 1"))
+    ratio, _ = quality.fit_ratio(docs, labels)
+    target, raw = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for i, text in docs.collect():
+        grams = np.bincount(quality.gram_buckets(quality.word_hashes(quality.raw_words(text))), minlength=quality.BUCKETS)
+        raw += grams
+        target += grams if i is not None and i % 3 == 0 else 0
+    assert np.array_equal(ratio, quality.log_ratio(target, raw))
+    moved = sum(os.path.getsize(f"{d}/{f}") for d, _, files in os.walk(f"{tmp_path}/trusted") for f in files)
+    assert bits < 1 << 20 or moved < 40_000  # the trusted texts alone have 1.8 MB
+
+
 # toxicity
 
 
