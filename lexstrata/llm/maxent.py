@@ -35,6 +35,7 @@ NODE_FEATURES = 3
 RATE = 0.3
 STEP_TOKENS = 1 << 15
 CHUNK_TOKENS = 1 << 14
+DESCENT_BLOCK = 1 << 14
 LOGIT_LIMIT = 40.0
 BUCKETS, MOST_BUCKETS, BUCKET_TOKENS = 1 << 14, 1 << 16, 4096
 CELLS, MOST_CELLS, CELL_TOKENS = 1 << 20, 1 << 22, 64
@@ -159,7 +160,8 @@ class Tokens:
 
 
 class Model:
-    """Weights over a vocabulary, with one step of descent and the log probability."""
+    """Weights over a vocabulary, with their logits and the log probability. No index is out of
+    its table: ``take`` wraps because that is quicker than to check them."""
 
     def __init__(self, vocabulary: Vocabulary, rows: np.ndarray, cells: np.ndarray):
         self.v, self.rows, self.cells = vocabulary, rows, cells
@@ -173,9 +175,9 @@ class Model:
     def class_logits(self, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(logits, rows of the features)."""
         at = np.stack([(k & self.mask).astype(np.int64) for k in keys])
-        z = self.rows.take(at[0], axis=0)
+        z = self.rows.take(at[0], axis=0, mode="wrap")
         for row in at[1:]:
-            z += self.rows.take(row, axis=0)
+            z += self.rows.take(row, axis=0, mode="wrap")
         z += self.v.class_bias
         np.clip(z, -LOGIT_LIMIT, LOGIT_LIMIT, out=z)
         return z, at
@@ -185,14 +187,18 @@ class Model:
         first = self.v.first[leaf]
         width = self.v.first[leaf + 1] - first
         at = np.arange(int(width.sum())) + np.repeat(first - (np.cumsum(width) - width), width)
-        node = self.v.way.take(at)
-        salt = self.v.node_salt.take(node)
+        node = self.v.way.take(at, mode="wrap")
+        salt = self.v.node_salt.take(node, mode="wrap")
         cell = np.empty((NODE_FEATURES, len(at)), np.int64)
-        odds = self.v.node_bias.take(node)
+        odds = self.v.node_bias.take(node, mode="wrap")
         for f in range(NODE_FEATURES):
-            cell[f] = ((np.repeat(keys[f], width) ^ salt) * np.uint32(0x9E3779B1)) >> self.shift
-            odds += self.cells.take(cell[f])
-        return np.clip(odds, -LOGIT_LIMIT, LOGIT_LIMIT, out=odds), self.v.sides.take(at), cell, width
+            key = np.repeat(keys[f], width)
+            key ^= salt
+            key *= np.uint32(0x9E3779B1)
+            key >>= self.shift
+            cell[f] = key
+            odds += self.cells.take(cell[f], mode="wrap")
+        return np.clip(odds, -LOGIT_LIMIT, LOGIT_LIMIT, out=odds), self.v.sides.take(at, mode="wrap"), cell, width
 
     def log_probability(self, tokens: Tokens) -> np.ndarray:
         """log10 P(leaf | context) of each token."""
@@ -205,7 +211,7 @@ class Model:
             np.exp(z, out=z)
             logs = own - np.log(z.sum(axis=1))
             odds, sides, _, width = self.decisions(keys, leaf)
-            np.negative(odds, out=odds, where=sides)
+            odds *= 1 - 2 * sides.view(np.int8)
             lost = np.log1p(np.exp(odds, out=odds), out=odds)
             ends = np.concatenate([[0.0], np.cumsum(lost, dtype=float)])
             stop = np.cumsum(width)
@@ -221,41 +227,55 @@ class Descent:
         self.model = Model(start.v, start.rows.copy(), start.cells.copy())
         self.row_squares = np.zeros_like(start.rows)
         self.cell_squares = np.zeros_like(start.cells)
+        # Not zeros_like: np.add.at is quick only for numpy's own type object, which arrays that
+        # came by pickle do not carry. One row of sums lies behind the other, as in the table.
+        self.row_sums = np.zeros(start.rows.size, np.float32)
+        self.cell_sums = np.zeros(start.cells.size, np.float32)
 
     def step(self, tokens: Tokens) -> None:
         """A step for each ``STEP_TOKENS``; gradients are gathered in chunks that fit a cache."""
         for first in range(0, len(tokens.leaf), STEP_TOKENS):
-            row_sums = np.zeros(self.model.rows.shape[::-1], np.float32)  # a class's sums lie together
-            # Not zeros_like: np.add.at is quick only for numpy's own type object, which arrays that
-            # came by pickle do not carry.
-            cell_sums = np.zeros(len(self.model.cells), np.float32)
             for begin in range(first, min(first + STEP_TOKENS, len(tokens.leaf)), CHUNK_TOKENS):
                 part = slice(begin, min(begin + CHUNK_TOKENS, first + STEP_TOKENS))
                 keys, leaf = [k[part] for k in tokens.keys], tokens.leaf[part]
-                self._gather_classes(keys, leaf, row_sums)
-                self._gather_decisions(keys, leaf, cell_sums)
-            _descend(self.model.rows, self.row_squares, np.ascontiguousarray(row_sums.T))
-            _descend(self.model.cells, self.cell_squares, cell_sums)
+                self._gather_classes(keys, leaf, self.row_sums)
+                self._gather_decisions(keys, leaf, self.cell_sums)
+            _descend(self.model.rows, self.row_squares, self.row_sums)
+            _descend(self.model.cells, self.cell_squares, self.cell_sums)
 
     def _gather_classes(self, keys: list[np.ndarray], leaf: np.ndarray, sums: np.ndarray) -> None:
         z, at = self.model.class_logits(keys)
         np.exp(z, out=z)
         z /= z.sum(axis=1)[:, None]
         z[np.arange(len(leaf)), self.model.v.classes[leaf]] -= 1
-        flat, error = at.ravel(), np.ascontiguousarray(z.T)
-        for c in range(CLASSES):
-            sums[c] += np.bincount(flat, weights=np.tile(error[c], FEATURES), minlength=sums.shape[1])
+        error, klass = np.empty(z.size, np.float32), np.arange(CLASSES)  # of numpy's own type, too
+        error[:] = z.ravel()
+        place = np.empty(z.shape, np.int64)
+        for row in at:
+            np.add((row * CLASSES)[:, None], klass, out=place)
+            np.add.at(sums, place.ravel(), error)
 
     def _gather_decisions(self, keys: list[np.ndarray], leaf: np.ndarray, sums: np.ndarray) -> None:
         odds, sides, cell, _ = self.model.decisions(keys, leaf)
         error = 1 / (1 + np.exp(-odds))
         error -= sides
-        np.add.at(sums, cell.ravel(), np.tile(error, NODE_FEATURES))
+        for row in cell:
+            np.add.at(sums, row, error)
 
 
 def _descend(weights: np.ndarray, squares: np.ndarray, sums: np.ndarray) -> None:
-    """One adaptive step against the gradient ``sums``, in place."""
-    squares += sums * sums
-    sums *= RATE
-    sums /= np.sqrt(squares + np.float32(1))
-    weights -= sums
+    """One adaptive step against the gradient ``sums``, in place; ``sums`` are 0 again behind it.
+    Tables are walked in blocks that stay in a cache, so none of their size is made on the way."""
+    weights, squares = weights.reshape(-1), squares.reshape(-1)
+    held = np.empty(DESCENT_BLOCK, np.float32)
+    for begin in range(0, len(sums), DESCENT_BLOCK):
+        w, q, g = (x[begin : begin + DESCENT_BLOCK] for x in (weights, squares, sums))
+        h = held[: len(g)]
+        np.multiply(g, g, out=h)
+        q += h
+        np.add(q, np.float32(1), out=h)
+        np.sqrt(h, out=h)
+        g *= RATE
+        g /= h
+        w -= g
+        g[:] = 0

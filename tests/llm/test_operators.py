@@ -788,6 +788,31 @@ def test_tokens_keep_texts_apart():
     assert together.outside == [b"new", b"new", b"other"] and together.outside_text.tolist() == [0, 3, 3]
 
 
+def test_descent_makes_no_tables_on_the_way():
+    """A step is that of the plain formula, and nothing of the size of the table of cells is made for it."""
+    import tracemalloc
+
+    from lexstrata.llm import maxent
+
+    v, model = small_model()
+    model.cells = np.zeros(maxent.MOST_CELLS, np.float32)
+    descent = maxent.Descent(maxent.Model(v, model.rows, model.cells))
+    tokens = maxent.Tokens(v, [[b"w0a", b"w1b", b"w2c", b"new", b"w30a"]] * 2)
+    tracemalloc.start()
+    descent.step(tokens)
+    assert tracemalloc.get_traced_memory()[1] < model.cells.nbytes / 4
+    tracemalloc.stop()
+    assert not descent.row_sums.any() and not descent.cell_sums.any()
+
+    r = np.random.default_rng(4)
+    w, q, g = (r.normal(size=(1237, 32)).astype(np.float32) for _ in range(3))
+    q *= q
+    squares = q + g * g
+    stepped = w - g * np.float32(maxent.RATE) / np.sqrt(squares + np.float32(1))
+    maxent._descend(w, q, g.reshape(-1))
+    assert np.array_equal(w, stepped) and np.array_equal(q, squares) and not g.any()
+
+
 def test_descent_follows_the_gradient_of_both_factors():
     """Numerical derivatives of the summed log loss, by a class row and by a decision cell."""
     from lexstrata.llm import maxent
