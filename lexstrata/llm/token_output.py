@@ -16,6 +16,7 @@ packed one by one; an empty table writes a folder without rows.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -93,24 +94,29 @@ def matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
         partition, written = TaskContext.get().partitionId(), 0
 
         def close() -> pa.RecordBatch:
-            ids, ends, places, segments = [], [], [], []
             groups = best_fit_decreasing([len(p) for p in parts], limit)
-            for group in groups:
-                sizes = [len(parts[i]) for i in group]
-                row = np.full(limit, PAD_ID, np.int32)
-                row[: sum(sizes)] = np.concatenate([parts[i] for i in group])
-                at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes] + [np.zeros(limit - sum(sizes), np.int32)])
-                ids.append(row)
-                places.append(at)
-                ends.append(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                segments.append([{"id": keys[i], "piece": numbers[i], "start": starts[i]} for i in group])
+            order = list(itertools.chain.from_iterable(groups))
+            taken = np.array([len(g) for g in groups])
+            sizes = np.array([len(parts[i]) for i in order])
+            before = np.cumsum(sizes) - sizes
+            heads = np.cumsum(taken) - taken  # the first piece of each sequence
+            offsets = before - np.repeat(before[heads], taken)
+            within = np.arange(sizes.sum(), dtype=np.int32) - np.repeat(before, sizes).astype(np.int32)
+            at = within + np.repeat(np.repeat(np.arange(len(groups)) * limit, taken) + offsets, sizes)
+            ids, places = np.full(len(groups) * limit, PAD_ID, np.int32), np.zeros(len(groups) * limit, np.int32)
+            ids[at], places[at] = np.concatenate([parts[i] for i in order]), within
+            # Of each sequence: the offsets of its pieces, then its length.
+            ends = np.insert(offsets, heads + taken, (offsets + sizes)[heads + taken - 1]).astype(np.int32)
             nonlocal written
             names = [f"{partition:06d}-{written + k:09d}" for k in range(len(groups))]
             written += len(groups)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(segments, _SEGMENTS)],
-                names=["sequence_id", "ids", "cu_seqlens", "position_ids", "segments"],
+            rows = np.arange(len(groups) + 1, dtype=np.int32)
+            pieces = np.append(heads, len(order)).astype(np.int32)
+            segments = pa.StructArray.from_arrays(
+                [pa.array([keys[i] for i in order], pa.string()), pa.array([numbers[i] for i in order], pa.int32()), pa.array([starts[i] for i in order], pa.int64())], fields=list(_SEGMENTS.value_type)
             )
+            columns = [pa.ListArray.from_arrays(rows * limit, ids), pa.ListArray.from_arrays(pieces + rows, ends), pa.ListArray.from_arrays(rows * limit, places), pa.ListArray.from_arrays(pieces, segments)]
+            return pa.RecordBatch.from_arrays([pa.array(names), *columns], names=["sequence_id", "ids", "cu_seqlens", "position_ids", "segments"])
 
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]

@@ -10,8 +10,9 @@ import numpy as np
 
 END_ID = 2
 
-# Fixed value: the byte-level pre-tokenisation pattern that belongs to the vocabulary.
-BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: the byte-level pre-tokenisation pattern that belongs to the vocabulary, written with
+# possessive repeats: the same pieces, without the way back that `\s+(?!\S)|\s+` and the like keep open.
+BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
 def default_tokenizer() -> str:

@@ -552,6 +552,18 @@ def test_best_fit_takes_the_least_room():
     assert sorted(100 - sum(lengths[i] for i in g) for g in got) == sorted(rooms)
 
 
+def test_token_pieces_of_white_space_need_no_way_back():
+    """White space up to the end of a text is one piece, however long; a pattern that backs up over it overflows."""
+    from lexstrata.llm import tokens
+
+    encoder = tokens.tokenizer_at(tokens.default_tokenizer())
+    text = "a" + " " * 1_100_000
+    assert encoder.rank_encoder.decode(encoder.encode([text])[0].tolist()) == text
+    plain = tokens.BatchTokenizer(tokens.default_tokenizer(), fast=False)
+    texts = ["it's we've I'd  x", " \n\n y", "a  ", "\u3000\u3000b 12\u0663 !?  \t", "'S 'll'll"]
+    assert [e.tolist() for e in encoder.encode(texts)] == [e.tolist() for e in plain.encode(texts)]
+
+
 # quality
 
 
