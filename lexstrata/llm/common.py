@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SPACES = r"[\x20\x09-\x0D]+"
 FILTER_BITS = 1 << 26
 CHUNK_BITS = 1 << 15
+PART_BYTES = 1 << 24
 
 
 def prepare(spark: SparkSession) -> None:
@@ -118,6 +121,26 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split() if text else []
 
 
+def text_parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of about ``PART_BYTES``; none is cut."""
+    before = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)) // PART_BYTES
+    starts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(texts)]
+    for a, b in zip(starts, starts[1:]):
+        if a < b:
+            yield texts[a:b]
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, as ``words_of`` gives them, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    words, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    full = pc.binary_length(words).to_numpy() > 0  # white space at an end of a text leaves an empty word there
+    if not full.all():
+        words, ends = words.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[ends]
+    return words, np.diff(ends)
+
+
 def doc_crc_mod(col: str, mod: int):
     """crc32 of the id as text, modulo ``mod`` (null ids count as the text 'null')."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("null")).cast("binary")) % mod

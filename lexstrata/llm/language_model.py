@@ -21,7 +21,6 @@ is 0 and nothing but the smoothing tells classes apart; an empty table gives an
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_crc_mod, materialize, words_of
+from .common import doc_crc_mod, materialize, split_words, text_parts
 from .maxent import CLASSES, RESTS, SMOOTH, STEP_TOKENS, Descent, Model, Tokens, Vocabulary
 
 HEAD = 300_000
@@ -45,21 +44,27 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all words of ``docs`` (column text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen, held = [], 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(words_of(text))
-                if len(seen) > FLUSH_WORDS:
-                    yield _counted(seen)
-                    seen.clear()
-        yield _counted(seen)
+            for part in text_parts(batch.column("text")):
+                seen.append(pa.RecordBatch.from_struct_array(split_words(part)[0].value_counts()))
+                held += seen[-1].num_rows
+                if held > FLUSH_WORDS:
+                    seen = _summed(seen)
+                    held = sum(s.num_rows for s in seen)
+                    if held > FLUSH_WORDS // 2:
+                        yield from seen
+                        seen, held = [], 0
+        if seen:
+            yield from _summed(seen)
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    words = pa.array([w.decode("utf-8") for w in seen], pa.string())
-    return pa.RecordBatch.from_arrays([words, pa.array(seen.values(), pa.int64())], names=["word", "n"])
+def _summed(counts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """(word, n) with each word once, from counts with columns (word, n) in any names."""
+    whole = pa.Table.from_batches([c.rename_columns(["word", "n"]) for c in counts]).group_by("word").aggregate([("n", "sum")])
+    return whole.rename_columns(["word", "n"]).combine_chunks().to_batches()
 
 
 def learn_vocabulary(train: DataFrame, head_size: int = HEAD) -> tuple[Vocabulary, DataFrame]:
@@ -81,19 +86,21 @@ def learn_vocabulary(train: DataFrame, head_size: int = HEAD) -> tuple[Vocabular
     return Vocabulary(frequent, {r.leaf: (r.n, r.types) for r in shares}, docs, tokens, types), words
 
 
-def _bundles(texts: Iterator[list[str | None]]) -> Iterator[list[list[bytes]]]:
-    """Whole texts, split into words, in bundles of about ``STEP_TOKENS`` tokens."""
-    held, size = [], 0
-    for batch in texts:
-        for text in batch:
-            words = words_of(text)
-            held.append(words)
-            size += len(words) + 1
-            if size >= STEP_TOKENS:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+def _bundles(v: Vocabulary, texts: Iterator[pa.Array]) -> Iterator[Tokens]:
+    """Whole texts in bundles of about ``STEP_TOKENS`` tokens."""
+    words, found, sizes = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in (p for t in texts for p in text_parts(t)):
+        more, more_sizes = split_words(part)
+        words, found, sizes = pa.concat_arrays([words, more]), np.concatenate([found, v.find(more)]), np.concatenate([sizes, more_sizes])
+        ends, tokens = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, sizes + 1))
+        a = 0
+        while (b := int(np.searchsorted(tokens, tokens[a] + STEP_TOKENS))) <= len(sizes):
+            own = slice(int(ends[a]), int(ends[b]))
+            yield Tokens.of(v, words[own], found[own], sizes[a:b])
+            a = b
+        words, found, sizes = words[int(ends[a]) :], found[ends[a] :], sizes[a:]
+    if len(sizes):
+        yield Tokens.of(v, words, found, sizes)
 
 
 _CHANGE = "block int, salt int, change binary, squares binary"
@@ -136,8 +143,8 @@ def train_round(docs: DataFrame, vocabulary, model: Model) -> Model:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = Model(vocabulary.value, *given.value)
         descent = Descent(start)
-        for bundle in _bundles(b.column("text").to_pylist() for b in batches):
-            descent.step(Tokens(start.v, bundle))
+        for tokens in _bundles(start.v, (b.column("text") for b in batches)):
+            descent.step(tokens)
         salt = TaskContext.get().partitionId() % FAN_IN
         change = np.concatenate([(descent.model.rows - start.rows).ravel(), descent.model.cells - start.cells]).reshape(-1, BLOCK)
         squares = np.concatenate([descent.row_squares.ravel(), descent.cell_squares]).reshape(-1, BLOCK)
@@ -174,7 +181,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(shared.value, *learnt.value)
         for batch in batches:
-            parts = [_scored(own, Tokens(own.v, bundle)) for bundle in _bundles(iter([batch.column("text").to_pylist()]))]
+            parts = [_scored(own, tokens) for tokens in _bundles(own.v, iter([batch.column("text")]))]
             columns = [pa.concat_arrays(c) for c in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *columns], names=["row", "id", *_SCORED])
 

@@ -21,11 +21,12 @@ has (c + 0.1) / (N + 0.1 * (V + 1)) of it, which leaves one share for unknown wo
 
 from __future__ import annotations
 
-import itertools
 import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SMOOTH = 0.1
 CLASSES = 32
@@ -36,6 +37,7 @@ RATE = 0.3
 STEP_TOKENS = 1 << 15
 CHUNK_TOKENS = 1 << 14
 DESCENT_BLOCK = 1 << 14
+SHORT_TOKENS = 1 << 12
 LOGIT_LIMIT = 40.0
 BUCKETS, MOST_BUCKETS, BUCKET_TOKENS = 1 << 14, 1 << 16, 4096
 CELLS, MOST_CELLS, CELL_TOKENS = 1 << 20, 1 << 22, 64
@@ -69,7 +71,7 @@ class Vocabulary:
         self.docs, self.tokens, self.types = docs, tokens, types
         words = sorted((w.encode("utf-8", "surrogatepass") for w in head), key=lambda w: w[::-1])
         counts = np.array([head[w.decode("utf-8", "surrogatepass")] for w in words] or np.zeros(0), dtype=float)
-        self.index = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary())
         self.size, self.end = len(words), len(words) + RESTS
         self.hashes = mix32(word_sums(words))
         self.log_counts = np.log10(counts + SMOOTH)
@@ -115,11 +117,16 @@ class Vocabulary:
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         leaf = join(leaves, np.int64)
         order = np.argsort(leaf, kind="stable")
-        self.way = join(nodes, np.int32)[order]  # nodes of leaf i: way[first[i] : first[i + 1]], from the top
-        self.sides = join(sides, bool)[order]
+        # Decisions of leaf i: way[first[i] : first[i + 1]], from the top; twice the node, plus the side.
+        self.way = (join(nodes, np.int32)[order] << 1) | join(sides, bool)[order]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(mass) + 1))]).astype(np.int64)
-        self.node_bias = join(bias, np.float32)
-        self.node_salt = mix32(np.arange(1, made + 1, dtype=np.uint32))
+        # Salt and bias of a node lie side by side, so one look-up fetches both.
+        self.nodes = np.stack([mix32(np.arange(1, made + 1, dtype=np.uint32)), join(bias, np.float32).view(np.uint32)], axis=1)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The leaf of each word of the head, -1 for others. A call makes a hash table of the head
+        first, so ask for many words at once."""
+        return pc.index_in(words.cast(pa.binary()), self.words).fill_null(-1).to_numpy().astype(np.int64)
 
     @property
     def log_base(self) -> float:
@@ -131,29 +138,37 @@ class Tokens:
     of the texts in tokens, and the words outside the head as (token, word)."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[list[bytes]]):
-        v = vocabulary
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        words = [w for t in texts for w in t] if len(texts) > 1 else texts[0] if texts else []
-        row = np.fromiter(map(v.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        words = pa.array([w for t in texts for w in t], pa.binary())
+        self._lay(vocabulary, words, vocabulary.find(words), np.array([len(t) for t in texts], dtype=np.int64))
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary, words: pa.Array, found: np.ndarray, sizes: np.ndarray) -> Tokens:
+        """From all words of some texts, where ``Vocabulary.find`` found them, and the texts' words."""
+        tokens = cls.__new__(cls)
+        tokens._lay(vocabulary, words, found, sizes)
+        return tokens
+
+    def _lay(self, vocabulary: Vocabulary, words: pa.Array, found: np.ndarray, sizes: np.ndarray) -> None:
+        v, row = vocabulary, found.copy()
         strange = np.flatnonzero(row < 0)
-        self.outside = [words[i] for i in strange.tolist()]
+        self.outside = words.take(pa.array(strange)).cast(pa.binary()).to_pylist()
         sums = word_sums(self.outside)
         hashes = v.hashes.take(row, mode="clip") if v.size else np.zeros(len(words), np.uint32)
         hashes[strange] = mix32(sums)
         row[strange] = v.size + sums % RESTS
 
-        text = np.repeat(np.arange(len(texts)), sizes)
+        text = np.repeat(np.arange(len(sizes)), sizes)
         self.sizes = sizes + 1
         self.leaf = np.full(int(self.sizes.sum()), v.end, np.int64)
         self.leaf[np.arange(len(words)) + text] = row
         self.outside_text = text[strange]
         # Three start marks before each text.
-        padded = np.empty(len(words) + 3 * len(texts), np.uint32)
+        padded = np.empty(len(words) + 3 * len(sizes), np.uint32)
         padded[np.arange(len(words)) + 3 * (text + 1)] = hashes
         base = np.cumsum(sizes + 3) - (sizes + 3)
         for k in range(3):
             padded[base + k] = 3 - k
-        at = np.arange(len(self.leaf)) + 2 * np.repeat(np.arange(len(texts)), self.sizes)
+        at = np.arange(len(self.leaf)) + 2 * np.repeat(np.arange(len(sizes)), self.sizes)
         one, two, three = padded[at + 2], padded[at + 1], padded[at]
         salt = [np.uint32(s) for s in (0x51, 0x52A3, 0x5357F1, 0x54D3B7C5)]
         self.keys = [mix32(one ^ salt[0]), mix32(mix32(two ^ salt[1]) + one), mix32(two ^ salt[2]), mix32(mix32(three ^ salt[3]) + one)]
@@ -187,10 +202,11 @@ class Model:
         first = self.v.first[leaf]
         width = self.v.first[leaf + 1] - first
         at = np.arange(int(width.sum())) + np.repeat(first - (np.cumsum(width) - width), width)
-        node = self.v.way.take(at, mode="wrap")
-        salt = self.v.node_salt.take(node, mode="wrap")
+        way = self.v.way.take(at, mode="wrap")
+        node = self.v.nodes.take(way >> 1, axis=0, mode="wrap")
+        salt = node[:, 0].copy()
         cell = np.empty((NODE_FEATURES, len(at)), np.int64)
-        odds = self.v.node_bias.take(node, mode="wrap")
+        odds = node[:, 1].copy().view(np.float32)
         for f in range(NODE_FEATURES):
             key = np.repeat(keys[f], width)
             key ^= salt
@@ -198,7 +214,7 @@ class Model:
             key >>= self.shift
             cell[f] = key
             odds += self.cells.take(cell[f], mode="wrap")
-        return np.clip(odds, -LOGIT_LIMIT, LOGIT_LIMIT, out=odds), self.v.sides.take(at, mode="wrap"), cell, width
+        return np.clip(odds, -LOGIT_LIMIT, LOGIT_LIMIT, out=odds), (way & 1).astype(np.int8), cell, width
 
     def log_probability(self, tokens: Tokens) -> np.ndarray:
         """log10 P(leaf | context) of each token."""
@@ -209,10 +225,12 @@ class Model:
             z, _ = self.class_logits(keys)
             own = z[np.arange(len(leaf)), self.v.classes[leaf]].astype(float)
             np.exp(z, out=z)
-            logs = own - np.log(z.sum(axis=1))
+            logs = own - np.log(np.einsum("ij->i", z))
             odds, sides, _, width = self.decisions(keys, leaf)
-            odds *= 1 - 2 * sides.view(np.int8)
-            lost = np.log1p(np.exp(odds, out=odds), out=odds)
+            odds *= 1 - 2 * sides
+            np.exp(odds, out=odds)
+            odds += 1  # not log1p: what is lost below 1e-7 a decision is nothing, and log is quicker
+            lost = np.log(odds, out=odds)
             ends = np.concatenate([[0.0], np.cumsum(lost, dtype=float)])
             stop = np.cumsum(width)
             out[part] = logs - (ends[stop] - ends[stop - width])
@@ -233,34 +251,57 @@ class Descent:
         self.cell_sums = np.zeros(start.cells.size, np.float32)
 
     def step(self, tokens: Tokens) -> None:
-        """A step for each ``STEP_TOKENS``; gradients are gathered in chunks that fit a cache."""
+        """A step for each ``STEP_TOKENS`` and for what is left; gradients are gathered in chunks
+        that fit a cache. A short step changes few weights, so it only visits those."""
         for first in range(0, len(tokens.leaf), STEP_TOKENS):
-            for begin in range(first, min(first + STEP_TOKENS, len(tokens.leaf)), CHUNK_TOKENS):
-                part = slice(begin, min(begin + CHUNK_TOKENS, first + STEP_TOKENS))
+            last = min(first + STEP_TOKENS, len(tokens.leaf))
+            met = []
+            for begin in range(first, last, CHUNK_TOKENS):
+                part = slice(begin, min(begin + CHUNK_TOKENS, last))
                 keys, leaf = [k[part] for k in tokens.keys], tokens.leaf[part]
-                self._gather_classes(keys, leaf, self.row_sums)
-                self._gather_decisions(keys, leaf, self.cell_sums)
-            _descend(self.model.rows, self.row_squares, self.row_sums)
-            _descend(self.model.cells, self.cell_squares, self.cell_sums)
-
-    def _gather_classes(self, keys: list[np.ndarray], leaf: np.ndarray, sums: np.ndarray) -> None:
+                met.append((self._gather_classes(keys, leaf, self.row_sums), self._gather_decisions(keys, leaf, self.cell_sums)))
+            if last - first <= SHORT_TOKENS:
+                rows, cells = (np.unique(np.concatenate([m.ravel() for m in part])) for part in zip(*met, strict=True))
+                _descend_at(rows, self.model.rows, self.row_squares, self.row_sums.reshape(-1, CLASSES))
+                _descend_at(cells, self.model.cells, self.cell_squares, self.cell_sums)
+            else:
+                _descend(self.model.rows, self.row_squares, self.row_sums)
+                _descend(self.model.cells, self.cell_squares, self.cell_sums)
+
+    def _gather_classes(self, keys: list[np.ndarray], leaf: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Add the gradients to ``sums``; the rows of the features."""
         z, at = self.model.class_logits(keys)
         np.exp(z, out=z)
-        z /= z.sum(axis=1)[:, None]
+        z /= np.einsum("ij->i", z)[:, None]  # quicker than sum over so short an axis
         z[np.arange(len(leaf)), self.model.v.classes[leaf]] -= 1
-        error, klass = np.empty(z.size, np.float32), np.arange(CLASSES)  # of numpy's own type, too
-        error[:] = z.ravel()
-        place = np.empty(z.shape, np.int64)
+        # Two classes are added at once, as the parts of a complex number.
+        error, pair = np.empty(z.size // 2, np.complex64), np.arange(CLASSES // 2)  # of numpy's own type, too
+        error[:] = z.reshape(-1).view(np.complex64)
+        pairs = sums.view(np.complex64)
         for row in at:
-            np.add((row * CLASSES)[:, None], klass, out=place)
-            np.add.at(sums, place.ravel(), error)
-
-    def _gather_decisions(self, keys: list[np.ndarray], leaf: np.ndarray, sums: np.ndarray) -> None:
-        odds, sides, cell, _ = self.model.decisions(keys, leaf)
-        error = 1 / (1 + np.exp(-odds))
+            place = np.repeat(row * (CLASSES // 2), CLASSES // 2).reshape(-1, CLASSES // 2)
+            place += pair
+            np.add.at(pairs, place.reshape(-1), error)
+        return at
+
+    def _gather_decisions(self, keys: list[np.ndarray], leaf: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Add the gradients to ``sums``; the cells of the features."""
+        error, sides, cell, _ = self.model.decisions(keys, leaf)
+        np.negative(error, out=error)
+        np.exp(error, out=error)
+        error += 1
+        np.divide(1, error, out=error)
         error -= sides
         for row in cell:
             np.add.at(sums, row, error)
+        return cell
+
+
+def _descend_at(at: np.ndarray, weights: np.ndarray, squares: np.ndarray, sums: np.ndarray) -> None:
+    """``_descend`` at the places ``at`` of the first axis alone, where all of ``sums`` is that is not 0."""
+    w, q, g = (x.take(at, axis=0) for x in (weights, squares, sums))
+    _descend(w, q, g.reshape(-1))
+    weights[at], squares[at], sums[at] = w, q, 0
 
 
 def _descend(weights: np.ndarray, squares: np.ndarray, sums: np.ndarray) -> None:
