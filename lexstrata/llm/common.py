@@ -22,7 +22,7 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SPACES = r"[\x20\x09-\x0D]+"
 FILTER_BITS = 1 << 26
 CHUNK_BITS = 1 << 15
-PART_BYTES = 1 << 24
+PART_BYTES = 1 << 23
 
 
 def prepare(spark: SparkSession) -> None:

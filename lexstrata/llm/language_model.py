@@ -88,7 +88,7 @@ def learn_vocabulary(train: DataFrame, head_size: int = HEAD) -> tuple[Vocabular
 
 def _bundles(v: Vocabulary, texts: Iterator[pa.Array]) -> Iterator[Tokens]:
     """Whole texts in bundles of about ``STEP_TOKENS`` tokens."""
-    words, found, sizes = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words, found, sizes = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
     for part in (p for t in texts for p in text_parts(t)):
         more, more_sizes = split_words(part)
         words, found, sizes = pa.concat_arrays([words, more]), np.concatenate([found, v.find(more)]), np.concatenate([sizes, more_sizes])

@@ -126,7 +126,7 @@ class Vocabulary:
     def find(self, words: pa.Array) -> np.ndarray:
         """The leaf of each word of the head, -1 for others. A call makes a hash table of the head
         first, so ask for many words at once."""
-        return pc.index_in(words.cast(pa.binary()), self.words).fill_null(-1).to_numpy().astype(np.int64)
+        return pc.index_in(words.cast(pa.binary()), self.words).fill_null(-1).to_numpy()
 
     @property
     def log_base(self) -> float:
@@ -149,7 +149,7 @@ class Tokens:
         return tokens
 
     def _lay(self, vocabulary: Vocabulary, words: pa.Array, found: np.ndarray, sizes: np.ndarray) -> None:
-        v, row = vocabulary, found.copy()
+        v, row = vocabulary, found.astype(np.int64)
         strange = np.flatnonzero(row < 0)
         self.outside = words.take(pa.array(strange)).cast(pa.binary()).to_pylist()
         sums = word_sums(self.outside)

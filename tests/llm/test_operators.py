@@ -825,6 +825,85 @@ def test_descent_makes_no_tables_on_the_way():
     assert np.array_equal(w, stepped) and np.array_equal(q, squares) and not g.any()
 
 
+def test_a_short_step_visits_only_the_weights_it_meets(monkeypatch):
+    """What is left of a bundle behind its full step: the weights of a whole walk, without the walk."""
+    from lexstrata.llm import maxent
+
+    v, model = small_model()
+    tokens = maxent.Tokens(v, [[b"w0a", b"w1b", b"w2c", b"new", b"w30a"]] * 2)
+    walked, plain = [], maxent._descend
+    monkeypatch.setattr(maxent, "_descend", lambda w, q, g: (walked.append(w.size), plain(w, q, g)))
+    short = maxent.Descent(model)
+    short.step(tokens)
+    assert max(walked) < min(model.rows.size, model.cells.size) / 10
+    monkeypatch.setattr(maxent, "SHORT_TOKENS", 0)
+    whole = maxent.Descent(model)
+    whole.step(tokens)
+    for name in ("rows", "cells"):
+        assert np.array_equal(getattr(short.model, name), getattr(whole.model, name)) and not np.array_equal(getattr(short.model, name), getattr(model, name))
+    assert np.array_equal(short.row_squares, whole.row_squares) and np.array_equal(short.cell_squares, whole.cell_squares)
+    assert not short.row_sums.any() and not short.cell_sums.any()
+
+
+ODD_TEXTS = ["", None, " ", "\t a\x0bB \x0c\r\n", "É\u00a0x\u2028Y\x85z", "a\x1cb\x1f \0 c", "x", None, "  Ab  aB  AB ", "w " * 3000]
+
+
+@pytest.mark.parametrize("part_bytes", [1, 7, 100, 1 << 23])
+def test_words_in_arrow_are_those_of_a_text(monkeypatch, part_bytes):
+    import pyarrow as pa
+
+    from lexstrata.llm import common
+
+    monkeypatch.setattr(common, "PART_BYTES", part_bytes)
+    texts = pa.array(["before", *ODD_TEXTS, "behind"])[1:-1]
+    got = []
+    for part in common.text_parts(texts):
+        words, sizes = common.split_words(part)
+        assert len(sizes) == len(part) and sizes.sum() == len(words)
+        ends = np.cumsum(sizes)
+        got += [[w.encode() for w in words[e - n : e].to_pylist()] for n, e in zip(sizes.tolist(), ends.tolist())]
+    assert got == [common.words_of(t) for t in ODD_TEXTS]
+    assert not list(common.text_parts(texts[:0])) and common.split_words(texts[:0])[1].size == 0
+
+
+def test_bundles_hold_whole_texts_over_batches_and_parts(monkeypatch):
+    """Each bundle ends with the text that fills it, wherever batches and parts end."""
+    import pyarrow as pa
+
+    from lexstrata.llm import common, maxent
+    from lexstrata.llm import language_model as lm
+
+    v, _ = small_model()
+    monkeypatch.setattr(common, "PART_BYTES", 50)
+    monkeypatch.setattr(lm, "STEP_TOKENS", 12)
+    r = random.Random(5)
+    texts = [*ODD_TEXTS, *(" ".join(f"w{k}{'abcde'[k % 5]}" for k in r.choices(range(60), k=r.randrange(9))) for _ in range(60))]
+    expected, held = [], []
+    for text in texts:
+        held.append(common.words_of(text))
+        if sum(len(t) + 1 for t in held) >= 12:
+            expected.append(maxent.Tokens(v, held))
+            held = []
+    expected += [maxent.Tokens(v, held)] if held else []
+    got = list(lm._bundles(v, iter([pa.array(texts[:3]), pa.array([], pa.string()), pa.array(texts[3:30]), pa.array(texts[30:])])))
+    assert len(got) == len(expected) > 10 and not list(lm._bundles(v, iter([])))
+    for a, b in zip(got, expected):
+        assert a.leaf.tolist() == b.leaf.tolist() and a.sizes.tolist() == b.sizes.tolist() and a.outside == b.outside
+        assert a.outside_text.tolist() == b.outside_text.tolist() and all(np.array_equal(x, y) for x, y in zip(a.keys, b.keys))
+
+
+def test_counts_of_words_add_up():
+    import pyarrow as pa
+
+    from lexstrata.llm import language_model as lm
+
+    parts = [pa.RecordBatch.from_struct_array(pa.array(words, pa.string()).value_counts()) for words in (["a", "b", "a"], [], ["b", "é"])]
+    (once,) = lm._summed(parts)
+    twice = lm._summed([once, *parts])
+    assert {r["word"]: r["n"] for b in twice for r in b.to_pylist()} == {"a": 4, "b": 4, "é": 2}
+    assert once.schema.names == ["word", "n"] and not sum(b.num_rows for b in lm._summed(parts[1:2]))
+
+
 def test_descent_follows_the_gradient_of_both_factors():
     """Numerical derivatives of the summed log loss, by a class row and by a decision cell."""
     from lexstrata.llm import maxent
