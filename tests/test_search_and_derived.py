@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,42 @@ def test_frequent_words_seed_no_documents_below_the_floor():
     assert search.block_best(postings, asked.assign(floor=3.2), 10, 5.0).empty
 
 
+def shuffled_rows(spark, run):
+    """What ``run`` returns, and the rows that its shuffles wrote."""
+    sc, none = spark.sparkContext, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size()))}
+
+    before, out = stages(), run()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_disk_takes_neither_a_row_a_posting_nor_a_query_a_block(spark):
+    rng = random.Random(3)
+    documents = {i: " ".join(f"z{int(rng.paretovariate(0.6)) % 900}" for _ in range(40)) for i in range(1200)}
+    queries = {f"q{i}": " ".join(f"z{rng.randrange(60)}" for _ in range(3)) for i in range(500)}
+    rows = spark.createDataFrame(list(documents.items()), "id long, text string")
+    index, moved = shuffled_rows(spark, lambda: search.build_index(rows, "id", "text", 10))
+    assert moved < 3 * len(documents) and index.blocks == 120
+    asked = spark.createDataFrame(list(queries.items()), "q string, text string")
+    found_rows, moved = shuffled_rows(spark, lambda: search.search(index, asked, "q", "text", 2).collect())
+    assert moved < len(queries) * index.blocks
+    got = {q: [] for q in queries}
+    for r in sorted(found_rows, key=lambda r: (r.q, r.place)):
+        got[r.q].append((r.id, round(r.score, 6)))
+    assert got == plain_search(documents, queries, 2)
+
+
+def test_lists_of_a_block_join_its_batches():
+    first = pa.RecordBatch.from_pydict({"block": pa.array([1, 1, 2], pa.int32()), "id": pa.array([5, -3, 4], pa.int64()), "words": [["b", "a", "b"], ["b"], ["c"]]})
+    second = pa.RecordBatch.from_pydict({"block": pa.array([1, 3, 1], pa.int32()), "id": pa.array([2, 7, 8], pa.int64()), "words": pa.array([["a"], [], None], pa.list_(pa.string()))})
+    rows = {(r["term"], r["block"]): (r["ids"], r["counts"], r["lengths"]) for batch in search.block_lists(iter([first, second])) for r in batch.to_pylist()}
+    assert rows == {("b", 1): ([-3, 8], [1, 2], [1, 3]), ("a", 1): ([2, 3], [1, 1], [1, 3]), ("c", 2): ([4], [1], [1])}
+
+
 def test_derived_tables_are_rebuilt_in_order(spark):
     graph = {
         "c": derived.Derived(("b", "a"), lambda b, a: b.join(a, "k").select("k", (F.col("m") + F.col("n")).alias("s"))),
